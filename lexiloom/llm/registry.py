@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import quality
+from lexiloom.llm import quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
