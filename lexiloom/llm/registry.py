@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import quality, simhash
+from lexiloom.llm import quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
