@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import quality, simhash, substring
+from lexiloom.llm import bpe, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
