@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import table
-from lexiloom.llm.tokens import default_path
+from lexiloom.llm.tokens import byte_characters, default_path
 
 VOCABULARY = "word_bpe_49k.json"
 _MAX_PIECE, _MAX_KEPT = 200, 300_000
@@ -57,13 +57,6 @@ class PairTree:
             node[at] = low
 
 
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
-    moved = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
-
-
 class WordBpe:
     """Encoder and decoder of one vocabulary file of the tokenizers library (BPE with a word-end suffix)."""
 

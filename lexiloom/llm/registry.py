@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, quality, simhash, substring
+from lexiloom.llm import bpe, packing, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
