@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,34 +27,55 @@ from lexiloom.llm.common import table
 from lexiloom.llm.tokens import byte_characters, default_path
 
 VOCABULARY = "word_bpe_49k.json"
-_MAX_PIECE, _MAX_KEPT = 200, 300_000
+#: Longer pieces are not kept; so many are, in each of two generations.
+_MAX_PIECE, _MAX_KEPT = 60, 400_000
 _EMPTY = 1 << 62
 _GAP = regex.compile(r"\p{White_Space}+")
 
 
 class PairTree:
-    """Minimum of rank * width + position over adjacent pairs, with point updates."""
+    """Smallest key (rank * n + position) over the adjacent pairs of n symbols, with point updates."""
 
     def __init__(self, keys: list[int]):
-        self.size = 1
-        while self.size < len(keys):
-            self.size *= 2
-        self.node = [_EMPTY] * self.size + keys + [_EMPTY] * (self.size - len(keys))
-        for at in range(self.size - 1, 0, -1):
-            self.node[at] = min(self.node[2 * at], self.node[2 * at + 1])
-
-    def root(self) -> int:
-        return self.node[1]
+        size = 1
+        while size < len(keys):
+            size *= 2
+        node = [_EMPTY] * size + keys + [_EMPTY] * (size - len(keys))
+        for at in range(size - 1, 0, -1):
+            left, right = node[2 * at], node[2 * at + 1]
+            node[at] = left if left < right else right
+        self.size, self.node = size, node
 
     def set(self, position: int, key: int) -> None:
+        """Change one leaf and the nodes above it, as far up as they change."""
         node, at = self.node, self.size + position
+        if node[at] == key:
+            return
         node[at] = key
         while at > 1:
-            at //= 2
-            low = min(node[2 * at], node[2 * at + 1])
+            other = node[at ^ 1]
+            low = key if key < other else other
+            at >>= 1
             if node[at] == low:
-                break
-            node[at] = low
+                return
+            node[at] = key = low
+
+
+class _Kept(dict):
+    """piece -> what ``make`` gives; two generations, so that frequent pieces outlive a full table."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, bytes, int]]):
+        super().__init__()
+        self._make, self._older = make, {}
+
+    def __missing__(self, piece: str) -> tuple[bytes, bytes, int]:
+        found = self._older.get(piece) or self._make(piece)
+        if len(piece) <= _MAX_PIECE:
+            if len(self) >= _MAX_KEPT:
+                self._older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class WordBpe:
@@ -74,73 +95,76 @@ class WordBpe:
         self._words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self._specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self._bytes = byte_characters()
-        self._kept: dict[str, tuple[bytes, bytes, int]] = {}
+        self._kept = _Kept(self._piece)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the leftmost pair of lowest rank until no pair can be merged."""
         n = len(symbols)
         if n < 2:
             return symbols
-        merges, after, before, alive = self.merges, list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-
-        def key(i: int) -> int:
-            j = after[i]
-            found = merges.get((symbols[i], symbols[j])) if j < n else None
-            return _EMPTY if found is None else found[0] * n + i
-
-        tree = PairTree([key(i) for i in range(n)])
-        while (low := tree.root()) != _EMPTY:
+        find, after, before = self.merges.get, list(range(1, n + 1)), list(range(-1, n - 1))
+        keys = [found[0] * n + i if (found := find(pair)) else _EMPTY for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))]
+        tree = PairTree(keys)
+        node, put = tree.node, tree.set
+        while (low := node[1]) != _EMPTY:
             i = low % n
             j = after[i]
-            symbols[i] = merges[symbols[i], symbols[j]][1]
-            alive[j] = False
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            tree.set(j, _EMPTY)
-            tree.set(i, key(i))
-            if before[i] >= 0:
-                tree.set(before[i], key(before[i]))
-        return [s for s, live in zip(symbols, alive, strict=True) if live]
+            merged = symbols[i] = find((symbols[i], symbols[j]))[1]
+            symbols[j] = -1
+            if j < n - 1:
+                put(j, _EMPTY)
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                put(i, found[0] * n + i if (found := find((merged, symbols[k]))) else _EMPTY)
+            else:
+                put(i, _EMPTY)
+            if (h := before[i]) >= 0:
+                put(h, found[0] * n + h if (found := find((symbols[h], merged))) else _EMPTY)
+        return [s for s in symbols if s >= 0]
 
     def word_ids(self, word: str) -> list[int]:
         chars = [self._bytes[b] for b in word.encode()]
         chars[-1] += self.suffix
         return self.merge([self.vocab[c] for c in chars if c in self.vocab])
 
+    def _word(self, word: str) -> tuple[bytes, bytes, int]:
+        ids = self.word_ids(word)
+        return " ".join(map(str, ids)).encode(), self.decode(ids).encode(), len(ids)
+
     def _piece(self, piece: str) -> tuple[bytes, bytes, int]:
         """(decimal ids, token strings, count) of a piece in lower case, each joined by spaces."""
-        found = self._kept.get(piece)
-        if found is None:
-            ids = [i for word in self._words.findall(piece) for i in self.word_ids(word)]
-            found = " ".join(map(str, ids)).encode(), self.decode(ids).encode(), len(ids)
-            if len(piece) <= _MAX_PIECE:
-                if len(self._kept) >= _MAX_KEPT:
-                    self._kept.clear()
-                self._kept[piece] = found
-        return found
+        words = self._words.findall(piece)
+        if words == [piece]:
+            return self._word(piece)
+        parts = [p for p in map(self._kept.__getitem__, words) if p[2]]
+        return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]), sum([p[2] for p in parts])
 
-    def _pieces(self, text: str) -> Iterator[tuple[bytes, bytes, int]]:
-        at = 0
+    def _parts(self, text: str) -> list[tuple[bytes, bytes, int]]:
+        found, at = [], 0
         for m in [*self._specials.finditer(text), None] if "<" in text else [None]:
             part = text[at : m.start() if m else len(text)]
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # lower case by single characters
             separators = any(c in part for c in "\x1c\x1d\x1e\x1f")  # str.split takes these for white space
-            yield from map(self._piece, _GAP.split(part) if separators else part.split())
+            found += map(self._kept.__getitem__, filter(None, _GAP.split(part)) if separators else part.split())
             if m:
-                yield str(self.special[m[0]]).encode(), m[0].encode(), 1
+                found.append((str(self.special[m[0]]).encode(), m[0].encode(), 1))
                 at = m.end()
+        return found
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self._pieces(text) for i in ids.split()]
+        return [int(i) for ids, _, _ in self._parts(text) for i in ids.split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.token[i] for i in ids)
 
     def encode_and_decode(self, text: str) -> tuple[bytes, bytes, int]:
         """(decimal ids joined by spaces, decoded text in UTF-8, number of ids) in one pass."""
-        parts = [p for p in self._pieces(text) if p[2]]
-        return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        parts = self._parts(text)
+        if not parts:
+            return b"", b"", 0
+        ids, decoded, counts = zip(*parts, strict=True)
+        return b" ".join(ids), b" ".join(decoded), sum(counts)
 
 
 @lru_cache(maxsize=2)
