@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, packing, quality, simhash, substring
+from lexiloom.llm import bpe, packing, quality, sharding, simhash, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op6_jump_sharding": sharding.op6_jump_sharding,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+        "op8_url_filters": urls.op8_url_filters,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle()}
+    return {
+        "op1_quality_rules": quality.oracle(),
+        "op8_url_filters": urls.oracle(),
+    }
