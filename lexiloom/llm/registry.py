@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, packing, quality, sharding, simhash, substring, urls
+from lexiloom.llm import bpe, packing, quality, sharding, simhash, substring, tokencount, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op3_token_counts": tokencount.op3_token_counts,
         "op6_jump_sharding": sharding.op6_jump_sharding,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_url_filters": urls.op8_url_filters,

@@ -73,9 +73,13 @@ def _single_piece_encoder(path: str) -> Callable[[str], list[int]] | None:
 
 
 class ByteLevelEncoder:
-    """Ids of texts under a byte-level BPE file of the tokenizers library."""
+    """Ids of texts under a byte-level BPE file of the tokenizers library.
 
-    def __init__(self, path: str):
+    Strings of special tokens in a text become their ids, as is the library's default, or
+    with ``special_as_text`` ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -83,7 +87,8 @@ class ByteLevelEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.vocab_size = self._tokenizer.get_vocab_size()
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._tokenizer.encode_special_tokens = special_as_text
+        self._special = [] if special_as_text else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         library = lambda piece: self._tokenizer.encode(piece, add_special_tokens=False).ids
         self._kept = _Kept(_single_piece_encoder(path) or library)
 
@@ -108,6 +113,6 @@ class ByteLevelEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ByteLevelEncoder:
+def encoder(path: str, special_as_text: bool = False) -> ByteLevelEncoder:
     """One encoder for each worker process."""
-    return ByteLevelEncoder(path)
+    return ByteLevelEncoder(path, special_as_text)
