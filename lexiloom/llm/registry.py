@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, packing, quality, sharding, simhash, substring, tokencount, topk, urls
+from lexiloom.llm import bpe, lm, packing, quality, sharding, simhash, substring, tokencount, topk, urls
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_token_counts": tokencount.op3_token_counts,
+        "op4_lm_scoring": lm.op4_lm_scoring,
         "op5_exact_top_k": topk.op5_exact_top_k,
         "op6_jump_sharding": sharding.op6_jump_sharding,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.oracle(),
+        "op4_lm_scoring": lm.op4_lm_scoring,
         "op5_exact_top_k": topk.oracle(),
         "op8_url_filters": urls.oracle(),
     }

@@ -90,7 +90,8 @@ class ByteLevelEncoder:
         self._tokenizer.encode_special_tokens = special_as_text
         self._special = [] if special_as_text else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         library = lambda piece: self._tokenizer.encode(piece, add_special_tokens=False).ids
-        self._kept = _Kept(_single_piece_encoder(path) or library)
+        self._pieces = _single_piece_encoder(path) or library
+        self._kept = _Kept(self._pieces)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -105,8 +106,13 @@ class ByteLevelEncoder:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
 
-    def piece(self, piece: str) -> bytes:
-        return self._kept[piece]
+    def once(self, piece: str) -> bytes:
+        """Ids of a piece that the caller keeps."""
+        return array("I", self._pieces(piece)).tobytes()
+
+    def strings(self) -> list[str]:
+        """The token string of every id, in id order."""
+        return [self._tokenizer.id_to_token(i) or "" for i in range(self.vocab_size)]
 
     def _library(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
