@@ -5,13 +5,192 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.functions.text import cut_prose, fold
+from lexiloom.operators import derive, drafts, names, query, structure
+from lexiloom.plans import extraction, oracle
+from lexiloom.plans.oracle import sql
+from lexiloom.sources import synthetic
 
 FLAGSHIP = "census"
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _drafted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return extraction.read_drafts(synthetic.read(spark, sf_dir))
+
+
+def fold_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", fold(F.col("text")).alias("concept"))
+
+
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.read(spark, sf_dir).select("source_id", "idx", "text")
+
+
+def entry_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.entries(synthetic.read(spark, sf_dir)).select("source_id", "entry", "idx", "title", "body", "in_kept_chapter")
+
+
+def chapter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.chapters(synthetic.read(spark, sf_dir))
+
+
+def mothers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.declared_bases(synthetic.read(spark, sf_dir))
+
+
+def sauce_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drafted(spark, sf_dir)[2].select("source_id", "seq", F.col("ref.entry").alias("entry"), F.col("ref.line").alias("line"), "title", "concept")
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _drafted(spark, sf_dir)[2].select("source_id", "seq", F.posexplode("terms").alias("pos", "t"))
+    return each.select("source_id", "seq", "pos", "t.surface", "t.language", "t.concept")
+
+
+def names_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.first_names(_drafted(spark, sf_dir)[2]).select("source_id", "name", "seq", "entry", "concept")
+
+
+def parent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bases, draft = _drafted(spark, sf_dir)
+    return names.candidates(draft, bases).select("source_id", "name", "key_entry", "key_concept", "records", "base")
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bases, draft = _drafted(spark, sf_dir)
+    return derive.statements(draft, names.candidates(draft, bases))
+
+
+_PLACES = ("source_id", "seq", "entry", "seg", "start", "end", "name", "key", "records", "base")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stated(spark, sf_dir).select(*_PLACES)
+
+
+def unshadowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.uncovered(_stated(spark, sf_dir)).select(*_PLACES)
+
+
+def resolved_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.stated_parents(derive.uncovered(_stated(spark, sf_dir)))
+
+
+def cycle_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bases, draft = _drafted(spark, sf_dir)
+    reached = names.candidates(draft, bases)
+    parents = derive.parents_by_entry(draft, derive.stated_parents(derive.uncovered(derive.statements(draft, reached))))
+    return derive.on_cycles(derive.parent_edges(parents.filter("parent is not null"), reached))
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> extraction.Extracted:
+    return extraction.extract(synthetic.read(spark, sf_dir))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).catalogue.select("source_id", "seq", "title", "concept", F.col("ref.entry").alias("entry"), F.col("ref.line").alias("line"), "body", "parent")
+
+
+def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _extracted(spark, sf_dir)
+    return query.census(out.catalogue, out.bases)
+
+
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).diagnostics
+
+
+def _questions(out: extraction.Extracted) -> DataFrame:
+    first = names.first_names(out.catalogue)
+    some = first.filter((F.col("seq") + F.col("pos")) % 3 == 0).select("source_id", F.col("name").alias("wanted"))
+    words = first.filter(F.col("seq") % 2 == 1).select("source_id", F.substring_index("name", "-", 1).alias("wanted"))
+    return some.unionByName(words).unionByName(out.bases.select("source_id", F.col("concept").alias("wanted"))).unionByName(first.select("source_id", F.lit("nowhere-named").alias("wanted"))).distinct()
+
+
+def matches_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _extracted(spark, sf_dir)
+    return query.matches(out.catalogue, out.bases, _questions(out)).select("source_id", "wanted", "rank", "seq", "title")
+
+
+def find_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _extracted(spark, sf_dir)
+    return query.find(out.catalogue, out.bases, _questions(out)).select("source_id", "wanted", "seq", "title")
+
+
+def children_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _extracted(spark, sf_dir)
+    return query.children(out.catalogue, out.bases, _questions(out))
+
+
+def derivation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _extracted(spark, sf_dir)
+    nodes = query.derivation_trees(out.catalogue, out.bases, out.bases.select("source_id", F.col("concept").alias("root")))
+    return nodes.select("source_id", "root", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "depth", "title", "languages", "concept")
+
+
+def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _extracted(spark, sf_dir)
+    return query.ancestors(out.catalogue, out.bases)
+
+
+def detail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.coalesce("parent", F.lit("(unresolved)"))
+    return _extracted(spark, sf_dir).catalogue.select("source_id", "seq", "title", shown.alias("parent"), cut_prose(F.col("body"), 600).alias("prose"), query.languages_label().alias("languages"))
+
+
+def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = synthetic.read(spark, sf_dir)
+    return query.misquoted(extraction.extract(lines).catalogue, lines).select("source_id", "seq", "entry", "line")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    found = (
+        fold_concepts, line_scan, entry_segments, chapter_spans, mothers, sauce_filter, terms, names_first_wins, parent_candidates, statements, unshadowed, resolved_parent, cycle_clear, catalogue, census, diagnostics,
+        matches_ranked, find_best, children_of, derivation_tree, ancestor_chains, detail_view, provenance_check,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    spot = 'source_id, seq, entry, seg, start, stop AS "end", name, key, records, base'
+    return {
+        "fold_concepts": f"SELECT doc_id, nullif({oracle.fold('text')}, '') AS concept FROM documents",
+        "line_scan": sql("lines", "SELECT source_id, idx, text FROM lines"),
+        "entry_segments": sql("entries", "SELECT source_id, entry, idx, title, body, inside AS in_kept_chapter FROM entries"),
+        "chapter_spans": sql("chapters", "SELECT source_id, start_idx, end_idx, title, kept FROM chapters"),
+        "mothers": sql("mothers", "SELECT source_id, concept FROM mothers"),
+        "sauce_filter": sql("draft", "SELECT source_id, seq, entry, idx + 1 AS line, title, concept FROM draft"),
+        "terms": sql("terms", "SELECT source_id, seq, pos, surface, language, concept FROM terms"),
+        "names_first_wins": sql("names", "SELECT source_id, name, seq, entry, concept FROM names"),
+        "parent_candidates": sql("candidates", "SELECT source_id, name, key_entry, key_concept, records, base FROM candidates"),
+        "statements": sql("statements", f"SELECT {spot} FROM statements"),
+        "unshadowed": sql("live", f"SELECT {spot} FROM live"),
+        "resolved_parent": sql("stated", "SELECT source_id, seq, parent FROM stated"),
+        "cycle_clear": sql("cyclic", "SELECT source_id, entry FROM cyclic"),
+        "catalogue": sql("catalogue", "SELECT source_id, seq, title, concept, entry, line, body, parent FROM catalogue"),
+        "census": sql(
+            "catalogue",
+            "SELECT c.source_id, coalesce((SELECT string_agg(concept, ', ' ORDER BY concept) FROM mothers m WHERE m.source_id = c.source_id), '') AS mothers, count(*) AS sauces, count(parent) AS derived, count(*) - count(parent) AS unresolved FROM catalogue c GROUP BY c.source_id",
+        ),
+        "diagnostics": sql(
+            "kept",
+            "SELECT l.source_id, coalesce(e.n, 0) AS entries, coalesce(k.n, 0) AS kept, CASE WHEN e.n IS NULL THEN 'no_entries' WHEN k.n IS NULL THEN 'none_kept' ELSE 'ok' END AS status FROM (SELECT DISTINCT source_id FROM lines) l LEFT JOIN (SELECT source_id, count(*) AS n FROM entries GROUP BY ALL) e ON l.source_id = e.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM kept GROUP BY ALL) k ON l.source_id = k.source_id",
+        ),
+        "matches_ranked": sql("found", "SELECT r.source_id, r.wanted, r.rank, r.seq, c.title FROM ranked r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
+        "find_best": sql("found", "SELECT r.source_id, r.wanted, r.seq, c.title FROM best r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
+        "children_of": sql("children", "SELECT h.source_id, h.wanted, h.seq FROM children h JOIN asked a ON h.source_id = a.source_id AND h.wanted = a.wanted"),
+        "derivation_tree": sql("tree", "SELECT source_id, root, array_to_string(path, '/') AS path, len(path)::INTEGER AS depth, title, languages, concept FROM nodes"),
+        "ancestor_chains": sql("up", "SELECT source_id, seq, (len(path) - 1)::INTEGER AS depth, path[-1] AS ancestor FROM up"),
+        "detail_view": sql(
+            "catalogue",
+            "SELECT c.source_id, c.seq, title, coalesce(parent, '(unresolved)') AS parent, CASE WHEN length(body) <= 600 THEN body ELSE left(body, 600) || '...' || chr(10) || '[' || (length(body) - 600) || ' more characters, raise --chars to read them]' END AS prose, coalesce((SELECT string_agg(DISTINCT language, '/' ORDER BY language) FROM terms t WHERE t.source_id = c.source_id AND t.seq = c.seq), '') AS languages FROM catalogue c",
+        ),
+        "provenance_check": sql("catalogue", "SELECT c.source_id, c.seq, c.entry, c.line FROM catalogue c LEFT JOIN lines l ON c.source_id = l.source_id AND c.line = l.idx + 1 WHERE NOT coalesce(starts_with(l.text, c.entry || '—'), false)"),
+    }
