@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.names import lookups
 
 
-def languages_label(terms: str = "terms") -> F.Column:
+def languages_label(terms: str = "terms") -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(terms, lambda t: t["language"]))), "/")
 
 

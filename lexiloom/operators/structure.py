@@ -6,16 +6,18 @@ and is handled by one task at a time; sources run side by side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import fold, heading_number, heading_title, strip
 from lexiloom.rules import RULES, RuleSet
 
-_IN_ORDER = Window.partitionBy("source_id").orderBy("idx")
 
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("source_id").orderBy("idx")
 
-def _joined(lines: str) -> F.Column:
+
+def _joined(lines: Column) -> Column:
     """Texts of collected (idx, text) in line order, by newlines."""
     return F.array_join(F.transform(F.array_sort(lines), lambda x: x["text"]), "\n")
 
@@ -27,8 +29,8 @@ def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     up to the third that holds a full stop can matter, and no task joins a whole body.
     """
     opens = F.when(F.rlike("text", F.lit(rules.declaration_opens)), F.col("idx"))
-    from_first = lines.withColumn("first", F.min(opens).over(_IN_ORDER)).filter(F.col("idx") >= F.col("first"))
-    stops = F.coalesce(F.sum(F.contains("text", F.lit(".")).cast("int")).over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    from_first = lines.withColumn("first", F.min(opens).over(_in_order())).filter(F.col("idx") >= F.col("first"))
+    stops = F.coalesce(F.sum(F.contains("text", F.lit(".")).cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = from_first.withColumn("stops", stops).filter("stops < 3")
     said = near.groupBy("source_id").agg(_joined(F.collect_list(F.struct("idx", "text"))).alias("text"))
     listed = said.select("source_id", F.explode(F.split(F.regexp_extract("text", rules.declaration, 1), rules.declaration_parts)).alias("name"))
@@ -38,21 +40,21 @@ def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
 def marked_lines(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     """Lines with ``number``, ``title`` (headings), ``entry_no`` (running), ``chapter_start``, ``chapter_title``, ``in_kept_chapter``."""
     clean = F.btrim(strip(F.col("text")), F.lit(rules.chapter_edges))
-    ahead = F.first(F.when(clean != "", clean), ignorenulls=True).over(_IN_ORDER.rowsBetween(1, rules.chapter_title_lines))
+    ahead = F.first(F.when(clean != "", clean), ignorenulls=True).over(_in_order().rowsBetween(1, rules.chapter_title_lines))
     opens = F.rlike(strip(F.col("text")), F.lit(rules.chapter))
     seen = lines.withColumn("number", heading_number(F.col("text"), rules)).withColumn("chapter_start", opens).withColumn("ahead", ahead)
     kept = F.when(F.col("chapter_start"), F.rlike(F.coalesce("ahead", F.lit("")), F.lit(rules.chapter_kept)))
     return seen.select(
         "source_id", "idx", "file_line", "text", "number", F.when(F.col("number").isNotNull(), heading_title(F.col("text"), rules)).alias("title"),
-        F.sum(F.col("number").isNotNull().cast("long")).over(_IN_ORDER).alias("entry_no"), "chapter_start", F.when(F.col("chapter_start"), F.coalesce("ahead", F.lit(""))).alias("chapter_title"),
-        F.coalesce(F.last(kept, ignorenulls=True).over(_IN_ORDER), F.lit(False)).alias("in_kept_chapter"),
+        F.sum(F.col("number").isNotNull().cast("long")).over(_in_order()).alias("entry_no"), "chapter_start", F.when(F.col("chapter_start"), F.coalesce("ahead", F.lit(""))).alias("chapter_title"),
+        F.coalesce(F.last(kept, ignorenulls=True).over(_in_order()), F.lit(False)).alias("in_kept_chapter"),
     )
 
 
 def chapters(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     """(source_id, start_idx, end_idx, title, kept): half-open spans of lines that tile the text from its first chapter on."""
     sized = marked_lines(lines, rules).withColumn("n", F.max("idx").over(Window.partitionBy("source_id")) + 1).filter("chapter_start")
-    end = F.coalesce(F.lead("idx").over(_IN_ORDER), F.col("n"))
+    end = F.coalesce(F.lead("idx").over(_in_order()), F.col("n"))
     return sized.select("source_id", F.col("idx").alias("start_idx"), end.alias("end_idx"), F.col("chapter_title").alias("title"), F.rlike("chapter_title", F.lit(rules.chapter_kept)).alias("kept"))
 
 
