@@ -69,7 +69,13 @@ def _single_piece_encoder(path: str) -> Callable[[str], list[int]] | None:
     if merged != sorted(merged) or merged[0] < 256 or len(model["vocab"]) != 256 + len(merged):
         return None
     ranks = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items()}
-    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole, single = encoding.encode_ordinary, getattr(encoding, "_encode_single_piece", None)
+    if single is None:
+        return whole
+    # Letters behind at most one space are one pre-token, and need no pattern; rarer letters are left to it.
+    plain = regex.compile("[ ]?(?:[A-Za-zÀ-ÖØ-öø-ɏ])+").fullmatch
+    return lambda piece: single(piece) if plain(piece) else whole(piece)
 
 
 class ByteLevelEncoder:
