@@ -8,9 +8,9 @@ smallest doc_id keeps a chunk, every later one is a repeat. Repeats are removed
 repeated chunks goes when it holds at least ``min_run_words`` words, so that short phrases that
 happen to recur stay.
 
-A chunk table row is 40 bytes and is aggregated map-side before it is shuffled; a passage that a third of
-all documents share becomes one row for each map task. The join back is split by the adaptive
-skew join. Texts are cut up again in the join's Arrow batches.
+A task compares chunks on its own first and leaves one row of each digest to be compared with other tasks, so a
+passage that a third of all documents share is one row for each task, and the chunk table is shuffled once. Texts
+are cut up again in the Arrow batches that bring them together with their repeats.
 
 Defined results: a null text stays null and an empty one empty, with no chunks; rows that share doc_id
 share its rank, so identical rows get identical results; a null doc_id ranks after all ids; an empty
@@ -26,7 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ class ChunkParams:
     max_bytes: int = 256
     mask_bits: int = 4
     gear_seed: int = 7
+    #: A task compares chunks on its own until it holds so many digests.
+    held_chunks: int = 400_000
     #: Repeats are removed in runs of at least so many words.
     min_run_words: int = 20
 
@@ -134,33 +136,66 @@ def repeat_runs(ends: list[int], repeated: Iterable[bool], text: bytes, min_word
 
 
 def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: ChunkParams = DEFAULTS) -> DataFrame:
-    """(d1, d2, rank, place, again): the digest, the row's rank, its text's key and the chunk's number, repeated within its text.
+    """(d1, d2, rank, place, repeat): chunks by digest; ``place`` is the text's key * 2**32 + the chunk's number.
 
-    ``place`` is key * 2**32 + number.
+    A task knows that a chunk repeats if it has met the digest in the same text or under a smaller rank. Such rows are
+    marked and spread by their place; of each digest only the row with the smallest rank is left to be compared with other tasks.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, int]] = {}
+        marked: list[tuple[int, int]] = []
+
+        def out(digests: np.ndarray, rows: Iterable[tuple[int, int]], repeat: bool) -> pa.RecordBatch:
+            pairs = np.array(list(rows), np.int64).reshape(-1, 2)
+            columns = [digests[:, 0].copy(), digests[:, 1].copy(), pairs[:, 0].copy(), pairs[:, 1].copy(), np.full(len(pairs), repeat)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d1", "d2", "rank", "place", "repeat"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield out(np.frombuffer(b"".join(held.keys()), np.int64).reshape(-1, 2), held.values(), False)
+                held.clear()
+
         for b in batches:
-            ranks, digests, per, places, again = b.column(0).to_numpy(zero_copy_only=False), [], [], [], []
-            for text in _texts(b.column(1)):
-                _, found = chunks_of(text, p) if text else ([], [])
-                seen: set[bytes] = set()
-                again += [d in seen or seen.add(d) is not None for d in found]
-                digests += found
-                per.append(len(found))
-                places.append((text_key(text) << 32) + np.arange(len(found), dtype=np.int64))
-            pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            arrays = [pair[:, 0].copy(), pair[:, 1].copy(), np.repeat(ranks, per), np.concatenate(places), np.array(again, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["d1", "d2", "rank", "place", "again"])
+            for rank, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
+                if not text:
+                    continue
+                place, seen, same = text_key(text) << 32, set(), []
+                for number, digest in enumerate(chunks_of(text, p)[1]):
+                    mine = (rank, place + number)
+                    before = held.get(digest)
+                    if digest in seen:
+                        marked.append(mine)
+                        continue
+                    seen.add(digest)
+                    if before is None:
+                        held[digest] = mine
+                    elif before[0] < rank:
+                        marked.append(mine)
+                    elif before[0] > rank:
+                        marked.append(before)
+                        held[digest] = mine
+                    else:  # another row with this rank: neither repeats the other
+                        same.append((digest, mine))
+                if same:
+                    yield out(np.frombuffer(b"".join(d for d, _ in same), np.int64).reshape(-1, 2), [m for _, m in same], False)
+            if marked:
+                pairs = np.array(marked, np.int64)
+                yield out(pairs[:, ::-1], marked, True)
+                marked.clear()
+            if len(held) >= p.held_chunks:
+                yield from flush()
+        yield from flush()
 
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MAX_LONG)).alias("rank")
-    return df.select(rank, F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "d1 long, d2 long, rank long, place long, again boolean")
+    return df.select(rank, F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "d1 long, d2 long, rank long, place long, repeat boolean")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """(rank, key, repeats): numbers of the chunks of each text that an earlier document or place holds."""
-    owners = chunks.groupBy("d1", "d2").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).filter(F.col("last") > F.col("owner")).drop("last")
-    repeated = chunks.join(owners, ["d1", "d2"], "left").filter(F.col("again") | (F.col("rank") > F.col("owner")))
+    # A digest has one row from each task (or each ``held_chunks`` of one), however many documents hold it.
+    owner = F.min(F.when(~F.col("repeat"), F.col("rank"))).over(Window.partitionBy("d1", "d2"))
+    repeated = chunks.withColumn("owner", owner).filter(F.col("repeat") | (F.col("rank") > F.col("owner")))
     numbers = repeated.select("rank", F.shiftright("place", 32).alias("key"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("number"))
     # A set, as rows that repeat with doc_id and text name the same chunks again; bounded by one text's chunks.
     return numbers.groupBy("rank", "key").agg(F.collect_set("number").alias("repeats"))
@@ -213,4 +248,4 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that earlier documents hold, and where they were."""
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("rest.doc_id", F.col("kept_text").alias("text"), "n_chunks", "n_repeats", "removed_bytes", "spans")
+    return found.select("rest.doc_id", F.col("kept_text").alias("text"), "n_chunks", "removed_bytes", "spans")
