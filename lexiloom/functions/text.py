@@ -63,7 +63,7 @@ def fold(text: Column) -> Column:
     spelled = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     rare = "[" + "".join(many) + "]"
     wide = F.when(F.rlike(text, F.lit(rare)), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(text)
-    plain = F.translate(wide, one + gone, to)
+    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(wide, one + gone, to))  # most texts are ASCII
     return F.nullif(F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
 
 

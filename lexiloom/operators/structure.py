@@ -1,20 +1,18 @@
 """What a source says about its own structure: declared bases, chapters and numbered entries.
 
-All windows share one partitioning and order (source, line), so a source is sorted once. A source is one book
-and is handled by one task at a time; sources run side by side.
+Lines are scanned in two levels: within blocks of ``BLOCK_LINES`` lines, and over the blocks' totals. So a source of any
+length is shared among tasks, and no window holds more than one block or one row for each block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import fold, heading_number, heading_title, strip
 from lexiloom.rules import RULES, RuleSet
 
-
-def _in_order() -> WindowSpec:
-    return Window.partitionBy("source_id").orderBy("idx")
+BLOCK_LINES = 1 << 16
 
 
 def _joined(lines: Column) -> Column:
@@ -29,39 +27,53 @@ def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     up to the third that holds a full stop can matter, and no task joins a whole body.
     """
     opens = F.when(F.rlike("text", F.lit(rules.declaration_opens)), F.col("idx"))
-    from_first = lines.withColumn("first", F.min(opens).over(_in_order())).filter(F.col("idx") >= F.col("first"))
-    stops = F.coalesce(F.sum(F.contains("text", F.lit(".")).cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = from_first.withColumn("stops", stops).filter("stops < 3")
+    first = lines.groupBy("source_id").agg(F.min(opens).alias("first")).filter("first is not null")
+    behind = lines.join(first, "source_id").filter(F.col("idx") >= F.col("first"))
+    # The third full stop, by a grouped limit that works map-side first.
+    order = Window.partitionBy("source_id").orderBy("idx")
+    stops = behind.filter(F.contains("text", F.lit("."))).select("source_id", "idx").withColumn("k", F.row_number().over(order)).filter("k <= 3")
+    third = stops.groupBy("source_id").agg(F.max(F.when(F.col("k") == 3, F.col("idx"))).alias("third"))
+    near = behind.join(third, "source_id", "left").filter(F.col("third").isNull() | (F.col("idx") <= F.col("third")))
     said = near.groupBy("source_id").agg(_joined(F.collect_list(F.struct("idx", "text"))).alias("text"))
     listed = said.select("source_id", F.explode(F.split(F.regexp_extract("text", rules.declaration, 1), rules.declaration_parts)).alias("name"))
     return listed.filter(strip(F.col("name")) != "").select("source_id", fold(F.col("name")).alias("concept")).filter("concept is not null").distinct()
 
 
-def marked_lines(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+def marked_lines(lines: DataFrame, rules: RuleSet = RULES, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Lines with ``number``, ``title`` (headings), ``entry_no`` (running), ``chapter_start``, ``chapter_title``, ``in_kept_chapter``."""
+    ahead_lines = rules.chapter_title_lines
     clean = F.btrim(strip(F.col("text")), F.lit(rules.chapter_edges))
-    ahead = F.first(F.when(clean != "", clean), ignorenulls=True).over(_in_order().rowsBetween(1, rules.chapter_title_lines))
-    opens = F.rlike(strip(F.col("text")), F.lit(rules.chapter))
-    seen = lines.withColumn("number", heading_number(F.col("text"), rules)).withColumn("chapter_start", opens).withColumn("ahead", ahead)
+    block = F.floor(F.col("idx") / block_lines)
+    # The first lines of a block also stand behind the block before it, whose last chapter may take its title from them.
+    over = (F.col("idx") % block_lines < ahead_lines) & (block > 0)
+    homes = F.when(over, F.array(block, block - 1)).otherwise(F.array(block))
+    seen = lines.select("*", heading_number(F.col("text"), rules).alias("number"), F.rlike(strip(F.col("text")), F.lit(rules.chapter)).alias("chapter_start"), F.nullif(clean, F.lit("")).alias("clean"), F.explode(homes).alias("blk"))
+    inside = Window.partitionBy("source_id", "blk").orderBy("idx")
+    titled = seen.withColumn("ahead", F.first("clean", ignorenulls=True).over(inside.rowsBetween(1, ahead_lines))).filter(F.col("blk") == block)
     kept = F.when(F.col("chapter_start"), F.rlike(F.coalesce("ahead", F.lit("")), F.lit(rules.chapter_kept)))
-    return seen.select(
+    local = titled.withColumn("kept", kept).withColumn("count", F.sum(F.col("number").isNotNull().cast("long")).over(inside)).withColumn("last_kept", F.last("kept", ignorenulls=True).over(inside))
+    totals = local.groupBy("source_id", "blk").agg(F.max("count").alias("n"), F.max_by("kept", F.when(F.col("kept").isNotNull(), F.col("idx"))).alias("block_kept"))
+    before = Window.partitionBy("source_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("source_id", "blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.last("block_kept", ignorenulls=True).over(before).alias("carried"))
+    return local.join(carried, ["source_id", "blk"]).select(
         "source_id", "idx", "file_line", "text", "number", F.when(F.col("number").isNotNull(), heading_title(F.col("text"), rules)).alias("title"),
-        F.sum(F.col("number").isNotNull().cast("long")).over(_in_order()).alias("entry_no"), "chapter_start", F.when(F.col("chapter_start"), F.coalesce("ahead", F.lit(""))).alias("chapter_title"),
-        F.coalesce(F.last(kept, ignorenulls=True).over(_in_order()), F.lit(False)).alias("in_kept_chapter"),
+        (F.col("count") + F.col("earlier")).alias("entry_no"), "chapter_start", F.when(F.col("chapter_start"), F.coalesce("ahead", F.lit(""))).alias("chapter_title"),
+        F.coalesce("last_kept", "carried", F.lit(False)).alias("in_kept_chapter"),
     )
 
 
-def chapters(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+def chapters(lines: DataFrame, rules: RuleSet = RULES, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(source_id, start_idx, end_idx, title, kept): half-open spans of lines that tile the text from its first chapter on."""
-    sized = marked_lines(lines, rules).withColumn("n", F.max("idx").over(Window.partitionBy("source_id")) + 1).filter("chapter_start")
-    end = F.coalesce(F.lead("idx").over(_in_order()), F.col("n"))
-    return sized.select("source_id", F.col("idx").alias("start_idx"), end.alias("end_idx"), F.col("chapter_title").alias("title"), F.rlike("chapter_title", F.lit(rules.chapter_kept)).alias("kept"))
+    sizes = lines.groupBy("source_id").agg((F.max("idx") + 1).alias("n"))
+    starts = marked_lines(lines, rules, block_lines).filter("chapter_start").join(sizes, "source_id")
+    end = F.coalesce(F.lead("idx").over(Window.partitionBy("source_id").orderBy("idx")), F.col("n"))
+    return starts.select("source_id", F.col("idx").alias("start_idx"), end.alias("end_idx"), F.col("chapter_title").alias("title"), F.rlike("chapter_title", F.lit(rules.chapter_kept)).alias("kept"))
 
 
-def entries(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+def entries(lines: DataFrame, rules: RuleSet = RULES, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(source_id, entry, idx, file_line, title, body, in_kept_chapter), one row for each numbered heading."""
     head = lambda c: F.max(F.when(F.col("number").isNotNull(), F.col(c)))
     prose = F.collect_list(F.when(F.col("number").isNull(), F.struct("idx", "text")))
-    rows = marked_lines(lines, rules).filter("entry_no > 0").groupBy("source_id", "entry_no")
+    rows = marked_lines(lines, rules, block_lines).filter("entry_no > 0").groupBy("source_id", "entry_no")
     found = rows.agg(head("number").alias("entry"), head("idx").alias("idx"), head("file_line").alias("file_line"), head("title").alias("title"), head("in_kept_chapter").alias("in_kept_chapter"), strip(_joined(prose)).alias("body"))
     return found.select("source_id", "entry", "idx", "file_line", "title", "body", "in_kept_chapter")

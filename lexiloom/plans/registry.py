@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.checkpoints import shared_table
 from lexiloom.functions.text import cut_prose, fold
-from lexiloom.operators import derive, drafts, names, query, structure
+from lexiloom.operators import derive, names, query, structure
 from lexiloom.plans import extraction, oracle
 from lexiloom.plans.oracle import sql
 from lexiloom.sources import synthetic
@@ -25,6 +26,13 @@ def _drafted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return extraction.read_drafts(synthetic.read(spark, sf_dir))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(drafts, candidates), written once as the extraction does."""
+    _, bases, draft = _drafted(spark, sf_dir)
+    bases, draft = shared_table(bases, "bases"), shared_table(draft, "drafts")
+    return draft, shared_table(names.candidates(draft, bases), "candidates")
+
+
 def fold_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", fold(F.col("text")).alias("concept"))
 
@@ -59,13 +67,11 @@ def names_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bases, draft = _drafted(spark, sf_dir)
-    return names.candidates(draft, bases).select("source_id", "name", "key_entry", "key_concept", "records", "base")
+    return _named(spark, sf_dir)[1].select("source_id", "name", "key_entry", "key_concept", "records", "base")
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bases, draft = _drafted(spark, sf_dir)
-    return derive.statements(draft, names.candidates(draft, bases))
+    return derive.statements(*_named(spark, sf_dir))
 
 
 _PLACES = ("source_id", "seq", "entry", "seg", "start", "end", "name", "key", "records", "base")
@@ -84,8 +90,7 @@ def resolved_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bases, draft = _drafted(spark, sf_dir)
-    reached = names.candidates(draft, bases)
+    draft, reached = _named(spark, sf_dir)
     parents = derive.parents_by_entry(draft, derive.stated_parents(derive.uncovered(derive.statements(draft, reached))))
     return derive.on_cycles(derive.parent_edges(parents.filter("parent is not null"), reached))
 

@@ -76,6 +76,13 @@ def test_chapters(spark):
     assert [(r["start_idx"], r["end_idx"], r["title"], r["kept"]) for r in got] == [(1, 4, "SOUPS", False), (4, 9, "  ", False), (9, 16, "", False)]
 
 
+def test_blocks_make_no_difference(spark):
+    lines = lines_from_memory(spark, random_book(3, 120))
+    for read in (structure.entries, structure.chapters, structure.marked_lines):
+        whole = sorted(map(str, read(lines).collect()))
+        assert sorted(map(str, read(lines, block_lines=7).collect())) == whole and whole
+
+
 def test_declarations_over_several_lines(spark):
     texts = {
         "a": (["Basic Sauce: Ax and", "B, Candied", "c. D."], ["ax", "b", "candied-c"]),
