@@ -267,7 +267,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     grouped = named.join(least, "root").select("fp", "component_id", F.lit(True).alias("linked"))
     of_class = classes.join(grouped, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
-    return marked.join(of_class, "fp", "left").select("doc_id", "fp", "component_id")
+    # Written, so that the last join has a plain shuffle on both sides and a fingerprint that many rows share can be split.
+    return marked.join(materialise(of_class, "components"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
