@@ -34,7 +34,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.oracle(),
-        "op4_lm_scoring": lm.op4_lm_scoring,
         "op5_exact_top_k": topk.oracle(),
         "op8_url_filters": urls.oracle(),
     }
