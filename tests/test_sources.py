@@ -63,6 +63,7 @@ def test_commands(spark, root, capsys):
     assert run(capsys, root, "tree", "tomato")[0] == 0
     assert run(capsys, root, "tree", "nowhere")[0] == 1 and run(capsys, root, "show", "nowhere")[0] == 1
     assert run(capsys, root, "show", "###")[0] == 2
+    assert cli.only_source(root) == "book"
     (root / "data" / "book.json").write_text("{")
     assert run(capsys, root, "show", "herb")[0] == 2
 
