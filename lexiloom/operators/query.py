@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.checkpoints import shared_table
 from lexiloom.operators.names import lookups
 
 
@@ -64,7 +65,8 @@ def derivation_trees(catalogue: DataFrame, bases: DataFrame, roots: DataFrame, l
     asked = catalogue.select("source_id", F.col("concept").alias("wanted")).unionByName(roots.select("source_id", F.col("root").alias("wanted"))).distinct()
     shown = catalogue.select("source_id", "seq", "title", languages_label().alias("languages"), "concept")
     view = f"tree_{uuid.uuid4().hex}"
-    children(catalogue, bases, asked).join(shown, ["source_id", "seq"]).createOrReplaceTempView(f"{view}_edges")
+    # Written once: each level of the recursion reads the edges again.
+    shared_table(children(catalogue, bases, asked).join(shown, ["source_id", "seq"]), "edges").createOrReplaceTempView(f"{view}_edges")
     roots.select("source_id", "root").distinct().createOrReplaceTempView(f"{view}_roots")
     nodes = spark.sql(f"""
         WITH RECURSIVE nodes(source_id, root, path, seen, title, languages, concept, open) MAX RECURSION LEVEL {int(levels)} AS (
@@ -85,7 +87,7 @@ def ancestors(catalogue: DataFrame, bases: DataFrame, levels: int = 10_000) -> D
     named = catalogue.filter("parent is not null").select("source_id", F.col("parent").alias("wanted"))
     reached = lookups(catalogue, bases, named).filter("rank = 1").select("source_id", F.col("wanted").alias("parent"), F.col("seq").alias("target"))
     view = f"up_{uuid.uuid4().hex}"
-    catalogue.select("source_id", "seq", "parent").join(reached, ["source_id", "parent"]).select("source_id", "seq", "target").createOrReplaceTempView(view)
+    shared_table(catalogue.select("source_id", "seq", "parent").join(reached, ["source_id", "parent"]).select("source_id", "seq", "target"), "hops").createOrReplaceTempView(view)
     return spark.sql(f"""
         WITH RECURSIVE up(source_id, seq, path) MAX RECURSION LEVEL {int(levels)} AS (
           SELECT source_id, seq, array(seq, target) FROM {view}
