@@ -8,9 +8,9 @@ word are found once and kept. What is learnt:
 3. a one-head causal self-attention model over windows of ``window`` ids. The most frequent ids are classes
    of their own, the rest share classes by word start, script and frequency; the model predicts the class and the
    subword counts the id within it. Its output starts from the log probabilities of the class behind the last id,
-   as counted, to which attention adds. Every training document contributes one window in ``every_window``, so training grows
-   with the corpus. Each task trains on its windows from the same start; the parameters (some 80 kB) are averaged
-   with the windows as weights, for ``rounds`` rounds.
+   as counted, to which attention adds. The ids of every training document are cut into windows back to back, and each
+   window is visited in one of ``rounds`` rounds, so every id is a target once. Each task trains on its windows of a round
+   from the same start; the parameters (some 80 kB) are averaged with the windows as weights.
 
 Scoring cuts each document into windows that overlap by ``context`` ids; a window scores only the ids that no window before it
 scored, so each id is scored once, with at least ``context`` ids before it. Windows of many documents run as one batch under a causal mask.
@@ -52,7 +52,6 @@ class LmParams:
     buckets: int = 1024
     classes: int = 128
     own_classes: int = 88
-    every_window: int = 8
     rounds: int = 2
     batch: int = 64
     rate: float = 0.01
@@ -372,6 +371,16 @@ def frequent_words(words: DataFrame, most: int) -> dict[bytes, float]:
     return dict(zip(found["word"].cast(pa.binary()).to_pylist(), found["l"].to_pylist(), strict=True))
 
 
+def training_windows(ids: np.ndarray, turn: int, p: LmParams = DEFAULTS) -> Iterator[tuple[np.ndarray, bool]]:
+    """(ids, whether at the head) of a text's windows of this round; behind the head the id before the window comes first.
+
+    Over ``rounds`` rounds every id is a target once; the text's length deals out the round of its first window.
+    """
+    for k in range((len(ids) + turn) % p.rounds, -(-len(ids) // p.window), p.rounds):
+        at = k * p.window
+        yield ids[max(0, at - 1) : at + p.window], k == 0
+
+
 def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn: int) -> Model:
     """One local pass over each partition's windows, then the mean of the parameters."""
     shared = training.sparkSession.sparkContext.broadcast(model)
@@ -380,18 +389,12 @@ def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn:
         start = shared.value
         trainer = Trainer(start.with_flat(start.flat()), p)
         ids_of, rows = _Kept(encoder(path, True).word), []
-        per_window = p.window // 2  # words; each has one id at least, and two on average
+        end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             for text in _bytes(b.column(0)):
-                words = words_in(text)
-                n = 1 + len(words) // per_window
-                # The document's windows of this round: evenly spread, from an offset that its length deals out.
-                for k in range((len(words) + turn * 3) % min(p.every_window, n), n, p.every_window):
-                    part = words[k * per_window : k * per_window + p.window]
-                    ids = np.frombuffer(b"".join(map(ids_of.__getitem__, part)), "<u4").astype(np.int64)
-                    ids = np.append(ids, END_ID)[: p.window + (k > 0)] if k * per_window + p.window >= len(words) else ids[: p.window + (k > 0)]
-                    if len(ids) > (k > 0):
-                        rows.append((ids, k == 0))
+                ids = np.frombuffer(b"".join(map(ids_of.__getitem__, words_in(text))) + end, "<u4").astype(np.int64)
+                for run in training_windows(ids, turn, p):
+                    rows.append(run)
                     if len(rows) == p.batch:
                         trainer.step(*_window_batch(rows, start, p))
                         rows = []

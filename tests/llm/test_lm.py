@@ -121,3 +121,18 @@ def test_rare_words_are_looked_up(spark):
     check(lm.score(frame, lm.train(frame.filter("not held_out"), p=p), p=p).collect(), rows)
     none = frame.limit(0)
     assert lm.score(none, lm.train(none, p=p), p=p).collect() == []
+
+
+def test_every_id_is_a_training_target_once():
+    model, p = small_model(), lm.LmParams(width=4, window=6, context=2, buckets=12, classes=30, own_classes=30)
+    model.klass, model.bucket = np.arange(30), np.arange(30) % 10
+    for n in (1, 2, 5, 6, 7, 12, 13, 29):
+        ids = np.arange(n)
+        seen = []
+        for turn in range(p.rounds):
+            if rows := list(lm.training_windows(ids, turn, p)):
+                inputs, targets, valid = lm._window_batch(rows, model, p)
+                seen += targets[valid].tolist()
+                before = inputs[valid]
+                assert all(b == (p.buckets - 2 if t == 0 else (t - 1) % 10) for b, t in zip(before.tolist(), targets[valid].tolist(), strict=True))
+        assert sorted(seen) == ids.tolist()
