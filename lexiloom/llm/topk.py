@@ -16,7 +16,7 @@ Defined results: vectors that are null or hold null or non-finite components tak
 is not the most frequent one (ties to the longer); rows that repeat with vec_id and vector stand in the ranking as
 often as they occur, and a query id that repeats with another vector is ranked over the scores of both; a null
 vec_id is no query and no candidate; an empty table gives an empty result. Extra columns are ignored. Scaled components
-are clamped to 32 bits and scores to 64; where products pass 2**53 the block is reckoned in whole Python numbers.
+and scores are clamped to 64 bits; where products pass 2**53 the block is reckoned in whole Python numbers.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from lexiloom.llm.common import MAX_LONG, materialise, table
 
 TOP, EVERY, SCALE = 5, 50, 256
 BLOCK_ROWS, QUERY_ROWS = 2048, 512
-_LIMIT = (1 << 31) - 1
 
 
 class SortedBlock:
@@ -88,7 +87,7 @@ def _scaled(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v, m): distinct valid vectors as arrays of scaled integers, and how often each occurs."""
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    whole = lambda x: F.greatest(F.least(F.floor(F.greatest(F.least(x, F.lit(1e15)), F.lit(-1e15)) * SCALE), F.lit(_LIMIT)), F.lit(-_LIMIT)).cast("int")
+    whole = lambda x: F.greatest(F.floor(x * SCALE), F.lit(-MAX_LONG))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.filter(F.forall("v", finite) & (F.size("v") > 0)).select("vec_id", F.transform("v", whole).alias("v"))
     return rows.groupBy("vec_id", "v").agg(F.count("*").alias("m"))

@@ -43,3 +43,10 @@ def test_query_on_real_vectors(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     assert result(topk.op5_exact_top_k(spark, d)) == slow(rows)
+
+
+def test_components_beyond_32_bits_score_exactly(spark):
+    rows = [(0, [1e7, 1.0]), (1, [1.1e7, 2.0]), (2, [-1e7, 3.0])]
+    got = [tuple(r) for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    assert got == [(0, k + 1, i, sum(x * y for x, y in zip(whole[0], whole[i], strict=True))) for k, i in enumerate((1, 2))]
