@@ -1,22 +1,25 @@
 """Language-model scores: a causal self-attention model on subword ids, trained in numpy.
 
-Text is lower-cased (A-Z) and parted into words; a word's subword ids are those of the word behind a space, so the ids of a
-word are found once and kept. What is learnt:
+Text is lower-cased (A-Z) and parted into tokens: its words, and one end. A word's subword ids are those of the word behind a
+space. A token enters the model as the mean of the trained vectors of its subword ids (frequent ids have their own, the
+rest share one), attention looks back over the tokens of a window, and its output predicts the class of the next token. The
+end and the most frequent words are classes of their own; other words belong to the class of their first subword id. What is learnt:
 
 1. word counts of all training documents, counted map-side in each task and summed by a shuffle;
-2. counts of subwords and of their neighbours within words, from the word counts (so they cover the whole training text too);
-3. a one-head causal self-attention model over windows of ``window`` ids. The most frequent ids are classes
-   of their own, the rest share classes by word start, script and frequency; the model predicts the class and the
-   subword counts the id within it. Its output starts from the log probabilities of the class behind the last id,
-   as counted, to which attention adds. The ids of every training document are cut into windows back to back, and each
-   window is visited in one of ``rounds`` rounds, so every id is a target once. Each task trains on its windows of a round
-   from the same start; the parameters (some 80 kB) are averaged with the windows as weights.
+2. from the word counts, and so from the whole training text: the probability of a word within its class, a mixture of the
+   word's own share (of the ``head_words`` most frequent words, a fixed number that is broadcast) and of its spelling in
+   subword ids, neighbour by neighbour. The weight of spelling is the share of words seen once or beyond the head (Good-Turing);
+3. the attention model, over windows of ``window`` tokens. The training documents are dealt by a hash of id and text to
+   ``rounds`` rounds and to shards of a round; windows of a document lie back to back, so every training token is a target
+   exactly once. Each shard trains from the same start, in the order of the hash; the parameters (some 80 kB) are averaged
+   with the tokens as weights, summed in a fixed order. So the model does not depend on how the input is partitioned.
 
-Scoring cuts each document into windows that overlap by ``context`` ids; a window scores only the ids that no window before it
-scored, so each id is scored once, with at least ``context`` ids before it. Windows of many documents run as one batch under a causal mask.
+Scoring cuts each document into windows that overlap by ``context`` tokens; a window scores only tokens that no window before it
+scored, so each token is scored once, with at least ``context`` tokens before it. Windows of many documents run as one batch
+under a causal mask. The probabilities of all words, spelt-out ones included, add up to 1 at most, so scores of texts compare.
 
-Memory is bounded: the ``head_words`` most frequent words are broadcast with their counts (a fixed number), the other words of a
-document are looked up by a shuffled join; subword tables have the vocabulary's size.
+Memory is bounded: a worker keeps entries of ``kept_words`` words, long texts are parted in slices, words beyond the head are
+looked up by a shuffled join, and the tables of the model have the vocabulary's size.
 
 Defined results: a null text counts as empty and has the end token alone; a null doc_id is hashed as the empty text and so
 trains; repeated rows are scored alike; an empty table gives an empty result. Extra columns are ignored.
@@ -25,12 +28,14 @@ trains; repeated rows are scored alike; an empty table gives an empty result. Ex
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,23 +47,37 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 50256
 #: Stands for the end token among words, which hold no space.
 END_WORD = " "
+#: Numbers of a lexicon's first entries: what stands before a text, and what fills up a window.
+START, PAD = 0, 1
+#: The seed of Spark's xxhash64.
+_HASH_SEED = 42
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
 class LmParams:
     width: int = 16
+    #: Tokens of a window, and of the overlap of neighbouring windows in scoring.
     window: int = 32
     context: int = 8
+    #: Vectors of subword ids; the last two are for the start and for all rarer ids.
     buckets: int = 1024
     classes: int = 128
-    own_classes: int = 88
+    own_classes: int = 24
+    spell_classes: int = 512
     rounds: int = 2
     batch: int = 64
     rate: float = 0.01
     seed: int = 11
-    head_words: int = 1 << 18
+    head_words: int = 1 << 20
     #: A task sends its word counts on when it holds so many words.
-    held_words: int = 500_000
+    held_words: int = 300_000
+    #: Words whose entries a worker keeps.
+    kept_words: int = 200_000
+    #: Training tokens of a shard in a round, and the most shards of a round.
+    shard_tokens: int = 1 << 20
+    most_shards: int = 4096
 
 
 DEFAULTS = LmParams()
@@ -66,12 +85,19 @@ DEFAULTS = LmParams()
 
 @dataclass
 class Model:
-    """Tables over the ids, and the trained parameters by name."""
+    """Tables over subword ids and frequent words, and the trained parameters by name. Logs are natural."""
 
     bucket: np.ndarray
-    klass: np.ndarray
-    inside: np.ndarray  # natural log of P(id | class)
-    follow: np.ndarray  # natural log of P(class | bucket of the id before), as counted
+    first_class: np.ndarray  # class of the words that begin with an id
+    first_log: np.ndarray  # log P(first id | class)
+    inner_class: np.ndarray
+    inner_log: np.ndarray  # log P(id | inner class)
+    spell: np.ndarray  # log P(inner class, or the word's end | bucket before)
+    own: dict[bytes, int]  # words that are classes
+    spelt: float = 0.5  # weight of spelling
+    head_hash: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # rising
+    head_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    head_mass: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by class
     params: dict[str, np.ndarray] = field(default_factory=dict)
 
     def flat(self) -> np.ndarray:
@@ -84,53 +110,77 @@ class Model:
             n = math.prod(shape)
             out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
-        return Model(self.bucket, self.klass, self.inside, self.follow, out)
+        return replace(self, params=out)
 
+    def without_head(self) -> Model:
+        """What training needs."""
+        return replace(self, head_hash=self.head_hash[:0], head_count=self.head_count[:0], spell=self.spell[:0])
 
-def first_model(counts: np.ndarray, traits: np.ndarray, p: LmParams = DEFAULTS) -> Model:
-    """Classes and start values from subword counts; ``traits`` parts the ids that share classes. ``follow`` holds class frequencies."""
-    n = len(counts)
-    order = np.lexsort((np.arange(n), -counts))
+
+def _levels(counts: np.ndarray, classes: int, single: int) -> np.ndarray:
+    """Class of each id: the ``single`` most frequent ones alone, the others together by levels of equal mass."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    out = np.empty(len(counts), np.int16)
+    alone, rest = order[:single], order[single:]
+    out[alone] = np.arange(len(alone))
+    mass = np.cumsum(counts[rest] + 0.01)
+    out[rest] = single + np.minimum((mass / mass[-1] * (classes - single)).astype(int), classes - single - 1) if len(rest) else 0
+    return out
+
+
+def first_model(total: np.ndarray, first: np.ndarray, own: list[tuple[bytes, int]], p: LmParams = DEFAULTS) -> Model:
+    """Classes and start values from counts of ids at all places and at the heads of words without a class of their own.
+
+    ``own``: (word, count) of the words that are classes. The bias starts from the frequencies of the classes.
+    """
+    n = len(total)
+    order = np.lexsort((np.arange(n), -total))[: p.buckets - 2]
     bucket = np.full(n, p.buckets - 1, np.int16)
-    own = order[: p.buckets - 2]
-    bucket[own] = np.arange(len(own))
-    klass = np.empty(n, np.int16)
-    klass[order[: p.own_classes]] = np.arange(min(n, p.own_classes))
-    rest = order[p.own_classes :]
+    bucket[order] = np.arange(len(order))
     shared = p.classes - p.own_classes
-    kinds = int(traits.max()) + 1
-    steps = max(1, shared // kinds)
-    mass = np.cumsum(counts[rest] + 0.5)
-    level = np.minimum((mass / max(mass[-1], 1) * steps).astype(int), steps - 1) if len(rest) else mass.astype(int)
-    klass[rest] = p.own_classes + np.minimum(level * kinds + traits[rest], shared - 1)
-    smooth = counts + 0.5
-    total = np.bincount(klass, smooth, p.classes)
-    inside = np.log(smooth / total[klass]).astype(np.float32)
+    first_class = p.own_classes + _levels(first, shared, shared - max(1, shared // 4))
+    smooth = first + 0.01
+    mass = np.bincount(first_class, smooth, p.classes)
+    inner = np.maximum(total - first, 0)
+    inner_class = _levels(inner, p.spell_classes, p.spell_classes - max(1, p.spell_classes // 16))
+    inner_mass = np.bincount(inner_class, inner + 0.01, p.spell_classes)
+    weights = mass.copy()
+    for k, (_, c) in enumerate(own):
+        weights[k] = c
+    prior = np.log((weights + 0.5) / (weights + 0.5).sum()).astype(np.float32)
     rng = np.random.default_rng(p.seed)
     d = p.width
     normal = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
     params = {
-        "E": normal(p.buckets, d) * 0.3, "P": normal(p.window, d) * 0.05, "U": normal(d, p.classes) * 0.05, "b": np.zeros(p.classes, np.float32),
+        "E": normal(p.buckets, d) * 0.3, "P": normal(p.window, d) * 0.05, "U": normal(d, p.classes) * 0.05, "b": prior,
         **{w: normal(d, d) / math.sqrt(d) for w in ("Wq", "Wk", "Wv")}, "Wo": normal(d, d) * 0.1,
     }
-    share = np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32)
-    return Model(bucket, klass, inside, np.tile(share, (p.buckets, 1)), params)
+    even = np.full((p.buckets, p.spell_classes + 1), -math.log(p.spell_classes + 1), np.float32)
+    return Model(
+        bucket, first_class, np.log(smooth / mass[first_class]).astype(np.float32), inner_class, np.log((inner + 0.01) / inner_mass[inner_class]).astype(np.float32), even, {w: k for k, (w, _) in enumerate(own)},
+        head_mass=np.zeros(p.classes), params=params,
+    )
 
 
-#: Logits and attention scores are cut off here, far above what training reaches, so that no maximum need be taken out before exp.
-_CAP = np.float32(60)
+def _near_zero(a: np.ndarray, mask: np.ndarray | None = None) -> None:
+    """Take each row's maximum (among unmasked places) out of ``a`` wherever any value is so far from 0 that exp could fail."""
+    if a.size and (a.max() > 40 or a.min() < -40):
+        if mask is not None:
+            a[:, mask == 0] = -np.inf
+        a -= a.max(axis=-1, keepdims=True)
 
 
-def forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarray]:
-    """Batched masked attention over (batch, window) input buckets; padding lies behind and so is never seen."""
-    x = w["E"].take(inputs, axis=0)
-    x += w["P"]
+def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """Batched masked attention over (batch, window, width) vectors; padding lies behind and so is never seen."""
+    x = x + w["P"]
     b, t, d = x.shape
-    q, k, v = (np.dot(x.reshape(-1, d), w[name]).reshape(b, t, d) for name in ("Wq", "Wk", "Wv"))
-    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1) * x.dtype.type(1 / math.sqrt(d)))
-    np.minimum(a, _CAP, out=a)
+    three = x.reshape(-1, d) @ np.concatenate((w["Wq"] * x.dtype.type(1 / math.sqrt(d)), w["Wk"], w["Wv"]), axis=1)
+    q, k, v = (np.ascontiguousarray(three[:, i * d : (i + 1) * d]).reshape(b, t, d) for i in range(3))
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    mask = np.tri(t, dtype=x.dtype)
+    _near_zero(a, mask)
     np.exp(a, out=a)
-    a *= np.tri(t, dtype=x.dtype)
+    a *= mask
     # One more column of values adds up the weights.
     summed = a @ np.concatenate((v, np.ones((b, t, 1), x.dtype)), axis=2)
     total = summed[:, :, d:]
@@ -138,39 +188,45 @@ def forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarra
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "o": o, "h": x + np.dot(o.reshape(-1, d), w["Wo"]).reshape(b, t, d)}
 
 
-def gradients(w: dict[str, np.ndarray], follow: np.ndarray, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """(mean loss, gradients) of the class predictions at valid places."""
-    f = forward(w, inputs)
-    d = w["Wq"].shape[0]
-    h = f["h"].reshape(-1, d)
-    flat, ok = targets.ravel(), valid.ravel()
+def gradients(w: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """(mean loss, gradients) of the class predictions at valid places; ``flat`` and ``sizes``: buckets of the input tokens, place by place."""
+    d, kind = w["Wq"].shape[0], w["E"].dtype
+    part = (1 / sizes).astype(kind)[:, None]
+    starts = np.cumsum(sizes) - sizes
+    f = forward(w, (np.add.reduceat(w["E"].take(flat, axis=0), starts, axis=0) * part).reshape(*targets.shape, d))
+    wide = lambda m: m.reshape(-1, d)
+    h, want, ok = wide(f["h"]), targets.ravel(), valid.ravel()
     at, n = np.arange(len(h)), max(1, int(ok.sum()))
     prob = h @ w["U"]
-    prob += follow.take(inputs.ravel(), axis=0)
     prob += w["b"]
-    np.minimum(prob, _CAP, out=prob)
+    _near_zero(prob)
+    right = prob[at, want]
     np.exp(prob, out=prob)
-    total = prob @ np.ones(prob.shape[1], prob.dtype)
-    loss = -float(np.log(prob[at, flat] / total)[ok].sum()) / n
-    weight = ok.astype(prob.dtype) / prob.dtype.type(n)
+    total = prob @ np.ones(prob.shape[1], kind)
+    loss = -float((right - np.log(total))[ok].sum()) / n
+    weight = ok.astype(kind) / kind.type(n)
     prob *= (weight / total)[:, None]
-    prob[at, flat] -= weight
-    g = {"U": h.T @ prob, "b": prob.sum(axis=0)}
-    dh = (prob @ w["U"].T).reshape(f["h"].shape)
-    wide = lambda m: m.reshape(-1, d)
+    prob[at, want] -= weight
+    g = {"U": h.T @ prob, "b": np.ones(len(prob), kind) @ prob}
+    dh = prob @ w["U"].T
+    g["Wo"] = wide(f["o"]).T @ dh
+    do = (dh @ w["Wo"].T).reshape(f["o"].shape)
     a = f["a"] / f["total"]
-    g["Wo"] = wide(f["o"]).T @ wide(dh)
-    do = dh @ w["Wo"].T
-    da = do @ f["v"].transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(math.sqrt(d))
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    dx = dh + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
-    for name, part in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-        g[name] = wide(f["x"]).T @ wide(part)
-    g["P"] = dx.sum(axis=0)
-    own = inputs.ravel()
-    g["E"] = np.stack([np.bincount(own, c, len(w["E"])) for c in wide(dx).T], axis=1).astype(np.float32)
+    ds = do @ np.ascontiguousarray(f["v"].transpose(0, 2, 1))
+    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds *= a
+    # f["q"] holds the scale already.
+    three = np.concatenate((wide(ds @ f["k"]), wide(ds.transpose(0, 2, 1) @ f["q"]), wide(a.transpose(0, 2, 1) @ do)), axis=1)
+    scale = kind.type(1 / math.sqrt(d))
+    mixed = wide(f["x"]).T @ three
+    g["Wq"], g["Wk"], g["Wv"] = mixed[:, :d] * scale, mixed[:, d : 2 * d], mixed[:, 2 * d :]
+    dx = dh + three @ np.concatenate((w["Wq"] * scale, w["Wk"], w["Wv"]), axis=1).T
+    g["P"] = dx.reshape(f["x"].shape).sum(axis=0)
+    order = np.argsort(flat, kind="stable")
+    known = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
+    g["E"] = np.zeros_like(w["E"])
+    g["E"][known[first]] = np.add.reduceat((dx * part).take(np.repeat(at, sizes)[order], axis=0), first, axis=0)
     return loss, g
 
 
@@ -178,83 +234,141 @@ class Trainer:
     """Adam over batches of windows."""
 
     def __init__(self, model: Model, p: LmParams):
-        self.model, self.p, self.steps, self.windows = model, p, 0, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.params.items()}
+        self.params, self.p, self.steps, self.tokens = {k: v.copy() for k, v in model.params.items()}, p, 0, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.params.items()}
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> float:
-        loss, g = gradients(self.model.params, self.model.follow, inputs, targets, valid)
+    def step(self, flat: np.ndarray, sizes: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> float:
+        loss, g = gradients(self.params, flat, sizes, targets, valid)
         self.steps += 1
-        self.windows += len(inputs)
+        self.tokens += int(valid.sum())
         rate = self.p.rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, (m, v) in self.moments.items():
-            m += 0.1 * (g[k] - m)
-            v += 0.001 * (g[k] ** 2 - v)
-            self.model.params[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
+            m += np.float32(0.1) * (g[k] - m)
+            v += np.float32(0.001) * (g[k] ** 2 - v)
+            self.params[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
         return loss
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.params[k].ravel() for k in sorted(self.params)]).astype(np.float64)
+
+
+class Lexicon(dict):
+    """word -> number of its entry in the arrays ``klass``, ``sizes`` and ``starts`` (its part of ``flat``, the buckets of its ids).
+
+    With ``for_scores`` also ``vectors`` (the mean of its ids' vectors), ``inside`` (log P(word | class)) and ``logs``
+    (log10(count + 0.5), NaN beyond the head). New words get entries all at once, by ``settle``.
+    """
+
+    def __init__(self, model: Model, path: str, for_scores: bool):
+        super().__init__()
+        self._model, self._ids, self._for_scores = model, encoder(path, True).word, for_scores
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.words: list[bytes] = []
+        model, marks = self._model, len(self._model.params["E"]) - 2
+        self.flat, self.sizes, self.starts = np.array([marks, marks + 1], np.int16), np.ones(2, np.int64), np.arange(2)
+        self.klass, self.inside, self.logs = np.zeros(2, np.int16), np.zeros(2), np.zeros(2)
+        self.vectors = model.params["E"][marks:]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words) + 2
+        self.words.append(word)
+        return number
+
+    def numbers(self, text: bytes | None) -> np.ndarray:
+        """Entries of a text's words."""
+        return np.concatenate([np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in words_in(text)])
+
+    def settle(self) -> None:
+        """Make the entries of words met since."""
+        new = self.words[len(self.sizes) - 2 :]
+        if not new:
+            return
+        model, end = self._model, END_WORD.encode()
+        coded = [self._ids(w) if w != end else np.array([END_ID], "<u4").tobytes() for w in new]
+        ids, sizes = np.frombuffer(b"".join(coded), "<u4").astype(np.int64), np.array([len(x) // 4 for x in coded], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        buckets, head = model.bucket[ids], ids[starts]
+        klass = model.first_class[head]
+        owned = np.array([model.own.get(w, -1) for w in new])
+        klass = np.where(owned >= 0, owned, klass).astype(np.int16)
+        self.starts = np.concatenate((self.starts, starts + len(self.flat)))
+        self.flat, self.sizes, self.klass = (np.concatenate(x) for x in ((self.flat, buckets), (self.sizes, sizes), (self.klass, klass)))
+        if not self._for_scores:
+            return
+        # Spelling: the first id within its class, each further id by the one before it, then the word's end.
+        step = model.inner_log[ids] + model.spell[np.concatenate(([0], buckets[:-1])), model.inner_class[ids]]
+        step[starts] = model.first_log[head]
+        spelt = np.add.reduceat(step.astype(np.float64), starts) + model.spell[buckets[starts + sizes - 1], -1] + math.log(model.spelt)
+        hashes = np.array([xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new], np.uint64)
+        at = np.minimum(np.searchsorted(model.head_hash, hashes), max(0, len(model.head_hash) - 1))
+        found = model.head_hash[at] == hashes if len(model.head_hash) else np.zeros(len(new), bool)
+        count = np.where(found, model.head_count[at] if len(model.head_hash) else 0, 0).astype(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(found, np.log(count / model.head_mass[klass]) + math.log1p(-model.spelt), -np.inf)
+        inside = np.where(owned >= 0, 0.0, np.logaddexp(spelt, share))
+        vectors = np.add.reduceat(model.params["E"].take(buckets, axis=0), starts, axis=0) / sizes[:, None].astype(np.float32)
+        self.inside, self.logs = np.concatenate((self.inside, inside)), np.concatenate((self.logs, np.where(found, np.log10(count + 0.5), np.nan)))
+        self.vectors = np.concatenate((self.vectors, vectors.astype(np.float32)))
+
+    def buckets_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat buckets, sizes) of entries, one after the other."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
+
 
 def spans(n: int, p: LmParams) -> np.ndarray:
-    """Starts of the windows over n targets: the first scores all of its ids, each later one ``window - context`` more."""
+    """Starts of the windows over n targets: the first scores all of its tokens, each later one ``window - context`` more."""
     return np.arange(0, max(1, n - p.context), p.window - p.context)
 
 
-def score_ids(model: Model, documents: list[np.ndarray], p: LmParams = DEFAULTS, at_once: int = 64) -> np.ndarray:
-    """log10 probability of each id sequence (the end included)."""
+def score_tokens(w: dict[str, np.ndarray], lexicon: Lexicon, documents: list[np.ndarray], p: LmParams = DEFAULTS, at_once: int = 64) -> np.ndarray:
+    """log10 probability of each sequence of entries (the end included)."""
+    if not documents:
+        return np.zeros(0)
     sizes = np.array([len(d) for d in documents], np.int64)
     first = np.cumsum(sizes) - sizes
-    targets = np.concatenate(documents) if len(documents) else np.zeros(0, np.int64)
-    buckets = model.bucket[targets]
-    inputs = np.empty(len(targets) + p.window, np.int16)
-    inputs[1 : len(targets) + 1] = buckets
-    inputs[len(targets) :] = p.buckets - 1
-    inputs[first] = p.buckets - 2  # nothing before the first id
+    targets = np.concatenate(documents)
+    inputs = np.full(len(targets) + p.window, PAD, np.int32)
+    inputs[1 : len(targets) + 1] = targets
+    inputs[first] = START  # nothing before the first token
     counts = np.array([len(spans(n, p)) for n in sizes.tolist()], np.int64)
     owner = np.repeat(np.arange(len(sizes)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = number * (p.window - p.context)
-    # At the head of a window come ``context`` ids that the window before it scored.
+    # At the head of a window come ``context`` tokens that the window before it scored.
     low, high = np.where(number == 0, 0, p.context), np.minimum(p.window, sizes[owner] - start)
-    w, place = model.params, np.arange(p.window)
-    follow, ones = model.follow + w["b"], np.ones(p.classes, np.float32)
-    # Window by window, the scored places are the ids in their order: what belongs to them are plain slices.
+    place, ones = np.arange(p.window), np.ones(p.classes, np.float32)
+    # Window by window, the scored places are the tokens in their order: what belongs to them are plain slices.
     ends = np.cumsum(np.maximum(high - low, 0))
-    klass, values, done = model.klass[targets], model.inside[targets].astype(np.float64), 0
+    klass, values, done = lexicon.klass[targets], lexicon.inside[targets].copy(), 0
     for a in range(0, len(owner), at_once):
         z = slice(a, a + at_once)
         at = (first[owner[z]] + start[z])[:, None] + place
         scored = (place >= low[z, None]) & (place < high[z, None])
         to = int(ends[min(a + at_once, len(owner)) - 1])
-        logits = forward(w, inputs[np.minimum(at, len(inputs) - 1)])["h"][scored] @ w["U"]
-        logits += follow.take(inputs[done:to], axis=0)
-        np.minimum(logits, _CAP, out=logits)
+        logits = forward(w, lexicon.vectors[inputs[np.minimum(at, len(inputs) - 1)]])["h"][scored] @ w["U"]
+        logits += w["b"]
+        _near_zero(logits)
         right = logits[np.arange(to - done), klass[done:to]]
         np.exp(logits, out=logits)
         values[done:to] += right - np.log(logits @ ones)
         done = to
-    return np.add.reduceat(values, first) / math.log(10) if len(sizes) else np.zeros(0)
+    return np.add.reduceat(values, first) / math.log(10)
 
 
-def words_in(text: bytes | None) -> list[bytes]:
-    """Words in lower case: bytes change and part at ASCII only."""
-    return (text or b"").lower().split()
-
-
-class _Kept(dict):
-    """word -> what ``make`` gives; two generations, so that frequent words outlive a full table."""
-
-    def __init__(self, make: Callable[[bytes], object], kept: int = 400_000):
-        super().__init__()
-        self._make, self._older, self._kept = make, {}, kept
-
-    def __missing__(self, word: bytes):
-        value = self._older.get(word)
-        if value is None:
-            value = self._make(word)
-        if len(self) >= self._kept:
-            self._older = dict(self)
-            self.clear()
-        self[word] = value
-        return value
+def words_in(text: bytes | None, at_once: int = _SLICE) -> Iterator[list[bytes]]:
+    """Words in lower case, a slice of the text at a time: bytes change and part at ASCII only."""
+    text, start = text or b"", 0
+    while len(text) - start > at_once:
+        gap = _GAP.search(text, start + at_once)
+        end = gap.start() if gap else len(text)
+        yield text[start:end].lower().split()
+        start = end
+    yield text[start:].lower().split()
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -275,11 +389,12 @@ def word_counts(training: DataFrame, p: LmParams = DEFAULTS) -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
         for b in batches:
             for text in _bytes(b.column(0)):
-                held.update(words_in(text))
+                for words in words_in(text):
+                    held.update(words)
+                    if len(held) >= p.held_words:
+                        yield out()
+                        held.clear()
             held[END_WORD.encode()] += b.num_rows
-            if len(held) >= p.held_words:
-                yield out()
-                held.clear()
         if held:
             yield out()
 
@@ -287,159 +402,187 @@ def word_counts(training: DataFrame, p: LmParams = DEFAULTS) -> DataFrame:
 
 
 def with_ids(words: DataFrame, path: str) -> DataFrame:
-    """(word, c, ids): the subword ids of each word as bytes."""
+    """(word, c, ids, head): the subword ids of each word as bytes, and the first of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, end = encoder(path, True).word, END_WORD.encode()
         for b in batches:
             ids = [once(w) if w != end else np.array([END_ID], "<u4").tobytes() for w in _bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], ["word", "c", "ids"])
+            head = np.frombuffer(b"".join(i[:4] for i in ids), "<u4").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary()), pa.array(head)], ["word", "c", "ids", "head"])
 
-    return words.select("word", "c").mapInArrow(run, "word string, c long, ids binary")
+    return words.select("word", "c").mapInArrow(run, "word string, c long, ids binary, head int")
 
 
-def _summed(words: DataFrame, count: Callable[[list[np.ndarray], np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all words of ``count(ids of the words, their counts)``, an array of ``size``: so many rows come to the driver at most."""
+def _summed(words: DataFrame, count: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all words of ``count(ids one after the other, their numbers, counts)``, an array of ``size``: so many rows come to the driver at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                totals += count([np.frombuffer(i, "<u4").astype(np.int64) for i in b.column(1).to_pylist()], b.column(0).to_numpy())
+                coded = b.column(1).to_pylist()
+                totals += count(np.frombuffer(b"".join(coded), "<u4").astype(np.int64), np.array([len(i) // 4 for i in coded]), b.column(0).to_numpy())
         seen = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(totals[seen])], ["id", "c"])
 
     out = np.zeros(size)
-    for r in words.select("c", "ids").mapInArrow(run, "id long, c double").groupBy("id").agg(F.sum("c").alias("c")).collect():
-        out[r["id"]] = r["c"]
+    found = words.select("c", "ids").mapInArrow(run, "id long, c double").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
+    out[found["id"].to_numpy()] = found["c"].to_numpy()
     return out
 
 
-def subword_counts(words: DataFrame) -> np.ndarray:
-    """Occurrences of each id."""
-    return _summed(words, lambda ids, c: np.bincount(np.concatenate(ids), np.repeat(c, [len(i) for i in ids]), END_ID + 1), END_ID + 1)
-
-
-def follow_table(words: DataFrame, model: Model, p: LmParams = DEFAULTS, spread: float = 2.0) -> np.ndarray:
-    """log P(class | bucket before): neighbours inside words as counted; behind a word, the first ids of all words."""
-    size, k, bucket, klass = p.buckets * p.classes, p.classes, model.bucket, model.klass
-
-    def count(ids: list[np.ndarray], c: np.ndarray) -> np.ndarray:
-        flat, sizes = np.concatenate(ids), np.array([len(i) for i in ids])
-        each, ends = np.repeat(c, sizes), np.cumsum(sizes)
-        inner = np.ones(len(flat), bool)
-        inner[ends - 1] = False
-        at = np.flatnonzero(inner)
-        pairs = np.bincount(bucket[flat[at]].astype(np.int64) * k + klass[flat[at + 1]], each[at], size)
-        last = np.bincount(bucket[flat[ends - 1]], c, p.buckets)
-        return np.concatenate((pairs, last, np.bincount(klass[flat[ends - sizes]], c, k)))
-
-    found = _summed(words, count, size + p.buckets + k)
-    pairs, last, first = found[:size].reshape(p.buckets, k), found[size : size + p.buckets], found[size + p.buckets :] + 0.5
-    first /= first.sum()
-    last[p.buckets - 2] += 1  # the start of a text
-    share = np.exp(model.follow[0].astype(float))
-    pairs += last[:, None] * first + spread * share / share.sum()
-    return np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
-
-
-def _traits(path: str) -> np.ndarray:
-    """0 to 3 for each id: begins a word, holds a byte beyond ASCII."""
-    strings = encoder(path, True).strings()
-    begins = np.array([s.startswith("Ġ") for s in strings])
-    beyond = np.array([any(c > "~" and c != "Ġ" for c in s) for s in strings])
-    out = np.zeros(END_ID + 1, np.int64)
-    out[: len(strings)] = (begins * 2 + beyond)[: END_ID + 1]
-    return out
+def id_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of each id at all places, and as a word's first."""
+    n = END_ID + 1
+
+    def count(ids: np.ndarray, sizes: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(ids, np.repeat(c, sizes), n), np.bincount(ids[np.cumsum(sizes) - sizes], c, n)))
+
+    return tuple(_summed(words, count, 2 * n).reshape(2, n))
+
+
+def spell_table(words: DataFrame, model: Model, p: LmParams = DEFAULTS, spread: float = 2.0) -> np.ndarray:
+    """log P(inner class of the next id, or the word's end | bucket before), as counted within words."""
+    wide, bucket, inner = p.spell_classes + 1, model.bucket, model.inner_class
+
+    def count(ids: np.ndarray, sizes: np.ndarray, c: np.ndarray) -> np.ndarray:
+        nxt = np.concatenate((inner[ids[1:]], [0])).astype(np.int64)
+        nxt[np.cumsum(sizes) - 1] = wide - 1
+        return np.bincount(bucket[ids].astype(np.int64) * wide + nxt, np.repeat(c, sizes), p.buckets * wide)
 
+    found = _summed(words.filter(F.col("word") != END_WORD), count, p.buckets * wide).reshape(p.buckets, wide)
+    back = found.sum(axis=0) + 1e-3
+    found += spread * back / back.sum()
+    return np.log(found / found.sum(axis=1, keepdims=True)).astype(np.float32)
 
-def frequent_words(words: DataFrame, most: int) -> dict[bytes, float]:
-    """word -> log10(c + 0.5) of all words from some count on; ``most`` words at most come to the driver.
+
+def frequent_words(words: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """((h, c, head) of all words from some count on, ``most`` at most; occurrences of the others).
 
     Counts are graded in eighths of an octave, some 500 grades; the lowest grade is chosen by their sizes.
     """
-    graded = words.filter(F.col("word") != END_WORD).select("word", "c", F.floor(F.log2("c") * 8).alias("grade"))
-    taken, lowest = 0, None
-    for r in graded.groupBy("grade").count().orderBy(F.desc("grade")).collect():
-        taken += r["count"]
+    graded = words.filter(F.col("word") != END_WORD).select(F.xxhash64("word").alias("h"), "c", "head", F.floor(F.log2("c") * 8).alias("grade"))
+    taken, lowest, beyond = 0, math.inf, 0
+    for r in graded.groupBy("grade").agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("grade")).collect():
+        taken += r["n"]
         if taken > most:
-            break
-        lowest = r["grade"]
-    if lowest is None:
-        return {}
-    found = graded.filter(F.col("grade") >= lowest).select("word", F.log10(F.col("c") + 0.5).alias("l")).toArrow()
-    return dict(zip(found["word"].cast(pa.binary()).to_pylist(), found["l"].to_pylist(), strict=True))
+            beyond += r["c"]
+        else:
+            lowest = r["grade"]
+    return graded.filter(F.col("grade") >= F.lit(lowest)).select("h", "c", "head").toArrow(), beyond
+
+
+def with_head(model: Model, words: DataFrame, p: LmParams = DEFAULTS) -> Model:
+    """The model with the frequent words' counts and the weight of spelling."""
+    found, beyond = frequent_words(words, p.head_words)
+    hashes, counts = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    klass = model.first_class[found["head"].to_numpy()]
+    for w, k in model.own.items():
+        klass[hashes == np.uint64(xxhash.xxh64_intdigest(w, _HASH_SEED))] = k
+    order, shared = np.argsort(hashes), klass >= len(model.own)
+    rare = int(counts[counts == 1].sum()) + beyond
+    mass = int(counts[shared].sum()) + beyond
+    return replace(
+        model, head_hash=hashes[order], head_count=counts[order], head_mass=np.bincount(klass, counts, p.classes), spelt=min(0.5, max(0.02, rare / mass)) if mass else 0.5
+    )
 
 
-def training_windows(ids: np.ndarray, turn: int, p: LmParams = DEFAULTS) -> Iterator[tuple[np.ndarray, bool]]:
-    """(ids, whether at the head) of a text's windows of this round; behind the head the id before the window comes first.
+def windows_of(numbers: np.ndarray, p: LmParams = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of a text's windows, back to back: each token is a target once; its input is the token before it."""
+    n = -(-len(numbers) // p.window) * p.window
+    pair = np.full((2, n), PAD, np.int32)
+    pair[0, 0], pair[0, 1 : len(numbers)], pair[1, : len(numbers)] = START, numbers[:-1], numbers
+    return pair[0].reshape(-1, p.window), pair[1].reshape(-1, p.window)
 
-    Over ``rounds`` rounds every id is a target once; the text's length deals out the round of its first window.
-    """
-    for k in range((len(ids) + turn) % p.rounds, -(-len(ids) // p.window), p.rounds):
-        at = k * p.window
-        yield ids[max(0, at - 1) : at + p.window], k == 0
 
+def dealt(training: DataFrame, p: LmParams, shards: int) -> DataFrame:
+    """(turn, shard, mark, text): the round and the shard in which each document trains, and its place there by a hash."""
+    mark = F.xxhash64("doc_id", "text")
+    spot = F.pmod(mark, F.lit(p.rounds * shards))
+    return training.select((spot % p.rounds).cast("int").alias("turn"), F.floor(spot / p.rounds).cast("int").alias("shard"), mark.alias("mark"), "text")
 
-def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn: int) -> Model:
-    """One local pass over each partition's windows, then the mean of the parameters."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
+
+def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn: int, shards: int) -> Model:
+    """One local pass over each shard's documents of this round, then the mean of the parameters."""
+    shared = training.sparkSession.sparkContext.broadcast(model.without_head())
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = shared.value
-        trainer = Trainer(start.with_flat(start.flat()), p)
-        ids_of, rows = _Kept(encoder(path, True).word), []
-        end = np.array([END_ID], "<u4").tobytes()
+        start, at, trainer = shared.value, None, None
+        lexicon = Lexicon(start, path, False)
+        end = END_WORD.encode()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def steps(least: int) -> None:
+            """Train on full batches of the windows held, and with ``least`` 1 on the rest too."""
+            inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            lexicon.settle()
+            done = 0
+            while len(inputs) - done >= least:
+                x, y = inputs[done : done + p.batch], targets[done : done + p.batch]
+                trainer.step(*lexicon.buckets_of(x.ravel()), lexicon.klass[y].astype(np.int64), y != PAD)
+                done += len(x)
+            if done < len(inputs):
+                held.append((inputs[done:], targets[done:]))
+
+        def result() -> pa.RecordBatch:
+            flat = trainer.flat() * trainer.tokens
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "flat"])
+
+        waiting = 0
         for b in batches:
-            for text in _bytes(b.column(0)):
-                ids = np.frombuffer(b"".join(map(ids_of.__getitem__, words_in(text))) + end, "<u4").astype(np.int64)
-                for run in training_windows(ids, turn, p):
-                    rows.append(run)
-                    if len(rows) == p.batch:
-                        trainer.step(*_window_batch(rows, start, p))
-                        rows = []
-        if rows:
-            trainer.step(*_window_batch(rows, start, p))
-        if trainer.windows:
-            flat = trainer.model.flat().astype(np.float64) * trainer.windows
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.windows], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "flat"])
+            for shard, text in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True):
+                if shard != at:
+                    if trainer is not None:
+                        if held:
+                            steps(1)
+                        yield result()
+                    at, trainer, waiting = shard, Trainer(start, p), 0
+                    lexicon.empty()
+                numbers = np.append(lexicon.numbers(text), lexicon[end])
+                held.append(windows_of(numbers, p))
+                waiting += len(held[-1][0])
+                if waiting >= p.batch or len(lexicon) > p.kept_words:
+                    full = len(lexicon) > p.kept_words
+                    steps(1 if full else p.batch)
+                    waiting = 0 if full else waiting % p.batch
+                    if full:
+                        lexicon.empty()
+        if trainer is not None:
+            if held:
+                steps(1)
+            yield result()
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
+        group, n, total = None, 0, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["grp", "n", "flat"])
         for b in batches:
-            n += sum(b.column(0).to_pylist())
-            for data in b.column(1).to_pylist():
-                total = np.frombuffer(data) if total is None else total + np.frombuffer(data)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "flat"])
-
-    schema = "n long, flat binary"
-    # At most 16 sums come to the driver, however many tasks have trained.
-    sums = training.select("text").mapInArrow(local, schema).repartition(16).mapInArrow(add, schema).collect()
+            for g, tokens, data in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if g != group and group is not None:
+                    yield out()
+                if g != group:
+                    group, n, total = g, 0, 0.0
+                n, total = n + tokens, total + np.frombuffer(data)
+        if group is not None:
+            yield out()
+
+    rows = dealt(training, p, shards).filter(F.col("turn") == turn).select("shard", "mark", "text")
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "text")
+    trained = ordered.mapInArrow(local, "shard int, n long, flat binary")
+    # At most 16 sums come to the driver, however many shards have trained; all are added up in the order of the shards.
+    grouped = trained.select((F.col("shard") % 16).alias("grp"), "shard", "n", "flat").repartition("grp").sortWithinPartitions("grp", "shard")
+    sums = sorted(grouped.mapInArrow(add, "grp int, n long, flat binary").collect(), key=lambda r: r["grp"])
     if not sums:
         return model
     return model.with_flat(sum(np.frombuffer(r["flat"]) for r in sums) / sum(r["n"] for r in sums))
 
 
-def _window_batch(rows: list[tuple[np.ndarray, bool]], model: Model, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(input buckets, target classes, valid) of id runs; a run from inside a text gives its first id as input only."""
-    inputs = np.full((len(rows), p.window), p.buckets - 1, np.int64)
-    targets, valid = np.zeros((len(rows), p.window), np.int64), np.zeros((len(rows), p.window), bool)
-    for r, (ids, head) in enumerate(rows):
-        known = model.bucket[ids]
-        want = ids if head else ids[1:]
-        n = len(want)
-        inputs[r, :n] = np.concatenate(([p.buckets - 2], known[:-1])) if head else known[:-1]
-        targets[r, :n], valid[r, :n] = model.klass[want], True
-    return inputs, targets, valid
-
-
 @dataclass
 class Trained:
     """What scoring needs; ``words`` stays a distributed table."""
 
     words: DataFrame
-    head: dict[bytes, float]
     total: int
     distinct: int
     ends: int
@@ -447,58 +590,59 @@ class Trained:
 
 
 def train(documents: DataFrame, path: str | None = None, p: LmParams = DEFAULTS) -> Trained:
-    """Learn from (text) rows."""
+    """Learn from (doc_id, text) rows."""
     path = path or default_path(VOCABULARY)
     words = materialise(with_ids(word_counts(documents, p), path), "words")
     row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("c"))), F.lit(0)).alias("ends")).first()
-    head = frequent_words(words, p.head_words)
-    model = first_model(subword_counts(words), _traits(path), p)
-    model.follow = follow_table(words, model, p)
+    frequent = words.filter(F.col("word") != END_WORD).orderBy(F.desc("c"), "word").limit(p.own_classes - 1).select("word", "c", "head").collect()
+    total, first = id_counts(words)
+    first[END_ID] -= row["ends"]
+    for r in frequent:
+        first[r["head"]] -= r["c"]
+    model = first_model(total, np.maximum(first, 0), [(END_WORD.encode(), row["ends"]), *((r["word"].encode(), r["c"]) for r in frequent)], p)
+    model.spell = spell_table(words, model, p)
+    model = with_head(model, words, p)
+    shards = max(1, min(p.most_shards, round(row["n"] / (p.rounds * p.shard_tokens))))
     for turn in range(p.rounds):
-        model = train_round(documents, model, path, p, turn)
-    return Trained(words.select("word", "c"), head, row["n"], row["v"], row["ends"], model)
+        model = train_round(documents, model, path, p, turn, shards)
+    return Trained(words.select("word", "c"), row["n"], row["v"], row["ends"], model)
 
 
 def score(documents: DataFrame, trained: Trained, path: str | None = None, p: LmParams = DEFAULTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows of (doc_id, held_out, text)."""
     path = path or default_path(VOCABULARY)
-    context = documents.sparkSession.sparkContext
-    shared = context.broadcast((trained.head, trained.model))
+    shared = documents.sparkSession.sparkContext.broadcast(trained.model)
     end_log, ends_known = math.log10(trained.ends + 0.5), int(trained.ends > 0)
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, model = shared.value
-        ids_of, row = encoder(path, True).word, TaskContext.get().partitionId() << 33
-        known_word = _Kept(lambda w: (ids_of(w), head.get(w)))
-        end = np.array([END_ID], "<u4").tobytes()
+        model, row = shared.value, TaskContext.get().partitionId() << 33
+        lexicon = Lexicon(model, path, True)
+        end = END_WORD.encode()
         for b in batches:
             size = min(64, max(1, b.num_rows))
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
-                sums, known, counts, sequences, rare = [], [], [], [], ([], [], [])
-                for text in _bytes(part.column(2)):
-                    words = words_in(text)
-                    ids, logs = zip(*map(known_word.__getitem__, words), strict=True) if words else ((), ())
-                    unknown = logs.count(None)
-                    if unknown:
-                        tail = Counter([w for w, x in zip(words, logs, strict=True) if x is None])
-                        rare[0].extend([row] * len(tail))
-                        rare[1].extend(tail.keys())
-                        rare[2].extend(tail.values())
-                        logs = [x for x in logs if x is not None]
-                    sums.append(math.fsum(logs) + end_log)
-                    known.append(len(logs) + ends_known)
-                    counts.append(len(words) + 1)
-                    sequences.append(np.frombuffer(b"".join(ids) + end, "<u4").astype(np.int64))
-                    row += 1
-                n, m = part.num_rows, len(rare[0])
-                scores = score_ids(model, sequences, p)
-                documents = [pa.array(np.arange(row - n, row)), part.column(0), part.column(1), pa.array(counts), pa.array(known), pa.array(sums), pa.array(scores), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+                if len(lexicon) > p.kept_words:
+                    lexicon.empty()
+                texts = [np.append(lexicon.numbers(text), lexicon[end]) for text in _bytes(part.column(2))]
+                lexicon.settle()
+                n, sizes, flat = len(texts), np.array([len(t) for t in texts]), np.concatenate(texts)
+                logs = lexicon.logs[flat]
+                logs[np.cumsum(sizes) - 1] = end_log
+                owner, tail = np.repeat(np.arange(n), sizes), np.isnan(logs)
+                sums = np.bincount(owner, np.where(tail, 0.0, logs), n)
+                known = np.bincount(owner[~tail], minlength=n) - 1 + ends_known
+                scores = score_tokens(model.params, lexicon, texts, p)
+                documents = [pa.array(np.arange(row, row + n)), part.column(0), part.column(1), pa.array(sizes), pa.array(known), pa.array(sums), pa.array(scores), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(documents, types, strict=True)], names)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), *(pa.nulls(m, t) for t in types[1:7]), pa.array(rare[1], pa.binary()).cast(pa.string()), pa.array(rare[2], pa.int64())], names)
+                pairs, times = np.unique(owner[tail] * (len(lexicon) + 2) + flat[tail], return_counts=True)
+                if m := len(pairs):
+                    which, word = np.divmod(pairs, len(lexicon) + 2)
+                    rare = pa.array([lexicon.words[k - 2] for k in word.tolist()], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(row + which, pa.int64()), *(pa.nulls(m, t) for t in types[1:7]), rare, pa.array(times, pa.int64())], names)
+                row += n
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word string, times long"
     written = materialise(documents.select("doc_id", "held_out", "text").mapInArrow(run, schema), "scores")

@@ -9,61 +9,91 @@ import pytest
 from lexiloom.llm import lm
 from lexiloom.llm.tokens import default_path, encoder
 
-SMALL = lm.LmParams(width=4, window=6, context=2, buckets=12, classes=7, own_classes=5)
+SMALL = lm.LmParams(width=4, window=6, context=2, buckets=12, classes=7, own_classes=3, spell_classes=5)
+PATH = default_path(lm.VOCABULARY)
 
 
-def small_model(seed=0):
+class Entries:
+    """A lexicon of 30 made-up words, of one to three buckets each."""
+
+    def __init__(self, rng, p=SMALL):
+        self.sizes = rng.integers(1, 4, 32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = rng.integers(0, p.buckets, self.sizes.sum())
+        self.klass = rng.integers(0, p.classes, 32)
+        self.inside = -rng.random(32)
+
+    def of(self, numbers):
+        parts = [self.flat[self.starts[k] : self.starts[k] + self.sizes[k]] for k in numbers]
+        return np.concatenate(parts), self.sizes[numbers]
+
+    def show(self, w):
+        self.vectors = np.array([w["E"][self.of([k])[0]].mean(axis=0) for k in range(32)], np.float32)
+        return self
+
+
+def small_params(seed=0, spread=0.5):
     rng = np.random.default_rng(seed)
-    model = lm.first_model(rng.integers(0, 50, 30).astype(float), rng.integers(0, 2, 30), SMALL)
-    model.params = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in model.params.items()}
-    model.follow = rng.normal(0, 1, model.follow.shape).astype(np.float32)
-    return model
+    n = lm.END_ID + 1
+    start = lm.first_model(np.ones(n), np.ones(n), [(b" ", 3)], SMALL).params
+    return {k: rng.normal(0, spread, v.shape).astype(np.float32) for k, v in start.items()}
 
 
-def slow_score(model, ids, p=SMALL):
-    """One id after the other, each with the context its window gives."""
-    w = {k: v.astype(float) for k, v in model.params.items()}
-    total, starts = 0.0, lm.spans(len(ids), p)
-    for t, i in enumerate(ids):
+def slow_score(w, entries, numbers, p=SMALL):
+    """One token after the other, each with the context its window gives, in double precision."""
+    w = {k: v.astype(float) for k, v in w.items()}
+    total, starts = 0.0, lm.spans(len(numbers), p)
+    for t, i in enumerate(numbers):
         s = next(s for k, s in enumerate(starts) if t < s + p.window and (k == 0 or t >= s + p.context))
-        seen = [p.buckets - 2 if j == 0 else int(model.bucket[ids[j - 1]]) for j in range(s, t + 1)]
-        x = w["E"][seen] + w["P"][: len(seen)]
+        seen = [lm.START if j == 0 else numbers[j - 1] for j in range(s, t + 1)]
+        x = np.array([w["E"][entries.of([k])[0]].mean(axis=0) for k in seen]) + w["P"][: len(seen)]
         q, k, v = x[-1] @ w["Wq"], x @ w["Wk"], x @ w["Wv"]
-        a = np.exp(k @ q / math.sqrt(p.width))
+        a = k @ q / math.sqrt(p.width)
+        a = np.exp(a - a.max())
         h = x[-1] + (a / a.sum()) @ v @ w["Wo"]
-        logits = h @ w["U"] + w["b"] + model.follow[seen[-1]]
-        total += logits[model.klass[i]] - np.log(np.exp(logits).sum()) + model.inside[i]
+        logits = h @ w["U"] + w["b"]
+        total += logits[entries.klass[i]] - logits.max() - np.log(np.exp(logits - logits.max()).sum()) + entries.inside[i]
     return total / math.log(10)
 
 
-def test_each_id_is_scored_once_with_its_window():
-    model, rng = small_model(), np.random.default_rng(1)
-    documents = [rng.integers(0, 30, n) for n in (1, 2, 5, 6, 7, 10, 11, 40, 3)]
-    got = lm.score_ids(model, documents, SMALL, at_once=4)
-    assert np.allclose(got, [slow_score(model, d.tolist()) for d in documents], atol=1e-3)
+@pytest.mark.parametrize("spread", [0.5, 3.0, 12.0])
+def test_each_token_is_scored_once_with_its_window(spread):
+    """With the larger spreads logits and attention scores pass what exp can hold: the rows' maxima are taken out."""
+    rng = np.random.default_rng(1)
+    w, entries = small_params(spread=spread), Entries(rng)
+    documents = [rng.integers(2, 32, n) for n in (1, 2, 5, 6, 7, 10, 11, 40, 3)]
+    got = lm.score_tokens(w, entries.show(w), documents, SMALL, at_once=4)
+    want = [slow_score(w, entries, d.tolist()) for d in documents]
+    assert np.allclose(got, want, atol=1e-3, rtol=1e-3)
 
 
-def test_probabilities_add_up_to_one():
-    model = small_model(2)
-    totals = [sum(10 ** lm.score_ids(model, [np.array([a, b])], SMALL)[0] for b in range(30)) / 10 ** lm.score_ids(model, [np.array([a])], SMALL)[0] for a in (0, 7)]
-    assert np.allclose(totals, 1, atol=1e-4)
+def test_classes_add_up_to_one():
+    w, entries = small_params(2), Entries(np.random.default_rng(3))
+    entries.show(w).inside[:] = 0
+    entries.klass[2:9] = np.arange(7)
+    for before in (20, 21):
+        total = sum(10 ** (lm.score_tokens(w, entries, [np.array([before, k])], SMALL)[0] - lm.score_tokens(w, entries, [np.array([before])], SMALL)[0]) for k in range(2, 9))
+        assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_gradients_equal_differences():
-    model, rng = small_model(3), np.random.default_rng(4)
-    w = {k: v.astype(np.float64) for k, v in model.params.items()}
-    follow = model.follow.astype(np.float64)
-    x, y, ok = rng.integers(0, 12, (3, 6)), rng.integers(0, 7, (3, 6)), rng.random((3, 6)) < 0.8
-    _, g = lm.gradients(w, follow, x, y, ok)
+    rng = np.random.default_rng(4)
+    w = {k: v.astype(np.float64) for k, v in small_params(3).items()}
+    entries = Entries(rng)
+    x = rng.integers(0, 32, (3, 6))
+    flat, sizes = entries.of(x.ravel())
+    y, ok = rng.integers(0, 7, (3, 6)), rng.random((3, 6)) < 0.8
+    _, g = lm.gradients(w, flat, sizes, y, ok)
     for k, v in w.items():
-        at = tuple(int(rng.integers(0, s)) for s in v.shape) if k != "E" else (int(x[0, 0]), 1)
-        old = v[at]
-        v[at] = old + 1e-4
-        up = lm.gradients(w, follow, x, y, ok)[0]
-        v[at] = old - 1e-4
-        down = lm.gradients(w, follow, x, y, ok)[0]
-        v[at] = old
-        assert abs((up - down) / 2e-4 - g[k][at]) < 1e-4, k
+        for _ in range(3):
+            at = tuple(int(rng.integers(0, s)) for s in v.shape) if k != "E" else (int(rng.choice(flat)), 1)
+            old = v[at]
+            v[at] = old + 1e-4
+            up = lm.gradients(w, flat, sizes, y, ok)[0]
+            v[at] = old - 1e-4
+            down = lm.gradients(w, flat, sizes, y, ok)[0]
+            v[at] = old
+            assert abs((up - down) / 2e-4 - g[k][at]) < 1e-4, k
 
 
 def tokens_of(text):
@@ -89,50 +119,113 @@ def check(got, rows):
     for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
         assert x[:5] == y[:5] and x[5] == pytest.approx(y[5], rel=1e-9)
 
+D = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    parts = lm._documents(spark.read.parquet(f"{D}/documents.parquet"), "doc_id", "text")
+    return parts, lm.train(parts.filter("not held_out"))
+
 
 def test_query_on_real_documents(spark):
-    d = "/root/testdata/sf0.001"
-    got = lm.op4_lm_scoring(spark, d).collect()
-    check(got, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
+    got = lm.op4_lm_scoring(spark, D).collect()
+    check(got, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{D}/documents.parquet").collect()])
     held = [r for r in got if r["held_out"]]
     assert all(r["score"] < 0 for r in got)
-    # Held out: better than the same model without what it learnt of neighbours and context.
     assert np.corrcoef([r["score"] for r in held], [r["base_score"] for r in held])[0, 1] > 0.97
 
 
-def test_training_helps_on_held_out_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    parts = lm._documents(docs, "doc_id", "text")
-    path = default_path(lm.VOCABULARY)
-    trained = lm.train(parts.filter("not held_out"))
-    held = [encoder(path, True).encode(" " + r["text"].lower()).astype(np.int64) for r in parts.filter("held_out").collect()]
-    plain = lm.first_model(lm.subword_counts(lm.with_ids(trained.words, path)), lm._traits(path))
-    for k in ("U", "Wo"):
-        plain.params[k] = plain.params[k] * 0
-    untrained = lm.Model(plain.bucket, plain.klass, plain.inside, trained.model.follow, plain.params)
-    unigram, neighbours, model = (lm.score_ids(m, held).sum() for m in (plain, untrained, trained.model))
-    assert unigram < neighbours < model
+def test_scores_equal_a_direct_evaluation(real):
+    """The query's score, token by token: spelling, word shares and attention all reckoned anew."""
+    parts, trained = real
+    m, p = trained.model, lm.DEFAULTS
+    counts = {r["word"].encode(): r["c"] for r in trained.words.collect() if r["word"] != lm.END_WORD}
+    ids = {w: np.frombuffer(encoder(PATH, True).word(w), "<u4").astype(int).tolist() for w in counts}
+    klass = lambda w, i: m.own.get(w, int(m.first_class[i[0]]))
+    mass = Counter()
+    for w, i in ids.items():
+        mass[klass(w, i)] += counts[w]
+    w = {k: v.astype(float) for k, v in m.params.items()}
+    rows = parts.filter("held_out").limit(6).collect() + parts.filter("not held_out").limit(2).collect()
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(parts, trained).collect()}
+    for row in rows:
+        words = [x.encode() for x in tokens_of(row["text"])]
+        coded = [[lm.END_ID] if x == b" " else np.frombuffer(encoder(PATH, True).word(x), "<u4").astype(int).tolist() for x in words]
+        total, starts = 0.0, lm.spans(len(words), p)
+        for t, (x, i) in enumerate(zip(words, coded, strict=True)):
+            s = max(z for k, z in enumerate(starts) if z <= t and (k == 0 or t >= z + p.context))
+            seen = [[p.buckets - 2] if j == 0 else m.bucket[coded[j - 1]].tolist() for j in range(s, t + 1)]
+            v = np.array([w["E"][b].mean(axis=0) for b in seen]) + w["P"][: len(seen)]
+            a = np.exp(v @ w["Wk"] @ (v[-1] @ w["Wq"]) / math.sqrt(p.width))
+            logits = (v[-1] + (a / a.sum()) @ v @ w["Wv"] @ w["Wo"]) @ w["U"] + w["b"]
+            k = klass(x, i)
+            total += logits[k] - math.log(np.exp(logits).sum())
+            if x not in m.own:
+                spelt = m.first_log[i[0]] + sum(m.spell[m.bucket[b], m.inner_class[c]] + m.inner_log[c] for b, c in zip(i, i[1:], strict=False)) + m.spell[m.bucket[i[-1]], -1]
+                share = counts.get(x, 0) / mass[k] if mass[k] else 0
+                total += math.log(m.spelt * math.exp(spelt) + (1 - m.spelt) * share)
+        assert got[row["doc_id"], len(words)] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_words_of_a_class_add_up_to_one_at_most(real):
+    m = real[1].model
+    for k in range(len(m.own), lm.DEFAULTS.classes):
+        assert np.exp(m.first_log[m.first_class == k].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    by_inner = np.bincount(m.inner_class, np.exp(m.inner_log.astype(float)))
+    assert np.allclose(by_inner, 1, atol=1e-3) and np.allclose(np.exp(m.spell.astype(float)).sum(axis=1), 1, atol=1e-3)
+
+
+def test_training_helps_on_held_out_text(real):
+    """On one footing, the same tokens and the same spelling: better than the frequencies of the words alone."""
+    parts, trained = real
+    held = lambda t: lm.score(parts, t).filter("held_out").agg({"score": "sum"}).first()[0]
+    weights = Counter()
+    for r in lm.with_ids(trained.words, PATH).collect():
+        weights[trained.model.own.get(r["word"].encode(), int(trained.model.first_class[r["head"]]))] += r["c"]
+    frequencies = np.log(np.array([weights[k] + 0.5 for k in range(lm.DEFAULTS.classes)])).astype(np.float32)
+    plain = {k: v * 0 if k != "b" else frequencies for k, v in trained.model.params.items()}
+    unigram = lm.replace(trained, model=lm.replace(trained.model, params=plain))
+    assert held(trained) > held(unigram)
+
+
+def test_the_input_s_partitions_make_no_difference(spark, real):
+    parts, trained = real
+    again = lm.train(parts.filter("not held_out").orderBy("text").repartition(7))
+    assert np.array_equal(again.model.flat(), trained.model.flat())
+    one = {(r["doc_id"], r["score"]) for r in lm.score(parts, trained).collect()}
+    other = {(r["doc_id"], r["score"]) for r in lm.score(parts.repartition(3), again).collect()}
+    assert np.allclose([s for _, s in sorted(one)], [s for _, s in sorted(other)], rtol=1e-5)
+
+
+def test_every_training_token_is_a_target_once(spark):
+    rows = [(k % 7, f"t{k}") for k in range(60)] + [(None, None), (3, ""), (3, "t3"), (3, "t3")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for p, shards in ((lm.LmParams(), 1), (lm.LmParams(rounds=3), 5)):
+        got = lm.dealt(frame, p, shards).collect()
+        assert sorted(str(r["text"]) for r in got) == sorted(str(t) for _, t in rows)
+        assert {r["turn"] for r in got} == set(range(p.rounds)) and {r["shard"] for r in got} == set(range(shards))
+    for n in (1, 2, 31, 32, 33, 64, 200):
+        numbers = np.arange(2, 2 + n)
+        inputs, targets = lm.windows_of(numbers)
+        valid = targets != lm.PAD
+        assert targets[valid].tolist() == numbers.tolist() and inputs[valid].tolist() == [lm.START, *numbers[:-1]]
+
+
+def test_long_texts_are_parted_in_slices():
+    text = b"Ab  cd\tEF " * 50 + b"x" * 99 + b" y"
+    assert [w for part in lm.words_in(text, 20) for w in part] == text.lower().split()
+    assert [w for part in lm.words_in(None) for w in part] == []
 
 
 def test_rare_words_are_looked_up(spark):
     rows = [(i, " ".join(f"W{(i * 7 + k) % 40}" for k in range(30))) for i in range(30)] + [(None, None), (None, ""), (5, "W1 unseen unseen"), (5, "W1 unseen unseen")]
     frame = lm._documents(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'w' as word", "1 as row"), "doc_id", "text")
-    p = lm.LmParams(head_words=3)
-    check(lm.score(frame, lm.train(frame.filter("not held_out"), p=p), p=p).collect(), rows)
+    for p in (lm.LmParams(head_words=3), lm.LmParams(kept_words=10)):
+        got = lm.score(frame, lm.train(frame.filter("not held_out"), p=p), p=p).collect()
+        check(got, rows)
+        assert all(math.isfinite(r["score"]) for r in got)
     none = frame.limit(0)
     assert lm.score(none, lm.train(none, p=p), p=p).collect() == []
-
-
-def test_every_id_is_a_training_target_once():
-    model, p = small_model(), lm.LmParams(width=4, window=6, context=2, buckets=12, classes=30, own_classes=30)
-    model.klass, model.bucket = np.arange(30), np.arange(30) % 10
-    for n in (1, 2, 5, 6, 7, 12, 13, 29):
-        ids = np.arange(n)
-        seen = []
-        for turn in range(p.rounds):
-            if rows := list(lm.training_windows(ids, turn, p)):
-                inputs, targets, valid = lm._window_batch(rows, model, p)
-                seen += targets[valid].tolist()
-                before = inputs[valid]
-                assert all(b == (p.buckets - 2 if t == 0 else (t - 1) % 10) for b, t in zip(before.tolist(), targets[valid].tolist(), strict=True))
-        assert sorted(seen) == ids.tolist()
+    only_held = frame.filter("held_out")
+    assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in lm.score(only_held, lm.train(none)).collect())
