@@ -252,6 +252,18 @@ class Trainer:
         return np.concatenate([self.params[k].ravel() for k in sorted(self.params)]).astype(np.float64)
 
 
+def ids_of(words: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(subword ids one after the other, how many each word has); the end has its own."""
+    end = END_WORD.encode()
+    at = [k for k, w in enumerate(words) if w == end]
+    ids, sizes = encode([w for w in words if w != end] if at else words)
+    if at:
+        places = (np.cumsum(sizes) - sizes)[at[0] :][:1]
+        ids = np.insert(ids, places[0] if len(places) else len(ids), END_ID)
+        sizes = np.insert(sizes, at[0], 1)
+    return ids, sizes
+
+
 class Lexicon(dict):
     """word -> number of its entry in the arrays ``klass``, ``sizes`` and ``starts`` (its part of ``flat``, the buckets of its ids).
 
@@ -261,7 +273,7 @@ class Lexicon(dict):
 
     def __init__(self, model: Model, path: str, for_scores: bool):
         super().__init__()
-        self._model, self._ids, self._for_scores = model, encoder(path, True).word, for_scores
+        self._model, self._encode, self._for_scores = model, encoder(path, True).words, for_scores
         self.empty()
 
     def empty(self) -> None:
@@ -286,14 +298,14 @@ class Lexicon(dict):
         new = self.words[len(self.sizes) - 2 :]
         if not new:
             return
-        model, end = self._model, END_WORD.encode()
-        coded = [self._ids(w) if w != end else np.array([END_ID], "<u4").tobytes() for w in new]
-        ids, sizes = np.frombuffer(b"".join(coded), "<u4").astype(np.int64), np.array([len(x) // 4 for x in coded], np.int64)
+        model = self._model
+        ids, sizes = ids_of(new, self._encode)
         starts = np.cumsum(sizes) - sizes
         buckets, head = model.bucket[ids], ids[starts]
-        klass = model.first_class[head]
-        owned = np.array([model.own.get(w, -1) for w in new])
-        klass = np.where(owned >= 0, owned, klass).astype(np.int16)
+        klass, owned = model.first_class[head].astype(np.int16), np.zeros(len(new), bool)
+        for word, k in model.own.items():
+            if (at := self.get(word, 0) - 2 - (len(self.sizes) - 2)) >= 0:
+                klass[at], owned[at] = k, True
         self.starts = np.concatenate((self.starts, starts + len(self.flat)))
         self.flat, self.sizes, self.klass = (np.concatenate(x) for x in ((self.flat, buckets), (self.sizes, sizes), (self.klass, klass)))
         if not self._for_scores:
@@ -308,7 +320,7 @@ class Lexicon(dict):
         count = np.where(found, model.head_count[at] if len(model.head_hash) else 0, 0).astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.where(found, np.log(count / model.head_mass[klass]) + math.log1p(-model.spelt), -np.inf)
-        inside = np.where(owned >= 0, 0.0, np.logaddexp(spelt, share))
+        inside = np.where(owned, 0.0, np.logaddexp(spelt, share))
         vectors = np.add.reduceat(model.params["E"].take(buckets, axis=0), starts, axis=0) / sizes[:, None].astype(np.float32)
         self.inside, self.logs = np.concatenate((self.inside, inside)), np.concatenate((self.logs, np.where(found, np.log10(count + 0.5), np.nan)))
         self.vectors = np.concatenate((self.vectors, vectors.astype(np.float32)))
@@ -405,11 +417,14 @@ def with_ids(words: DataFrame, path: str) -> DataFrame:
     """(word, c, ids, head): the subword ids of each word as bytes, and the first of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, end = encoder(path, True).word, END_WORD.encode()
+        encode = encoder(path, True).words
         for b in batches:
-            ids = [once(w) if w != end else np.array([END_ID], "<u4").tobytes() for w in _bytes(b.column(0))]
-            head = np.frombuffer(b"".join(i[:4] for i in ids), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary()), pa.array(head)], ["word", "c", "ids", "head"])
+            if b.num_rows:
+                ids, sizes = ids_of(_bytes(b.column(0)), encode)
+                ends = np.cumsum(sizes)
+                data, head = ids.astype("<u4").tobytes(), ids[ends - sizes].astype(np.int32)
+                coded = [data[4 * a : 4 * z] for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(coded, pa.binary()), pa.array(head)], ["word", "c", "ids", "head"])
 
     return words.select("word", "c").mapInArrow(run, "word string, c long, ids binary, head int")
 

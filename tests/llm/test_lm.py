@@ -212,6 +212,20 @@ def test_every_training_token_is_a_target_once(spark):
         assert targets[valid].tolist() == numbers.tolist() and inputs[valid].tolist() == [lm.START, *numbers[:-1]]
 
 
+def test_words_encoded_together_equal_words_one_by_one():
+    rng = np.random.default_rng(5)
+    marks = ["a", "Z", "é", "'", "'s", ".", "7", "\u00a0", "\u2003", "字", "\u0301", "|", "🙂", "\x1c", "über"]
+    for odd in (False, True):
+        pool = [m for m in marks if odd or not m.isspace()]
+        words = ["".join(rng.choice(pool, rng.integers(1, 9))).encode() for _ in range(400)]
+        own = encoder(PATH, True)
+        for sample in (words, words[:1], [lm.END_WORD.encode()], [*words[:7], lm.END_WORD.encode(), *words[7:9]], [*words[:3], lm.END_WORD.encode()], []):
+            ids, sizes = lm.ids_of(sample, own.words)
+            want = [[lm.END_ID] if w == b" " else np.frombuffer(own.word(w), "<u4").tolist() for w in sample]
+            assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == (want[0] if want else [])
+            assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
 def test_long_texts_are_parted_in_slices():
     text = b"Ab  cd\tEF " * 50 + b"x" * 99 + b" y"
     assert [w for part in lm.words_in(text, 20) for w in part] == text.lower().split()
