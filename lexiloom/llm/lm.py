@@ -18,8 +18,11 @@ Scoring cuts each document into windows that overlap by ``context`` tokens; a wi
 scored, so each token is scored once, with at least ``context`` tokens before it. Windows of many documents run as one batch
 under a causal mask. The probabilities of all words, spelt-out ones included, add up to 1 at most, so scores of texts compare.
 
-Memory is bounded: a worker keeps entries of ``kept_words`` words, long texts are parted in slices, words beyond the head are
-looked up by a shuffled join, and the tables of the model have the vocabulary's size.
+Texts are read twice: to count words, and to write each document as one number for each token (its place among the head
+words, by frequency), with the words beyond the head beside it. Training and scoring read these numbers.
+
+Memory is bounded: the head is a fixed number of words, a worker keeps ``kept_words`` more, long texts are parted in slices, words
+beyond the head are looked up by a shuffled join, and the tables of the model have the vocabulary's size.
 
 Defined results: a null text counts as empty and has the end token alone; a null doc_id is hashed as the empty text and so
 trains; repeated rows are scored alike; an empty table gives an empty result. Extra columns are ignored.
@@ -47,8 +50,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 50256
 #: Stands for the end token among words, which hold no space.
 END_WORD = " "
-#: Numbers of a lexicon's first entries: what stands before a text, and what fills up a window.
-START, PAD = 0, 1
+#: Numbers of what stands before a text, of what fills up a window, of the end and of the most frequent word.
+START, PAD, END, FIRST = range(4)
 #: The seed of Spark's xxhash64.
 _HASH_SEED = 42
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -73,7 +76,7 @@ class LmParams:
     head_words: int = 1 << 20
     #: A task sends its word counts on when it holds so many words.
     held_words: int = 300_000
-    #: Words whose entries a worker keeps.
+    #: Words that a worker keeps to find them again.
     kept_words: int = 200_000
     #: Training tokens of a shard in a round, and the most shards of a round.
     shard_tokens: int = 1 << 20
@@ -83,6 +86,19 @@ class LmParams:
 DEFAULTS = LmParams()
 
 
+@dataclass
+class Head:
+    """The most frequent words, the most frequent first, as arrays; ``hashes`` rise and ``places`` are their words' places."""
+
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    klass: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
+    inside: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # log P(word | class)
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))  # buckets of the words' ids, word after word
+
+
 @dataclass
 class Model:
     """Tables over subword ids and frequent words, and the trained parameters by name. Logs are natural."""
@@ -95,9 +111,7 @@ class Model:
     spell: np.ndarray  # log P(inner class, or the word's end | bucket before)
     own: dict[bytes, int]  # words that are classes
     spelt: float = 0.5  # weight of spelling
-    head_hash: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # rising
-    head_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    head_mass: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by class
+    head: Head = field(default_factory=Head)
     params: dict[str, np.ndarray] = field(default_factory=dict)
 
     def flat(self) -> np.ndarray:
@@ -112,9 +126,12 @@ class Model:
             at += n
         return replace(self, params=out)
 
-    def without_head(self) -> Model:
-        """What training needs."""
-        return replace(self, head_hash=self.head_hash[:0], head_count=self.head_count[:0], spell=self.spell[:0])
+    def spelling(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P(word | class) by spelling: the first id within its class, each further id by the one before it, then the word's end."""
+        starts, buckets = np.cumsum(sizes) - sizes, self.bucket[ids]
+        step = self.inner_log[ids] + self.spell[np.concatenate(([0], buckets[:-1])), self.inner_class[ids]]
+        step[starts] = self.first_log[ids[starts]]
+        return np.add.reduceat(step.astype(np.float64), starts) + self.spell[buckets[starts + sizes - 1], -1]
 
 
 def _levels(counts: np.ndarray, classes: int, single: int) -> np.ndarray:
@@ -158,7 +175,7 @@ def first_model(total: np.ndarray, first: np.ndarray, own: list[tuple[bytes, int
     even = np.full((p.buckets, p.spell_classes + 1), -math.log(p.spell_classes + 1), np.float32)
     return Model(
         bucket, first_class, np.log(smooth / mass[first_class]).astype(np.float32), inner_class, np.log((inner + 0.01) / inner_mass[inner_class]).astype(np.float32), even, {w: k for k, (w, _) in enumerate(own)},
-        head_mass=np.zeros(p.classes), params=params,
+        params=params,
     )
 
 
@@ -188,12 +205,25 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "o": o, "h": x + np.dot(o.reshape(-1, d), w["Wo"]).reshape(b, t, d)}
 
 
+def _sums(vectors: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of ``vectors`` at each run of ``flat``: the first places of all runs at once, and so on; long runs one by one."""
+    out = vectors.take(flat[starts], axis=0)
+    for k in range(1, 6):
+        at = np.flatnonzero(sizes > k)
+        if not len(at):
+            return out
+        out[at] += vectors.take(flat[starts[at] + k], axis=0)
+    for i in np.flatnonzero(sizes > 6).tolist():
+        out[i] += vectors.take(flat[starts[i] + 6 : starts[i] + sizes[i]], axis=0).sum(axis=0)
+    return out
+
+
 def gradients(w: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """(mean loss, gradients) of the class predictions at valid places; ``flat`` and ``sizes``: buckets of the input tokens, place by place."""
     d, kind = w["Wq"].shape[0], w["E"].dtype
     part = (1 / sizes).astype(kind)[:, None]
     starts = np.cumsum(sizes) - sizes
-    f = forward(w, (np.add.reduceat(w["E"].take(flat, axis=0), starts, axis=0) * part).reshape(*targets.shape, d))
+    f = forward(w, (_sums(w["E"], flat, starts, sizes) * part).reshape(*targets.shape, d))
     wide = lambda m: m.reshape(-1, d)
     h, want, ok = wide(f["h"]), targets.ravel(), valid.ravel()
     at, n = np.arange(len(h)), max(1, int(ok.sum()))
@@ -204,11 +234,11 @@ def gradients(w: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, tar
     np.exp(prob, out=prob)
     total = prob @ np.ones(prob.shape[1], kind)
     loss = -float((right - np.log(total))[ok].sum()) / n
-    weight = ok.astype(kind) / kind.type(n)
-    prob *= (weight / total)[:, None]
-    prob[at, want] -= weight
-    g = {"U": h.T @ prob, "b": np.ones(len(prob), kind) @ prob}
-    dh = prob @ w["U"].T
+    # The rows' factor is applied to what is narrow.
+    prob[at, want] -= total
+    scale = (ok.astype(kind) / kind.type(n) / total)[:, None]
+    g = {"U": (prob.T @ (h * scale)).T, "b": scale[:, 0] @ prob}
+    dh = (prob @ w["U"].T) * scale
     g["Wo"] = wide(f["o"]).T @ dh
     do = (dh @ w["Wo"].T).reshape(f["o"].shape)
     a = f["a"] / f["total"]
@@ -264,66 +294,86 @@ def ids_of(words: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray,
     return ids, sizes
 
 
-class Lexicon(dict):
-    """word -> number of its entry in the arrays ``klass``, ``sizes`` and ``starts`` (its part of ``flat``, the buckets of its ids).
-
-    With ``for_scores`` also ``vectors`` (the mean of its ids' vectors), ``inside`` (log P(word | class)) and ``logs``
-    (log10(count + 0.5), NaN beyond the head). New words get entries all at once, by ``settle``.
-    """
+class Coder(dict):
+    """word -> a number of its own; ``codes`` and ``logs`` hold, by that number, the word's number among the head words (-1 beyond) and log10(count + 0.5)."""
 
-    def __init__(self, model: Model, path: str, for_scores: bool):
+    def __init__(self, head: Head):
         super().__init__()
-        self._model, self._encode, self._for_scores = model, encoder(path, True).words, for_scores
-        self.empty()
-
-    def empty(self) -> None:
-        self.clear()
-        self.words: list[bytes] = []
-        model, marks = self._model, len(self._model.params["E"]) - 2
-        self.flat, self.sizes, self.starts = np.array([marks, marks + 1], np.int16), np.ones(2, np.int64), np.arange(2)
-        self.klass, self.inside, self.logs = np.zeros(2, np.int16), np.zeros(2), np.zeros(2)
-        self.vectors = model.params["E"][marks:]
+        self._head, self.words, self.codes, self.logs = head, [], np.zeros(0, np.int32), np.zeros(0)
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.words) + 2
+        number = self[word] = len(self.words)
         self.words.append(word)
         return number
 
     def numbers(self, text: bytes | None) -> np.ndarray:
-        """Entries of a text's words."""
         return np.concatenate([np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in words_in(text)])
 
     def settle(self) -> None:
-        """Make the entries of words met since."""
-        new = self.words[len(self.sizes) - 2 :]
-        if not new:
-            return
-        model = self._model
-        ids, sizes = ids_of(new, self._encode)
-        starts = np.cumsum(sizes) - sizes
-        buckets, head = model.bucket[ids], ids[starts]
-        klass, owned = model.first_class[head].astype(np.int16), np.zeros(len(new), bool)
-        for word, k in model.own.items():
-            if (at := self.get(word, 0) - 2 - (len(self.sizes) - 2)) >= 0:
-                klass[at], owned[at] = k, True
-        self.starts = np.concatenate((self.starts, starts + len(self.flat)))
-        self.flat, self.sizes, self.klass = (np.concatenate(x) for x in ((self.flat, buckets), (self.sizes, sizes), (self.klass, klass)))
-        if not self._for_scores:
-            return
-        # Spelling: the first id within its class, each further id by the one before it, then the word's end.
-        step = model.inner_log[ids] + model.spell[np.concatenate(([0], buckets[:-1])), model.inner_class[ids]]
-        step[starts] = model.first_log[head]
-        spelt = np.add.reduceat(step.astype(np.float64), starts) + model.spell[buckets[starts + sizes - 1], -1] + math.log(model.spelt)
+        """Look up the words met since."""
+        new, head = self.words[len(self.codes) :], self._head
         hashes = np.array([xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new], np.uint64)
-        at = np.minimum(np.searchsorted(model.head_hash, hashes), max(0, len(model.head_hash) - 1))
-        found = model.head_hash[at] == hashes if len(model.head_hash) else np.zeros(len(new), bool)
-        count = np.where(found, model.head_count[at] if len(model.head_hash) else 0, 0).astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(found, np.log(count / model.head_mass[klass]) + math.log1p(-model.spelt), -np.inf)
-        inside = np.where(owned, 0.0, np.logaddexp(spelt, share))
-        vectors = np.add.reduceat(model.params["E"].take(buckets, axis=0), starts, axis=0) / sizes[:, None].astype(np.float32)
-        self.inside, self.logs = np.concatenate((self.inside, inside)), np.concatenate((self.logs, np.where(found, np.log10(count + 0.5), np.nan)))
-        self.vectors = np.concatenate((self.vectors, vectors.astype(np.float32)))
+        codes, logs = np.full(len(new), -1, np.int32), np.full(len(new), np.nan)
+        if len(head.hashes):
+            at = np.minimum(np.searchsorted(head.hashes, hashes), len(head.hashes) - 1)
+            found = head.hashes[at] == hashes
+            place = head.places[at[found]]
+            codes[found], logs[found] = place + FIRST, np.log10(head.counts[place] + 0.5)
+        self.codes, self.logs = np.concatenate((self.codes, codes)), np.concatenate((self.logs, logs))
+
+
+class Entries:
+    """What training and scoring need of words, by number: ``klass``, ``inside`` (log P(word | class)) and the buckets of their ids.
+
+    The head words stand first. Words beyond it are given numbers as they are met, until ``forget``.
+    """
+
+    def __init__(self, model: Model, path: str):
+        self._model, self._encode, head = model, encoder(path, True).words, model.head
+        marks = len(model.params["E"]) - 2
+        end = model.own.get(END_WORD.encode(), 0)
+        self.klass = np.concatenate((np.array([0, 0, end], np.int16), head.klass))
+        self.inside = np.concatenate((np.zeros(3, np.float32), head.inside))
+        self.sizes = np.concatenate((np.ones(3, np.int64), head.sizes))
+        self.flat = np.concatenate((np.array([marks, marks + 1, model.bucket[END_ID]], np.int16), head.flat))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self._fixed, self._fixed_flat = len(self.sizes), len(self.flat)
+        self._rare: dict[bytes, int] = {}
+
+    def numbers(self, codes: bytes, rare: list[bytes] | None) -> np.ndarray:
+        """Numbers of a document's tokens; the codes of its rare words count down from -1."""
+        numbers = np.frombuffer(codes, "<i4")
+        if rare:
+            own = np.array([self._rare.setdefault(w, self._fixed + len(self._rare)) for w in rare], np.int32)
+            numbers = numbers.copy()
+            beyond = numbers < 0
+            numbers[beyond] = own[-1 - numbers[beyond]]
+        return numbers
+
+    def settle(self) -> None:
+        """Make the entries of words met since."""
+        new = list(self._rare)[len(self.sizes) - self._fixed :]
+        if new:
+            ids, sizes = ids_of(new, self._encode)
+            starts = np.cumsum(sizes) - sizes
+            self.starts = np.concatenate((self.starts, starts + len(self.flat)))
+            self.klass = np.concatenate((self.klass, self._model.first_class[ids[starts]].astype(np.int16)))
+            self.inside = np.concatenate((self.inside, (self._model.spelling(ids, sizes) + math.log(self._model.spelt)).astype(np.float32)))
+            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, self._model.bucket[ids]))
+
+    def met(self) -> int:
+        return len(self._rare)
+
+    def forget(self, numbers: np.ndarray) -> np.ndarray:
+        """Drop the rare words but those among ``numbers``, which are given back as they are numbered now."""
+        words = list(self._rare)
+        kept = np.unique(numbers[numbers >= self._fixed])
+        self._rare = {words[k - self._fixed]: self._fixed + n for n, k in enumerate(kept.tolist())}
+        n = self._fixed
+        self.klass, self.inside, self.sizes, self.starts, self.flat = self.klass[:n], self.inside[:n], self.sizes[:n], self.starts[:n], self.flat[: self._fixed_flat]
+        out = numbers.copy()
+        out[numbers >= n] = n + np.searchsorted(kept, numbers[numbers >= n])
+        return out
 
     def buckets_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat buckets, sizes) of entries, one after the other."""
@@ -331,14 +381,21 @@ class Lexicon(dict):
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
+    def vectors(self, first: int = 0) -> np.ndarray:
+        """The mean of its ids' vectors for every entry from ``first`` on."""
+        at = self.starts[first:] - (self.starts[first] if first < len(self.starts) else 0)
+        if not len(at):
+            return np.zeros((0, self._model.params["E"].shape[1]), np.float32)
+        return np.add.reduceat(self._model.params["E"].take(self.flat[self.starts[first] :], axis=0), at, axis=0) / self.sizes[first:, None].astype(np.float32)
+
 
 def spans(n: int, p: LmParams) -> np.ndarray:
     """Starts of the windows over n targets: the first scores all of its tokens, each later one ``window - context`` more."""
     return np.arange(0, max(1, n - p.context), p.window - p.context)
 
 
-def score_tokens(w: dict[str, np.ndarray], lexicon: Lexicon, documents: list[np.ndarray], p: LmParams = DEFAULTS, at_once: int = 64) -> np.ndarray:
-    """log10 probability of each sequence of entries (the end included)."""
+def score_tokens(w: dict[str, np.ndarray], vectors: np.ndarray, klass: np.ndarray, inside: np.ndarray, documents: list[np.ndarray], p: LmParams = DEFAULTS, at_once: int = 64) -> np.ndarray:
+    """log10 probability of each sequence of numbers (the end included), which ``vectors``, ``klass`` and ``inside`` are indexed by."""
     if not documents:
         return np.zeros(0)
     sizes = np.array([len(d) for d in documents], np.int64)
@@ -356,13 +413,13 @@ def score_tokens(w: dict[str, np.ndarray], lexicon: Lexicon, documents: list[np.
     place, ones = np.arange(p.window), np.ones(p.classes, np.float32)
     # Window by window, the scored places are the tokens in their order: what belongs to them are plain slices.
     ends = np.cumsum(np.maximum(high - low, 0))
-    klass, values, done = lexicon.klass[targets], lexicon.inside[targets].copy(), 0
+    klass, values, done = klass[targets], inside[targets].astype(np.float64), 0
     for a in range(0, len(owner), at_once):
         z = slice(a, a + at_once)
         at = (first[owner[z]] + start[z])[:, None] + place
         scored = (place >= low[z, None]) & (place < high[z, None])
         to = int(ends[min(a + at_once, len(owner)) - 1])
-        logits = forward(w, lexicon.vectors[inputs[np.minimum(at, len(inputs) - 1)]])["h"][scored] @ w["U"]
+        logits = forward(w, vectors.take(inputs[np.minimum(at, len(inputs) - 1)], axis=0))["h"][scored] @ w["U"]
         logits += w["b"]
         _near_zero(logits)
         right = logits[np.arange(to - done), klass[done:to]]
@@ -473,11 +530,11 @@ def spell_table(words: DataFrame, model: Model, p: LmParams = DEFAULTS, spread:
 
 
 def frequent_words(words: DataFrame, most: int) -> tuple[pa.Table, int]:
-    """((h, c, head) of all words from some count on, ``most`` at most; occurrences of the others).
+    """((h, c, ids) of all words from some count on, ``most`` at most; occurrences of the others).
 
     Counts are graded in eighths of an octave, some 500 grades; the lowest grade is chosen by their sizes.
     """
-    graded = words.filter(F.col("word") != END_WORD).select(F.xxhash64("word").alias("h"), "c", "head", F.floor(F.log2("c") * 8).alias("grade"))
+    graded = words.filter(F.col("word") != END_WORD).select(F.xxhash64("word").alias("h"), "c", "ids", F.floor(F.log2("c") * 8).alias("grade"))
     taken, lowest, beyond = 0, math.inf, 0
     for r in graded.groupBy("grade").agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("grade")).collect():
         taken += r["n"]
@@ -485,22 +542,32 @@ def frequent_words(words: DataFrame, most: int) -> tuple[pa.Table, int]:
             beyond += r["c"]
         else:
             lowest = r["grade"]
-    return graded.filter(F.col("grade") >= F.lit(lowest)).select("h", "c", "head").toArrow(), beyond
+    return graded.filter(F.col("grade") >= F.lit(lowest)).select("h", "c", "ids").toArrow(), beyond
 
 
 def with_head(model: Model, words: DataFrame, p: LmParams = DEFAULTS) -> Model:
-    """The model with the frequent words' counts and the weight of spelling."""
+    """The model with the frequent words and the weight of spelling."""
     found, beyond = frequent_words(words, p.head_words)
+    if not found.num_rows:
+        return model
     hashes, counts = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
-    klass = model.first_class[found["head"].to_numpy()]
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[order], counts[order]
+    coded = found["ids"].combine_chunks().take(pa.array(order))
+    sizes = (coded.cast(pa.large_binary()).value_lengths() if hasattr(coded, "value_lengths") else pa.compute.binary_length(coded)).to_numpy().astype(np.int64) // 4
+    ids = np.frombuffer(b"".join(coded.to_pylist()), "<u4").astype(np.int64)
+    klass = model.first_class[ids[np.cumsum(sizes) - sizes]].astype(np.int16)
+    owned = np.zeros(len(klass), bool)
     for w, k in model.own.items():
-        klass[hashes == np.uint64(xxhash.xxh64_intdigest(w, _HASH_SEED))] = k
-    order, shared = np.argsort(hashes), klass >= len(model.own)
-    rare = int(counts[counts == 1].sum()) + beyond
-    mass = int(counts[shared].sum()) + beyond
-    return replace(
-        model, head_hash=hashes[order], head_count=counts[order], head_mass=np.bincount(klass, counts, p.classes), spelt=min(0.5, max(0.02, rare / mass)) if mass else 0.5
-    )
+        same = hashes == np.uint64(xxhash.xxh64_intdigest(w, _HASH_SEED))
+        klass[same], owned[same] = k, True
+    rare, shared = int(counts[counts == 1].sum()) + beyond, int(counts[~owned].sum()) + beyond
+    mass = np.bincount(klass, counts, p.classes)
+    spelt = min(0.5, max(0.02, rare / shared)) if shared else 0.5
+    inside = np.where(owned, 0.0, np.logaddexp(model.spelling(ids, sizes) + math.log(spelt), np.log(counts / mass[klass]) + math.log1p(-spelt)))
+    by_hash = np.argsort(hashes)
+    head = Head(hashes[by_hash], by_hash.astype(np.int32), counts, klass, inside.astype(np.float32), sizes, model.bucket[ids])
+    return replace(model, spelt=spelt, head=head)
 
 
 def windows_of(numbers: np.ndarray, p: LmParams = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
@@ -511,32 +578,30 @@ def windows_of(numbers: np.ndarray, p: LmParams = DEFAULTS) -> tuple[np.ndarray,
     return pair[0].reshape(-1, p.window), pair[1].reshape(-1, p.window)
 
 
-def dealt(training: DataFrame, p: LmParams, shards: int) -> DataFrame:
-    """(turn, shard, mark, text): the round and the shard in which each document trains, and its place there by a hash."""
-    mark = F.xxhash64("doc_id", "text")
-    spot = F.pmod(mark, F.lit(p.rounds * shards))
-    return training.select((spot % p.rounds).cast("int").alias("turn"), F.floor(spot / p.rounds).cast("int").alias("shard"), mark.alias("mark"), "text")
+def dealt(coded: DataFrame, p: LmParams, shards: int) -> DataFrame:
+    """(turn, shard, mark, codes, rare): the round and the shard in which each document trains, and its place there by its hash."""
+    spot = F.pmod("mark", F.lit(p.rounds * shards))
+    return coded.select((spot % p.rounds).cast("int").alias("turn"), F.floor(spot / p.rounds).cast("int").alias("shard"), "mark", "codes", "rare")
 
 
-def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn: int, shards: int) -> Model:
+def train_round(coded: DataFrame, model: Model, path: str, p: LmParams, turn: int, shards: int) -> Model:
     """One local pass over each shard's documents of this round, then the mean of the parameters."""
-    shared = training.sparkSession.sparkContext.broadcast(model.without_head())
+    shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, at, trainer = shared.value, None, None
-        lexicon = Lexicon(start, path, False)
-        end = END_WORD.encode()
+        start, at, trainer, waiting = shared.value, None, None, 0
+        entries = Entries(start, path)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def steps(least: int) -> None:
             """Train on full batches of the windows held, and with ``least`` 1 on the rest too."""
             inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            lexicon.settle()
+            entries.settle()
             done = 0
             while len(inputs) - done >= least:
                 x, y = inputs[done : done + p.batch], targets[done : done + p.batch]
-                trainer.step(*lexicon.buckets_of(x.ravel()), lexicon.klass[y].astype(np.int64), y != PAD)
+                trainer.step(*entries.buckets_of(x.ravel()), entries.klass[y].astype(np.int64), y != PAD)
                 done += len(x)
             if done < len(inputs):
                 held.append((inputs[done:], targets[done:]))
@@ -545,25 +610,22 @@ def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn:
             flat = trainer.flat() * trainer.tokens
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "flat"])
 
-        waiting = 0
         for b in batches:
-            for shard, text in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True):
+            for shard, codes, rare in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if shard != at:
                     if trainer is not None:
                         if held:
                             steps(1)
                         yield result()
                     at, trainer, waiting = shard, Trainer(start, p), 0
-                    lexicon.empty()
-                numbers = np.append(lexicon.numbers(text), lexicon[end])
-                held.append(windows_of(numbers, p))
+                held.append(windows_of(entries.numbers(codes, rare), p))
                 waiting += len(held[-1][0])
-                if waiting >= p.batch or len(lexicon) > p.kept_words:
-                    full = len(lexicon) > p.kept_words
-                    steps(1 if full else p.batch)
-                    waiting = 0 if full else waiting % p.batch
-                    if full:
-                        lexicon.empty()
+                if waiting >= p.batch:
+                    steps(p.batch)
+                    waiting = len(held[0][0]) if held else 0
+                    if entries.met() > p.kept_words:
+                        again = entries.forget(np.concatenate([np.stack(x) for x in held], axis=1) if held else np.zeros((2, 0, p.window), np.int32))
+                        held[:] = [(again[0], again[1])] if held else []
         if trainer is not None:
             if held:
                 steps(1)
@@ -582,8 +644,8 @@ def train_round(training: DataFrame, model: Model, path: str, p: LmParams, turn:
         if group is not None:
             yield out()
 
-    rows = dealt(training, p, shards).filter(F.col("turn") == turn).select("shard", "mark", "text")
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "text")
+    rows = dealt(coded, p, shards).filter(F.col("turn") == turn).select("shard", "mark", "codes", "rare")
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "codes", "rare")
     trained = ordered.mapInArrow(local, "shard int, n long, flat binary")
     # At most 16 sums come to the driver, however many shards have trained; all are added up in the order of the shards.
     grouped = trained.select((F.col("shard") % 16).alias("grp"), "shard", "n", "flat").repartition("grp").sortWithinPartitions("grp", "shard")
@@ -604,10 +666,9 @@ class Trained:
     model: Model
 
 
-def train(documents: DataFrame, path: str | None = None, p: LmParams = DEFAULTS) -> Trained:
-    """Learn from (doc_id, text) rows."""
-    path = path or default_path(VOCABULARY)
-    words = materialise(with_ids(word_counts(documents, p), path), "words")
+def learn_words(training: DataFrame, path: str, p: LmParams = DEFAULTS) -> Trained:
+    """Counts, classes, spelling and head words of (text) rows; the attention model stands at its start."""
+    words = materialise(with_ids(word_counts(training, p), path), "words")
     row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("c"))), F.lit(0)).alias("ends")).first()
     frequent = words.filter(F.col("word") != END_WORD).orderBy(F.desc("c"), "word").limit(p.own_classes - 1).select("word", "c", "head").collect()
     total, first = id_counts(words)
@@ -616,55 +677,91 @@ def train(documents: DataFrame, path: str | None = None, p: LmParams = DEFAULTS)
         first[r["head"]] -= r["c"]
     model = first_model(total, np.maximum(first, 0), [(END_WORD.encode(), row["ends"]), *((r["word"].encode(), r["c"]) for r in frequent)], p)
     model.spell = spell_table(words, model, p)
-    model = with_head(model, words, p)
-    shards = max(1, min(p.most_shards, round(row["n"] / (p.rounds * p.shard_tokens))))
+    return Trained(words.select("word", "c"), row["n"], row["v"], row["ends"], with_head(model, words, p))
+
+
+def code_documents(documents: DataFrame, learned: Trained, p: LmParams = DEFAULTS) -> DataFrame:
+    """Rows of (doc_id, held_out, text), written as (doc_id, held_out, mark, row, n_tokens, known, base, codes, rare, times).
+
+    ``codes``: the tokens' numbers, 32 bits each; ``rare`` and ``times``: words beyond the head and how often the document has them;
+    ``known`` and ``base`` (sum of log10(count + 0.5)) leave them out.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(learned.model.head)
+    end_log, ends_known = math.log10(learned.ends + 0.5), int(learned.ends > 0)
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names = ["doc_id", "held_out", "mark", "row", "n_tokens", "known", "base", "codes", "rare", "times"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, row = Coder(shared.value), TaskContext.get().partitionId() << 33
+        for b in batches:
+            size = min(256, max(1, b.num_rows))
+            for a in range(0, b.num_rows, size):
+                part, out = b.slice(a, size), []
+                if len(coder) > p.kept_words:
+                    coder = Coder(shared.value)
+                texts = [coder.numbers(text) for text in _bytes(part.column(3))]
+                coder.settle()
+                for numbers in texts:
+                    codes, logs = coder.codes[numbers], coder.logs[numbers]
+                    beyond = np.flatnonzero(codes < 0)
+                    words, place, times = np.unique(numbers[beyond], return_inverse=True, return_counts=True)
+                    codes[beyond] = -1 - place
+                    base = float(np.delete(logs, beyond).sum() if len(beyond) else logs.sum()) + end_log
+                    out.append((row, len(codes) + 1, len(codes) - len(beyond) + ends_known, base, np.append(codes, np.int32(END)).astype("<i4").tobytes(), [coder.words[k] for k in words.tolist()], times))
+                    row += 1
+                columns = [*part.columns[:3], *zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    marked = documents.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("mark"), "text")
+    schema = "doc_id long, held_out boolean, mark long, row long, n_tokens long, known long, base double, codes binary, rare array<binary>, times array<long>"
+    return materialise(marked.mapInArrow(run, schema), "coded")
+
+
+def fit(coded: DataFrame, learned: Trained, path: str, p: LmParams = DEFAULTS) -> Trained:
+    """The attention model trained on all of ``coded``."""
+    model = learned.model
+    shards = max(1, min(p.most_shards, round(learned.total / (p.rounds * p.shard_tokens))))
     for turn in range(p.rounds):
-        model = train_round(documents, model, path, p, turn, shards)
-    return Trained(words.select("word", "c"), row["n"], row["v"], row["ends"], model)
+        model = train_round(coded, model, path, p, turn, shards)
+    return replace(learned, model=model)
 
 
-def score(documents: DataFrame, trained: Trained, path: str | None = None, p: LmParams = DEFAULTS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows of (doc_id, held_out, text)."""
+def train(documents: DataFrame, path: str | None = None, p: LmParams = DEFAULTS) -> Trained:
+    """Learn from (doc_id, held_out, text) rows, all of them."""
     path = path or default_path(VOCABULARY)
-    shared = documents.sparkSession.sparkContext.broadcast(trained.model)
-    end_log, ends_known = math.log10(trained.ends + 0.5), int(trained.ends > 0)
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
+    learned = learn_words(documents, path, p)
+    return fit(code_documents(documents, learned, p), learned, path, p)
+
+
+def score_coded(coded: DataFrame, trained: Trained, path: str, p: LmParams = DEFAULTS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of coded documents."""
+    shared = coded.sparkSession.sparkContext.broadcast(trained.model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 33
-        lexicon = Lexicon(model, path, True)
-        end = END_WORD.encode()
+        model, none = shared.value, np.zeros(0, np.int32)
+        entries = Entries(model, path)
+        fixed = len(entries.sizes)
+        vectors = entries.vectors()
         for b in batches:
             size = min(64, max(1, b.num_rows))
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
-                if len(lexicon) > p.kept_words:
-                    lexicon.empty()
-                texts = [np.append(lexicon.numbers(text), lexicon[end]) for text in _bytes(part.column(2))]
-                lexicon.settle()
-                n, sizes, flat = len(texts), np.array([len(t) for t in texts]), np.concatenate(texts)
-                logs = lexicon.logs[flat]
-                logs[np.cumsum(sizes) - 1] = end_log
-                owner, tail = np.repeat(np.arange(n), sizes), np.isnan(logs)
-                sums = np.bincount(owner, np.where(tail, 0.0, logs), n)
-                known = np.bincount(owner[~tail], minlength=n) - 1 + ends_known
-                scores = score_tokens(model.params, lexicon, texts, p)
-                documents = [pa.array(np.arange(row, row + n)), part.column(0), part.column(1), pa.array(sizes), pa.array(known), pa.array(sums), pa.array(scores), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(documents, types, strict=True)], names)
-                pairs, times = np.unique(owner[tail] * (len(lexicon) + 2) + flat[tail], return_counts=True)
-                if m := len(pairs):
-                    which, word = np.divmod(pairs, len(lexicon) + 2)
-                    rare = pa.array([lexicon.words[k - 2] for k in word.tolist()], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(row + which, pa.int64()), *(pa.nulls(m, t) for t in types[1:7]), rare, pa.array(times, pa.int64())], names)
-                row += n
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word string, times long"
-    written = materialise(documents.select("doc_id", "held_out", "text").mapInArrow(run, schema), "scores")
-    rare = written.filter(F.col("word").isNotNull()).select("row", "word", "times").join(trained.words, "word", "left")
+                texts = [entries.numbers(codes, rare) for codes, rare in zip(part.column(7).to_pylist(), part.column(8).to_pylist(), strict=True)]
+                entries.settle()
+                if len(entries.sizes) > len(vectors):  # room for rare words, used again by every slice
+                    vectors = np.concatenate((vectors[:fixed], np.empty((2 * (len(entries.sizes) - fixed), p.width), np.float32)))
+                vectors[fixed : len(entries.sizes)] = entries.vectors(fixed)
+                scores = score_tokens(model.params, vectors, entries.klass, entries.inside, texts, p)
+                entries.forget(none)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 3, 4, 5, 6)), pa.array(scores, pa.float64()), part.column(8), part.column(9)], names)
+
+    names = ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "rare", "times"]
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
+    written = materialise(coded.mapInArrow(run, schema), "scores")
+    each = written.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").cast("string").alias("word"), "r.times")
     c = F.coalesce("c", F.lit(0))
-    found = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    whole = written.filter(F.col("word").isNull()).drop("word", "times").join(found, "row", "left")
+    found = each.join(trained.words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    whole = written.drop("rare", "times").join(found, "row", "left")
     below = math.log10(trained.total + 0.5 * (trained.distinct + 1))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(trained.total).cast("long").alias("train_tokens"),
@@ -672,7 +769,14 @@ def score(documents: DataFrame, trained: Trained, path: str | None = None, p: Lm
     )
 
 
+def score(documents: DataFrame, trained: Trained, path: str | None = None, p: LmParams = DEFAULTS) -> DataFrame:
+    """Scores of (doc_id, held_out, text) rows: see ``score_coded``."""
+    return score_coded(code_documents(documents, trained, p), trained, path or default_path(VOCABULARY), p)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by models of the documents that are not held out."""
-    documents = _documents(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return score(documents, train(documents.filter(~F.col("held_out"))))
+    documents, path = _documents(table(spark, sf_dir, "documents"), "doc_id", "text"), default_path(VOCABULARY)
+    learned = learn_words(documents.filter(~F.col("held_out")), path)
+    coded = code_documents(documents, learned)
+    return score_coded(coded, fit(coded.filter(~F.col("held_out")), learned, path), path)

@@ -17,7 +17,7 @@ class Entries:
     """A lexicon of 30 made-up words, of one to three buckets each."""
 
     def __init__(self, rng, p=SMALL):
-        self.sizes = rng.integers(1, 4, 32)
+        self.sizes = rng.choice([1, 2, 3, 9], 32)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = rng.integers(0, p.buckets, self.sizes.sum())
         self.klass = rng.integers(0, p.classes, 32)
@@ -31,6 +31,9 @@ class Entries:
         self.vectors = np.array([w["E"][self.of([k])[0]].mean(axis=0) for k in range(32)], np.float32)
         return self
 
+    def score(self, w, documents, **how):
+        return lm.score_tokens(w, self.vectors, self.klass, self.inside, documents, SMALL, **how)
+
 
 def small_params(seed=0, spread=0.5):
     rng = np.random.default_rng(seed)
@@ -62,7 +65,7 @@ def test_each_token_is_scored_once_with_its_window(spread):
     rng = np.random.default_rng(1)
     w, entries = small_params(spread=spread), Entries(rng)
     documents = [rng.integers(2, 32, n) for n in (1, 2, 5, 6, 7, 10, 11, 40, 3)]
-    got = lm.score_tokens(w, entries.show(w), documents, SMALL, at_once=4)
+    got = entries.show(w).score(w, documents, at_once=4)
     want = [slow_score(w, entries, d.tolist()) for d in documents]
     assert np.allclose(got, want, atol=1e-3, rtol=1e-3)
 
@@ -72,7 +75,7 @@ def test_classes_add_up_to_one():
     entries.show(w).inside[:] = 0
     entries.klass[2:9] = np.arange(7)
     for before in (20, 21):
-        total = sum(10 ** (lm.score_tokens(w, entries, [np.array([before, k])], SMALL)[0] - lm.score_tokens(w, entries, [np.array([before])], SMALL)[0]) for k in range(2, 9))
+        total = sum(10 ** (entries.score(w, [np.array([before, k])])[0] - entries.score(w, [np.array([before])])[0]) for k in range(2, 9))
         assert total == pytest.approx(1, abs=1e-4)
 
 
@@ -189,6 +192,13 @@ def test_training_helps_on_held_out_text(real):
     assert held(trained) > held(unigram)
 
 
+def test_forgetting_rare_words_changes_nothing(spark):
+    rows = [(k, False, " ".join(f"w{(k * 31 + j * 7) % 97}" for j in range(90))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string")
+    models = [lm.train(frame, p=lm.LmParams(head_words=5, kept_words=kept, batch=4, shard_tokens=700)).model.flat() for kept in (10, 10**6)]
+    assert np.array_equal(*models)
+
+
 def test_the_input_s_partitions_make_no_difference(spark, real):
     parts, trained = real
     again = lm.train(parts.filter("not held_out").orderBy("text").repartition(7))
@@ -199,12 +209,25 @@ def test_the_input_s_partitions_make_no_difference(spark, real):
 
 
 def test_every_training_token_is_a_target_once(spark):
-    rows = [(k % 7, f"t{k}") for k in range(60)] + [(None, None), (3, ""), (3, "t3"), (3, "t3")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for p, shards in ((lm.LmParams(), 1), (lm.LmParams(rounds=3), 5)):
-        got = lm.dealt(frame, p, shards).collect()
-        assert sorted(str(r["text"]) for r in got) == sorted(str(t) for _, t in rows)
-        assert {r["turn"] for r in got} == set(range(p.rounds)) and {r["shard"] for r in got} == set(range(shards))
+    rows = [(k % 7, f"t{k} t{k % 9}") for k in range(60)] + [(None, None), (3, ""), (3, "t3"), (3, "t3")]
+    frame = lm._documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    for p, shards in ((lm.LmParams(), 1), (lm.LmParams(rounds=3, head_words=2), 5)):
+        learned = lm.learn_words(frame, PATH, p)
+        coded = lm.code_documents(frame, learned, p)
+        got = lm.dealt(coded, p, shards).collect()
+        assert len(got) == len(rows) and {r["turn"] for r in got} == set(range(p.rounds)) and {r["shard"] for r in got} == set(range(shards))
+        # The codes hold every token of every text.
+        by_place = {}
+        for r in learned.words.collect():
+            place = learned.model.head.places[learned.model.head.hashes == lm.xxhash.xxh64_intdigest(r["word"], 42)]
+            if len(place):
+                by_place[int(place[0]) + lm.FIRST] = r["word"]
+        said = []
+        for r in got:
+            codes = np.frombuffer(r["codes"], "<i4").tolist()
+            assert codes[-1] == lm.END
+            said.append(" ".join(by_place[c] if c >= 0 else bytes(r["rare"][-1 - c]).decode() for c in codes[:-1]))
+        assert sorted(said) == sorted(t or "" for _, t in rows)
     for n in (1, 2, 31, 32, 33, 64, 200):
         numbers = np.arange(2, 2 + n)
         inputs, targets = lm.windows_of(numbers)
@@ -235,7 +258,7 @@ def test_long_texts_are_parted_in_slices():
 def test_rare_words_are_looked_up(spark):
     rows = [(i, " ".join(f"W{(i * 7 + k) % 40}" for k in range(30))) for i in range(30)] + [(None, None), (None, ""), (5, "W1 unseen unseen"), (5, "W1 unseen unseen")]
     frame = lm._documents(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'w' as word", "1 as row"), "doc_id", "text")
-    for p in (lm.LmParams(head_words=3), lm.LmParams(kept_words=10)):
+    for p in (lm.LmParams(head_words=3), lm.LmParams(kept_words=10), lm.LmParams(head_words=3, kept_words=10, batch=2)):
         got = lm.score(frame, lm.train(frame.filter("not held_out"), p=p), p=p).collect()
         check(got, rows)
         assert all(math.isfinite(r["score"]) for r in got)
