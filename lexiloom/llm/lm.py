@@ -35,6 +35,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -322,6 +323,14 @@ class Coder(dict):
         self.codes, self.logs = np.concatenate((self.codes, codes)), np.concatenate((self.logs, logs))
 
 
+def _put(array: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """``array`` with ``new`` at ``at``; grown by half where it is too short, so that many small additions cost little."""
+    if at + len(new) > len(array):
+        array = np.concatenate((array, np.zeros((at + len(new)) // 2 + 1024, array.dtype)))
+    array[at : at + len(new)] = new
+    return array
+
+
 class Entries:
     """What training and scoring need of words, by number: ``klass``, ``inside`` (log P(word | class)) and the buckets of their ids.
 
@@ -337,7 +346,8 @@ class Entries:
         self.sizes = np.concatenate((np.ones(3, np.int64), head.sizes))
         self.flat = np.concatenate((np.array([marks, marks + 1, model.bucket[END_ID]], np.int16), head.flat))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self._fixed, self._fixed_flat = len(self.sizes), len(self.flat)
+        self.n = self._fixed = len(self.sizes)
+        self._n_flat = self._fixed_flat = len(self.flat)
         self._rare: dict[bytes, int] = {}
 
     def numbers(self, codes: bytes, rare: list[bytes] | None) -> np.ndarray:
@@ -352,27 +362,27 @@ class Entries:
 
     def settle(self) -> None:
         """Make the entries of words met since."""
-        new = list(self._rare)[len(self.sizes) - self._fixed :]
-        if new:
+        if self._fixed + len(self._rare) > self.n:
+            new = list(islice(self._rare, self.n - self._fixed, None))
             ids, sizes = ids_of(new, self._encode)
             starts = np.cumsum(sizes) - sizes
-            self.starts = np.concatenate((self.starts, starts + len(self.flat)))
-            self.klass = np.concatenate((self.klass, self._model.first_class[ids[starts]].astype(np.int16)))
-            self.inside = np.concatenate((self.inside, (self._model.spelling(ids, sizes) + math.log(self._model.spelt)).astype(np.float32)))
-            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, self._model.bucket[ids]))
+            self.starts = _put(self.starts, self.n, starts + self._n_flat)
+            self.klass = _put(self.klass, self.n, self._model.first_class[ids[starts]].astype(np.int16))
+            self.inside = _put(self.inside, self.n, (self._model.spelling(ids, sizes) + math.log(self._model.spelt)).astype(np.float32))
+            self.sizes, self.flat = _put(self.sizes, self.n, sizes), _put(self.flat, self._n_flat, self._model.bucket[ids])
+            self.n, self._n_flat = self.n + len(new), self._n_flat + len(ids)
 
     def met(self) -> int:
         return len(self._rare)
 
     def forget(self, numbers: np.ndarray) -> np.ndarray:
         """Drop the rare words but those among ``numbers``, which are given back as they are numbered now."""
-        words = list(self._rare)
         kept = np.unique(numbers[numbers >= self._fixed])
+        words = list(self._rare) if len(kept) else []
         self._rare = {words[k - self._fixed]: self._fixed + n for n, k in enumerate(kept.tolist())}
-        n = self._fixed
-        self.klass, self.inside, self.sizes, self.starts, self.flat = self.klass[:n], self.inside[:n], self.sizes[:n], self.starts[:n], self.flat[: self._fixed_flat]
+        self.n, self._n_flat = self._fixed, self._fixed_flat
         out = numbers.copy()
-        out[numbers >= n] = n + np.searchsorted(kept, numbers[numbers >= n])
+        out[numbers >= self._fixed] = self._fixed + np.searchsorted(kept, numbers[numbers >= self._fixed])
         return out
 
     def buckets_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,10 +393,11 @@ class Entries:
 
     def vectors(self, first: int = 0) -> np.ndarray:
         """The mean of its ids' vectors for every entry from ``first`` on."""
-        at = self.starts[first:] - (self.starts[first] if first < len(self.starts) else 0)
-        if not len(at):
+        if first >= self.n:
             return np.zeros((0, self._model.params["E"].shape[1]), np.float32)
-        return np.add.reduceat(self._model.params["E"].take(self.flat[self.starts[first] :], axis=0), at, axis=0) / self.sizes[first:, None].astype(np.float32)
+        starts, sizes = self.starts[first : self.n], self.sizes[first : self.n]
+        each = self._model.params["E"].take(self.flat[starts[0] : self._n_flat], axis=0)
+        return np.add.reduceat(each, starts - starts[0], axis=0) / sizes[:, None].astype(np.float32)
 
 
 def spans(n: int, p: LmParams) -> np.ndarray:
@@ -740,17 +751,16 @@ def score_coded(coded: DataFrame, trained: Trained, path: str, p: LmParams = DEF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, none = shared.value, np.zeros(0, np.int32)
         entries = Entries(model, path)
-        fixed = len(entries.sizes)
-        vectors = entries.vectors()
+        fixed, vectors = entries.n, entries.vectors()
         for b in batches:
             size = min(64, max(1, b.num_rows))
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
                 texts = [entries.numbers(codes, rare) for codes, rare in zip(part.column(7).to_pylist(), part.column(8).to_pylist(), strict=True)]
                 entries.settle()
-                if len(entries.sizes) > len(vectors):  # room for rare words, used again by every slice
-                    vectors = np.concatenate((vectors[:fixed], np.empty((2 * (len(entries.sizes) - fixed), p.width), np.float32)))
-                vectors[fixed : len(entries.sizes)] = entries.vectors(fixed)
+                if entries.n > len(vectors):  # room for rare words, used again by every slice
+                    vectors = np.concatenate((vectors[:fixed], np.empty((2 * (entries.n - fixed), p.width), np.float32)))
+                vectors[fixed : entries.n] = entries.vectors(fixed)
                 scores = score_tokens(model.params, vectors, entries.klass, entries.inside, texts, p)
                 entries.forget(none)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 3, 4, 5, 6)), pa.array(scores, pa.float64()), part.column(8), part.column(9)], names)
