@@ -39,6 +39,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,8 @@ START, PAD, END, FIRST = range(4)
 #: The seed of Spark's xxhash64.
 _HASH_SEED = 42
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-_SLICE = 1 << 20
+#: Bytes of a text's slice, and words whose vectors are reckoned at once.
+_SLICE, _AT_ONCE = 1 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -96,7 +98,7 @@ class Head:
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     klass: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
     inside: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # log P(word | class)
-    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))  # buckets of the words' ids, word after word
 
 
@@ -127,6 +129,10 @@ class Model:
             at += n
         return replace(self, params=out)
 
+    def without_lookup(self) -> Model:
+        """What training and scoring of coded documents need."""
+        return replace(self, head=replace(self.head, hashes=self.head.hashes[:0], places=self.head.places[:0], counts=self.head.counts[:0]))
+
     def spelling(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log P(word | class) by spelling: the first id within its class, each further id by the one before it, then the word's end."""
         starts, buckets = np.cumsum(sizes) - sizes, self.bucket[ids]
@@ -343,9 +349,9 @@ class Entries:
         end = model.own.get(END_WORD.encode(), 0)
         self.klass = np.concatenate((np.array([0, 0, end], np.int16), head.klass))
         self.inside = np.concatenate((np.zeros(3, np.float32), head.inside))
-        self.sizes = np.concatenate((np.ones(3, np.int64), head.sizes))
+        self.sizes = np.concatenate((np.ones(3, np.int32), head.sizes))
         self.flat = np.concatenate((np.array([marks, marks + 1, model.bucket[END_ID]], np.int16), head.flat))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)
         self.n = self._fixed = len(self.sizes)
         self._n_flat = self._fixed_flat = len(self.flat)
         self._rare: dict[bytes, int] = {}
@@ -388,16 +394,18 @@ class Entries:
     def buckets_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat buckets, sizes) of entries, one after the other."""
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         return self.flat[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
     def vectors(self, first: int = 0) -> np.ndarray:
         """The mean of its ids' vectors for every entry from ``first`` on."""
-        if first >= self.n:
-            return np.zeros((0, self._model.params["E"].shape[1]), np.float32)
-        starts, sizes = self.starts[first : self.n], self.sizes[first : self.n]
-        each = self._model.params["E"].take(self.flat[starts[0] : self._n_flat], axis=0)
-        return np.add.reduceat(each, starts - starts[0], axis=0) / sizes[:, None].astype(np.float32)
+        table = self._model.params["E"]
+        out = np.empty((self.n - first, table.shape[1]), np.float32)
+        for a in range(first, self.n, _AT_ONCE):
+            starts, sizes = self.starts[a : min(self.n, a + _AT_ONCE)], self.sizes[a : min(self.n, a + _AT_ONCE)]
+            each = table.take(self.flat[starts[0] : starts[-1] + sizes[-1]], axis=0)
+            out[a - first : a - first + len(sizes)] = np.add.reduceat(each, starts - starts[0], axis=0) / sizes[:, None].astype(np.float32)
+        return out
 
 
 def spans(n: int, p: LmParams) -> np.ndarray:
@@ -565,7 +573,7 @@ def with_head(model: Model, words: DataFrame, p: LmParams = DEFAULTS) -> Model:
     order = np.lexsort((hashes, -counts))
     hashes, counts = hashes[order], counts[order]
     coded = found["ids"].combine_chunks().take(pa.array(order))
-    sizes = (coded.cast(pa.large_binary()).value_lengths() if hasattr(coded, "value_lengths") else pa.compute.binary_length(coded)).to_numpy().astype(np.int64) // 4
+    sizes = pc.binary_length(coded).to_numpy().astype(np.int64) // 4
     ids = np.frombuffer(b"".join(coded.to_pylist()), "<u4").astype(np.int64)
     klass = model.first_class[ids[np.cumsum(sizes) - sizes]].astype(np.int16)
     owned = np.zeros(len(klass), bool)
@@ -577,7 +585,7 @@ def with_head(model: Model, words: DataFrame, p: LmParams = DEFAULTS) -> Model:
     spelt = min(0.5, max(0.02, rare / shared)) if shared else 0.5
     inside = np.where(owned, 0.0, np.logaddexp(model.spelling(ids, sizes) + math.log(spelt), np.log(counts / mass[klass]) + math.log1p(-spelt)))
     by_hash = np.argsort(hashes)
-    head = Head(hashes[by_hash], by_hash.astype(np.int32), counts, klass, inside.astype(np.float32), sizes, model.bucket[ids])
+    head = Head(hashes[by_hash], by_hash.astype(np.int32), counts, klass, inside.astype(np.float32), sizes.astype(np.int32), model.bucket[ids])
     return replace(model, spelt=spelt, head=head)
 
 
@@ -597,7 +605,7 @@ def dealt(coded: DataFrame, p: LmParams, shards: int) -> DataFrame:
 
 def train_round(coded: DataFrame, model: Model, path: str, p: LmParams, turn: int, shards: int) -> Model:
     """One local pass over each shard's documents of this round, then the mean of the parameters."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(model.without_lookup())
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, at, trainer, waiting = shared.value, None, None, 0
@@ -746,7 +754,7 @@ def train(documents: DataFrame, path: str | None = None, p: LmParams = DEFAULTS)
 
 def score_coded(coded: DataFrame, trained: Trained, path: str, p: LmParams = DEFAULTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of coded documents."""
-    shared = coded.sparkSession.sparkContext.broadcast(trained.model)
+    shared = coded.sparkSession.sparkContext.broadcast(trained.model.without_lookup())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, none = shared.value, np.zeros(0, np.int32)
