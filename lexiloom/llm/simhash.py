@@ -82,7 +82,7 @@ def _planes(bits: np.ndarray) -> np.ndarray:
 
 
 def within(queries: np.ndarray, candidates: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, candidate) at most ``radius`` (up to 6) bits apart, by bit-sliced carry-save counting."""
+    """Index pairs (query, candidate) at most ``radius`` bits apart, by bit-sliced carry-save counting."""
     none = np.zeros(0, np.int64)
     if not len(queries) or not len(candidates):
         return none, none
@@ -90,12 +90,16 @@ def within(queries: np.ndarray, candidates: np.ndarray, radius: int = RADIUS) ->
     flips = _bits(queries).astype(bool)
     n_words = planes.shape[1]
     at_q, at_w = np.divmod(np.arange(len(queries) * n_words), n_words)
-    c0, c1, c2, over = (np.zeros(len(at_q), np.uint64) for _ in range(4))
+    # counters[k] holds the distances' bits of weight 2 ** k; ``over`` marks those that passed them all.
+    depth = max(3, radius.bit_length())
+    counters = [np.zeros(len(at_q), np.uint64) for _ in range(depth)]
+    over = np.zeros(len(at_q), np.uint64)
     # Bits on which the candidates differ most come first, so that blocks are abandoned early.
     order = np.argsort(np.abs(_bits(candidates).mean(axis=1) - 0.5), kind="stable")
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     for at in range(0, 64, 4):
         x = [planes[b][at_w] ^ np.where(flips[b][at_q], ones, np.uint64(0)) for b in order[at : at + 4]]
+        c0, c1, *higher = counters
         u = c0 ^ x[0]
         carry_a = (c0 & x[0]) | (u & x[1])
         c0 = u ^ x[1]
@@ -105,19 +109,22 @@ def within(queries: np.ndarray, candidates: np.ndarray, radius: int = RADIUS) ->
         u = c1 ^ carry_a
         carry = (c1 & carry_a) | (u & carry_b)
         c1 = u ^ carry_b
-        over |= c2 & carry
-        c2 ^= carry
-        above, level = over.copy(), np.full(len(c0), ones)
-        for k, c in ((2, c2), (1, c1), (0, c0)):
+        counters = [c0, c1]
+        for c in higher:
+            counters.append(c ^ carry)
+            carry = c & carry
+        over |= carry
+        above, level = over.copy(), np.full(len(over), ones)
+        for k in reversed(range(depth)):
             if radius >> k & 1:
-                level &= c
+                level &= counters[k]
             else:
-                above |= level & c
-                level &= ~c
+                above |= level & counters[k]
+                level &= ~counters[k]
         if at >= 12:
             alive = above != ones
             if not alive.all():
-                at_q, at_w, c0, c1, c2, over, above = (v[alive] for v in (at_q, at_w, c0, c1, c2, over, above))
+                at_q, at_w, over, above, *counters = (v[alive] for v in (at_q, at_w, over, above, *counters))
                 if not len(at_q):
                     return none, none
     lanes = np.unpackbits((~above).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -204,6 +211,21 @@ def choose_blocks(n_classes: int, radius: int = RADIUS, cell_rows: int = CELL_RO
     return 2 * radius
 
 
+def split_cells(keyed: DataFrame, member: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Rows with a ``key``, dealt out cell by cell with ``i``, ``j`` and ``right``.
+
+    A cell above ``cell_rows`` is cut by a hash of its ``member`` into parts that meet pairwise: in (i, i) a part meets itself, in
+    (i, j) only the rows with ``right`` meet those without. So each pair of members meets exactly once.
+    """
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
+    split = keyed.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
+    cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    )
+    placed = split.select(*keyed.columns, "part", F.explode(cells).alias("c")).select(*keyed.columns, "c.i", "c.j", (F.coalesce("part", F.lit(0)) != F.col("c.i")).alias("right"))
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def links(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges (u, v) that connect all fingerprints ``classes.fp`` within ``radius`` bits, directly or by way of others."""
     n = classes.count()
@@ -211,13 +233,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None, c
     parts = _block_masks(blocks)
     keys = [F.concat_ws("-", F.lit(str(t)), *[F.shiftrightunsigned("fp", parts[b][0]).bitwiseAND(F.lit((1 << parts[b][1]) - 1)).cast("string") for b in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
     keyed = classes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", F.xxhash64("key").alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
-    split = keyed.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    )
-    placed = split.select("fp", "key", "part", F.explode(cells).alias("c")).select("fp", "key", "c.i", "c.j", (F.coalesce("part", F.lit(0)) != F.col("c.i")).alias("right"))
-    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = split_cells(keyed, "fp", cell_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooled: list[np.ndarray] = []  # small cells are compared together: what they link across cells is a true link too

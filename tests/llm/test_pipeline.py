@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.llm.test_packing import check_rows
 from tests.llm.test_quality import slow as slow_stats
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_similar import slow_first
 from tests.llm.test_substring import slow_dedup
 
 from lexiloom.llm import quality
@@ -26,7 +26,7 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
             kept = {r["row"]["doc_id"] for r in quality.judge(spark.read.parquet(f"{d}/documents.parquet")).collect() if r["kept"]}
             assert set(got) == kept and not any(slow_stats(rows[i])[5] for i in kept)
         elif name == "simhash_near_dedup":
-            assert set(got) == {i for i, _, c in slow_components(list(rows.items())) if i == c}
+            assert set(got) == set(slow_first([(i, i, t) for i, t in rows.items()]).values())
         else:
             assert got == {i: t for i, t, _, _ in slow_dedup(list(rows.items()))}
             assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())

@@ -57,7 +57,7 @@ def test_fingerprint_follows_the_rule():
         assert simhash.fingerprint(None if text is None else text.encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius", [0, 3, 4, 6])
+@pytest.mark.parametrize("radius", [0, 3, 4, 6, 7, 8, 13, 24, 31])
 def test_within_equals_popcount(radius):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 150, dtype=np.uint64)
