@@ -1,22 +1,23 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Candidates lie in blocks of about ``block_rows`` vectors. A block keeps one list for each dimension, sorted by
-component; a query with a positive weight reads it from the top, one with a negative weight from the bottom, so
-contributions only fall. Lists are read in parallel to growing depths. After each depth a candidate's score is
-bounded below by what was read plus the least its unread lists can give, and above by what was read plus the
-contributions at the reading heads. A query stops when no candidate outside its best k can still reach the k-th lower bound;
-candidates that cannot qualify leave the block; the scores of the few that can are then resolved by reading on. All
-queries of a block advance together in matrix form. Blocks send their best k of each query to one
-grouped top-k.
+Candidates lie in blocks of about ``block_rows`` vectors. A block is sorted once, into one list for each dimension, and written.
+A query with a positive weight reads a list from the top, one with a negative weight from the bottom, so
+contributions only fall. All lists are read on in turn to growing depths, entry after entry; a candidate's components are known
+from nowhere else. After each depth its score is bounded below by what was read plus the least that its unread lists can
+give, and above by what was read plus the contributions at the reading heads. Candidates whose upper bound is under the k-th
+lower bound of every query left drop out of the reading. A query stops when the candidates that can still qualify have been met
+in every list: their scores are final then. The queries of a chunk read together. Blocks send their best k of each query to
+one grouped top-k.
 
 Queries lie in blocks as well: a cell joins one query block with one candidate block by key, so neither side is
 collected or broadcast, and memory in a task is bounded by the two block sizes.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do those whose length
-is not the most frequent one (ties to the longer); rows that repeat with vec_id and vector stand in the ranking as
-often as they occur, and a query id that repeats with another vector is ranked over the scores of both; a null
-vec_id is no query and no candidate; an empty table gives an empty result. Extra columns are ignored. Scaled components
-and scores are clamped to 64 bits; where products pass 2**53 the block is reckoned in whole Python numbers.
+Defined results: vectors that are null or hold null or non-finite components take no part; of vectors of different lengths the
+positions that both have count, so an empty vector has score 0 with every other; rows that repeat with vec_id and vector stand in
+the ranking as often as they occur, and a query id that repeats with another vector is ranked over the scores of both; a null
+vec_id is no query and no candidate; an empty table gives an empty result. Extra columns are ignored. Scores are exact for all finite
+components: where products could pass 2**53 the block is reckoned in whole Python numbers, and a best score that a long cannot
+hold is an error.
 """
 
 from __future__ import annotations
@@ -32,110 +33,172 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import MAX_LONG, materialise, table
 
 TOP, EVERY, SCALE = 5, 50, 256
-BLOCK_ROWS, QUERY_ROWS = 2048, 512
-
-
-class SortedBlock:
-    """Candidates of one block with the rank of each in every dimension's list."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        n, d = self.vectors.shape
-        self.sorted = np.sort(self.vectors, axis=0)  # rising; read from either end
-        by = np.argsort(self.vectors, axis=0, kind="stable")
-        self.place = np.empty((n, d), np.int64)
-        np.put_along_axis(self.place, by, np.arange(n)[:, None].repeat(d, axis=1), axis=0)
-
-
-def no_random_access(block: SortedBlock, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query index, vec_id, score) of each query's best ``top`` in the block, own id left out. Both sides hold exact whole numbers of one type."""
-    n, d = block.vectors.shape
-    falling, rising = np.maximum(queries, 0), np.minimum(queries, 0)
-    live_q, columns = np.arange(len(queries)), np.arange(n)
-    depth = max(1, n // 16)
-    while len(live_q):
-        depth = min(n, depth)
-        place, vectors = block.place[columns], block.vectors[columns]
-        seen_top, seen_low = place >= n - depth, place < depth
-        pos, neg = falling[live_q], rising[live_q]
-        read = pos @ (vectors * seen_top).T + neg @ (vectors * seen_low).T
-        head_top, head_low = block.sorted[n - depth], block.sorted[depth - 1]
-        upper = read + (pos * head_top) @ (~seen_top).T + (neg * head_low) @ (~seen_low).T
-        lower = read + (pos * block.sorted[0]) @ (~seen_top).T + (neg * block.sorted[-1]) @ (~seen_low).T
-        own = block.ids[columns][None, :] == query_ids[live_q][:, None]
-        lower[own] = upper[own] = -np.inf
-        if depth == n or len(columns) <= top:
-            bar = np.full(len(live_q), -np.inf)
-        else:
-            bar = np.partition(lower, len(columns) - top, axis=1)[:, len(columns) - top]
-        rivals = upper >= bar[:, None]
-        # Ready: only a few candidates can still qualify; the rest of the lists resolves their final scores.
-        ready = (rivals.sum(axis=1) <= 4 * top) | (depth == n)
-        for r in np.flatnonzero(ready):
-            q = live_q[r]
-            left = columns[rivals[r] & ~own[r]]
-            score = block.vectors[left] @ queries[q]
-            best = np.argsort(-score, kind="stable")[:top]  # ids rise
-            yield np.full(len(best), q), block.ids[left][best], np.array([max(-MAX_LONG - 1, min(MAX_LONG, int(x))) for x in score[best]], np.int64)
-        live_q = live_q[~ready]
-        columns = columns[rivals[~ready].any(axis=0)] if len(live_q) else columns
-        depth *= 2
-
-
-def _scaled(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, m): distinct valid vectors as arrays of scaled integers, and how often each occurs."""
+BLOCK_ROWS, QUERY_ROWS = 2048, 4096
+#: Queries that read together.
+_CHUNK = 128
+
+
+class SortedLists:
+    """One list for each dimension: ``members`` (places of the block's rows) by rising ``values``. Lists are only read in order, from either end."""
+
+    def __init__(self, members: np.ndarray, values: np.ndarray):
+        self._members, self._values = members, values
+        self.length, self.width = values.shape
+        self.reads = 0
+        #: The values at both ends, which bound what a list can hold.
+        self.least, self.most = (values[0], values[-1]) if self.length else (None, None)
+
+    def read(self, j: int, falling: bool, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries ``start`` to ``stop`` of a list, from its top or from its bottom."""
+        self.reads += stop - start
+        z = slice(self.length - stop, self.length - start) if falling else slice(start, stop)
+        return self._members[z, j], self._values[z, j]
+
+    def heads(self, falling: bool, depth: int) -> np.ndarray:
+        """The values last read."""
+        return self._values[self.length - depth] if falling else self._values[depth - 1]
+
+
+def sort_lists(vectors: np.ndarray) -> SortedLists:
+    members = np.argsort(vectors, axis=0, kind="stable")
+    return SortedLists(members, np.take_along_axis(vectors, members, axis=0))
+
+
+def no_random_access(lists: SortedLists, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query index, vec_id, score) of each query's best ``top`` among the block's rows ``ids``, own id left out. Both sides hold exact whole numbers of one type."""
+    n, kind = lists.length, queries.dtype
+    live = np.arange(len(queries))
+    kept = np.ones(n, bool)
+    known = np.zeros((n, len(live)), kind)  # sums of the contributions read, by candidate and query
+    met = {falling: np.zeros((n, lists.width), bool) for falling in (True, False)}
+    depth, stop = 0, max(1, n // 16)
+    while len(live):
+        stop = min(n, stop)
+        weights = {True: np.maximum(queries[live], 0), False: np.minimum(queries[live], 0)}
+        for falling, weight in weights.items():
+            for j in np.flatnonzero((weight != 0).any(axis=0)).tolist():
+                member, value = lists.read(j, falling, depth, stop)
+                use = kept[member]
+                member, value = member[use], value[use]
+                known[member] += value[:, None] * weight[:, j]
+                met[falling][member, j] = True
+        depth = stop
+        rows = np.flatnonzero(kept)
+        lower, upper = known[rows], known[rows]
+        for falling, weight in weights.items():
+            unread = (~met[falling][rows]).astype(kind)
+            upper = upper + unread @ (weight * lists.heads(falling, depth)).T
+            lower = lower + unread @ (weight * (lists.least if falling else lists.most)).T
+        final = upper == lower
+        own = ids[rows][:, None] == query_ids[live]
+        lower = np.where(own, -np.inf, lower)
+        bar = np.full(len(live), -np.inf) if len(rows) <= top else np.partition(lower, len(rows) - top, axis=0)[len(rows) - top]
+        rivals = ~own & (upper >= bar)
+        ready = (final | ~rivals).all(axis=0) | (depth == n)
+        for c in np.flatnonzero(ready):
+            found = rows[rivals[:, c]]
+            score = known[found, c]
+            best = np.lexsort((ids[found], -score))[:top] if kind != object else sorted(range(len(found)), key=lambda r: (-score[r], ids[found[r]]))[:top]
+            for x in score[best]:
+                if not -MAX_LONG - 1 <= int(x) <= MAX_LONG:
+                    raise ValueError(f"a score is beyond 64 bits: {int(x)}")
+            yield np.full(len(best), live[c]), ids[found[best]], np.array([int(x) for x in score[best]], np.int64)
+        if ready.any():
+            live, known, rivals = live[~ready], known[:, ~ready], rivals[:, ~ready]
+        kept[rows] = rivals.any(axis=1)
+        stop = 2 * depth
+
+
+def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, v, m): distinct valid vectors, rounded down to multiples of 1 / SCALE, and how often each occurs."""
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    whole = lambda x: F.greatest(F.floor(x * SCALE), F.lit(-MAX_LONG))
+    # Cut to whole multiples of 1 / SCALE, which doubles hold exactly; from 2 ** 53 on they are whole anyway.
+    cut = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x * SCALE).cast("double") / SCALE).otherwise(x)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.filter(F.forall("v", finite) & (F.size("v") > 0)).select("vec_id", F.transform("v", whole).alias("v"))
-    return rows.groupBy("vec_id", "v").agg(F.count("*").alias("m"))
+    return rows.filter(F.forall("v", finite)).select("vec_id", F.transform("v", cut).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("m"))
+
+
+def whole_numbers(vectors: list[np.ndarray], width: int) -> np.ndarray:
+    """floor(256 * x) of every component, filled up with zeros to ``width``: as doubles where they are small enough, else as Python numbers."""
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    flat = np.concatenate(vectors) if len(vectors) else np.zeros(0)
+    large = len(flat) and float(np.abs(flat).max()) >= 2.0**40
+    out = np.zeros((len(vectors), width), object if large else np.float64)
+    at = np.repeat(np.arange(len(vectors)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[at] = [int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(x * SCALE) for x in flat.tolist()] if large else np.floor(flat * SCALE)
+    return out
+
+
+def _packed(rows: DataFrame, key: str, width: int, top: int, as_lists: bool) -> DataFrame:
+    """One row for each value of ``key`` with all of its vectors: (key, ids, flat, sizes[, members]); sorted into lists if ``as_lists``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, list[float], int]] = []
+        last = None
+
+        def block() -> pa.RecordBatch:
+            held.sort(key=lambda r: r[0])
+            times = [min(m, top) if as_lists else 1 for _, _, m in held]
+            ids = np.repeat(np.array([i for i, _, _ in held], np.int64), times)
+            vectors = np.zeros((len(held), width))
+            for k, (_, v, _) in enumerate(held):
+                vectors[k, : len(v)] = v
+            vectors = np.repeat(vectors, times, axis=0)
+            # Scaling keeps the order, so the lists of the vectors are those of their whole numbers.
+            members = np.argsort(vectors, axis=0, kind="stable").astype("<i4") if as_lists else np.zeros(0, "<i4")
+            if as_lists:
+                vectors = np.take_along_axis(vectors, members, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, vectors, members))], names)
+
+        for b in batches:
+            for spot, i, v, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and spot != last:
+                    yield block()
+                    held.clear()
+                last = spot
+                held.append((i, v, m))
+        if held:
+            yield block()
+
+    names = [key, "ids", "vectors", "members"]
+    dealt = rows.select(key, "vec_id", "v", "m").repartition(key).sortWithinPartitions(key)
+    return dealt.mapInArrow(run, f"{key} int, ids binary, vectors binary, members binary")
 
 
 def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, every: int = EVERY, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` best candidates of each row whose id ``every`` divides."""
-    rows = materialise(_scaled(df, id_col, vector_col), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.sum("m").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    width = sizes[0]["d"] if sizes else 0
-    rows = rows.filter(F.size("v") == width)
+    rows = materialise(_valid(df, id_col, vector_col), "vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
+    size = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()
+    width = max(1, size["w"])
     # The longest block cannot hold two rows of one (vec_id, vector), so a hash of both spreads any group.
-    n, n_queries = rows.count(), rows.filter(is_query).count()
-    blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
+    blocks, query_blocks = max(1, math.ceil(size["n"] / block_rows)), max(1, math.ceil(size["q"] / query_rows))
     spot = lambda k: F.pmod(F.xxhash64("vec_id", "v"), F.lit(k)).cast("int")
     both = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    candidates = rows.select("vec_id", "v", "m", spot(blocks).alias("c"), both(query_blocks).alias("q"), F.lit(False).alias("asks"))
-    queries = rows.filter(is_query).select("vec_id", "v", "m", both(blocks).alias("c"), spot(query_blocks).alias("q"), F.lit(True).alias("asks"))
-    dealt = candidates.unionByName(queries).repartition("c", "q").sortWithinPartitions("c", "q")
+    lists = materialise(_packed(rows.withColumn("c", spot(blocks)), "c", width, top, True), "lists")
+    asked = materialise(_packed(rows.filter(is_query).withColumn("q", spot(query_blocks)), "q", width, top, False), "queries")
+    cells = lists.withColumn("q", both(query_blocks)).withColumn("asks", F.lit(False)).unionByName(asked.withColumn("c", both(blocks)).withColumn("asks", F.lit(True)))
+    dealt = cells.select("c", "q", "asks", "ids", "vectors", "members").repartition("c", "q").sortWithinPartitions("c", "q", "asks")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            asks = t["asks"].to_numpy()
-            if asks.all() or not asks.any():
-                return
-            ids, times = t["vec_id"].to_numpy(), np.minimum(t["m"].to_numpy(), top)
-            vectors = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.int64)
-            small = width * float(np.abs(vectors).max()) ** 2 < 2**53
-            vectors = vectors.astype(np.float64 if small else object)
-            block = SortedBlock(np.repeat(ids[~asks], times[~asks]), np.repeat(vectors[~asks], times[~asks], axis=0))
-            for q, found, score in no_random_access(block, ids[asks], vectors[asks], top):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[asks][q], found, score)], ["query_id", "vec_id", "score"])
-
-        held: list[pa.RecordBatch] = []
-        last = None
+        lists = None
         for b in batches:
-            key = b.column("c").to_numpy().astype(np.int64) * query_blocks + b.column("q").to_numpy()
-            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(key)) + 1):
-                if not len(part):
+            for c, q, asks, ids, vectors, members in zip(*(column.to_pylist() for column in b.columns), strict=True):
+                ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, width)
+                if not asks:
+                    lists = (c, q), ids, vectors, np.frombuffer(members, "<i4").reshape(-1, width)
                     continue
-                if held and key[part[0]] != last:
-                    yield from cell(pa.Table.from_batches(held))
-                    held = []
-                last = key[part[0]]
-                held.append(b.slice(int(part[0]), len(part)))
-        if held:
-            yield from cell(pa.Table.from_batches(held))
+                if lists is None or lists[0] != (c, q):
+                    continue  # a block without rows
+                values, weights = whole_numbers(list(lists[2]), width), whole_numbers(list(vectors), width)
+                sound = values.dtype != object and weights.dtype != object and width * float(np.abs(values).max()) * float(np.abs(weights).max()) < 2**53
+                if not sound:
+                    values, weights = (np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape) for m in (values, weights))
+                for a in range(0, len(ids), _CHUNK):
+                    asking = ids[a : a + _CHUNK]
+                    for k, found, score in no_random_access(SortedLists(lists[3], values), lists[1], asking, weights[a : a + _CHUNK], top):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asking[k], found, score)], ["query_id", "vec_id", "score"])
 
     best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
