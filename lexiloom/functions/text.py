@@ -56,13 +56,13 @@ def strip(text: Column) -> Column:
 def fold(text: Column) -> Column:
     """Concept id: lower case, no diacritics, runs of all else as one hyphen; null where nothing is left.
 
-    Folding works on single characters, so a translation table is exact; the few characters that
-    fold to several are replaced one by one in the texts that hold any.
+    Folding works on single characters, so a translation table is exact. Of the few characters that
+    fold to several, those that a text holds are replaced one after the other.
     """
     one, to, gone, many = _fold_tables()
     spelled = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
-    rare = "[" + "".join(many) + "]"
-    wide = F.when(F.rlike(text, F.lit(rare)), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(text)
+    held = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), F.lit(0))), lambda c: F.map_contains_key(spelled, c))
+    wide = F.aggregate(held, text, lambda done, c: F.replace(done, c, F.try_element_at(spelled, c)))
     plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(wide, one + gone, to))  # most texts are ASCII
     return F.nullif(F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
 
