@@ -3,17 +3,19 @@
 A gear rolling hash over the UTF-8 bytes proposes cuts that depend only on the 16 bytes before
 them, so an insertion shifts no later chunk. The hash is evaluated for all bytes of an Arrow batch at
 once: h(i) = sum of gear[byte(i-k)] << k is built by doubling the window (1, 2, 4, 8, 16 bytes). A cut
-moves on to the next space or newline, so that no word is split. Chunks meet by a 128-bit digest; the row with the
-smallest doc_id keeps a chunk, every later one is a repeat. Repeats are removed in runs: a run of neighbouring
-repeated chunks goes when it holds at least ``min_run_words`` words, so that short phrases that
-happen to recur stay.
+moves on behind the next white space (space, U+0009 to U+000D) where that is near, so that words are not split, else to the
+next character's start, so text of scripts without spaces is cut by its content as well. Chunks meet by a 128-bit digest; the
+row with the smallest doc_id keeps a chunk, every later one is a repeat. Repeats are removed in runs: a run of
+neighbouring repeated chunks goes when it holds at least ``min_run_words`` words or ``min_run_bytes`` bytes, so that short
+phrases that happen to recur stay.
 
 A task compares chunks on its own first and leaves one row of each digest to be compared with other tasks, so a
 passage that a third of all documents share is one row for each task, and the chunk table is shuffled once. Texts
 are cut up again in the Arrow batches that bring them together with their repeats.
 
 Defined results: a null text stays null and an empty one empty, with no chunks; rows that share doc_id
-share its rank, so identical rows get identical results; a null doc_id ranks after all ids; an empty
+share its rank, so identical rows get identical results; rows without a doc_id rank after all others, among themselves by
+a 63-bit digest of their texts, so of different ones with a common passage one keeps it; an empty
 table gives an empty result. Columns of the input travel in a struct and never clash.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.common import MAX_LONG, table
+from lexiloom.llm.common import table
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,11 @@ class ChunkParams:
     gear_seed: int = 7
     #: A task compares chunks on its own until it holds so many digests.
     held_chunks: int = 400_000
-    #: Repeats are removed in runs of at least so many words.
+    #: Repeats are removed in runs of at least so many words, or bytes (for scripts without spaces).
     min_run_words: int = 20
+    min_run_bytes: int = 256
+    #: How far a cut may move to the next white space.
+    reach: int = 64
 
 
 DEFAULTS = ChunkParams()
@@ -68,15 +73,22 @@ def gear_hash(data: np.ndarray, seed: int = DEFAULTS.gear_seed) -> np.ndarray:
 
 
 def _proposals(data: np.ndarray, p: ChunkParams) -> np.ndarray:
-    """Sorted positions after which a chunk may end, moved to just behind the next space or newline."""
+    """Sorted positions after which a chunk may end: behind the white space next to a mark, or the next character's start."""
     # The top bits of the 16 depend on the whole window.
     mask = np.uint32(((1 << p.mask_bits) - 1) << (_WINDOW - p.mask_bits))
     marks = np.flatnonzero((gear_hash(data, p.gear_seed) & mask) == 0)
-    gaps = np.flatnonzero((data == 32) | (data == 10))
-    if not len(gaps) or not len(marks):
-        return np.zeros(0, np.int64)
-    at = np.searchsorted(gaps, marks)
-    return np.unique(gaps[at[at < len(gaps)]]) + 1
+    if not len(marks):
+        return marks
+    gaps = np.append(np.flatnonzero((data == 32) | (data - np.uint8(9) < 5)), len(data) + p.reach + 1)
+    gap = gaps[np.searchsorted(gaps, marks)]
+    near = gap - marks <= p.reach
+    cuts = np.where(near, gap, marks) + 1
+    lone = np.flatnonzero(~near)
+    for _ in range(3):  # a character has four bytes at most
+        at = cuts[lone]
+        lone = lone[(at < len(data)) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80)]
+        cuts[lone] += 1
+    return np.unique(cuts)
 
 
 def _char_end(data: np.ndarray, end: int) -> int:
@@ -117,39 +129,43 @@ def chunks_of(text: bytes, p: ChunkParams = DEFAULTS) -> tuple[list[int], list[b
 
 
 def text_key(text: bytes | None) -> int:
-    """31 bits that tell texts with the same doc_id apart."""
-    return 0 if text is None else xxhash.xxh3_64_intdigest(text) >> 33
+    """63 bits that tell texts apart."""
+    return 0 if text is None else xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def repeat_runs(ends: list[int], repeated: Iterable[bool], text: bytes, min_words: int = DEFAULTS.min_run_words) -> list[tuple[int, int]]:
-    """(start, length) in bytes of the runs of repeated chunks that hold at least ``min_words`` words."""
+def repeat_runs(ends: list[int], repeated: Iterable[bool], text: bytes, p: ChunkParams = DEFAULTS) -> list[tuple[int, int]]:
+    """(start, length) in bytes of the runs of repeated chunks that are long enough to go."""
     runs, start, run = [], 0, None
     for end, again in zip([*ends, None], [*repeated, False], strict=True):
         if again and run is None:
             run = start
         elif not again and run is not None:
-            if len(text[run:start].split()) >= min_words:
+            if start - run >= p.min_run_bytes or len(text[run:start].split()) >= p.min_run_words:
                 runs.append((run, start - run))
             run = None
         start = end
     return runs
 
 
+_CHUNK_COLUMNS = "d1 long, d2 long, none boolean, rank long, key long, number int, repeat boolean"
+
+
 def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: ChunkParams = DEFAULTS) -> DataFrame:
-    """(d1, d2, rank, place, repeat): chunks by digest; ``place`` is the text's key * 2**32 + the chunk's number.
+    """(d1, d2, none, rank, key, number, repeat): chunks by digest; ``none`` and ``rank`` order the rows, ``key`` tells texts of one rank apart.
 
     A task knows that a chunk repeats if it has met the digest in the same text or under a smaller rank. Such rows are
-    marked and spread by their place; of each digest only the row with the smallest rank is left to be compared with other tasks.
+    marked; of each digest only the row with the smallest rank is left to be compared with other tasks.
     """
+    names = [c.split()[0] for c in _CHUNK_COLUMNS.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, int]] = {}
-        marked: list[tuple[int, int]] = []
+        held: dict[bytes, tuple[bool, int, int, int]] = {}
+        marked: list[tuple[bool, int, int, int]] = []
 
-        def out(digests: np.ndarray, rows: Iterable[tuple[int, int]], repeat: bool) -> pa.RecordBatch:
-            pairs = np.array(list(rows), np.int64).reshape(-1, 2)
-            columns = [digests[:, 0].copy(), digests[:, 1].copy(), pairs[:, 0].copy(), pairs[:, 1].copy(), np.full(len(pairs), repeat)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d1", "d2", "rank", "place", "repeat"])
+        def out(digests: np.ndarray, rows: Iterable[tuple[bool, int, int, int]], repeat: bool) -> pa.RecordBatch:
+            none, rank, key, number = np.array(list(rows), np.int64).reshape(-1, 4).T
+            columns = [digests[:, 0].copy(), digests[:, 1].copy(), none.astype(bool), rank.copy(), key.copy(), number.astype(np.int32), np.full(len(rank), repeat)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -160,9 +176,10 @@ def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             for rank, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 if not text:
                     continue
-                place, seen, same = text_key(text) << 32, set(), []
+                key, seen, same = text_key(text), set(), []
+                place = (False, rank) if rank is not None else (True, key)
                 for number, digest in enumerate(chunks_of(text, p)[1]):
-                    mine = (rank, place + number)
+                    mine = (*place, key, number)
                     before = held.get(digest)
                     if digest in seen:
                         marked.append(mine)
@@ -170,9 +187,9 @@ def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                     seen.add(digest)
                     if before is None:
                         held[digest] = mine
-                    elif before[0] < rank:
+                    elif before[:2] < place:
                         marked.append(mine)
-                    elif before[0] > rank:
+                    elif before[:2] > place:
                         marked.append(before)
                         held[digest] = mine
                     else:  # another row with this rank: neither repeats the other
@@ -180,25 +197,25 @@ def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 if same:
                     yield out(np.frombuffer(b"".join(d for d, _ in same), np.int64).reshape(-1, 2), [m for _, m in same], False)
             if marked:
-                pairs = np.array(marked, np.int64)
-                yield out(pairs[:, ::-1], marked, True)
+                # Spread by their place: no other chunk is looked for.
+                spread = np.array(marked, np.int64)
+                yield out(spread[:, [3, 2]], marked, True)
                 marked.clear()
             if len(held) >= p.held_chunks:
                 yield from flush()
         yield from flush()
 
-    rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MAX_LONG)).alias("rank")
-    return df.select(rank, F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "d1 long, d2 long, rank long, place long, repeat boolean")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("rank"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, _CHUNK_COLUMNS)
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """(rank, key, repeats): numbers of the chunks of each text that an earlier document or place holds."""
+    """(none, rank, key, repeats): numbers of the chunks of each text that an earlier document or place holds."""
     # A digest has one row from each task (or each ``held_chunks`` of one), however many documents hold it.
-    owner = F.min(F.when(~F.col("repeat"), F.col("rank"))).over(Window.partitionBy("d1", "d2"))
-    repeated = chunks.withColumn("owner", owner).filter(F.col("repeat") | (F.col("rank") > F.col("owner")))
-    numbers = repeated.select("rank", F.shiftright("place", 32).alias("key"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("number"))
+    spot = F.struct("none", "rank")
+    owner = F.min(F.when(~F.col("repeat"), spot)).over(Window.partitionBy("d1", "d2"))
+    repeated = chunks.withColumn("owner", owner).filter(F.col("repeat") | (spot > F.col("owner")))
     # A set, as rows that repeat with doc_id and text name the same chunks again; bounded by one text's chunks.
-    return numbers.groupBy("rank", "key").agg(F.collect_set("number").alias("repeats"))
+    return repeated.groupBy("none", "rank", "key").agg(F.collect_set("number").alias("repeats"))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: ChunkParams = DEFAULTS) -> DataFrame:
@@ -210,12 +227,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keys = pa.array([text_key(t) for t in _texts(b.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "key"])
 
-    rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MAX_LONG)).alias("rank")
+    own_id = F.col(f"`{id_col}`").cast("long").alias("own_id")
     others = [F.col(f"`{c}`") for c in df.columns if c != text_col] or [F.lit(0).alias("none")]
-    rows = df.select(F.struct(*others).alias("rest"), rank, F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = df.select(F.struct(*others).alias("rest"), own_id, F.col(f"`{text_col}`").cast("string").alias("text"))
     rest = rows.schema["rest"].dataType
     schema = T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())])
-    joined = rows.mapInArrow(keyed, schema).join(repeats, ["rank", "key"], "left").select("rest", "text", "repeats")
+    ranked = rows.mapInArrow(keyed, schema).select("rest", "text", "key", F.col("own_id").isNull().alias("none"), F.coalesce("own_id", "key").alias("rank"))
+    joined = ranked.join(repeats, ["none", "rank", "key"], "left").select("rest", "text", "repeats")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +241,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, numbers in zip(_texts(b.column("text")), b.column("repeats").to_pylist(), strict=True):
                 ends = chunk_ends(np.frombuffer(text, np.uint8), p) if text else []
                 gone = set(numbers or ())
-                runs = repeat_runs(ends, [k in gone for k in range(len(ends))], text, p.min_run_words) if gone else []
+                runs = repeat_runs(ends, [k in gone for k in range(len(ends))], text, p) if gone else []
                 parts, at = [], 0
                 for start, length in runs:
                     parts.append(text[at:start])

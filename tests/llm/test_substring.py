@@ -1,4 +1,8 @@
+import re
+
 import numpy as np
+import pytest
+import xxhash
 
 from lexiloom.llm import substring as sub
 
@@ -16,25 +20,62 @@ def slow_gear(data):
     return out
 
 
+def slow_chunks(data, p=sub.DEFAULTS):
+    """Ends of the chunks, byte by byte from the rules alone."""
+    white = b" \t\n\x0b\x0c\r"
+    whole = lambda k: k >= len(data) or data[k] & 0xC0 != 0x80
+    cuts = set()
+    for k, h in enumerate(slow_gear(data)):
+        if h >> (16 - p.mask_bits) == 0:
+            gap = next((g for g in range(k, min(len(data), k + p.reach + 1)) if data[g] in white), None)
+            cuts.add(gap + 1 if gap is not None else next(c for c in range(k + 1, k + 5) if whole(c)))
+    ends, start = [], 0
+    for cut in [*sorted(cuts), None]:
+        while (len(data) if cut is None else cut) - start > p.max_bytes:
+            start += p.max_bytes
+            while not whole(start):
+                start -= 1
+            ends.append(start)
+        if cut is not None and cut - start >= p.min_bytes:
+            ends.append(cut)
+            start = cut
+    return [*ends, len(data)] if start < len(data) else ends
+
+
+def slow_runs(ends, flags, data, p=sub.DEFAULTS):
+    """Maximal runs of repeated chunks that hold enough words or bytes."""
+    starts, out, k = [0, *ends[:-1]], [], 0
+    while k < len(ends):
+        z = k
+        while z < len(ends) and flags[z]:
+            z += 1
+        if z > k:
+            part = data[starts[k] : ends[z - 1]]
+            if len(part) >= p.min_run_bytes or len([w for w in re.split(rb"[\x20\x09-\x0d]+", part) if w]) >= p.min_run_words:
+                out.append((starts[k], len(part)))
+        k = max(z, k + 1)
+    return out
+
+
 def slow_dedup(rows, p=sub.DEFAULTS):
-    """Direct reading of the rules, one row after the other."""
+    """Direct reading of the rules, one row after the other; chunks are compared as they are."""
     owner, cut = {}, []
     for i, text in rows:
         data = (text or "").encode()
-        ends, digests = sub.chunks_of(data, p) if data else ([], [])
-        cut.append((i, text, data, ends, digests))
-        for d in digests:
-            rank = 2**63 - 1 if i is None else i
-            owner[d] = min(owner.get(d, rank), rank)
+        ends = slow_chunks(data, p) if data else []
+        chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        rank = (i is None, xxhash.xxh3_64_intdigest(data) >> 1 if i is None else i)
+        cut.append((i, text, data, ends, chunks, rank))
+        for c in chunks:
+            owner[c] = min(owner.get(c, rank), rank)
     out = []
-    for i, text, data, ends, digests in cut:
-        rank, seen, flags = 2**63 - 1 if i is None else i, set(), []
-        for d in digests:
-            flags.append(d in seen or rank > owner[d])
-            seen.add(d)
-        runs = sub.repeat_runs(ends, flags, data, p.min_run_words)
+    for i, text, data, ends, chunks, rank in cut:
+        seen, flags = set(), []
+        for c in chunks:
+            flags.append(c in seen or rank > owner[c])
+            seen.add(c)
         kept, at = b"", 0
-        for s, n in runs:
+        for s, n in slow_runs(ends, flags, data, p):
             kept += data[at:s]
             at = s + n
         out.append((i, None if text is None else (kept + data[at:]).decode(), len(ends), sum(flags)))
@@ -66,6 +107,39 @@ def test_insertions_shift_no_later_chunk():
     assert len(set(before) - set(after)) <= 4
 
 
+CHINESE = "".join(chr(0x4E00 + k) for k in np.random.default_rng(8).integers(0, 3000, 5000))
+UNSPACED = "".join(chr(97 + k) for k in np.random.default_rng(9).integers(0, 26, 6000))
+
+
+@pytest.mark.parametrize("text", [CHINESE, UNSPACED, words(2, 600), words(2, 600).replace(" ", "\t"), words(2, 600).replace(" ", "\x0b"), "ab " + UNSPACED[:900] + "\n" + CHINESE[:700] + words(3, 90), "é" * 900, "x" * 700])
+def test_chunks_equal_a_byte_by_byte_reading(text):
+    assert sub.chunk_ends(np.frombuffer(text.encode(), np.uint8)) == slow_chunks(text.encode())
+
+
+@pytest.mark.parametrize("text,put", [(CHINESE, "字"), (UNSPACED, "q"), (words(4, 900).replace(" ", "\t"), "q")])
+def test_one_inserted_character_leaves_nearly_all_chunks(text, put):
+    before = set(sub.chunks_of(text.encode())[1])
+    after = set(sub.chunks_of((put + text).encode())[1])
+    assert len(before & after) > 0.9 * len(before)
+
+
+def test_copies_without_spaces_go(spark):
+    rows = [(1, CHINESE[:3000]), (2, CHINESE[:3000]), (3, "前" + CHINESE[1000:2000]), (4, UNSPACED[:3000]), (5, UNSPACED[:3000]), (6, CHINESE[4000:])]
+    got = sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert result(got) == slow_dedup(rows)
+    left = {r["doc_id"]: len(r["kept_text"]) for r in got.selectExpr("rest.doc_id", "kept_text").collect()}
+    assert left[1] == 3000 and left[2] == 0 and left[3] < 100 and left[4] == 3000 and left[5] == 0 and left[6] == 1000
+
+
+def test_rows_without_ids_share_passages_too(spark):
+    passage = words(11, 70)
+    rows = [(None, words(500 + k, 40) + " " + passage + " " + words(600 + k, 40)) for k in range(5)] + [(None, passage), (None, passage), (None, None), (7, words(700, 50))]
+    got = result(sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == slow_dedup(rows)
+    middle = " ".join(passage.split()[15:45])
+    assert sum(middle in (t or "") for _, t, _, _ in got) in (1, 2)  # the two equal rows get equal results
+
+
 def test_passages_go_once_and_clean_texts_stay(spark):
     passage = words(5, 60)
     rows = [(i, words(100 + i, 80) + " " + passage + " " + words(200 + i, 80)) for i in range(6)] + [(50 + i, words(300 + i, 150)) for i in range(4)]
