@@ -20,25 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares; a temporary one only where none is configured."""
+    """The folder every executor shares. In local mode alone, where there is one machine, a temporary one stands in for it."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, removed when the session ends.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, partitioned ``by`` a column, removed when the session ends.
 
     Unlike an executor-local copy it survives lost executors, and it fixes the rows, so that
     several readers see the same ones even where the input's order is not fixed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,17 @@
 """URL filters by a cascade of Bloom filters (DataFrame functions only).
 
-Rules on host and path come first. The other urls are judged by a list of hosts, held as a cascade:
+Rules on host and path come first. The other urls are judged by a table of listed hosts, held as a cascade:
 level 1 encodes the listed keys of the corpus, level 2 the unlisted keys that pass level 1, level 3 the
 listed keys that pass level 2, and so on until none is left over. Over the key universe the cascade
-was built from - every key of the corpus - membership is exact: the first level that rejects a key tells on which side it is.
+was built from - every host of the corpus - membership is exact: the first level that rejects a key tells on which side it is.
+The list meets the corpus's distinct hosts once, to build the cascade; urls are judged in the scan's stage, without join or shuffle.
 
-A level is an array of 64-bit words in the query's plan, so a lookup is a chain of array reads in the scan's stage,
-with no join and no shuffle. Its size has a bound: ``max_bits`` over all levels; a longer list raises
-an error that names the bound instead of growing the plan.
+A level is an array of 64-bit words that a scalar subquery reads from the shared folder, so it stands in no plan's text and
+its words never pass through Python. The levels of one cascade hold ``max_bits`` at most, about: a longer list is parted by a hash of the
+hosts into as many cascades as it needs, and the urls, written by part, are judged part by part.
 
-Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict allow;
+Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict allow unless the empty
+host is listed; null and repeated listed hosts count as none and as one; hosts are compared as ``host_of`` gives them, in lower case;
 repeated rows are judged alike; an empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from lexiloom.llm.common import materialise, table
 
 #: (verdict, host, path) of the rules; a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Host labels whose hosts are listed, wherever the label stands.
+#: Labels of the hosts that the query lists, wherever the label stands.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
@@ -33,17 +36,21 @@ LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 class CascadeParams:
     bits_per_key: float = 8.0
     hashes: int = 4
-    max_bits: int = 1 << 27
-    max_levels: int = 64
+    #: Bits of a cascade, about; beyond, the list is parted.
+    max_bits: int = 1 << 25
 
 
 DEFAULTS = CascadeParams()
 
 
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty without ``://``."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(F.coalesce(host, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lower_ascii(F.coalesce(host, F.lit("")))
 
 
 def path_of(url: Column) -> Column:
@@ -61,20 +68,16 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return chosen if chosen is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def is_listed(host: Column, labels: tuple = LISTED_LABELS) -> Column:
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in labels]))
-
-
 def _bit(key: Column, level: int, k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(k)), F.lit(bits))
 
 
 class Level:
-    """One Bloom filter: its words as a literal that the optimiser folds to one array."""
+    """One Bloom filter: its words, (word, mask) rows of a written table without gaps, as one array."""
 
-    def __init__(self, number: int, bits: int, hashes: int, words: list[int]):
+    def __init__(self, number: int, bits: int, hashes: int, words: DataFrame):
         self.number, self.bits, self.hashes = number, bits, hashes
-        self.array = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+        self.array = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda w: w["mask"])).scalar()
 
     def passes(self, key: Column) -> Column:
         hit = None
@@ -90,27 +93,20 @@ def _mask_of(at: Column) -> Column:
 
 
 def _build(keys: DataFrame, n: int, number: int, p: CascadeParams) -> Level:
-    """Filter over ``keys.key``; the words are aggregated on the executors, a bounded number of them."""
-    bits = max(64, 64 * math.ceil(n * p.bits_per_key / 64))
-    at = F.explode(F.array(*[_bit(F.col("key"), number, k, bits) for k in range(p.hashes)]))
-    mask = _mask_of(F.col("at"))
-    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(mask).alias("mask"))
-    found = [0] * (bits // 64)
-    for row in words.collect():
-        found[row["word"]] = row["mask"]
-    return Level(number, bits, p.hashes, found)
+    """Filter over ``keys.key``; the words are aggregated and written by the executors."""
+    size = math.ceil(n * p.bits_per_key / 64)
+    at = F.explode(F.array(*[_bit(F.col("key"), number, k, 64 * size) for k in range(p.hashes)]))
+    set_words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), _mask_of(F.col("at")).alias("mask"))
+    every = set_words.unionByName(keys.sparkSession.range(size).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask")))
+    return Level(number, 64 * size, p.hashes, materialise(every.groupBy("word").agg(F.bit_or("mask").alias("mask")), "words"))
 
 
 def build_cascade(universe: DataFrame, p: CascadeParams = DEFAULTS) -> list[Level]:
-    """Levels over (key, listed): distinct non-null keys of the whole corpus."""
-    keys = materialise(universe.select("key", "listed"), "universe")
+    """Levels over (key, listed): distinct non-null keys of the whole corpus. Every level leaves a few keys in a hundred over, until none is."""
     levels: list[Level] = []
-    side, other = keys.filter("listed"), keys.filter("not listed")
-    n, spent = side.count(), 0
+    side, other = universe.filter("listed"), universe.filter("not listed")
+    n = side.count()
     while n:
-        spent += max(64, 64 * math.ceil(n * p.bits_per_key / 64))
-        if spent > p.max_bits or len(levels) >= p.max_levels:
-            raise ValueError(f"the cascade needs over {p.max_bits} bits or {p.max_levels} levels")
         levels.append(_build(side, n, len(levels), p))
         left = materialise(other.filter(levels[-1].passes(F.col("key"))), "level")
         side, other = left, side
@@ -126,21 +122,40 @@ def in_cascade(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def filter_urls(df: DataFrame, url_col: str = "url", keep: list[str] | None = None, rules: tuple = RULES, labels: tuple = LISTED_LABELS, p: CascadeParams = DEFAULTS) -> DataFrame:
-    """``row`` (the columns ``keep``, default all), host, path, rule, verdict, listed."""
+def filter_urls(df: DataFrame, listed: DataFrame, url_col: str = "url", keep: list[str] | None = None, rules: tuple = RULES, p: CascadeParams = DEFAULTS) -> DataFrame:
+    """``row`` (the columns ``keep``, default all), host, path, rule, verdict, listed. ``listed``: a table of hosts, in its first column."""
     kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
     url = F.col(f"`{url_col}`").cast("string")
-    parts = df.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
-    hosts = parts.select(F.col("host").alias("key")).distinct()
-    levels = build_cascade(hosts.select("key", is_listed(F.col("key"), labels).alias("listed")), p)
-    ruled = parts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", in_cascade(F.col("host"), levels))
-    method = F.when(F.col("listed"), "block").otherwise("allow")
-    return ruled.select("row", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), "listed")
+    rows = df.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
+    names = listed.select(lower_ascii(F.col(f"`{listed.columns[0]}`").cast("string")).alias("key")).filter("key is not null").distinct().withColumn("on", F.lit(True))
+    hosts = rows.select(F.col("host").alias("key")).distinct()
+    universe = materialise(hosts.join(names, "key", "left").select("key", F.col("on").isNotNull().alias("listed")), "universe")
+    # Further levels hold a tenth of the first one's keys or so.
+    parts = max(1, math.ceil(universe.filter("listed").count() * p.bits_per_key * 1.25 / p.max_bits))
+
+    def judged(part: DataFrame, levels: list[Level]) -> DataFrame:
+        ruled = part.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", in_cascade(F.col("host"), levels))
+        method = F.when(F.col("listed"), "block").otherwise("allow")
+        return ruled.select("row", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), "listed")
+
+    if parts == 1:
+        return judged(rows, build_cascade(universe, p))
+    spot = lambda c: F.pmod(F.xxhash64(c, F.lit(-1)), F.lit(parts)).cast("int")
+    written = materialise(rows.withColumn("part", spot("host")), "urls", "part")
+    keys = materialise(universe.withColumn("part", spot("key")), "universe", "part")
+    return reduce(DataFrame.unionByName, [judged(written.filter(F.col("part") == k), build_cascade(keys.filter(F.col("part") == k), p)) for k in range(parts)])
+
+
+def listed_hosts(df: DataFrame, url_col: str = "url", labels: tuple = LISTED_LABELS) -> DataFrame:
+    """The query's list: hosts of the table that hold a label."""
+    hosts = df.select(host_of(F.col(f"`{url_col}`").cast("string")).alias("host")).distinct()
+    return hosts.filter(F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels])))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on the url of every page."""
-    return filter_urls(table(spark, sf_dir, "pages"), keep=["page_id"]).select("row.page_id", "host", "path", "rule", "verdict")
+    """Verdict on the url of every page, by the rules and by the hosts that hold a listed label."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, listed_hosts(pages), keep=["page_id"]).select("row.page_id", "host", "path", "rule", "verdict")
 
 
 def oracle(rules: tuple = RULES, labels: tuple = LISTED_LABELS) -> str:

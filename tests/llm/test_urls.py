@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -29,8 +30,10 @@ def result(df):
 
 def test_urls(spark):
     frame = spark.createDataFrame([(u,) for u in URLS * 2], "url string").selectExpr("*", "1 as host", "'r' as rule", "2 as row")
-    assert sorted(result(urls.filter_urls(frame)), key=str) == sorted([(u, *slow(u)) for u in URLS * 2], key=str)
-    assert urls.filter_urls(frame.limit(0)).collect() == []
+    listed = urls.listed_hosts(frame)
+    assert sorted(result(urls.filter_urls(frame, listed)), key=str) == sorted([(u, *slow(u)) for u in URLS * 2], key=str)
+    assert urls.filter_urls(frame.limit(0), listed).collect() == []
+    assert {r["verdict"] for r in urls.filter_urls(frame, listed.limit(0)).filter("rule is null").collect()} == {"allow"}
 
 
 def test_query_on_real_pages(spark):
@@ -49,7 +52,32 @@ def test_cascade_is_exact_over_its_universe(spark, bits):
     assert keys.filter(urls.in_cascade(F.col("key"), levels) != F.col("listed")).count() == 0
 
 
-def test_bound_is_checked(spark):
-    keys = spark.range(100).select(F.col("id").cast("string").alias("key"), F.lit(True).alias("listed"))
-    with pytest.raises(ValueError, match="bits"):
-        urls.build_cascade(keys, urls.CascadeParams(max_bits=64))
+def listed_case(spark):
+    """Urls over 900 hosts, and a list that no rule could guess: random hosts, some unknown, twice, null or in capitals."""
+    rng = random.Random(7)
+    hosts = [f"h{k}.example-{k % 13}.xyz" for k in range(900)]
+    chosen = rng.sample(hosts, 300)
+    pages = spark.createDataFrame([(f"http://{h}/p{k}",) for k, h in enumerate(hosts + rng.sample(hosts, 200))], "url string")
+    names = [*chosen[:250], *(h.upper() for h in chosen[250:]), *chosen[:9], None, "never.seen"]
+    return pages, spark.createDataFrame([(n, 1) for n in names], "name string, host long"), set(chosen)
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1024])
+def test_a_list_of_any_size_is_exact(spark, bits):
+    """With few bits the list is parted into several cascades, and every url is still judged once."""
+    pages, listed, chosen = listed_case(spark)
+    got = urls.filter_urls(pages, listed, p=urls.CascadeParams(max_bits=bits)).collect()
+    assert len(got) == pages.count() and all((r["verdict"] == "block") == r["listed"] == (r["host"] in chosen) for r in got)
+
+
+def test_verdicts_come_from_the_cascade(spark, monkeypatch):
+    pages, listed, _ = listed_case(spark)
+    monkeypatch.setattr(urls, "in_cascade", lambda key, levels: F.lit(False))
+    assert urls.filter_urls(pages, listed).filter("listed").count() == 0
+
+
+def test_words_stand_in_no_plan(spark):
+    pages, listed, _ = listed_case(spark)
+    judged = urls.filter_urls(pages, listed)
+    assert len(judged._jdf.queryExecution().toString()) < 200_000
+    assert " Join" not in judged._jdf.queryExecution().optimizedPlan().toString()
