@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(jvm_path)
+    store.deleteOnExit(jvm_path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, partitioned ``by`` a column, removed when the session ends.
 
@@ -39,11 +49,9 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     several readers see the same ones even where the input's order is not fixed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    path = shared_path(spark, name)
+    writer = df.write.mode("append").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ def test_scan_of_flat_files(spark, tmp_path, block, group):
     }
     for name, tokens in files.items():
         (tmp_path / name).write_bytes(tokens.astype("<u2").tobytes())
-    blocks = tokencount.read_token_files(spark, str(tmp_path), block_tokens=block)
+    blocks = tokencount.blocks_of(spark, str(tmp_path), block_tokens=block)
     names = {r["file"]: r["path"].rsplit("/", 1)[-1] for r in blocks.select("file", "path").distinct().collect()}
     got = {}
     for r in tokencount.count_tokens(blocks, 0, group_blocks=group).collect():
@@ -46,9 +46,46 @@ def test_query_on_real_documents(spark, library):
     assert len(got) == len(want) and {r["doc_id"]: r["n_tokens"] for r in got} == want
 
 
-def test_edges(spark, library):
+def counted(spark, frame, folder, **how):
+    """Token numbers of the files that a manifest names, by document in the manifest's order."""
+    folder.mkdir()
+    manifest = tokencount.write_token_files(frame, f"file://{folder}", **how).collect()
+    if not manifest:
+        return [], []
+    blocks = tokencount.blocks_of(spark, f"{folder}/*.bin", how.get("dtype", "<u2"), block_tokens=50)
+    names = {r["file"]: r["path"].rsplit("/", 1)[-1] for r in blocks.select("file", "path").distinct().collect()}
+    counts = {(names[r["file"]], r["ordinal"]): r["n_tokens"] for r in tokencount.count_tokens(blocks, dtype=how.get("dtype", "<u2")).collect()}
+    return [(i, counts[r["path"], r["first"] + k]) for r in manifest for k, i in enumerate(r["ids"])], manifest
+
+
+def test_edges(spark, library, tmp_path):
     texts = [None, "", "a", "x<|endoftext|>y", "word " * 3000, "a", "日本"]
-    frame = spark.createDataFrame([(None if k == 5 else k % 4, t) for k, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as file", "'b' as block")
-    counts = tokencount.count_tokens(tokencount.write_blocks(frame, block_tokens=50).filter("tokens is not null"))
-    assert sorted(r["n_tokens"] for r in counts.collect()) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for t in texts)
-    assert tokencount.count_tokens(tokencount.write_blocks(frame.limit(0)).filter("tokens is not null")).collect() == []
+    rows = [(None if k == 5 else k % 4, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as file", "'b' as block", "'p' as path")
+    want = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for k, how in enumerate(({}, {"file_bytes": 10}, {"dtype": "<u4"})):
+        got, manifest = counted(spark, frame.coalesce(2), tmp_path / str(k), **how)
+        assert sorted((str(i), n) for i, n in got) == want
+    assert len({r["path"] for r in manifest}) <= 2
+    assert counted(spark, frame.limit(0), tmp_path / "none") == ([], [])
+
+
+def test_files_and_ids_that_do_not_fit_are_errors(spark, tmp_path):
+    (tmp_path / "odd").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        tokencount.blocks_of(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError, match="does not fit"):
+        tokencount.packed(np.array([65536]), "<u2")
+    assert tokencount.id_type(50257) == "<u2" and tokencount.id_type(70000) == "<u4"
+
+
+def test_a_block_is_read_alone(spark, tmp_path):
+    """Blocks of a large sparse file: tasks read the bytes of their blocks, wherever those lie."""
+    size = 3_000_000_000
+    with open(tmp_path / "large", "wb") as file:
+        file.seek(size - 4)
+        file.write(np.array([7, 7], "<u2").tobytes())
+    blocks = tokencount.blocks_of(spark, str(tmp_path), block_tokens=1 << 18)
+    assert blocks.count() == -(-size // (1 << 19))
+    got = tokencount.scan_blocks(blocks.filter("block in (0, 5721, 5722)"), 7).collect()
+    assert sorted((r["block"], r["n"], r["ends"]) for r in got) == [(0, 1 << 18, []), (5721, 1 << 18, []), (5722, (size - 5722 * (1 << 19)) // 2, [(size - 5722 * (1 << 19)) // 2 - 1, (size - 5722 * (1 << 19)) // 2])]
