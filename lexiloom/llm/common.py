@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 MAX_LONG = 2**63 - 1
+#: Rows that a task writes at least, where their number is known.
+ROWS_EACH = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,24 +36,58 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders made within each open ``scratch``.
+_scopes: list[list[str]] = []
+
+
+def _store_of(spark: SparkSession, path: str) -> tuple:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, removed when the session ends."""
+    """A new folder in the shared one, removed when its ``scratch`` closes, or else when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store, jvm_path = _store_of(spark, path)
     store.mkdirs(jvm_path)
     store.deleteOnExit(jvm_path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go at its end, except the one that ``result`` names: nothing that outlives it may read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            store, jvm_path = _store_of(spark, path)
+            store.delete(jvm_path, True)
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` a table that outlives the ``scratch`` it is made in."""
+    inner = _scopes.pop()
+    try:
+        return materialise(df, name)
+    finally:
+        _scopes.append(inner)
+
+
+def materialise(df: DataFrame, name: str, by: str | None = None, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, partitioned ``by`` a column, removed when the session ends.
 
+    Where some ``rows`` at most are known to come, they are written by as many tasks as those are worth, not into many tiny files.
     Unlike an executor-local copy it survives lost executors, and it fixes the rows, so that
     several readers see the same ones even where the input's order is not fixed.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_EACH)))
     writer = df.write.mode("append").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

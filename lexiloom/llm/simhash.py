@@ -276,7 +276,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None, c
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id that links within ``radius`` bits reach."""
     marked = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes", rows=marked.count())
     star = star_forest(links(classes, radius))
     linked = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     named = linked.join(classes, "fp")
