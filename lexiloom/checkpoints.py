@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back; removed when the session ends. Survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends. Only in local mode, on one machine, a temporary folder can stand in for it."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write once, read back; removed when the session ends. Survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import fold, says_kind, terms_of
+from lexiloom.operators import structure
 from lexiloom.rules import RULES, RuleSet
 
 CATALOGUE = (
@@ -34,6 +35,15 @@ def drafts(entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> Data
     return kept.select("source_id", seq.alias("seq"), "title", "terms", concept.alias("concept"), "body", ref.alias("ref"), F.lit(None).cast("string").alias("parent"))
 
 
+def unfoldable(lines: DataFrame, entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+    """(source_id, surface) of names that fold to nothing: declared bases, terms of kept entries, titles in kept chapters. A source with any gets no catalogue."""
+    declared = structure.declared_names(lines, rules).filter(fold(F.col("name")).isNull()).select("source_id", F.col("name").alias("surface"))
+    each = kept_entries(entries, bases, rules).select("source_id", F.explode(terms_of(F.col("title"), rules)).alias("t"))
+    terms = each.filter("t.concept is null").select("source_id", F.col("t.surface").alias("surface"))
+    titles = entries.filter(F.col("in_kept_chapter") & fold(F.col("title")).isNull()).select("source_id", F.col("title").alias("surface"))
+    return declared.unionByName(terms).unionByName(titles).distinct()
+
+
 def faulty_refs(catalogue: DataFrame) -> DataFrame:
     """Rows whose reference no reader could open: blank source, or entry or line below 1."""
     return catalogue.filter((F.trim("source_id") == "") | (F.col("ref.entry") < 1) | (F.col("ref.line") < 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import holds_run, width_of
+from lexiloom.functions.text import grams_of, width_of
 
 
 def all_names(catalogue: DataFrame) -> DataFrame:
@@ -38,9 +38,11 @@ def lookups(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFr
     other = asked.join(exact.select("source_id", "wanted"), ["source_id", "wanted"], "left_anti")
     declared = bases.select("source_id", F.col("concept").alias("wanted"), F.lit(True).alias("is_base"))
     placed = names.join(entry_order(catalogue), ["source_id", "entry"])
-    # The wanted run's first word meets the names' words, so the run test is left to few pairs.
-    worded = placed.withColumn("word", F.explode(F.array_distinct(F.split("name", "-"))))
-    loose = other.withColumn("word", F.substring_index("wanted", "-", 1)).join(worded, ["source_id", "word"]).filter(holds_run(F.col("name"), F.col("wanted")))
+    # Names meet questions by their runs of words, of the widths that questions have: every meeting is an answer, however common a word is.
+    widths = other.select("source_id", width_of(F.col("wanted")).alias("w")).groupBy("source_id").agg(F.collect_set("w").alias("widths"))
+    words = F.split("name", "-")
+    runs = placed.join(widths, "source_id").withColumn("w", F.explode("widths")).withColumn("wanted", F.explode(F.array_distinct(F.transform(grams_of(words, F.col("w")), lambda g: g["gram"])))).drop("widths", "w")
+    loose = other.join(runs, ["source_id", "wanted"])
     ranked = loose.join(declared, ["source_id", "wanted"], "left").select(
         "source_id", "wanted", "seq", "entry", "concept", F.when(F.col("is_base"), 0).otherwise(width_of(F.col("name"))).alias("by_width"), "place", "name", "pos"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_table
@@ -22,13 +22,15 @@ def census(catalogue: DataFrame, bases: DataFrame) -> DataFrame:
     return counts.join(named, "source_id", "left").select("source_id", F.coalesce("mothers", F.lit("")).alias("mothers"), "sauces", "derived", "unresolved")
 
 
-def diagnostics(lines: DataFrame, entries: DataFrame, drafts: DataFrame) -> DataFrame:
-    """(source_id, entries, kept, status): ok, no_entries or none_kept."""
+def diagnostics(lines: DataFrame, entries: DataFrame, drafts: DataFrame, unfoldable: DataFrame) -> DataFrame:
+    """(source_id, entries, kept, status): ok, unfoldable (a name folds to nothing), no_entries or none_kept."""
     every = lines.select("source_id").distinct()
     read = entries.groupBy("source_id").agg(F.count("*").alias("entries"))
     kept = drafts.groupBy("source_id").agg(F.count("*").alias("kept"))
-    joined = every.join(read, "source_id", "left").join(kept, "source_id", "left").na.fill(0, ["entries", "kept"])
-    return joined.withColumn("status", F.when(F.col("entries") == 0, "no_entries").when(F.col("kept") == 0, "none_kept").otherwise("ok"))
+    nameless = unfoldable.select("source_id").distinct().withColumn("nameless", F.lit(True))
+    joined = every.join(read, "source_id", "left").join(kept, "source_id", "left").join(nameless, "source_id", "left").na.fill(0, ["entries", "kept"])
+    status = F.when(F.col("nameless"), "unfoldable").when(F.col("entries") == 0, "no_entries").when(F.col("kept") == 0, "none_kept").otherwise("ok")
+    return joined.select("source_id", "entries", "kept", status.alias("status"))
 
 
 def matches(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -55,7 +57,22 @@ def children(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataF
     return by_name.unionByName(by_target).distinct()
 
 
-def derivation_trees(catalogue: DataFrame, bases: DataFrame, roots: DataFrame, levels: int = 10_000) -> DataFrame:
+def _recursive(spark: SparkSession, catalogue: DataFrame, statement: str) -> DataFrame:
+    """The rows of a recursive statement, written; without a cap on rows.
+
+    A branch ends at the first name it repeats, so no recursion goes deeper than the largest source has rows, and two more.
+    """
+    deepest = (catalogue.groupBy("source_id").count().agg(F.max("count")).first()[0] or 0) + 2
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        return shared_table(spark.sql(statement.format(levels=deepest)), "recursion")
+    finally:
+        spark.conf.set(limit, before)
+
+
+def derivation_trees(catalogue: DataFrame, bases: DataFrame, roots: DataFrame) -> DataFrame:
     """(source_id, root, path, depth, title, languages, concept, last) of every node under each (source_id, root).
 
     Depth first by ``path``. A child whose concept its branch has shown already is listed and not followed, so a
@@ -68,8 +85,8 @@ def derivation_trees(catalogue: DataFrame, bases: DataFrame, roots: DataFrame, l
     # Written once: each level of the recursion reads the edges again.
     shared_table(children(catalogue, bases, asked).join(shown, ["source_id", "seq"]), "edges").createOrReplaceTempView(f"{view}_edges")
     roots.select("source_id", "root").distinct().createOrReplaceTempView(f"{view}_roots")
-    nodes = spark.sql(f"""
-        WITH RECURSIVE nodes(source_id, root, path, seen, title, languages, concept, open) MAX RECURSION LEVEL {int(levels)} AS (
+    nodes = _recursive(spark, catalogue, f"""
+        WITH RECURSIVE nodes(source_id, root, path, seen, title, languages, concept, open) MAX RECURSION LEVEL {{levels}} AS (
           SELECT r.source_id, root, array(e.seq), array(root), title, languages, concept, NOT (concept <=> root)
           FROM {view}_roots r JOIN {view}_edges e ON r.source_id = e.source_id AND r.root = e.wanted
           UNION ALL
@@ -81,15 +98,15 @@ def derivation_trees(catalogue: DataFrame, bases: DataFrame, roots: DataFrame, l
     return nodes.withColumn("last", F.lead("path").over(siblings).isNull())
 
 
-def ancestors(catalogue: DataFrame, bases: DataFrame, levels: int = 10_000) -> DataFrame:
+def ancestors(catalogue: DataFrame, bases: DataFrame) -> DataFrame:
     """(source_id, seq, depth, ancestor): the chain of parents of every preparation, up to the first repeat."""
     spark = catalogue.sparkSession
     named = catalogue.filter("parent is not null").select("source_id", F.col("parent").alias("wanted"))
     reached = lookups(catalogue, bases, named).filter("rank = 1").select("source_id", F.col("wanted").alias("parent"), F.col("seq").alias("target"))
     view = f"up_{uuid.uuid4().hex}"
     shared_table(catalogue.select("source_id", "seq", "parent").join(reached, ["source_id", "parent"]).select("source_id", "seq", "target"), "hops").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(source_id, seq, path) MAX RECURSION LEVEL {int(levels)} AS (
+    return _recursive(spark, catalogue, f"""
+        WITH RECURSIVE up(source_id, seq, path) MAX RECURSION LEVEL {{levels}} AS (
           SELECT source_id, seq, array(seq, target) FROM {view}
           UNION ALL
           SELECT u.source_id, u.seq, concat(path, array(e.target)) FROM up u JOIN {view} e ON u.source_id = e.source_id AND element_at(path, -1) = e.seq

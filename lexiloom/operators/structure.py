@@ -20,11 +20,12 @@ def _joined(lines: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(lines), lambda x: x["text"]), "\n")
 
 
-def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
-    """(source_id, concept) of the bases in the source's first declaration.
+def declared_names(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+    """(source_id, name) of the bases in the source's first declaration, as written.
 
-    The declaration may run over lines, but its opening cannot. So only the lines from the first opening
-    up to the third that holds a full stop can matter, and no task joins a whole body.
+    The declaration may run over lines, but its opening cannot, and it ends at a full stop. So only the lines from the first opening
+    up to the third that holds a full stop can matter; of a source with fewer, only the blocks of lines from the opening
+    to its last full stop. Without one behind the opening nothing is declared, and no line is gathered.
     """
     opens = F.when(F.rlike("text", F.lit(rules.declaration_opens)), F.col("idx"))
     first = lines.groupBy("source_id").agg(F.min(opens).alias("first")).filter("first is not null")
@@ -32,11 +33,16 @@ def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     # The third full stop, by a grouped limit that works map-side first.
     order = Window.partitionBy("source_id").orderBy("idx")
     stops = behind.filter(F.contains("text", F.lit("."))).select("source_id", "idx").withColumn("k", F.row_number().over(order)).filter("k <= 3")
-    third = stops.groupBy("source_id").agg(F.max(F.when(F.col("k") == 3, F.col("idx"))).alias("third"))
-    near = behind.join(third, "source_id", "left").filter(F.col("third").isNull() | (F.col("idx") <= F.col("third")))
+    last = stops.groupBy("source_id").agg(F.max("idx").alias("last"))
+    near = behind.join(last, "source_id").filter(F.col("idx") <= F.col("last"))
     said = near.groupBy("source_id").agg(_joined(F.collect_list(F.struct("idx", "text"))).alias("text"))
     listed = said.select("source_id", F.explode(F.split(F.regexp_extract("text", rules.declaration, 1), rules.declaration_parts)).alias("name"))
-    return listed.filter(strip(F.col("name")) != "").select("source_id", fold(F.col("name")).alias("concept")).filter("concept is not null").distinct()
+    return listed.select("source_id", strip(F.col("name")).alias("name")).filter(F.col("name") != "")
+
+
+def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+    """(source_id, concept) of the declared bases; names that fold to nothing are left to ``drafts.unfoldable``."""
+    return declared_names(lines, rules).select("source_id", fold(F.col("name")).alias("concept")).filter("concept is not null").distinct()
 
 
 def marked_lines(lines: DataFrame, rules: RuleSet = RULES, block_lines: int = BLOCK_LINES) -> DataFrame:

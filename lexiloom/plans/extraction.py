@@ -7,18 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lexiloom.checkpoints import shared_table
-from lexiloom.errors import NothingExtracted
+from lexiloom.errors import NothingExtracted, UnfoldableTerm
 from lexiloom.operators import derive, drafts, names, query, structure
 from lexiloom.rules import RULES, RuleSet
 
 
 @dataclass(frozen=True)
 class Extracted:
-    """Tables of all sources at once, keyed by source_id."""
+    """Tables of all sources at once, keyed by source_id. The catalogue leaves out names that fold to nothing; ``unfoldable`` has them."""
 
     catalogue: DataFrame
     bases: DataFrame
     diagnostics: DataFrame
+    unfoldable: DataFrame
 
 
 def read_drafts(lines: DataFrame, rules: RuleSet = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,7 +34,8 @@ def extract(lines: DataFrame, rules: RuleSet = RULES) -> Extracted:
     found, bases, draft = read_drafts(lines, rules)
     bases, draft = shared_table(bases, "bases"), shared_table(draft, "drafts")
     reached = shared_table(names.candidates(draft, bases), "candidates")
-    return Extracted(derive.with_parents(draft, reached, rules), bases, query.diagnostics(lines, found, draft))
+    nameless = drafts.unfoldable(lines, found, bases, rules)
+    return Extracted(derive.with_parents(draft, reached, rules), bases, query.diagnostics(lines, found, draft, nameless), nameless)
 
 
 def extract_one(lines: DataFrame, rules: RuleSet = RULES) -> Extracted:
@@ -41,6 +43,8 @@ def extract_one(lines: DataFrame, rules: RuleSet = RULES) -> Extracted:
     out = extract(lines, rules)
     row = out.diagnostics.first()
     name = row["source_id"] if row else "the source"
+    if row is not None and row["status"] == "unfoldable":
+        raise UnfoldableTerm(f"{name}: surface form yields an empty concept id: {out.unfoldable.agg({'surface': 'min'}).first()[0]!r}")
     if row is None or row["status"] == "no_entries":
         raise NothingExtracted(f"no numbered entries in {name}")
     if row["status"] == "none_kept":

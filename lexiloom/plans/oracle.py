@@ -40,10 +40,11 @@ STAGES = {
     "chapters": f"""chapters AS (
   SELECT source_id, idx AS start_idx, coalesce(lead(idx) OVER (PARTITION BY source_id ORDER BY idx), n)::INTEGER AS end_idx, coalesce(ahead, '') AS title, {word("coalesce(ahead, '')", "SAUCES?")} AS kept
   FROM (SELECT *, max(idx) OVER (PARTITION BY source_id) + 1 AS n FROM marked) WHERE chapter)""",
-    "mothers": rf"""mothers AS (
-  SELECT DISTINCT source_id, {fold("name")} AS concept FROM (
+    "mothers": rf"""said AS (
+  SELECT source_id, trim(name, {_BLANK}) AS name FROM (
     SELECT source_id, unnest(string_split_regex(regexp_extract(string_agg(text, chr(10) ORDER BY idx), '(?is)basic sauces?:\s*(.+?)\.', 1), ',|\band\b')) AS name FROM lines GROUP BY source_id)
-  WHERE trim(name, {_BLANK}) <> '' AND {fold("name")} <> '')""",
+  WHERE trim(name, {_BLANK}) <> ''),
+mothers AS (SELECT DISTINCT source_id, {fold("name")} AS concept FROM said WHERE {fold("name")} <> '')""",
     "entries": rf"""entries AS (
   SELECT source_id, max(CASE WHEN head THEN regexp_extract(text, '^(\d+)—', 1)::INTEGER END) AS entry, max(CASE WHEN head THEN idx END) AS idx,
     max(CASE WHEN head THEN trim(regexp_extract(text, '^\d+—(.+)$', 1), {_BLANK}) END) AS title, bool_or(head AND inside) AS inside,
@@ -56,14 +57,17 @@ STAGES = {
     "terms": rf"""terms AS (
   SELECT source_id, seq, entry, (row_number() OVER (PARTITION BY source_id, seq ORDER BY i) - 1)::INTEGER AS pos, surface, {language("surface")} AS language, {fold("surface")} AS concept FROM (
     SELECT source_id, seq, entry, i, trim(string_split_regex(title, '(?i)\s+OR\s+')[i], ' .,—') AS surface FROM kept, unnest(range(1, len(string_split_regex(title, '(?i)\s+OR\s+')) + 1)) AS t(i)) WHERE surface <> '')""",
+    "unfoldable": rf"""unfoldable AS (
+  SELECT source_id, name AS surface FROM said WHERE {fold("name")} = '' UNION SELECT source_id, surface FROM terms WHERE concept = ''
+  UNION SELECT source_id, title FROM entries WHERE inside AND {fold("title")} = '')""",
     "draft": f"""draft AS (SELECT k.*, coalesce(t.concept, {fold("title")}) AS concept FROM kept k LEFT JOIN terms t ON k.source_id = t.source_id AND k.seq = t.seq AND t.pos = 0)""",
     "names": """every_name AS (
   SELECT d.source_id, d.seq, d.entry, t.pos, t.concept AS name, d.concept FROM draft d JOIN terms t ON d.source_id = t.source_id AND d.seq = t.seq
   UNION ALL SELECT source_id, seq, entry, 0, concept, concept FROM draft d WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE t.source_id = d.source_id AND t.seq = d.seq)),
 names AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, name ORDER BY seq, pos) AS rn FROM every_name WHERE name <> '') WHERE rn = 1),
 places AS (SELECT source_id, entry, max(seq) AS place FROM draft GROUP BY ALL)""",
-    "asked": """asked AS (SELECT source_id, concept AS wanted FROM mothers UNION SELECT source_id, name FROM names WHERE (seq + pos) % 3 = 0
-  UNION SELECT source_id, split_part(name, '-', 1) FROM names WHERE seq % 2 = 1 UNION SELECT source_id, 'nowhere-named' FROM names)""",
+    "asked": """asked AS (SELECT source_id, concept AS wanted FROM mothers UNION SELECT source_id, name FROM names
+  UNION SELECT source_id, split_part(name, '-', 1) FROM names UNION SELECT source_id, 'nowhere-named' FROM names)""",
     "candidates": f"""base_hit AS (
   SELECT m.source_id, m.concept, coalesce(min(CASE WHEN n.name = m.concept THEN n.entry END), arg_min(n.entry, p.place * 1000 + n.pos)) AS key_entry
   FROM mothers m LEFT JOIN names n ON m.source_id = n.source_id AND {holds("n.name", "m.concept")} LEFT JOIN places p ON n.source_id = p.source_id AND n.entry = p.entry GROUP BY ALL),
@@ -121,7 +125,23 @@ up AS (SELECT source_id, seq, [seq, target] AS path FROM hop
 }
 
 
-def sql(upto: str, select: str) -> str:
-    """The stages up to the named one, then the question."""
+DIAGNOSTICS = """SELECT l.source_id, coalesce(e.n, 0) AS entries, coalesce(k.n, 0) AS kept,
+  CASE WHEN u.source_id IS NOT NULL THEN 'unfoldable' WHEN e.n IS NULL THEN 'no_entries' WHEN k.n IS NULL THEN 'none_kept' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT source_id FROM lines) l LEFT JOIN (SELECT source_id, count(*) AS n FROM entries GROUP BY ALL) e ON l.source_id = e.source_id
+  LEFT JOIN (SELECT source_id, count(*) AS n FROM kept GROUP BY ALL) k ON l.source_id = k.source_id LEFT JOIN (SELECT DISTINCT source_id FROM unfoldable) u ON l.source_id = u.source_id"""
+
+#: The recipe of ``synthetic.spoilt`` on the lines of sound books.
+FAULTY = """spoilt AS (
+  SELECT source_id || '/headless' AS source_id, idx, text FROM sound WHERE NOT regexp_matches(text, '^\\d{1,4}—')
+  UNION ALL SELECT source_id || '/plain', idx, replace(replace(text, 'SAUCE', 'DISH'), 'sauce', 'dish') FROM sound
+  UNION ALL SELECT source_id || '/nameless', idx, text FROM sound UNION ALL SELECT source_id || '/nameless', (max(idx) + 1)::INTEGER, '9999—SAUCE OR ***' FROM sound GROUP BY source_id)"""
+
+
+def sql(upto: str, select: str, other_lines: str | None = None) -> str:
+    """The stages up to the named one, then the question; ``other_lines`` makes a table ``spoilt`` of the lines, here ``sound``, to start from."""
     names = list(STAGES)
-    return "WITH RECURSIVE " + ",\n".join(STAGES[n] for n in names[: names.index(upto) + 1]) + "\n" + select
+    stages = [STAGES[n] for n in names[: names.index(upto) + 1]]
+    if other_lines:
+        stages[0] = stages[0].replace("lines AS (", "sound AS (")
+        stages[1:1] = [other_lines, "lines AS (SELECT * FROM spoilt)"]
+    return "WITH RECURSIVE " + ",\n".join(stages) + "\n" + select

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.checkpoints import shared_table
+from lexiloom.checkpoints import shared_folder, shared_table
 from lexiloom.functions.text import cut_prose, fold
-from lexiloom.operators import derive, names, query, structure
+from lexiloom.operators import derive, drafts, names, query, structure
 from lexiloom.plans import extraction, oracle
 from lexiloom.plans.oracle import sql
-from lexiloom.sources import synthetic
+from lexiloom.sources import catalogue_store, numbered_text, synthetic
 
 FLAGSHIP = "census"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,11 +112,31 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).diagnostics
 
 
+def faulty_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of books spoilt by a fixed recipe: no headings, no kept entry, a name that folds to nothing."""
+    lines = synthetic.spoilt(synthetic.read(spark, sf_dir))
+    entries, bases, draft = extraction.read_drafts(lines)
+    return query.diagnostics(lines, entries, draft, drafts.unfoldable(lines, entries, bases))
+
+
+def wrapped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read back from whole files: packaging before and behind each book, CRLF at every line's end."""
+    lines = synthetic.read(spark, sf_dir).filter(~F.contains("text", F.lit("\r")))
+    return numbered_text.body_lines(numbered_text.wrapped_files(synthetic.packaged(lines)))
+
+
+def stored_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue, stored as JSON documents by source and loaded again with all checks."""
+    path = shared_folder(spark, "stored")
+    catalogue_store.save_table(_extracted(spark, sf_dir).catalogue, path)
+    return catalogue_store.load_table(spark, path).select("source_id", "seq", "title", "concept", F.col("ref.entry").alias("entry"), F.col("ref.line").alias("line"), "parent")
+
+
 def _questions(out: extraction.Extracted) -> DataFrame:
+    """Every name, every first word of a name, every declared base, and a name that nothing has."""
     first = names.first_names(out.catalogue)
-    some = first.filter((F.col("seq") + F.col("pos")) % 3 == 0).select("source_id", F.col("name").alias("wanted"))
-    words = first.filter(F.col("seq") % 2 == 1).select("source_id", F.substring_index("name", "-", 1).alias("wanted"))
-    return some.unionByName(words).unionByName(out.bases.select("source_id", F.col("concept").alias("wanted"))).unionByName(first.select("source_id", F.lit("nowhere-named").alias("wanted"))).distinct()
+    words = first.select("source_id", F.explode(F.array("name", F.substring_index("name", "-", 1), F.lit("nowhere-named"))).alias("wanted"))
+    return words.unionByName(out.bases.select("source_id", F.col("concept").alias("wanted"))).distinct()
 
 
 def matches_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +157,7 @@ def children_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derivation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _extracted(spark, sf_dir)
     nodes = query.derivation_trees(out.catalogue, out.bases, out.bases.select("source_id", F.col("concept").alias("root")))
-    return nodes.select("source_id", "root", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "depth", "title", "languages", "concept")
+    return nodes.select("source_id", "root", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "depth", "title", "languages", "concept", "last")
 
 
 def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +178,7 @@ def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         fold_concepts, line_scan, entry_segments, chapter_spans, mothers, sauce_filter, terms, names_first_wins, parent_candidates, statements, unshadowed, resolved_parent, cycle_clear, catalogue, census, diagnostics,
-        matches_ranked, find_best, children_of, derivation_tree, ancestor_chains, detail_view, provenance_check,
+        matches_ranked, find_best, children_of, derivation_tree, ancestor_chains, detail_view, provenance_check, faulty_sources, wrapped_source, stored_catalogue,
     )
     return {f.__name__: f for f in found}
 
@@ -184,14 +204,14 @@ def oracle_sql() -> dict[str, str]:
             "catalogue",
             "SELECT c.source_id, coalesce((SELECT string_agg(concept, ', ' ORDER BY concept) FROM mothers m WHERE m.source_id = c.source_id), '') AS mothers, count(*) AS sauces, count(parent) AS derived, count(*) - count(parent) AS unresolved FROM catalogue c GROUP BY c.source_id",
         ),
-        "diagnostics": sql(
-            "kept",
-            "SELECT l.source_id, coalesce(e.n, 0) AS entries, coalesce(k.n, 0) AS kept, CASE WHEN e.n IS NULL THEN 'no_entries' WHEN k.n IS NULL THEN 'none_kept' ELSE 'ok' END AS status FROM (SELECT DISTINCT source_id FROM lines) l LEFT JOIN (SELECT source_id, count(*) AS n FROM entries GROUP BY ALL) e ON l.source_id = e.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM kept GROUP BY ALL) k ON l.source_id = k.source_id",
-        ),
+        "diagnostics": sql("unfoldable", oracle.DIAGNOSTICS),
+        "faulty_sources": sql("unfoldable", oracle.DIAGNOSTICS, oracle.FAULTY),
+        "wrapped_source": sql("lines", "SELECT source_id, idx, idx + 4 AS file_line, text FROM lines WHERE NOT contains(text, chr(13))"),
+        "stored_catalogue": sql("catalogue", "SELECT source_id, seq, title, concept, entry, line, parent FROM catalogue"),
         "matches_ranked": sql("found", "SELECT r.source_id, r.wanted, r.rank, r.seq, c.title FROM ranked r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
         "find_best": sql("found", "SELECT r.source_id, r.wanted, r.seq, c.title FROM best r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
         "children_of": sql("children", "SELECT h.source_id, h.wanted, h.seq FROM children h JOIN asked a ON h.source_id = a.source_id AND h.wanted = a.wanted"),
-        "derivation_tree": sql("tree", "SELECT source_id, root, array_to_string(path, '/') AS path, len(path)::INTEGER AS depth, title, languages, concept FROM nodes"),
+        "derivation_tree": sql("tree", "SELECT source_id, root, array_to_string(path, '/') AS path, len(path)::INTEGER AS depth, title, languages, concept, lead(path) OVER (PARTITION BY source_id, root, path[1:len(path) - 1] ORDER BY path) IS NULL AS last FROM nodes"),
         "ancestor_chains": sql("up", "SELECT source_id, seq, (len(path) - 1)::INTEGER AS depth, path[-1] AS ancestor FROM up"),
         "detail_view": sql(
             "catalogue",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.rules import RULES, RuleSet
+
 
 def numbered_lines(documents: DataFrame) -> DataFrame:
     """Lines of all books, with ``file_line`` counted from 1."""
@@ -49,6 +51,22 @@ def numbered_lines(documents: DataFrame) -> DataFrame:
     return each.select(F.col("source").alias("source_id"), (place - 1).alias("idx"), place.alias("file_line"), F.col("line.text").alias("text"))
 
 
+def spoilt(lines: DataFrame) -> DataFrame:
+    """Three faulty books of each: without headings, without a word of the kind, and with a name that folds to nothing."""
+    book = lambda kind: F.concat("source_id", F.lit(f"/{kind}")).alias("source_id")
+    headless = lines.filter(~F.rlike("text", F.lit(r"^\d{1,4}—"))).select(book("headless"), "idx", "file_line", "text")
+    plain = lines.select(book("plain"), "idx", "file_line", F.replace(F.replace("text", F.lit("SAUCE"), F.lit("DISH")), F.lit("sauce"), F.lit("dish")).alias("text"))
+    added = lines.groupBy("source_id").agg((F.max("idx") + 1).alias("idx")).select(book("nameless"), "idx", (F.col("idx") + 1).alias("file_line"), F.lit("9999—SAUCE OR ***").alias("text"))
+    return headless.unionByName(plain).unionByName(lines.select(book("nameless"), "idx", "file_line", "text")).unionByName(added)
+
+
+def packaged(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+    """(source_id, content): each book as a file, wrapped in packaging; three lines stand before its first."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    wrapped = F.concat(F.array(F.lit("\ufeffTitle"), F.lit(""), F.lit(f"{rules.start_marker} ***")), body, F.array(F.lit(f"{rules.end_marker} ***"), F.lit("Licence")))
+    return lines.groupBy("source_id").agg(F.encode(F.array_join(wrapped, "\r\n"), "UTF-8").alias("content"))
+
+
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

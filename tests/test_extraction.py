@@ -3,9 +3,9 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.errors import NothingExtracted
+from lexiloom.errors import NothingExtracted, UnfoldableTerm
 from lexiloom.operators import derive, query, structure
-from lexiloom.plans import extraction
+from lexiloom.plans import extraction, registry
 from lexiloom.sources.numbered_text import LINES, lines_from_memory
 from tests.books import evaluate, random_book
 
@@ -99,6 +99,24 @@ def test_declarations_over_several_lines(spark):
     assert got == {name: want for name, (_, want) in texts.items()} == {name: evaluate(text)[1] for name, (text, _) in texts.items()}
 
 
+@pytest.mark.parametrize("lines,surface", [(["1—SAUCE OR ***"], "***"), (["basic sauces: Ab, —, and C.", "1—AB SAUCE"], "—"), (["CHAPTER I", "SAUCES", "1—AB SAUCE", "2—* *"], "* *")])
+def test_a_name_that_folds_to_nothing_stops_the_extraction(spark, lines, surface):
+    with pytest.raises(UnfoldableTerm, match="book: surface form yields an empty concept id") as fault:
+        catalogue(spark, lines)
+    assert repr(surface) in str(fault.value)
+    out = extraction.extract(lines_from_memory(spark, lines, "book"))
+    assert [r["status"] for r in out.diagnostics.collect()] == ["unfoldable"] and [r["surface"] for r in out.unfoldable.collect()] == [surface]
+
+
+def test_names_outside_kept_places_need_not_fold(spark):
+    assert catalogue(spark, ["1—AB SAUCE", "2—***", "3—FISH OR ***"]).catalogue.count() == 1
+
+
+def test_spoilt_books_have_every_status(spark):
+    got = {r["source_id"].split("/")[1]: r["status"] for r in registry.queries()["faulty_sources"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["headless"] == "no_entries" and got["plain"] in ("none_kept", "ok") and got["nameless"] == "unfoldable"
+
+
 def test_sources_without_a_catalogue(spark):
     with pytest.raises(NothingExtracted, match="no numbered entries"):
         catalogue(spark, ["nothing", "here"])
