@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import materialise, table
@@ -211,13 +211,13 @@ def choose_blocks(n_classes: int, radius: int = RADIUS, cell_rows: int = CELL_RO
     return 2 * radius
 
 
-def split_cells(keyed: DataFrame, member: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+def split_cells(keyed: DataFrame, member: str, cell_rows: int = CELL_ROWS, weight: Column | None = None) -> DataFrame:
     """Rows with a ``key``, dealt out cell by cell with ``i``, ``j`` and ``right``.
 
-    A cell above ``cell_rows`` is cut by a hash of its ``member`` into parts that meet pairwise: in (i, i) a part meets itself, in
+    A cell above ``cell_rows`` (rows, or sums of their ``weight``) is cut by a hash of its ``member`` into parts that meet pairwise: in (i, i) a part meets itself, in
     (i, j) only the rows with ``right`` meet those without. So each pair of members meets exactly once.
     """
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
+    hot = keyed.groupBy("key").agg(F.sum(F.lit(1.0) if weight is None else weight).alias("n")).filter(F.col("n") > cell_rows).select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
     split = keyed.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
