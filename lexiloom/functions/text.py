@@ -139,7 +139,10 @@ def grams_of(words: Column, width: Column) -> Column:
 
 
 def cut_prose(body: Column, limit: int) -> Column:
-    """The first ``limit`` characters, with a note of how many more there are; a negative limit counts from the end."""
+    """The first ``limit`` characters, with a note of how many more there are; a negative limit counts from the end.
+
+    The note's text is a fixed value.
+    """
     n = F.length(body)
     shown = F.substring(body, 1, limit) if limit >= 0 else F.left(body, F.greatest(n + limit, F.lit(0)))
     more = F.concat(shown, F.lit("...\n["), (n - limit).cast("string"), F.lit(" more characters, raise --chars to read them]"))

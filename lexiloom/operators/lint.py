@@ -1,4 +1,4 @@
-"""Text checks over documents (path, text): the repository gates of the reference's kind, as dataflows.
+"""Text checks over documents (path, text), as dataflows.
 
 Every check works on any number of documents at once. One that reads none reports so (see ``scanned``).
 """
@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import split_lines, strip
 
-#: Words that assert instead of showing; fixed values.
+# Fixed values of the checks: words of praise, in the order in which they are reported; the limits; and the Markdown patterns.
 PRAISE = (
     "blazing", "cutting-edge", "effortless", "leverage", "leverages", "powerful", "revolutionary", "robust", "seamless", "seamlessly", "state-of-the-art", "utilize", "utilizes",
 )
 MAX_WORDS, MAX_DASHES = 25, 1
+FENCE = r"^\s*```"
+TABLE_ROW = r"^\s*\|"
+LIST_ITEM = r"^\s*(?:[-*+]|\d+\.|:)\s"
+SENTENCE_END = r"(?U)[.!?]+[*_`)\]\"']*(?:\s|$)"
 
 
 def scanned(documents: DataFrame) -> DataFrame:
@@ -48,18 +52,18 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     Inline code reads ``CODE`` and link targets are dropped.
     """
     order = Window.partitionBy("path").orderBy("number")
-    fence = F.rlike("line", F.lit(r"^\s*```"))
+    fence = F.rlike("line", F.lit(FENCE))
     fenced = _numbered(documents).withColumn("fence", fence).withColumn("inside", F.sum(F.col("fence").cast("int")).over(order) % 2 == 1)
-    read = fenced.filter(F.col("fence") | ~(F.col("inside") | F.rlike("line", F.lit(r"^\s*\|"))))
+    read = fenced.filter(F.col("fence") | ~(F.col("inside") | F.rlike("line", F.lit(TABLE_ROW))))
     masked = F.when(F.col("fence"), "").otherwise(F.regexp_replace(F.regexp_replace("line", "`[^`]*`", "CODE"), r"\]\([^)]*\)", "]"))
-    lined = read.withColumn("clean", strip(masked)).withColumn("opens", (F.col("clean") == "") | F.rlike(masked, F.lit(r"^\s*(?:[-*+]|\d+\.|:)\s")))
+    lined = read.withColumn("clean", strip(masked)).withColumn("opens", (F.col("clean") == "") | F.rlike(masked, F.lit(LIST_ITEM)))
     units = lined.withColumn("unit", F.sum(F.col("opens").cast("int")).over(order)).filter("clean <> ''").groupBy("path", "unit")
     return units.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "clean"))), lambda x: x["clean"]), " ").alias("prose"))
 
 
 def open_fences(documents: DataFrame) -> DataFrame:
     """Pages (path) whose last code block is never closed, so that their prose went unread."""
-    count = F.count_if(F.rlike("line", F.lit(r"^\s*```")))
+    count = F.count_if(F.rlike("line", F.lit(FENCE)))
     return _numbered(documents).groupBy("path").agg((count % 2 == 1).alias("open")).filter("open").select("path")
 
 
@@ -68,7 +72,7 @@ def prose_findings(documents: DataFrame) -> DataFrame:
     dashes = F.length("prose") - F.length(F.replace("prose", F.lit("—"), F.lit("")))
     finding = lambda rule, detail: F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))
     praised = F.filter(F.array(*map(F.lit, PRAISE)), lambda w: F.rlike("prose", F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))))
-    worded = F.transform(F.split("prose", r"(?U)[.!?]+[*_`)\]\"']*(?:\s|$)"), lambda s: F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
+    worded = F.transform(F.split("prose", SENTENCE_END), lambda s: F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
     long = F.filter(worded, lambda ws: F.size(ws) > MAX_WORDS)
     said = F.concat(
         F.array_compact(F.array(F.when(F.contains("prose", F.lit(";")), finding("semicolon", F.lit(""))), F.when(dashes > MAX_DASHES, finding("em dashes", dashes.cast("string"))))),

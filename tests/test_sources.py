@@ -55,11 +55,11 @@ def run(capsys, root, *argv):
 
 def test_commands(spark, root, capsys):
     code, out, _ = run(capsys, root, "parse")
-    assert code == 0 and "sauces      4" in out and "derived     2 linked" in out and "unresolved  2 state" in out and "mothers     espagnole, tomato" in out
+    assert code == 0 and {tuple(x.split(None, 1)) for x in out.splitlines()} >= {("source_id", "book"), ("sauces", "4"), ("derived", "2"), ("unresolved", "2"), ("mothers", "espagnole, tomato")}
     code, out, _ = run(capsys, root, "tree", "Espagnole")
     assert code == 0 and out.splitlines() == ["BROWN SAUCE OR ESPAGNOLE  [espagnole]", "└── HERB SAUCE  (en)", "    └── CAPER SAUCE  (en)"]
     code, out, err = run(capsys, root, "show", "sauce", "--chars", "5")
-    assert code == 0 and out.startswith("BROWN SAUCE OR ESPAGNOLE\nentry 1, line 5\n  term  BROWN SAUCE  [en]  brown-sauce\n") and "(unresolved)" in out and "more characters" in out and "HERB SAUCE" in err
+    assert code == 0 and [x.split(None, 1) for x in out.splitlines()[:4]] == [["title", "BROWN SAUCE OR ESPAGNOLE"], ["entry", "1"], ["line", "5"], ["name", "BROWN SAUCE  [en]  brown-sauce"]] and "(unresolved)" in out and "more characters" in out and "HERB SAUCE" in err
     assert run(capsys, root, "tree", "tomato")[0] == 0
     assert run(capsys, root, "tree", "nowhere")[0] == 1 and run(capsys, root, "show", "nowhere")[0] == 1
     assert run(capsys, root, "show", "###")[0] == 2
@@ -93,10 +93,10 @@ def test_documents(spark, root, capsys):
     path.write_text(json.dumps(moved))
     assert catalogue_store.load_document(spark, "book", str(root / "data"))[0].filter("concept = 'made-up'").count() == 0
     path.unlink()
-    with pytest.raises(SourceUnreadable, match="no catalogue stored"):
+    with pytest.raises(SourceUnreadable, match="nothing is stored there"):
         catalogue_store.load_document(spark, "book", str(root / "data"))
     path.mkdir()
-    with pytest.raises(SourceUnreadable, match="cannot read"):
+    with pytest.raises(SourceUnreadable, match="could not be read"):
         catalogue_store.load_document(spark, "book", str(root / "data"))
 
 
