@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, lm, packing, quality, sharding, simhash, substring, tokencount, topk, urls
+from lexiloom.llm import bpe, lm, packing, periodic, quality, sharding, simhash, substring, tokencount, topk, urls
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": urls.op8_url_filters,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
         "pipeline": _pipeline,
     }
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.oracle(),
         "op5_exact_top_k": topk.oracle(),
         "op8_url_filters": urls.oracle(),
+        "op11_periodic_runs": periodic.oracle(),
     }

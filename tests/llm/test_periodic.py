@@ -1,0 +1,134 @@
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from lexiloom.llm import periodic
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def slow(w):
+    """All maximal stretches of every period; the smallest period of each extent is the run's."""
+    n, best = len(w), {}
+    for q in range(n // 4, 0, -1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i - s + q >= max(6, 4 * q):
+                best[s, i + q] = q
+            i = max(i, s + 1) if i == s else i
+    return sorted(((s, e - s, q) for (s, e), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def own(w, **more):
+    return periodic.find_runs(np.array(w, np.int32), **more)
+
+
+def repetitive(rng):
+    n, kinds, w = rng.randrange(120), rng.choice([1, 2, 2, 3, 5, 50]), []
+    while len(w) < n:
+        if rng.random() < 0.5:
+            w += [rng.randrange(kinds) for _ in range(rng.randrange(1, 10))]
+        else:
+            base = [rng.randrange(kinds) for _ in range(rng.randrange(1, 12))]
+            if rng.random() < 0.3:
+                base = base * rng.randrange(1, 3) + base[:2]
+            w += (base * 8)[: rng.randrange(1, 8 * len(base) + 1)]
+    return (w[: rng.randrange(1, 40)] * 6)[: rng.randrange(1, 200)] if rng.random() < 0.3 else w
+
+
+def test_equals_brute_force():
+    rng, found = random.Random(5), 0
+    for _ in range(3000):
+        w = repetitive(rng)
+        want = slow(w)
+        found += len(want)
+        assert own(w, part=rng.choice([16, 64, 1 << 16])) == want
+    assert found > 3000
+
+
+def test_planted_runs_of_every_period_and_place():
+    rng = random.Random(6)
+    for q in (1, 2, 3, 5, 10, 11, 20, 21, 42, 43, 64, 170, 341):
+        for _ in range(4):
+            base = [rng.randrange(1000) for _ in range(q)]
+            length = max(6, 4 * q) + rng.randrange(q + 1)
+            before, behind = [[rng.randrange(1000) for _ in range(rng.randrange(400))] for _ in range(2)]
+            w = before + (base * 7)[:length] + behind
+            assert own(w) == slow(w)
+
+
+def test_scales_hold_every_period_once_and_their_blocks_fit():
+    b, covered = 2, []
+    while b < 1 << 12:
+        low, high = periodic.scale(b)
+        assert all(2 * b - 1 + q <= max(6, 4 * q) for q in (low, high)) and high - low < b
+        covered += range(low, high + 1)
+        b *= 2
+    assert covered == list(range(1, covered[-1] + 1))
+
+
+def test_repetitive_texts_take_little_time():
+    word = np.zeros(60_000, np.int32)
+    assert periodic.find_runs(word) == [(0, 60_000, 1)]
+    assert periodic.find_runs(np.arange(60_000, dtype=np.int32) % 15_000) == [(0, 60_000, 15_000)]
+    a, b = [0], [0, 1]
+    for _ in range(21):
+        a, b = b, b + a
+    assert own(b) == []  # Fibonacci words hold no four periods
+    mixed = ([0] * 500 + [1]) * 40 + [2]
+    assert own(mixed) == sorted([(0, len(mixed) - 1, 501)] + [(501 * k, 500, 1) for k in range(40)], key=lambda r: (r[0], r[2]))
+
+
+def expected(doc_id, text):
+    words = [x.decode() for x in (text or "").encode().split()]
+    h, n = (zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1), len(words)
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = slow(words)
+    top = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=None)
+    left = [w for i, w in enumerate(words) if not any(s + q <= i < s + k for s, k, q in runs)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+    return (doc_id, len(runs), *best, sha("".join(f"{s},{k},{q}\n" for s, k, q in runs)), sha(" ".join(left)))
+
+
+def test_query_handles_odd_rows(spark, tmp_path):
+    odd = "é x y\x0by\fz"
+    rows = [(None, "a a a a a a a b"), (1, None), (2, ""), (3, "  \n"), (4, odd), (5, "x " * 6), (5, "x " * 6), (6, "a b " * 4 + "c " * 9), (7, "w " * 2_000)]
+    rows += [(i, " ".join(random.Random(i).choices("abcd efg hi".split(), k=i % 90))) for i in range(100, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "2 as runs", "'x' as collapsed").write.parquet(f"{tmp_path}/documents.parquet")
+    df = periodic.op11_periodic_runs(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted((expected(*r) for r in rows), key=str)
+    assert df.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+
+
+def test_operator_keeps_rows_and_texts(spark):
+    df = spark.createDataFrame([(1, "so it goes " * 5 + "on", "x")], "id int, text string, row string")
+    got = periodic.periodic_runs(df).first()
+    assert (got["row"]["row"], [tuple(r) for r in got["runs"]], got["collapsed"]) == ("x", [(0, 15, 3)], "so it goes on")
+    assert periodic.periodic_runs(df.limit(0)).collect() == []
+
+
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    df = periodic.op11_periodic_runs(spark, SMALL)
+    result = con.execute(periodic.oracle())
+    columns = [c[0] for c in result.description]
+    want = sorted(result.fetchall(), key=str)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want and any(r[1] for r in want)
+
+
+@pytest.mark.parametrize("w", [[], [0], [0] * 5, [0] * 6, [0, 1] * 4, [0, 1] * 3 + [0]])
+def test_least_lengths(w):
+    assert own(w) == slow(w)
