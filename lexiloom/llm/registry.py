@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, codes, lm, packing, periodic, quality, sharding, simhash, substring, tokencount, topk, urls
+from lexiloom.llm import bpe, codes, language, lm, packing, periodic, quality, sharding, simhash, substring, tokencount, topk, urls
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_language_id": language.op12_language_id,
         "op13_vector_codes": codes.op13_vector_codes,
         "pipeline": _pipeline,
     }
@@ -39,5 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_top_k": topk.oracle(),
         "op8_url_filters": urls.oracle(),
         "op11_periodic_runs": periodic.oracle(),
+        "op12_language_id": language.op12_language_id,
         "op13_vector_codes": codes.oracle(),
     }

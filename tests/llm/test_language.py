@@ -1,0 +1,106 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from lexiloom.llm import language
+
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+def spelled(text):
+    return "".join(chr(c) if c else " " for c in language.letters_of(text))
+
+
+def slow_phrases(text, sample):
+    """Phrases by trying every length in the sample's text, segment by segment."""
+    text, count = spelled(text), 0
+    for a in range(0, len(text), language.SEGMENT):
+        part, i = text[a : a + language.SEGMENT], 0
+        while i < len(part):
+            n = 1
+            while i + n <= len(part) and part[i : i + n] in sample:
+                n += 1
+            i, count = i + max(1, n - 1), count + 1
+    return count
+
+
+def test_phrases_equal_brute_force():
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choices(own, k=rng.randrange(1, 7))) for _ in range(40)] for lang, own in (("aa", "abcdé"), ("bb", "abxyz"), ("cc", "ßüö"))}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    sample = tuple((lang, text(lang, 60)) for lang in words for _ in range(3))
+    own = language.CrossParser(sample)
+    whole = {lang: "\x01".join(spelled(t) for other, t in sample if other == lang) for lang in words}
+    texts = [text(rng.choice(list(words)), n) for n in (1, 2, 5, 40, 200, 900)] + ["q", "Ééa  9 xÿ", "abcd" * 300, "日本語 テスト", words["aa"][0].upper()]
+    got = own.phrases([language.letters_of(t) for t in texts])
+    assert own.languages == sorted(words)
+    assert got.tolist() == [[slow_phrases(t, whole[lang]) for lang in own.languages] for t in texts]
+    # A text of a sample needs hardly any phrases against it.
+    k = own.languages.index("bb")
+    again = own.phrases([language.letters_of(sample[3][1])])[0]
+    assert again[k] == -(-len(language.letters_of(sample[3][1])) // language.SEGMENT) and again.argmin() == k
+
+
+def test_suffix_automaton_knows_all_substrings_and_no_others():
+    rng = random.Random(4)
+    for _ in range(50):
+        s = "".join(rng.choices("ab" if rng.random() < 0.5 else "abc", k=rng.randrange(30)))
+        own = language.SuffixAutomaton(map(ord, s))
+
+        def holds(x, own=own):
+            state = 0
+            for c in map(ord, x):
+                if c not in own.follow[state]:
+                    return False
+                state = own.follow[state][c]
+            return True
+
+        assert all(holds(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1))
+        assert all(holds(x) == (x in s) for x in ("".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(30)))
+
+
+def test_held_out_accuracy(spark):
+    lang = {r["doc_id"]: (r["lang"], len(r["text"] or "")) for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in language.op12_language_id(spark, LARGER).collect()}
+    assert got.keys() == lang.keys()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in got.items())
+    held = [i for i, r in got.items() if r["held_out"] and lang[i][0]]
+    right = [got[i]["lang_pred"] == lang[i][0] for i in held]
+    assert len(held) > 150 and np.mean(right) >= 0.985
+    assert np.mean([ok for i, ok in zip(held, right, strict=True) if lang[i][1] >= 200]) >= 0.99
+
+
+def test_odd_rows(spark, tmp_path):
+    rng = random.Random(5)
+    one, two = ["alor", "venta", "silo", "mira", "quenta"], ["brox", "gruk", "wzar", "dwik", "tov"]
+    rows = [(i, " ".join(rng.choices(one if i % 2 else two, k=30)), "one" if i % 2 else "two", "s") for i in range(80)]
+    rows += [(None, None, "one", None), (1000, "", "two", "s"), (1001, " 12 ...", None, "s"), (1002, "ALOR; venta", None, "s"), (1003, "gruk gruk", "one", None), (1003, "gruk gruk", "one", None), (1004, "wzar dwik " * 30_000, None, "s"), (1005, "ж", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as row", "2 as score", "'x' as lang_pred", "0 as h", "1 as k").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in language.op12_language_id(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert got[None] == got[1000] == got[1001] == [("und", 0.0)]
+    assert got[1002][0][0] == "one" and got[1004][0][0] == "two" and got[1005][0][0] in ("one", "two")
+    assert [x[0] for x in got[1003]] == ["two", "two"]
+    assert all(got[i][0][0] == ("one" if i % 2 else "two") for i in range(80))
+    bare = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert language.learn(bare.filter("lang is null"), "text", "lang") == ()
+    assert {r["lang_pred"] for r in language.identify(bare, ()).collect()} == {"und"}
+    assert language.identify(bare.limit(0), (("one", "alor"),)).collect() == []
+
+
+def test_sample_is_bounded_and_does_not_depend_on_partitions_or_copies(spark):
+    rows = [(f"text number {i} of some words", "aa" if i % 3 else "bb") for i in range(300)] + [("copy of one text", "aa")] * 400
+    df = spark.createDataFrame(rows, "text string, lang string")
+    own = language.learn(df, "text", "lang", docs_each=20, chars_of_doc=12, chars_each=200)
+    assert own == language.learn(df.repartition(7), "text", "lang", docs_each=20, chars_of_doc=12, chars_each=200)
+    for lang in ("aa", "bb"):
+        texts = [t for other, t in own if other == lang]
+        assert 0 < len(texts) <= 20 and sum(map(len, texts)) <= 200 and texts.count("copy of one ") <= 1
+
+
+@pytest.mark.parametrize("text,want", [("", ""), ("...", ""), (" A  b9c! ", "a b c"), ("İß", "iß"), ("x", "x")])
+def test_letters(text, want):
+    assert spelled(text) == want
