@@ -44,6 +44,8 @@ _CLASSES = 64
 _GAP, _OTHER, _FILL = 0, _CLASSES - 2, _CLASSES - 1
 #: Segments that step together.
 _TOGETHER = 4096
+#: Rows whose texts are held at once as letters.
+_ROWS = 256
 Sample = tuple[tuple[str, str], ...]
 
 
@@ -144,17 +146,14 @@ class CrossParser:
         """(text, language): phrases of each text, given as its letters."""
         sizes = np.array([len(x) for x in texts])
         pieces = -(-sizes // SEGMENT)
+        ends = np.cumsum(pieces)
+        laid = np.full((int(pieces.sum()), SEGMENT), _FILL, np.uint8)
+        for x, end, k in zip(texts, ends.tolist(), pieces.tolist(), strict=True):
+            laid[end - k : end].ravel()[: len(x)] = self._class_of[x]
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        laid = np.full((len(owner), SEGMENT), _FILL, np.uint8)
-        if not len(owner):
-            return np.zeros((len(texts), len(self.languages)), np.int64)
-        first = np.repeat(np.cumsum(pieces) - pieces, sizes) * SEGMENT
-        laid.ravel()[first + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self._class_of[np.concatenate(texts)]
-        counted = np.zeros((len(owner), len(self.languages)), np.int64)
         for a in range(0, len(owner), _TOGETHER):
-            counted[a : a + _TOGETHER] = self._count(np.ascontiguousarray(laid[a : a + _TOGETHER].T))
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
-        np.add.at(out, owner, counted)
+            np.add.at(out, owner[a : a + _TOGETHER], self._count(np.ascontiguousarray(laid[a : a + _TOGETHER].T)))
         return out
 
     def _count(self, columns: np.ndarray) -> np.ndarray:
@@ -207,16 +206,18 @@ def identify(df: DataFrame, sample: Sample, text_col: str = "text", keep: list[s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(sent.value)
-        for b in batches:
-            texts = [letters_of(t or "") for t in b.column(1).to_pylist()]
-            told = np.array([len(x) > 0 for x in texts], bool) & (len(own.languages) > 0)
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if told.any():
-                best, score = own.judge(own.phrases([x for x, t in zip(texts, told.tolist(), strict=True) if t]))
-                scores[told] = score
-                for place, k in zip(np.flatnonzero(told).tolist(), best.tolist(), strict=True):
-                    names[place] = own.languages[k]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(at, _ROWS)
+                texts = [letters_of(t or "") for t in b.column(1).to_pylist()]
+                told = np.array([len(x) > 0 for x in texts], bool) & (len(own.languages) > 0)
+                names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                if told.any():
+                    best, score = own.judge(own.phrases([x for x, t in zip(texts, told.tolist(), strict=True) if t]))
+                    scores[told] = score
+                    for place, k in zip(np.flatnonzero(told).tolist(), best.tolist(), strict=True):
+                        names[place] = own.languages[k]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
