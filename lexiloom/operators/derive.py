@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_table
 from lexiloom.functions.text import fold, grams_of, holds_run, opening_of, sentences_of
+from lexiloom.operators import lineage
 from lexiloom.rules import RULES, RuleSet
 
 _SPAN = ("seg", "start", "end", "width", "name", "key", "records", "base", "place")
@@ -75,16 +76,7 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     The map is composed with itself until its steps outnumber the entries of any source: every path that ends is gone
     then, and what is still reached lies on a cycle.
     """
-    steps = shared_table(edges, "steps")
-    size = steps.groupBy("source_id").count().agg(F.max("count")).first()[0] or 0
-    far = 1
-    while far <= size:
-        nxt = steps.select("source_id", F.col("entry").alias("target"), F.col("target").alias("further"))
-        steps = shared_table(steps.join(nxt, ["source_id", "target"]).select("source_id", "entry", F.col("further").alias("target")), "steps")
-        far *= 2
-        if steps.isEmpty():
-            break
-    return steps.select("source_id", F.col("target").alias("entry")).distinct()
+    return lineage.on_cycles(lineage.lifted(edges.withColumnRenamed("entry", "seq"))).withColumnRenamed("seq", "entry")
 
 
 def with_parents(drafts: DataFrame, candidates: DataFrame, rules: RuleSet = RULES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_folder, shared_table
 from lexiloom.functions.text import cut_prose, fold
-from lexiloom.operators import derive, drafts, names, query, structure
+from lexiloom.operators import derive, drafts, lineage, names, query, structure
 from lexiloom.plans import extraction, oracle
 from lexiloom.plans.oracle import sql
 from lexiloom.sources import catalogue_store, numbered_text, synthetic
@@ -156,13 +156,13 @@ def children_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derivation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _extracted(spark, sf_dir)
-    nodes = query.derivation_trees(out.catalogue, out.bases, out.bases.select("source_id", F.col("concept").alias("root")))
+    nodes = lineage.derivation_trees(out.catalogue, out.bases, out.bases.select("source_id", F.col("concept").alias("root")))
     return nodes.select("source_id", "root", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "depth", "title", "languages", "concept", "last")
 
 
 def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _extracted(spark, sf_dir)
-    return query.ancestors(out.catalogue, out.bases)
+    return lineage.ancestors(out.catalogue, out.bases)
 
 
 def detail_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.errors import NothingExtracted, UnfoldableTerm
-from lexiloom.operators import derive, query, structure
+from lexiloom.operators import derive, lineage, query, structure
 from lexiloom.plans import extraction, registry
 from lexiloom.sources.numbered_text import LINES, lines_from_memory
 from tests.books import evaluate, random_book
@@ -37,7 +37,7 @@ def test_random_books_equal_direct_evaluation(spark):
         assert (got[name], bases[name]) == evaluate(text), name
     assert sum(p is not None for rows in got.values() for *_, p in rows) > 20
     assert query.misquoted(out.catalogue, lines).count() == 0
-    chains = query.ancestors(out.catalogue, out.bases)
+    chains = lineage.ancestors(out.catalogue, out.bases)
     assert chains.groupBy("source_id", "seq").agg(F.max("depth").alias("d")).filter("d > 60").count() == 0
 
 

@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from lexiloom.operators import query
+from lexiloom.operators import lineage, query
 from lexiloom.operators.drafts import CATALOGUE
 from tests.books import fold, random_book, runs  # noqa: F401
 
@@ -35,16 +37,91 @@ def test_trees(spark):
         spark, ("Root", None, ["Root"], 1), ("A", "root", ["A"], 2), ("B", "a", ["B", "B two"], 3), ("C", "b-two", ["C"], 4), ("D", "root", ["D"], 5), ("X", "y", ["X"], 6), ("Y", "x", ["Y"], 7), bases=["absent"]
     )
     roots = spark.createDataFrame([("b", "root"), ("b", "x"), ("b", "absent")], "source_id string, root string")
-    got = [(r["root"], r["depth"], r["title"], r["last"]) for r in query.derivation_trees(*cat, roots).orderBy("root", "path").collect()]
+    got = [(r["root"], r["depth"], r["title"], r["last"]) for r in lineage.derivation_trees(*cat, roots).orderBy("root", "path").collect()]
     assert got == [("root", 1, "A", False), ("root", 2, "B", True), ("root", 3, "C", True), ("root", 1, "D", True), ("x", 1, "Y", True), ("x", 2, "X", True)]
 
 
 def test_trees_deeper_than_a_hundred(spark):
     rows = [("N0", None, ["n0"], 1)] + [(f"N{k}", f"n{k - 1}", [f"n{k}"], k + 1) for k in range(1, 130)]
     roots = spark.createDataFrame([("b", "n0")], "source_id string, root string")
-    assert query.derivation_trees(*book(spark, *rows), roots).agg(F.max("depth")).first()[0] == 129
+    assert lineage.derivation_trees(*book(spark, *rows), roots).agg(F.max("depth")).first()[0] == 129
 
 
 def test_census(spark):
     cat = book(spark, ("A", None, ["A"], 1), ("B", "a", ["B"], 2), bases=["z", "a"])
     assert [tuple(r) for r in query.census(*cat).collect()] == [("b", "a, z", 2, 1, 1)]
+
+
+def walked(hops):
+    """Every chain step by step, up to the first repeat."""
+    out = []
+    for seq in hops:
+        met, at = [seq], seq
+        while at in hops:
+            at = hops[at]
+            out.append((seq, len(met), at))
+            if at in met:
+                break
+            met.append(at)
+    return sorted(out)
+
+
+def test_chains_of_random_maps(spark):
+    rng = random.Random(11)
+    maps = {f"m{k}": {s: rng.randrange(n) for s in range(n) if rng.random() < rng.choice([0.5, 0.95, 1])} for k, n in enumerate([1, 2, 3, 5, 8, 12, 20, 30, 30, 30])}
+    maps |= {"line": {s: s + 1 for s in range(40)}, "ring": {s: (s + 1) % 17 for s in range(17)}, "self": {0: 0, 1: 0, 2: 1}}
+    hops = spark.createDataFrame([(m, s, t) for m, own in maps.items() for s, t in own.items()], "source_id string, seq int, target int")
+    got = sorted(map(tuple, lineage.chains(hops).collect()))
+    assert got == sorted((m, *r) for m, own in maps.items() for r in walked(own))
+
+
+def test_no_chains(spark):
+    assert lineage.chains(spark.createDataFrame([], "source_id string, seq int, target int")).collect() == []
+
+
+def jobs_of(spark, run):
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    found = run()
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_grow_with_the_logarithm_of_the_depth(spark):
+    jobs = {}
+    for n in (60, 4000):
+        hops = spark.range(n).selectExpr("'b' as source_id", "cast(id as int) as seq", "cast(id + 1 as int) as target")
+        found, jobs[n] = jobs_of(spark, lambda hops=hops: lineage.chains(hops).selectExpr("count(*)", "max(depth)", "sum(cast(depth as long))").first())
+        assert tuple(found) == (n * (n + 1) // 2, n, n * (n + 1) * (n + 2) // 6)
+    assert jobs[4000] <= jobs[60] + 6 * 8  # six doublings more
+
+
+def naive_trees(edges, root, concept):
+    out = []
+
+    def walk(wanted, path, seen):
+        for seq in sorted(s for w, s in edges if w == wanted):
+            own = concept[seq]
+            last = seq == max(s for w, s in edges if w == wanted)
+            out.append(("/".join(map(str, [*path, seq])), len(path) + 1, own, last))
+            if own not in seen:
+                walk(own, [*path, seq], seen | {own})
+
+    walk(root, [], {root})
+    return sorted(out)
+
+
+def test_trees_of_random_books(spark):
+    rng = random.Random(12)
+    for n in (6, 12, 18):
+        names = [f"n{rng.randrange(n)}" for _ in range(n)]  # some preparations share a name
+        rows = [(f"T{k}", rng.choice([None, *[f"n{rng.randrange(n)}"] * 3]), [names[k]], k + 1) for k in range(n)]
+        cat = book(spark, *rows, bases=["n0", "absent"])
+        wanted = sorted({*names, "absent"})
+        asked = spark.createDataFrame([("b", w) for w in wanted], "source_id string, wanted string")
+        edges = [(r["wanted"], r["seq"]) for r in query.children(*cat, asked).collect()]
+        roots = asked.withColumnRenamed("wanted", "root")
+        got = {}
+        for r in lineage.derivation_trees(*cat, roots).collect():
+            got.setdefault(r["root"], []).append(("/".join(map(str, r["path"])), r["depth"], r["concept"], r["last"]))
+        for w in wanted:
+            assert sorted(got.get(w, [])) == naive_trees(edges, w, dict(enumerate(names)))
