@@ -6,7 +6,7 @@ names have, and runs meet names by a hash join; no name is tried against every t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_table
@@ -14,8 +14,6 @@ from lexiloom.functions.text import fold, grams_of, holds_run, opening_of, sente
 from lexiloom.operators import lineage
 from lexiloom.rules import RULES, RuleSet
 
-_SPAN = ("seg", "start", "end", "width", "name", "key", "records", "base", "place")
-
 
 def _key() -> Column:
     return F.coalesce(F.concat(F.lit("entry "), F.col("key_entry").cast("string")), F.concat(F.lit("base "), F.col("key_concept")))
@@ -42,13 +40,20 @@ def statements(drafts: DataFrame, candidates: DataFrame, rules: RuleSet = RULES)
 def uncovered(statements: DataFrame) -> DataFrame:
     """Statements not inside a strictly longer one that reaches another preparation; ``covered`` ones go.
 
-    Covers may be covered themselves. All statements of one sentence meet in one row.
+    Covers may be covered themselves. A sentence is swept from left to right, of spans that begin together the longest first: what can
+    cover a span then stands before it, and does if the furthest end there, of those that reach another preparation, is not before its own.
+    Only two are kept in mind for that, the furthest and the furthest of another preparation than that one's. A name has one candidate in a source, so
+    a span is stated once.
     """
-    span = F.struct(*_SPAN)
-    sentence = statements.groupBy("source_id", "seq", "entry", "seg").agg(F.collect_list(span).alias("all"))
-    inside = lambda s, c: (c["start"] <= s["start"]) & (s["end"] <= c["end"]) & (c["width"] > s["width"]) & (c["key"] != s["key"])
-    free = F.filter("all", lambda s: ~F.exists("all", lambda c: inside(s, c)))
-    return sentence.select("source_id", "seq", "entry", F.explode(free).alias("s")).select("source_id", "seq", "entry", "s.*")
+    sweep = Window.partitionBy("source_id", "seq", "entry", "seg").orderBy("start", F.desc("end"), "name")
+    before, now = sweep.rowsBetween(Window.unboundedPreceding, -1), sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.struct("end", "key")
+    first = statements.withColumn("furthest", F.max(reach).over(before)).withColumn("leader", F.max(reach).over(now)["key"])
+    # A span that does not lead, and the leader that a span takes the lead from, are the next best of another preparation.
+    beaten = F.when(F.col("leader") != F.col("key"), reach).when(F.col("furthest.key") != F.col("key"), F.col("furthest"))
+    second = first.withColumn("beaten", beaten).withColumn("next", F.max("beaten").over(before))
+    best = F.when(F.col("furthest.key") != F.col("key"), F.col("furthest.end")).otherwise(F.col("next.end"))
+    return second.filter(F.coalesce(best < F.col("end"), F.lit(True))).drop("furthest", "leader", "beaten", "next")
 
 
 def stated_parents(live: DataFrame) -> DataFrame:

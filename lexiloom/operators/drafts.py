@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import fold, says_kind, terms_of
@@ -29,10 +29,11 @@ def kept_entries(entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -
 def drafts(entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     """The catalogue's rows before parents are known; ``seq`` is the order in the source."""
     kept = kept_entries(entries, bases, rules).withColumn("terms", terms_of(F.col("title"), rules))
-    seq = F.row_number().over(Window.partitionBy("source_id").orderBy("idx")) - 1
+    # Places are found among (source_id, idx) alone; titles and bodies meet them by key.
+    placed = structure.running(kept_entries(entries, bases, rules).select("source_id", "idx"), F.lit(1).cast("long"), "place")
     concept = F.when(F.size("terms") > 0, F.get("terms", F.lit(0))["concept"]).otherwise(fold(F.col("title")))
     ref = F.struct(F.col("source_id").alias("source_id"), F.col("entry").alias("entry"), F.col("file_line").alias("line"))
-    return kept.select("source_id", seq.alias("seq"), "title", "terms", concept.alias("concept"), "body", ref.alias("ref"), F.lit(None).cast("string").alias("parent"))
+    return kept.join(placed, ["source_id", "idx"]).select("source_id", (F.col("place") - 1).cast("int").alias("seq"), "title", "terms", concept.alias("concept"), "body", ref.alias("ref"), F.lit(None).cast("string").alias("parent"))
 
 
 def unfoldable(lines: DataFrame, entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import grams_of, width_of
 
+#: Places of a source whose answers to one question are ranked together.
+BLOCK_PLACES = 1 << 16
+
 
 def all_names(catalogue: DataFrame) -> DataFrame:
     """(source_id, seq, entry, pos, name, concept): each alternative name of each preparation, else its own concept."""
@@ -26,8 +29,8 @@ def entry_order(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("source_id", F.col("ref.entry").alias("entry")).agg(F.max("seq").alias("place"))
 
 
-def lookups(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Ranked answers (source_id, wanted, rank, seq, entry, concept) to rows of (source_id, wanted).
+def lookups(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame, best: bool = False, block_places: int = BLOCK_PLACES) -> DataFrame:
+    """Ranked answers (source_id, wanted, rank, seq, entry, concept) to rows of (source_id, wanted); only rank 1 if ``best``.
 
     An exact name answers alone. Else every name that holds the wanted words in a row answers: in source order for a
     declared base, else the shortest name first. A preparation answers once for each name that does.
@@ -47,9 +50,17 @@ def lookups(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFr
         "source_id", "wanted", "seq", "entry", "concept", F.when(F.col("is_base"), 0).otherwise(width_of(F.col("name"))).alias("by_width"), "place", "name", "pos"
     )
     # Names of one rank stand in the order in which the source first gives them.
-    order = Window.partitionBy("source_id", "wanted").orderBy("by_width", "place", "seq", "pos")
     both = exact.withColumn("pos", F.lit(0)).unionByName(ranked.drop("name"))
-    return both.withColumn("rank", F.row_number().over(order)).select("source_id", "wanted", "rank", "seq", "entry", "concept")
+    if best:
+        top = both.groupBy("source_id", "wanted").agg(F.min(F.struct("by_width", "place", "seq", "pos", "entry", "concept")).alias("top"))
+        return top.select("source_id", "wanted", F.lit(1).alias("rank"), "top.seq", "top.entry", "top.concept")
+    # A common word's answers are ranked within stretches of the order, and over the stretches' sizes.
+    stretch = ["source_id", "wanted", "by_width", "blk"]
+    dealt = both.withColumn("blk", F.floor(F.col("place") / block_places))
+    before = Window.partitionBy("source_id", "wanted").orderBy("by_width", "blk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*stretch).agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    local = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*stretch).orderBy("place", "seq", "pos")))
+    return local.join(sizes, stretch).select("source_id", "wanted", (F.col("rank") + F.col("earlier")).cast("int").alias("rank"), "seq", "entry", "concept")
 
 
 def candidates(catalogue: DataFrame, bases: DataFrame) -> DataFrame:
@@ -59,7 +70,7 @@ def candidates(catalogue: DataFrame, bases: DataFrame) -> DataFrame:
     bases take precedence over catalogued names and record themselves.
     """
     asked = bases.select("source_id", F.col("concept").alias("wanted"))
-    found = lookups(catalogue, bases, asked).filter("rank = 1").select("source_id", F.col("wanted").alias("concept"), F.col("entry").alias("key_entry"))
+    found = lookups(catalogue, bases, asked, best=True).select("source_id", F.col("wanted").alias("concept"), F.col("entry").alias("key_entry"))
     own = first_names(catalogue).select("source_id", "name", F.col("entry").alias("key_entry"), F.col("concept").alias("records"), "seq", "pos")
     declared = bases.join(found, ["source_id", "concept"], "left").select("source_id", F.col("concept").alias("name"), "key_entry", F.col("concept").alias("records"), F.lit(True).alias("base"))
     plain = own.join(declared.select("source_id", "name"), ["source_id", "name"], "left_anti").withColumn("base", F.lit(False))

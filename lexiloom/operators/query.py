@@ -36,7 +36,7 @@ def matches(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFr
 
 
 def find(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFrame:
-    return matches(catalogue, bases, wanted).filter("rank = 1").drop("rank")
+    return lookups(catalogue, bases, wanted, best=True).select("source_id", "wanted", "seq").join(catalogue, ["source_id", "seq"])
 
 
 def children(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def children(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataF
     derived = catalogue.filter("parent is not null").select("source_id", "seq", "parent")
     asked = wanted.select("source_id", "wanted").distinct()
     names = asked.unionByName(derived.select("source_id", F.col("parent").alias("wanted")))
-    reached = lookups(catalogue, bases, names).filter("rank = 1").select("source_id", "wanted", F.col("seq").alias("target"))
+    reached = lookups(catalogue, bases, names, best=True).select("source_id", "wanted", F.col("seq").alias("target"))
     by_name = derived.join(asked, (derived["source_id"] == asked["source_id"]) & (derived["parent"] == asked["wanted"])).select(derived["source_id"], "wanted", "seq")
     child = derived.join(reached.withColumnRenamed("wanted", "parent"), ["source_id", "parent"]).select("source_id", "seq", "target")
     by_target = asked.join(reached, ["source_id", "wanted"]).join(child, ["source_id", "target"]).select("source_id", "wanted", "seq")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import fold, heading_number, heading_title, strip
-from lexiloom.rules import RULES, RuleSet
+from lexiloom.rules import GAP, RULES, RuleSet
 
 BLOCK_LINES = 1 << 16
 
@@ -20,24 +20,39 @@ def _joined(lines: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(lines), lambda x: x["text"]), "\n")
 
 
-def declared_names(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+def running(rows: DataFrame, value: Column, name: str, order: tuple[str, ...] = ("idx",), block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Rows with the sum, under ``name``, of a value over all rows of their source up to them: within blocks of lines, and over the blocks' totals."""
+    blocked = rows.withColumn("blk", F.floor(F.col("idx") / block_lines))
+    inside = Window.partitionBy("source_id", "blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = blocked.groupBy("source_id", "blk").agg(F.sum(value).alias("n"))
+    before = Window.partitionBy("source_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("source_id", "blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    local = blocked.withColumn(name, F.sum(value).over(inside))
+    return local.join(earlier, ["source_id", "blk"]).withColumn(name, F.col(name) + F.col("earlier")).drop("blk", "earlier")
+
+
+def declared_names(lines: DataFrame, rules: RuleSet = RULES, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(source_id, name) of the bases in the source's first declaration, as written.
 
-    The declaration may run over lines, but its opening cannot, and it ends at a full stop. So only the lines from the first opening
-    up to the third that holds a full stop can matter; of a source with fewer, only the blocks of lines from the opening
-    to its last full stop. Without one behind the opening nothing is declared, and no line is gathered.
+    The declaration may run over any number of lines, but its opening cannot. It ends at the first full stop behind its first character
+    that is no white space; without one nothing is declared. Where it begins and ends are grouped minima. Its lines are cut into names where they
+    stand, and what runs over a line's end is put together by the number of separators before it, so no text is gathered but a name's.
     """
     opens = F.when(F.rlike("text", F.lit(rules.declaration_opens)), F.col("idx"))
     first = lines.groupBy("source_id").agg(F.min(opens).alias("first")).filter("first is not null")
-    behind = lines.join(first, "source_id").filter(F.col("idx") >= F.col("first"))
-    # The third full stop, by a grouped limit that works map-side first.
-    order = Window.partitionBy("source_id").orderBy("idx")
-    stops = behind.filter(F.contains("text", F.lit("."))).select("source_id", "idx").withColumn("k", F.row_number().over(order)).filter("k <= 3")
-    last = stops.groupBy("source_id").agg(F.max("idx").alias("last"))
-    near = behind.join(last, "source_id").filter(F.col("idx") <= F.col("last"))
-    said = near.groupBy("source_id").agg(_joined(F.collect_list(F.struct("idx", "text"))).alias("text"))
-    listed = said.select("source_id", F.explode(F.split(F.regexp_extract("text", rules.declaration, 1), rules.declaration_parts)).alias("name"))
-    return listed.select("source_id", strip(F.col("name")).alias("name")).filter(F.col("name") != "")
+    rest = F.when(F.col("idx") == F.col("first"), F.regexp_replace("text", f"(?s)^.*?{rules.declaration_opens}", "")).otherwise(F.col("text"))
+    behind = lines.join(first, "source_id").filter(F.col("idx") >= F.col("first")).select("source_id", "idx", rest.alias("text"))
+    said = F.regexp_replace("text", f"^{GAP}+", "")
+    head = behind.filter(said != "").groupBy("source_id").agg(F.min("idx").alias("head"))
+    # Behind the head's first character, a full stop ends the declaration.
+    text = F.when(F.col("idx") == F.col("head"), F.col("said")).otherwise(F.col("text"))
+    within = behind.withColumn("said", said).join(head, "source_id").filter(F.col("idx") >= F.col("head")).select("source_id", "idx", "head", text.alias("text"))
+    stop = F.call_function("locate", F.lit("."), F.col("text"), F.when(F.col("idx") == F.col("head"), 2).otherwise(1))
+    last = within.filter(stop > 0).groupBy("source_id").agg(F.min("idx").alias("last"))
+    cut = F.when(F.col("idx") == F.col("last"), F.substr("text", F.lit(1), stop - 1)).otherwise(F.col("text"))
+    listed = within.join(last, "source_id").filter(F.col("idx") <= F.col("last")).select("source_id", "idx", F.posexplode(F.split(cut, rules.declaration_parts)).alias("pos", "text"))
+    named = running(listed, (F.col("pos") > 0).cast("long"), "no", ("idx", "pos"), block_lines).groupBy("source_id", "no").agg(_joined(F.collect_list(F.struct("idx", "pos", "text"))).alias("name"))
+    return named.select("source_id", strip(F.col("name")).alias("name")).filter(F.col("name") != "")
 
 
 def declared_bases(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:

@@ -23,9 +23,9 @@ class Extracted:
 
 
 def read_drafts(lines: DataFrame, rules: RuleSet = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, bases, drafts)."""
+    """(entries, bases, drafts); entries are written, as drafts, their places, statuses and nameless ones read them."""
     bases = structure.declared_bases(lines, rules)
-    found = structure.entries(lines, rules)
+    found = shared_table(structure.entries(lines, rules), "entries")
     return found, bases, drafts.drafts(found, bases, rules)
 
 

@@ -9,22 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.checkpoints import shared_table
 from lexiloom.rules import RULES, RuleSet
 
 
 def numbered_lines(documents: DataFrame) -> DataFrame:
     """Lines of all books, with ``file_line`` counted from 1."""
+    # Windows and numbering see the leading words and the number of lines of a document; its text meets them by key.
     by_doc = Window.partitionBy("source").orderBy("doc_id")
-    words = F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " ")
+    words = F.split(F.trim("text"), r"\s+", 5)
     word = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit("x"))
-    numbered = documents.select("source", "doc_id", "text", F.row_number().over(by_doc).alias("seq"), *[word(k).alias(f"w{k + 1}") for k in range(4)])
-    named = numbered.withColumn("n", F.concat_ws(" ", "w1", "w2"))
+    n_prose = F.size(F.split("text", "\n"))
+    brief = documents.select("source", "doc_id", n_prose.alias("n_prose"), *[word(k).alias(f"w{k + 1}") for k in range(4)])
+    named = brief.withColumn("seq", F.row_number().over(by_doc)).withColumn("n", F.concat_ws(" ", "w1", "w2"))
     near = lambda k: F.coalesce(F.lag("n", k).over(by_doc) if k > 0 else F.lead("n", -k).over(by_doc), F.lit("x"))
     letters = lambda c: F.regexp_replace(c, r"[^\p{L}]", "")
-    rows = named.select(
-        "source", "seq", "text", "n", "w3", "w4", near(1).alias("n1"), near(2).alias("n2"), near(-1).alias("nn"), letters(F.first("w1").over(by_doc)).alias("m"),
-        letters(F.lead("w1", 1).over(by_doc)).alias("b2"), letters(F.lead("w1", 2).over(by_doc)).alias("b3"), letters(F.col("w1")).alias("b1"),
+    # Lines of a document: heading, statement and blank, its own, and what the first of a source or a chapter has before them.
+    n_lines = 3 + F.col("n_prose") + F.when(F.col("seq") == 1, 1).otherwise(0) + F.when((F.col("seq") - 1) % 12 == 0, 3).otherwise(0)
+    earlier = F.coalesce(F.sum(n_lines).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = named.select(
+        "source", "doc_id", "seq", "n", "w3", "w4", near(1).alias("n1"), near(2).alias("n2"), near(-1).alias("nn"), letters(F.first("w1").over(by_doc)).alias("m"),
+        letters(F.lead("w1", 1).over(by_doc)).alias("b2"), letters(F.lead("w1", 2).over(by_doc)).alias("b3"), letters(F.col("w1")).alias("b1"), earlier.alias("earlier"),
     )
+    rows = documents.select("source", "doc_id", "text").join(placed, ["source", "doc_id"])
     seq, block = F.col("seq"), lambda n: F.lit(n)
     made = lambda blk, pos, line, when: F.when(when, F.struct(blk.alias("blk"), F.lit(pos).alias("pos"), line.alias("text")))
     every: Column = F.lit(True)
@@ -46,9 +53,9 @@ def numbered_lines(documents: DataFrame) -> DataFrame:
         made(block(2), 0, stated, every), made(block(2), 1, F.lit(""), seq % 5 != 0), made(block(3), 3, F.lit(""), seq % 5 == 0),
     )
     prose = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.lit(3).alias("blk"), (2 * i).alias("pos"), line.alias("text")))
-    each = rows.select("source", "seq", F.explode(F.concat(F.array_compact(fixed), prose)).alias("line"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("seq", "line.blk", "line.pos"))
-    return each.select(F.col("source").alias("source_id"), (place - 1).alias("idx"), place.alias("file_line"), F.col("line.text").alias("text"))
+    each = rows.select("source", "earlier", F.posexplode(F.array_sort(F.concat(F.array_compact(fixed), prose))).alias("at", "line"))
+    idx = F.col("earlier") + F.col("at")
+    return each.select(F.col("source").alias("source_id"), idx.alias("idx"), (idx + 1).alias("file_line"), F.col("line.text").alias("text"))
 
 
 def spoilt(lines: DataFrame) -> DataFrame:
@@ -68,7 +75,8 @@ def packaged(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Lines of the driver's documents, written once, since a catalogue reads them several times."""
+    return shared_table(numbered_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lines")
 
 
 #: The same recipe in DuckDB SQL, as the common table expression ``lines(source_id, idx, text)``.
