@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexiloom.operators import lint
 from lexiloom.rules import RULES
 from lexiloom.sources import synthetic
 
@@ -130,6 +131,46 @@ DIAGNOSTICS = """SELECT l.source_id, coalesce(e.n, 0) AS entries, coalesce(k.n,
 FROM (SELECT DISTINCT source_id FROM lines) l LEFT JOIN (SELECT source_id, count(*) AS n FROM entries GROUP BY ALL) e ON l.source_id = e.source_id
   LEFT JOIN (SELECT source_id, count(*) AS n FROM kept GROUP BY ALL) k ON l.source_id = k.source_id LEFT JOIN (SELECT DISTINCT source_id FROM unfoldable) u ON l.source_id = u.source_id"""
 
+#: Lines as they come back from a file: one that holds line ends of its own is several.
+READ_BACK = rf"""SELECT source_id, (place - 1)::INTEGER AS idx, (place + 3)::INTEGER AS file_line, text FROM (
+  SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY idx, i) AS place, parts[i] AS text
+  FROM (SELECT source_id, idx, string_split_regex(text, '{synthetic.SQL_LINE_END}') AS parts FROM lines), unnest(range(1, len(parts) + 1)) AS t(i))"""
+
+STATUSES = rf"""SELECT doc_id::VARCHAR AS source_id, CASE doc_id % 7 WHEN 0 THEN 'not_utf8' WHEN 1 THEN 'no_start' WHEN 2 THEN 'no_end' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 7 > 3 THEN len(string_split_regex(coalesce(text, ''), '{synthetic.SQL_LINE_END}')) ELSE 0 END AS lines FROM documents"""
+
+DAMAGED = """SELECT c.source_id, CASE WHEN seq % 7 > 0 THEN seq END AS seq, CASE seq % 7 WHEN 0 THEN 'not a row of the right form' WHEN 1 THEN 'a field is missing'
+  WHEN 2 THEN 'a term has no surface or no known language' WHEN 3 THEN 'a parent folds to nothing' ELSE 'a reference cannot be opened' END AS reason
+FROM catalogue c WHERE seq % 7 < 5 AND (seq % 7 <> 2 OR EXISTS (SELECT 1 FROM terms t WHERE t.source_id = c.source_id AND t.seq = c.seq))"""
+
+_NUMBERED = rf"""split AS (SELECT doc_id::VARCHAR AS path, string_split_regex(text, '{synthetic.SQL_LINE_END}') AS parts FROM page),
+line AS (SELECT path, i AS number, parts[i] AS line FROM split, unnest(range(1, len(parts) + 1)) AS t(i) WHERE i < len(parts) OR parts[i] <> '')"""
+
+PROSE = rf"""WITH page AS (SELECT doc_id, text FROM documents), {_NUMBERED},
+fenced AS (SELECT *, regexp_matches(line, '{lint.FENCE}') AS fence FROM line),
+inner_code AS (SELECT *, sum(fence::INTEGER) OVER (PARTITION BY path ORDER BY number) % 2 = 1 AS inside FROM fenced),
+masked AS (
+  SELECT path, number, CASE WHEN fence THEN '' ELSE regexp_replace(regexp_replace(line, '`[^`]*`', 'CODE', 'g'), '\]\([^)]*\)', ']', 'g') END AS masked
+  FROM inner_code WHERE fence OR NOT (inside OR regexp_matches(line, '{lint.TABLE_ROW}'))),
+opened AS (SELECT *, trim(masked, {_BLANK}) AS clean, trim(masked, {_BLANK}) = '' OR regexp_matches(masked, '{lint.LIST_ITEM}') AS opens FROM masked),
+placed AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY path ORDER BY number) AS unit FROM opened),
+units AS (SELECT path, unit::BIGINT AS unit, string_agg(clean, ' ' ORDER BY number) AS prose FROM placed WHERE clean <> '' GROUP BY ALL),
+sentences AS (SELECT path, unit, list_filter(string_split_regex(s, '\s+'), lambda w: w <> '') AS ws FROM (SELECT path, unit, unnest(string_split_regex(prose, '[.!?]+[*_`)\]"'']*(?:\s|$)')) AS s FROM units))
+SELECT path, unit, 'semicolon' AS rule, '' AS detail FROM units WHERE contains(prose, ';')
+UNION ALL SELECT path, unit, 'em dashes', (length(prose) - length(replace(prose, '—', '')))::VARCHAR FROM units WHERE length(prose) - length(replace(prose, '—', '')) > {lint.MAX_DASHES}
+UNION ALL SELECT path, unit, 'praise', w FROM units, (SELECT unnest([{", ".join(f"'{w}'" for w in lint.PRAISE)}]) AS w) WHERE regexp_matches(prose, '(?i){_EDGE}' || w || '{_BACK}')
+UNION ALL SELECT path, unit, 'long sentence', len(ws) || ': ' || array_to_string(ws[1:8], ' ') FROM sentences WHERE len(ws) > {lint.MAX_WORDS}"""
+
+FENCES = f"""WITH page AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || chr(10) || '```' || chr(10) || 'code' ELSE text END AS text FROM documents), {_NUMBERED}
+SELECT path FROM line GROUP BY path HAVING count(*) FILTER (regexp_matches(line, '{lint.FENCE}')) % 2 = 1"""
+
+TERMS = f"""WITH page AS (SELECT doc_id, text FROM documents), {_NUMBERED},
+hit AS (SELECT path, number::INTEGER AS number, trim(line, {_BLANK}) AS line, len(regexp_extract_all(line, '(?i)License'))::INTEGER AS hits FROM line WHERE regexp_matches(line, '(?i)License')),
+allowed AS (SELECT doc_id::VARCHAR AS path FROM documents WHERE source = 'src0')
+SELECT 'banned' AS kind, path, number, line, hits FROM hit WHERE path NOT IN (SELECT path FROM allowed)
+UNION ALL SELECT 'allowed', path, NULL, NULL, sum(hits)::INTEGER FROM hit WHERE path IN (SELECT path FROM allowed) GROUP BY path
+UNION ALL SELECT 'stale', path, NULL, NULL, 0 FROM allowed WHERE path NOT IN (SELECT path FROM hit)"""
+
 #: The recipe of ``synthetic.spoilt`` on the lines of sound books.
 FAULTY = """spoilt AS (
   SELECT source_id || '/headless' AS source_id, idx, text FROM sound WHERE NOT regexp_matches(text, '^\\d{1,4}—')

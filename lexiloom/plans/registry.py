@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_folder, shared_table
 from lexiloom.functions.text import cut_prose, fold
-from lexiloom.operators import derive, drafts, lineage, names, query, structure
+from lexiloom.operators import derive, drafts, lineage, lint, names, query, structure
 from lexiloom.plans import extraction, oracle
 from lexiloom.plans.oracle import sql
-from lexiloom.sources import catalogue_store, numbered_text, synthetic
+from lexiloom.sources import catalogue_store, line_ranges, numbered_text, synthetic
 
 FLAGSHIP = "census"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,9 +120,32 @@ def faulty_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines read back from whole files: packaging before and behind each book, CRLF at every line's end."""
-    lines = synthetic.read(spark, sf_dir).filter(~F.contains("text", F.lit("\r")))
-    return numbered_text.body_lines(numbered_text.wrapped_files(synthetic.packaged(lines)))
+    """Lines read back by byte ranges from one file for each book: packaging before and behind it, CRLF at every line's end."""
+    folder = shared_folder(spark, "books")
+    synthetic.write_books(synthetic.read(spark, sf_dir), folder)
+    return numbered_text.scanned(line_ranges.pieces(spark, folder, 1 << 20))[0]
+
+
+def file_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and number of body lines of one file for each document, some of them faulty in each way."""
+    folder = shared_folder(spark, "pages")
+    synthetic.write_pages(_documents(spark, sf_dir), folder)
+    lines, files = numbered_text.scanned(line_ranges.pieces(spark, folder, 1 << 22))
+    counts = lines.groupBy("source_id").agg(F.count("*").alias("lines"))
+    return files.join(counts, "source_id", "left").select("source_id", "status", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found wrong with stored rows that were spoilt by their place modulo 7: cut off, without a body, in an unknown language, with an empty parent, without an entry."""
+    rows = _extracted(spark, sf_dir).catalogue
+    kind = F.col("seq") % 7
+    terms = F.transform("terms", lambda t: F.struct(t["surface"].alias("surface"), F.when(kind == 2, "de").otherwise(t["language"]).alias("language"), t["concept"].alias("concept")))
+    ref = F.struct(F.col("ref.source_id").alias("source_id"), F.when(kind == 4, 0).otherwise(F.col("ref.entry")).alias("entry"), F.col("ref.line").alias("line"))
+    row = F.struct("seq", "title", terms.alias("terms"), "concept", F.when(kind != 1, F.col("body")).alias("body"), ref.alias("ref"), F.when(kind == 3, "").otherwise(F.col("parent")).alias("parent"))
+    said = F.to_json(row, {"ignoreNullFields": "false"})
+    path = shared_folder(spark, "spoilt")
+    rows.select("source_id", F.when(kind == 0, F.left(said, F.lit(20))).otherwise(said).alias("value")).write.partitionBy("source_id").text(path)
+    return catalogue_store.sorted_out(spark, path)[1].select("source_id", F.when(F.col("raw").isNull(), F.col("seq")).alias("seq"), "reason")
 
 
 def stored_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +198,40 @@ def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.misquoted(extraction.extract(lines).catalogue, lines).select("source_id", "seq", "entry", "line")
 
 
+def misquoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations that do not hold in a catalogue where every fifth cites a line too far on, and every seventh one that is not there."""
+    lines = synthetic.read(spark, sf_dir)
+    line = F.col("ref.line") + F.when(F.col("seq") % 5 == 0, 1).otherwise(0) + F.when(F.col("seq") % 7 == 0, 100_000_000).otherwise(0)
+    moved = extraction.extract(lines).catalogue.withColumn("ref", F.struct(F.col("ref.source_id").alias("source_id"), F.col("ref.entry").alias("entry"), line.alias("line")))
+    return query.misquoted(moved, lines).select("source_id", "seq", "entry", "line")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text")
+
+
+def prose_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semicolons, em dashes, words of praise and long sentences in all documents."""
+    return lint.prose_findings(_pages(spark, sf_dir))
+
+
+def open_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose last code block is not closed, every eleventh having one opened."""
+    opened = F.when(F.col("path").cast("long") % 11 == 0, F.concat("text", F.lit("\n```\ncode"))).otherwise(F.col("text"))
+    return lint.open_fences(_pages(spark, sf_dir).withColumn("text", opened))
+
+
+def term_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a word that only the documents of one source may use, and allowances that nothing uses."""
+    allowed = _documents(spark, sf_dir).filter("source = 'src0'").select(F.col("doc_id").cast("string").alias("path"))
+    return lint.term_report(_pages(spark, sf_dir), "License", allowed)
+
+
 def queries() -> dict[str, Query]:
     found = (
         fold_concepts, line_scan, entry_segments, chapter_spans, mothers, sauce_filter, terms, names_first_wins, parent_candidates, statements, unshadowed, resolved_parent, cycle_clear, catalogue, census, diagnostics,
         matches_ranked, find_best, children_of, derivation_tree, ancestor_chains, detail_view, provenance_check, faulty_sources, wrapped_source, stored_catalogue,
+        file_statuses, quarantine, misquoted_lines, prose_findings, open_fences, term_report,
     )
     return {f.__name__: f for f in found}
 
@@ -206,7 +259,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "diagnostics": sql("unfoldable", oracle.DIAGNOSTICS),
         "faulty_sources": sql("unfoldable", oracle.DIAGNOSTICS, oracle.FAULTY),
-        "wrapped_source": sql("lines", "SELECT source_id, idx, idx + 4 AS file_line, text FROM lines WHERE NOT contains(text, chr(13))"),
+        "wrapped_source": sql("lines", oracle.READ_BACK),
+        "file_statuses": oracle.STATUSES,
+        "quarantine": sql("catalogue", oracle.DAMAGED),
+        "misquoted_lines": sql("catalogue", "SELECT c.source_id, c.seq, c.entry, (c.line + CASE WHEN c.seq % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN c.seq % 7 = 0 THEN 100000000 ELSE 0 END)::INTEGER AS line FROM catalogue c WHERE c.seq % 5 = 0 OR c.seq % 7 = 0"),
+        "prose_findings": oracle.PROSE,
+        "open_fences": oracle.FENCES,
+        "term_report": oracle.TERMS,
         "stored_catalogue": sql("catalogue", "SELECT source_id, seq, title, concept, entry, line, parent FROM catalogue"),
         "matches_ranked": sql("found", "SELECT r.source_id, r.wanted, r.rank, r.seq, c.title FROM ranked r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
         "find_best": sql("found", "SELECT r.source_id, r.wanted, r.seq, c.title FROM best r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),

@@ -6,11 +6,15 @@ opening sentence names a neighbour's heading, so that chains, cycles and ambiguo
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_table
 from lexiloom.rules import RULES, RuleSet
+from lexiloom.sources.line_ranges import store_of
 
 
 def numbered_lines(documents: DataFrame) -> DataFrame:
@@ -67,11 +71,50 @@ def spoilt(lines: DataFrame) -> DataFrame:
     return headless.unionByName(plain).unionByName(lines.select(book("nameless"), "idx", "file_line", "text")).unionByName(added)
 
 
-def packaged(lines: DataFrame, rules: RuleSet = RULES) -> DataFrame:
-    """(source_id, content): each book as a file, wrapped in packaging; three lines stand before its first."""
-    body = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
-    wrapped = F.concat(F.array(F.lit("\ufeffTitle"), F.lit(""), F.lit(f"{rules.start_marker} ***")), body, F.array(F.lit(f"{rules.end_marker} ***"), F.lit("Licence")))
-    return lines.groupBy("source_id").agg(F.encode(F.array_join(wrapped, "\r\n"), "UTF-8").alias("content"))
+def write_books(lines: DataFrame, folder: str, rules: RuleSet = RULES) -> DataFrame:
+    """Write each book as a file (source_id, lines): packaging around it, CRLF at line ends; three lines stand before its first. Lines go out as they come."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(folder)
+        store.create_dir(root, recursive=True)
+        out, book, n = None, None, 0
+        closing = f"{rules.end_marker} ***\r\nLicence".encode()
+        for b in batches:
+            for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if source != book:
+                    if out is not None:
+                        out.write(closing)
+                        out.close()
+                        yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([n])], ["source_id", "lines"])
+                    book, n, out = source, 0, store.open_output_stream(f"{root}/{source}.txt")
+                    out.write(f"\ufeffTitle\r\n\r\n{rules.start_marker} ***\r\n".encode())
+                out.write(f"{text}\r\n".encode())
+                n += 1
+        if out is not None:
+            out.write(closing)
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([n])], ["source_id", "lines"])
+
+    ordered = lines.select("source_id", "idx", "text").repartition("source_id").sortWithinPartitions("source_id", "idx")
+    return shared_table(ordered.select("source_id", "text").mapInArrow(run, "source_id string, lines long"), "books")
+
+
+def write_pages(documents: DataFrame, folder: str, rules: RuleSet = RULES) -> DataFrame:
+    """Write each document as a wrapped file, faulty by its id modulo 7: 0 has a byte that is no UTF-8, 1 no start, 2 no end, 3 its end before its start."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(folder)
+        store.create_dir(root, recursive=True)
+        opening, closing = f"{rules.start_marker} ***\n".encode(), f"{rules.end_marker} ***\n".encode()
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                body, kind = f"{text or ''}.\n".encode(), doc_id % 7
+                parts = {0: (opening, body, b"\xff\n", closing), 1: (body, closing), 2: (opening, body), 3: (closing, body, opening)}.get(kind, (b"Title\n", opening, body, closing))
+                with store.open_output_stream(f"{root}/{doc_id}.txt") as out:
+                    out.write(b"".join(parts))
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["doc_id"])
+
+    return shared_table(documents.select("doc_id", "text").mapInArrow(run, "doc_id long"), "pages")
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,3 +145,6 @@ pieces AS (
   UNION ALL SELECT source, seq, 3, 3, '' FROM near WHERE seq % 5 = 0
   UNION ALL SELECT source, seq, 3, (2 * (i - 1))::INTEGER, ls[i] FROM near, unnest(range(1, len(ls) + 1)) AS t(i)),
 lines AS (SELECT source AS source_id, (row_number() OVER (PARTITION BY source ORDER BY seq, blk, pos) - 1)::INTEGER AS idx, text FROM pieces)"""
+
+#: Line ends in the syntax of DuckDB's patterns.
+SQL_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"

@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexiloom.plans.extraction import extract
 from lexiloom.rules import RULES, RuleSet
 from lexiloom.sources.catalogue_store import save_table
-from lexiloom.sources.numbered_text import body_lines, wrapped_files
+from lexiloom.sources.line_ranges import RANGE_BYTES, piece_stream
+from lexiloom.sources.numbered_text import scanned
 
-_FILES = "path string, modificationTime timestamp, length long, content binary"
 
+def arriving_files(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Pieces of the files that come into a folder; a batch has whole files."""
+    return piece_stream(spark, folder, range_bytes)
 
-def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_id, content) of the files that come into a folder."""
-    files = spark.readStream.format("binaryFile").schema(_FILES).load(folder)
-    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("source_id"), "content")
 
-
-def keep_catalogues(files: DataFrame, store: str, checkpoint: str, rules: RuleSet = RULES) -> StreamingQuery:
+def keep_catalogues(pieces: DataFrame, store: str, checkpoint: str, rules: RuleSet = RULES) -> StreamingQuery:
     """Write the catalogue of every sound file; a batch that is repeated writes the same rows again."""
 
     def batch(found: DataFrame, _: int) -> None:
-        save_table(extract(body_lines(wrapped_files(found, rules)), rules).catalogue, store)
+        save_table(extract(scanned(found, rules)[0], rules).catalogue, store)
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pieces.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
