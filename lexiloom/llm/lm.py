@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc32_of_id, materialise, table
+from lexiloom.llm.common import crc32_of_id, gathered, materialise, table
 from lexiloom.llm.tokens import default_path, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -234,8 +234,9 @@ def gradients(w: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, tar
     wide = lambda m: m.reshape(-1, d)
     h, want, ok = wide(f["h"]), targets.ravel(), valid.ravel()
     at, n = np.arange(len(h)), max(1, int(ok.sum()))
-    prob = h @ w["U"]
-    prob += w["b"]
+    # A column of ones, so that the classes' own weights are a row of the same matrix.
+    h = np.concatenate((h, np.ones((len(h), 1), kind)), axis=1)
+    prob = h @ np.concatenate((w["U"], w["b"][None]))
     _near_zero(prob)
     right = prob[at, want]
     np.exp(prob, out=prob)
@@ -244,7 +245,8 @@ def gradients(w: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, tar
     # The rows' factor is applied to what is narrow.
     prob[at, want] -= total
     scale = (ok.astype(kind) / kind.type(n) / total)[:, None]
-    g = {"U": (prob.T @ (h * scale)).T, "b": scale[:, 0] @ prob}
+    both = (prob.T @ (h * scale)).T
+    g = {"U": both[:d], "b": both[d]}
     dh = (prob @ w["U"].T) * scale
     g["Wo"] = wide(f["o"]).T @ dh
     do = (dh @ w["Wo"].T).reshape(f["o"].shape)
@@ -271,22 +273,37 @@ class Trainer:
     """Adam over batches of windows."""
 
     def __init__(self, model: Model, p: LmParams):
-        self.params, self.p, self.steps, self.tokens = {k: v.copy() for k, v in model.params.items()}, p, 0, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.params.items()}
+        self.p, self.steps, self.tokens, self.params = p, 0, 0, {}
+        self._names = sorted(model.params)
+        self._flat = np.concatenate([model.params[k].ravel() for k in self._names])
+        self._m, self._v, self._work = (np.zeros_like(self._flat) for _ in range(3))
+        at = 0
+        for k in self._names:  # views of the flat vector
+            old = model.params[k]
+            self.params[k] = self._flat[at : at + old.size].reshape(old.shape)
+            at += old.size
 
     def step(self, flat: np.ndarray, sizes: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> float:
-        loss, g = gradients(self.params, flat, sizes, targets, valid)
+        loss, found = gradients(self.params, flat, sizes, targets, valid)
         self.steps += 1
         self.tokens += int(valid.sum())
-        rate = self.p.rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        for k, (m, v) in self.moments.items():
-            m += np.float32(0.1) * (g[k] - m)
-            v += np.float32(0.001) * (g[k] ** 2 - v)
-            self.params[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
+        g, m, v, work = np.concatenate([found[k].ravel() for k in self._names]), self._m, self._v, self._work
+        np.subtract(g, m, out=work)
+        work *= np.float32(0.1)
+        m += work
+        g *= g
+        g -= v
+        g *= np.float32(0.001)
+        v += g
+        np.sqrt(v, out=work)
+        work += np.float32(1e-8)
+        np.divide(m, work, out=work)
+        work *= np.float32(self.p.rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
+        self._flat -= work
         return loss
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.params[k].ravel() for k in sorted(self.params)]).astype(np.float64)
+        return self._flat.astype(np.float64)
 
 
 def ids_of(words: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -430,6 +447,7 @@ def score_tokens(w: dict[str, np.ndarray], vectors: np.ndarray, klass: np.ndarra
     # At the head of a window come ``context`` tokens that the window before it scored.
     low, high = np.where(number == 0, 0, p.context), np.minimum(p.window, sizes[owner] - start)
     place, ones = np.arange(p.window), np.ones(p.classes, np.float32)
+    both = np.concatenate((w["U"], w["b"][None]))
     # Window by window, the scored places are the tokens in their order: what belongs to them are plain slices.
     ends = np.cumsum(np.maximum(high - low, 0))
     klass, values, done = klass[targets], inside[targets].astype(np.float64), 0
@@ -438,8 +456,9 @@ def score_tokens(w: dict[str, np.ndarray], vectors: np.ndarray, klass: np.ndarra
         at = (first[owner[z]] + start[z])[:, None] + place
         scored = (place >= low[z, None]) & (place < high[z, None])
         to = int(ends[min(a + at_once, len(owner)) - 1])
-        logits = forward(w, vectors.take(inputs[np.minimum(at, len(inputs) - 1)], axis=0))["h"][scored] @ w["U"]
-        logits += w["b"]
+        h = np.ones((to - done, len(both)), np.float32)
+        h[:, :-1] = forward(w, vectors.take(inputs[np.minimum(at, len(inputs) - 1)], axis=0))["h"][scored]
+        logits = h @ both
         _near_zero(logits)
         right = logits[np.arange(to - done), klass[done:to]]
         np.exp(logits, out=logits)
@@ -794,7 +813,7 @@ def score(documents: DataFrame, trained: Trained, path: str | None = None, p: Lm
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by models of the documents that are not held out."""
-    documents, path = _documents(table(spark, sf_dir, "documents"), "doc_id", "text"), default_path(VOCABULARY)
+    documents, path = _documents(gathered(table(spark, sf_dir, "documents")), "doc_id", "text"), default_path(VOCABULARY)
     learned = learn_words(documents.filter(~F.col("held_out")), path)
     coded = code_documents(documents, learned)
     return score_coded(coded, fit(coded.filter(~F.col("held_out")), learned, path), path)

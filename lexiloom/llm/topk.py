@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import MAX_LONG, materialise, table
 
 TOP, EVERY, SCALE = 5, 50, 256
-BLOCK_ROWS, QUERY_ROWS = 2048, 4096
+#: Vectors of a list block, and queries of a query block. Every list block meets every query block, so what is shuffled is the lists once for each
+#: query block: these are as large as a task can hold with ease (16 MB for 64 dimensions), since a query is but one vector.
+BLOCK_ROWS, QUERY_ROWS = 4096, 1 << 16
 #: Queries that read together.
 _CHUNK = 128
 
@@ -119,49 +122,51 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.forall("v", finite)).select("vec_id", F.transform("v", cut).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("m"))
 
 
-def whole_numbers(vectors: list[np.ndarray], width: int) -> np.ndarray:
-    """floor(256 * x) of every component, filled up with zeros to ``width``: as doubles where they are small enough, else as Python numbers."""
-    sizes = np.array([len(v) for v in vectors], np.int64)
-    flat = np.concatenate(vectors) if len(vectors) else np.zeros(0)
-    large = len(flat) and float(np.abs(flat).max()) >= 2.0**40
-    out = np.zeros((len(vectors), width), object if large else np.float64)
-    at = np.repeat(np.arange(len(vectors)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[at] = [int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(x * SCALE) for x in flat.tolist()] if large else np.floor(flat * SCALE)
-    return out
+def whole_numbers(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of every component, which are 32-bit whole numbers already or doubles: as doubles where they are small enough, else as Python numbers."""
+    if vectors.dtype != np.float64:
+        return vectors.astype(np.float64)
+    if not vectors.size or float(np.abs(vectors).max()) < 2.0**40:
+        return np.floor(vectors * SCALE)
+    return np.array([int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(x * SCALE) for x in vectors.ravel().tolist()], object).reshape(vectors.shape)
 
 
-def _packed(rows: DataFrame, key: str, width: int, top: int, as_lists: bool) -> DataFrame:
-    """One row for each value of ``key`` with all of its vectors: (key, ids, flat, sizes[, members]); sorted into lists if ``as_lists``."""
+def _packed(rows: DataFrame, key: str, width: int, top: int, as_lists: bool, kind: str) -> DataFrame:
+    """One row for each value of ``key`` with all of its vectors: (key, ids, vectors, members); sorted into lists if ``as_lists``. ``kind`` is how a component is kept."""
+    names = [key, "ids", "vectors", "members"]
+
+    def block(spot: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, times, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.repeat(np.argsort(ids, kind="stable"), np.minimum(times, top)[np.argsort(ids, kind="stable")] if as_lists else 1)
+        ids, vectors = ids[order], vectors[order]
+        # Scaling keeps the order, so the lists of the vectors are those of their whole numbers.
+        members = np.argsort(vectors, axis=0, kind="stable").astype("<u2" if len(ids) <= 1 << 16 else "<i4") if as_lists else np.zeros(0, "<u2")
+        if as_lists:
+            vectors = np.take_along_axis(vectors, members.astype(np.int64), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array([spot], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, vectors, members))], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list[float], int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last = None
-
-        def block() -> pa.RecordBatch:
-            held.sort(key=lambda r: r[0])
-            times = [min(m, top) if as_lists else 1 for _, _, m in held]
-            ids = np.repeat(np.array([i for i, _, _ in held], np.int64), times)
-            vectors = np.zeros((len(held), width))
-            for k, (_, v, _) in enumerate(held):
-                vectors[k, : len(v)] = v
-            vectors = np.repeat(vectors, times, axis=0)
-            # Scaling keeps the order, so the lists of the vectors are those of their whole numbers.
-            members = np.argsort(vectors, axis=0, kind="stable").astype("<i4") if as_lists else np.zeros(0, "<i4")
-            if as_lists:
-                vectors = np.take_along_axis(vectors, members, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, vectors, members))], names)
-
         for b in batches:
-            for spot, i, v, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and spot != last:
-                    yield block()
+            spots = b.column(0).to_numpy()
+            sizes = np.diff(b.column(2).offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            vectors = np.zeros((len(sizes), width))
+            vectors[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = b.column(2).flatten().to_numpy()
+            vectors = np.floor(vectors * SCALE).astype("<i4") if kind == "<i4" else vectors
+            edges = [0, *(np.flatnonzero(np.diff(spots)) + 1).tolist(), len(spots)]
+            for a, z in pairwise(edges):
+                if a == z:
+                    continue
+                if held and spots[a] != last:
+                    yield block(last, held)
                     held.clear()
-                last = spot
-                held.append((i, v, m))
+                last = int(spots[a])
+                held.append((b.column(1).to_numpy()[a:z], b.column(3).to_numpy()[a:z], vectors[a:z]))
         if held:
-            yield block()
+            yield block(last, held)
 
-    names = [key, "ids", "vectors", "members"]
     dealt = rows.select(key, "vec_id", "v", "m").repartition(key).sortWithinPartitions(key)
     return dealt.mapInArrow(run, f"{key} int, ids binary, vectors binary, members binary")
 
@@ -170,14 +175,15 @@ def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """(query_id, rank, vec_id, score): the ``top`` best candidates of each row whose id ``every`` divides."""
     rows = materialise(_valid(df, id_col, vector_col), "vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    size = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()
+    size = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w"), F.coalesce(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.lit(0.0)).alias("most")).first()
     width = max(1, size["w"])
+    kind = "<i4" if size["most"] * SCALE < 2**31 - 1 else "<f8"
     # The longest block cannot hold two rows of one (vec_id, vector), so a hash of both spreads any group.
     blocks, query_blocks = max(1, math.ceil(size["n"] / block_rows)), max(1, math.ceil(size["q"] / query_rows))
     spot = lambda k: F.pmod(F.xxhash64("vec_id", "v"), F.lit(k)).cast("int")
     both = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    lists = materialise(_packed(rows.withColumn("c", spot(blocks)), "c", width, top, True), "lists")
-    asked = materialise(_packed(rows.filter(is_query).withColumn("q", spot(query_blocks)), "q", width, top, False), "queries")
+    lists = materialise(_packed(rows.withColumn("c", spot(blocks)), "c", width, top, True, kind), "lists")
+    asked = materialise(_packed(rows.filter(is_query).withColumn("q", spot(query_blocks)), "q", width, top, False, kind), "queries")
     cells = lists.withColumn("q", both(query_blocks)).withColumn("asks", F.lit(False)).unionByName(asked.withColumn("c", both(blocks)).withColumn("asks", F.lit(True)))
     dealt = cells.select("c", "q", "asks", "ids", "vectors", "members").repartition("c", "q").sortWithinPartitions("c", "q", "asks")
 
@@ -185,13 +191,13 @@ def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         lists = None
         for b in batches:
             for c, q, asks, ids, vectors, members in zip(*(column.to_pylist() for column in b.columns), strict=True):
-                ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, width)
+                ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(-1, width)
                 if not asks:
-                    lists = (c, q), ids, vectors, np.frombuffer(members, "<i4").reshape(-1, width)
+                    lists = (c, q), ids, vectors, np.frombuffer(members, "<u2" if len(ids) <= 1 << 16 else "<i4").astype(np.int64).reshape(-1, width)
                     continue
                 if lists is None or lists[0] != (c, q):
                     continue  # a block without rows
-                values, weights = whole_numbers(list(lists[2]), width), whole_numbers(list(vectors), width)
+                values, weights = whole_numbers(lists[2]), whole_numbers(vectors)
                 sound = values.dtype != object and weights.dtype != object and width * float(np.abs(values).max()) * float(np.abs(weights).max()) < 2**53
                 if not sound:
                     values, weights = (np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape) for m in (values, weights))
@@ -211,14 +217,15 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(top: int = TOP, every: int = EVERY) -> str:
+    """Every query vector against every other row; positions that both have count, so an empty vector scores 0."""
     return f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-flat AS (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS d FROM v),
+asked AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % {every} = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
-  FROM flat q JOIN flat c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0 GROUP BY ALL),
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0)::BIGINT AS score
+  FROM asked q JOIN v c ON q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= {top}
 """

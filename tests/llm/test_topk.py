@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -101,3 +102,19 @@ def test_ties_go_to_the_smaller_id():
     vectors = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     _, found = run_block(vectors, np.array([[2.0, 2.0]]), ids=np.array([9, 4, 7, 5]), top=2)
     assert found[0] == [(4, 2), (5, 2)]
+
+
+def test_sql_and_query_agree_on_repeated_rows_and_empty_vectors(spark, tmp_path):
+    rows = [(0, [1.0, -2.0]), (0, [1.0, -2.0]), (50, [0.5]), (50, [0.5]), (100, []), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, []), (3, [-1.0, 0.25]), (4, None), (None, [1.0]), (150, [-3.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(topk.oracle()).fetchall()
+    assert result(topk.op5_exact_top_k(spark, str(tmp_path))) == sorted(want) == slow(rows)
+
+
+@pytest.mark.parametrize("kind", [1.0, 2.0**24])
+def test_blocks_keep_whole_numbers_in_either_width(spark, kind):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=5) * kind).tolist()) for i in range(150)]
+    assert result(topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=30, query_rows=2)) == slow(rows)
