@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule: space and U+0009 to U+000D.
@@ -16,6 +17,8 @@ WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 MAX_LONG = 2**63 - 1
 #: Rows that a task writes at least, where their number is known.
 ROWS_EACH = 20_000
+#: So many files' names are sent to every task; more are joined.
+SENT_FILES = 10_000
 #: Bytes that a task reads at least, where cores are fewer.
 SCAN_BYTES = 1 << 26
 
@@ -85,8 +88,9 @@ def gathered(df: DataFrame, bytes_each: int = SCAN_BYTES) -> DataFrame:
     What is written from it comes in as few files. Every file that a task makes in a local store starts a process of its own, which
     counts with the memory of the whole executor until it has begun.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // bytes_each)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # A size that is not known reads as a very large one.
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // bytes_each), 1 << 30)))
 
 
 def materialise(df: DataFrame, name: str, by: str | None = None, rows: int | None = None) -> DataFrame:
@@ -105,6 +109,22 @@ def materialise(df: DataFrame, name: str, by: str | None = None, rows: int | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """The rows with ``row``, a number of their own that is the same whenever they are read.
+
+    Rows of files are known by file and place, so nothing is written but the list of files; any others are written once.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    try:
+        placed = df.select(F.struct(*columns).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return materialise(df.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row")), name)
+    files = materialise(placed.select("file").distinct().withColumn("no", F.row_number().over(Window.orderBy("file")).cast("long")), f"{name}-files")
+    if files.count() <= SENT_FILES:
+        files = F.broadcast(files)
+    return placed.join(files, "file").select("doc", (F.shiftleft("no", 36) + F.col("at")).alias("row"))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null and for no words."""
     trimmed = F.btrim(text, F.lit(WORD_GAP_CHARS))

@@ -10,7 +10,8 @@ neighbouring repeated chunks goes when it holds at least ``min_run_words`` words
 phrases that happen to recur stay.
 
 A task compares chunks on its own first and leaves one row of each digest to be compared with other tasks, so a
-passage that a third of all documents share is one row for each task, and the chunk table is shuffled once. Texts
+passage that a third of all documents share is one row for each task (or ``held_chunks`` of one), rows that a task finds to repeat are spread by
+their own ranks, and the chunk table is shuffled once. Texts
 are cut up again in the Arrow batches that bring them together with their repeats.
 
 Defined results: a null text stays null and an empty one empty, with no chunks; rows that share doc_id
@@ -54,6 +55,8 @@ class ChunkParams:
 
 DEFAULTS = ChunkParams()
 _WINDOW = 16
+#: An odd number, by which ranks are spread.
+_SPREAD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 
 @cache
@@ -160,7 +163,9 @@ def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[bool, int, int, int]] = {}
-        marked: list[tuple[bool, int, int, int]] = []
+        marked: set[tuple[bool, int, int, int]] = set()
+        # Rows of one rank that hold a digest: (digest, place); each text of theirs once.
+        equals: set[tuple[bytes, tuple[bool, int, int, int]]] = set()
 
         def out(digests: np.ndarray, rows: Iterable[tuple[bool, int, int, int]], repeat: bool) -> pa.RecordBatch:
             none, rank, key, number = np.array(list(rows), np.int64).reshape(-1, 4).T
@@ -171,37 +176,39 @@ def chunk_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             if held:
                 yield out(np.frombuffer(b"".join(held.keys()), np.int64).reshape(-1, 2), held.values(), False)
                 held.clear()
+            if equals:
+                yield out(np.frombuffer(b"".join(d for d, _ in equals), np.int64).reshape(-1, 2), [m for _, m in equals], False)
+                equals.clear()
 
         for b in batches:
             for rank, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 if not text:
                     continue
-                key, seen, same = text_key(text), set(), []
+                key, seen = text_key(text), set()
                 place = (False, rank) if rank is not None else (True, key)
                 for number, digest in enumerate(chunks_of(text, p)[1]):
                     mine = (*place, key, number)
                     before = held.get(digest)
                     if digest in seen:
-                        marked.append(mine)
+                        marked.add(mine)
                         continue
                     seen.add(digest)
                     if before is None:
                         held[digest] = mine
                     elif before[:2] < place:
-                        marked.append(mine)
+                        marked.add(mine)
                     elif before[:2] > place:
-                        marked.append(before)
+                        marked.add(before)
                         held[digest] = mine
-                    else:  # another row with this rank: neither repeats the other
-                        same.append((digest, mine))
-                if same:
-                    yield out(np.frombuffer(b"".join(d for d, _ in same), np.int64).reshape(-1, 2), [m for _, m in same], False)
+                    elif before != mine:  # another row with this rank: neither repeats the other
+                        equals.add((digest, mine))
             if marked:
-                # Spread by their place: no other chunk is looked for.
-                spread = np.array(marked, np.int64)
-                yield out(spread[:, [3, 2]], marked, True)
+                # No other chunk is looked for: they are spread by rank and number, so that copies of one text part.
+                spread = np.array(list(marked), np.int64)
+                apart = spread[:, 1] * _SPREAD + spread[:, 3]
+                yield out(np.stack((apart, spread[:, 2]), axis=1), list(marked), True)
                 marked.clear()
-            if len(held) >= p.held_chunks:
+            if len(held) + len(equals) >= p.held_chunks:
                 yield from flush()
         yield from flush()
 

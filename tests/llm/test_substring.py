@@ -174,3 +174,15 @@ def test_query_on_real_documents(spark):
 
 def test_empty_table(spark):
     assert sub.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_copies_leave_no_large_digest_group(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, passage) for i in range(10_000)] + [(None, passage)] * 2_000 + [(20_000, passage + " tail")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    chunks = sub.chunk_table(df)
+    largest = chunks.groupBy("d1", "d2").count().agg({"count": "max"}).first()[0]
+    assert largest <= 3 * 4  # a row from each task for each kind of rank
+    kept = sub.dedup_substrings(df).groupBy("rest.doc_id").agg({"removed_bytes": "max"}).collect()
+    gone = dict(map(tuple, kept))
+    assert gone[0] == 0 and all(gone[i] == len(passage) for i in range(1, 10_000))
