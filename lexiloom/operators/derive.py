@@ -1,7 +1,7 @@
 """Parents that the sources state.
 
-Only the opening paragraph of an entry counts. Its sentences become runs of folded words of the widths that
-names have, and runs meet names by a hash join; no name is tried against every text.
+Only the opening paragraph of an entry counts. Names are looked for in its sentences' folded words by their beginnings (``matching``), and
+what is found meets the names by a hash join; no name is tried against every text.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import shared_table
-from lexiloom.functions.text import fold, grams_of, holds_run, opening_of, sentences_of
-from lexiloom.operators import lineage
+from lexiloom.functions.text import fold, holds_run, opening_of, sentences_of
+from lexiloom.operators import lineage, matching
 from lexiloom.rules import RULES, RuleSet
 
 
@@ -27,9 +27,7 @@ def statements(drafts: DataFrame, candidates: DataFrame, rules: RuleSet = RULES)
     """
     own = F.array_compact(F.array_union(F.transform("terms", lambda t: t["concept"]), F.array(fold(F.col("title")))))
     texts = drafts.select("source_id", "seq", F.col("ref.entry").alias("entry"), own.alias("own"), F.posexplode(sentences_of(opening_of(F.col("body"), rules), rules)).alias("seg", "words"))
-    widths = candidates.groupBy("source_id").agg(F.collect_set("width").alias("widths"))
-    runs = texts.join(widths, "source_id").withColumn("w", F.explode("widths")).select("source_id", "seq", "entry", "own", "seg", "w", F.explode(grams_of(F.col("words"), F.col("w"))).alias("g"))
-    placed = runs.select("source_id", "seq", "entry", "own", "seg", F.col("g.start").alias("start"), (F.col("g.start") + F.col("w")).alias("end"), F.col("g.gram").alias("name"))
+    placed = matching.stated_runs(texts, candidates, ["seq", "entry", "own", "seg"])
     itself = F.coalesce(F.col("key_entry") == F.col("entry"), F.array_contains("own", F.col("key_concept")))
     subject = ~F.col("base") & F.exists("own", lambda n: holds_run(n, F.col("name")))
     place = F.struct(F.coalesce("candidates.seq", F.lit(2**31 - 1)).alias("seq"), F.coalesce("pos", F.lit(0)).alias("pos"), F.col("name").alias("name"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import split_lines, strip
+from lexiloom.operators.structure import BLOCK_LINES, running
 
 # Fixed values of the checks: words of praise, in the order in which they are reported; the limits; and the Markdown patterns.
 PRAISE = (
@@ -46,18 +47,18 @@ def term_report(documents: DataFrame, term: str, allowed: DataFrame) -> DataFram
     return banned.unionByName(excused).unionByName(stale)
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
+def paragraphs(documents: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(path, unit, prose): prose of Markdown pages without code blocks and table rows; a list item is a unit of its own.
 
     Inline code reads ``CODE`` and link targets are dropped.
     """
-    order = Window.partitionBy("path").orderBy("number")
-    fence = F.rlike("line", F.lit(FENCE))
-    fenced = _numbered(documents).withColumn("fence", fence).withColumn("inside", F.sum(F.col("fence").cast("int")).over(order) % 2 == 1)
+    # Fences and units are counted within blocks of lines and over the blocks' totals, as chapters are.
+    placed = _numbered(documents).select(F.col("path").alias("source_id"), F.col("at").alias("idx"), "line", "number").withColumn("fence", F.rlike("line", F.lit(FENCE)))
+    fenced = running(placed, F.col("fence").cast("long"), "fences", block_lines=block_lines).withColumn("inside", F.col("fences") % 2 == 1)
     read = fenced.filter(F.col("fence") | ~(F.col("inside") | F.rlike("line", F.lit(TABLE_ROW))))
     masked = F.when(F.col("fence"), "").otherwise(F.regexp_replace(F.regexp_replace("line", "`[^`]*`", "CODE"), r"\]\([^)]*\)", "]"))
     lined = read.withColumn("clean", strip(masked)).withColumn("opens", (F.col("clean") == "") | F.rlike(masked, F.lit(LIST_ITEM)))
-    units = lined.withColumn("unit", F.sum(F.col("opens").cast("int")).over(order)).filter("clean <> ''").groupBy("path", "unit")
+    units = running(lined, F.col("opens").cast("long"), "unit", block_lines=block_lines).filter("clean <> ''").groupBy(F.col("source_id").alias("path"), "unit")
     return units.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "clean"))), lambda x: x["clean"]), " ").alias("prose"))
 
 
@@ -88,6 +89,19 @@ def missing_quotes(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.filter(~F.coalesce(F.contains("text", F.col("quote")), F.lit(False))).select("path", "quote", F.col("text").isNull().alias("absent"))
 
 
+def misquoted_census(documents: DataFrame, census: DataFrame, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows of (path, quote, absent): what pages (path) should quote of a census, by templates with {sauces}, {derived} and {unresolved}, and do not.
+
+    The counts are those of all sources together, from a catalogue that is extracted anew.
+    """
+    counts = census.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in ("sauces", "derived", "unresolved")])
+    asked = documents.sparkSession.createDataFrame([(path, t) for path, own in templates.items() for t in own], "path string, quote string")
+    filled = F.col("quote")
+    for c in ("sauces", "derived", "unresolved"):
+        filled = F.replace(filled, F.lit(f"{{{c}}}"), F.col(c))
+    return missing_quotes(documents, asked.crossJoin(F.broadcast(counts)).select("path", filled.alias("quote")))  # one row of counts
+
+
 def dotted_names(documents: DataFrame, root: str) -> DataFrame:
     """(path, name): distinct dotted references below a package."""
     pattern = F.lit(rf"\b{root}(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import grams_of, width_of
@@ -54,15 +54,51 @@ def lookups(catalogue: DataFrame, bases: DataFrame, wanted: DataFrame, best: boo
     if best:
         top = both.groupBy("source_id", "wanted").agg(F.min(F.struct("by_width", "place", "seq", "pos", "entry", "concept")).alias("top"))
         return top.select("source_id", "wanted", F.lit(1).alias("rank"), "top.seq", "top.entry", "top.concept")
-    # A common word's answers are ranked within stretches of the order, and over the stretches' sizes.
+    return _ranked(both, block_places)
+
+
+def _ranked(answers: DataFrame, block_places: int) -> DataFrame:
+    """A common word's answers are ranked within stretches of the order (by_width, place, seq, pos), and over the stretches' sizes."""
     stretch = ["source_id", "wanted", "by_width", "blk"]
-    dealt = both.withColumn("blk", F.floor(F.col("place") / block_places))
+    dealt = answers.withColumn("blk", F.floor(F.col("place") / block_places))
     before = Window.partitionBy("source_id", "wanted").orderBy("by_width", "blk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(*stretch).agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     local = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*stretch).orderBy("place", "seq", "pos")))
     return local.join(sizes, stretch).select("source_id", "wanted", (F.col("rank") + F.col("earlier")).cast("int").alias("rank"), "seq", "entry", "concept")
 
 
+def run_index(catalogue: DataFrame) -> DataFrame:
+    """(key, exact, seq, pos, entry, concept, width, place): every run of words of every name, once for each name, under one key with its source."""
+    names = first_names(catalogue).join(entry_order(catalogue), ["source_id", "entry"])
+    words = F.split("name", "-")
+    widths = F.sequence(F.lit(1), F.size(words))
+    runs = F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(grams_of(words, w), lambda g: g["gram"]))))
+    each = names.withColumn("run", F.explode(runs))
+    return each.select(_index_key(F.col("source_id"), F.col("run")).alias("key"), (F.col("run") == F.col("name")).alias("exact"), "seq", "pos", "entry", "concept", width_of(F.col("name")).alias("width"), "place")
+
+
+def _index_key(source: Column, run: Column) -> Column:
+    return F.concat(source, F.lit("\x1f"), run)
+
+
+def store_index(catalogue: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Write the run index as a table in buckets by key: questions come to it without moving it."""
+    run_index(catalogue).write.mode("overwrite").option("path", path).bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
+
+
+def indexed_lookups(index: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What ``lookups`` gives, from a stored run index: only questions are shuffled to meet it."""
+    declared = bases.select("source_id", F.col("concept").alias("wanted"), F.lit(True).alias("is_base"))
+    asked = wanted.select("source_id", "wanted").filter("wanted is not null").distinct().join(declared, ["source_id", "wanted"], "left")
+    keyed = asked.withColumn("key", _index_key(F.col("source_id"), F.col("wanted")))
+    hits = keyed.join(index, "key")
+    # An exact name answers alone.
+    named = hits.filter("exact").select("source_id", "wanted").distinct().withColumn("named", F.lit(True))
+    live = hits.join(named, ["source_id", "wanted"], "left").filter(F.col("exact") | F.col("named").isNull())
+    by_width = F.when(F.col("exact") | F.col("is_base"), 0).otherwise(F.col("width"))
+    return _ranked(live.withColumn("by_width", by_width), BLOCK_PLACES)
+
+
 def candidates(catalogue: DataFrame, bases: DataFrame) -> DataFrame:
     """(source_id, name, key_entry, key_concept, records, base, width, seq, pos): one row for each name.
 

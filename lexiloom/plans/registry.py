@@ -167,6 +167,16 @@ def matches_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.matches(out.catalogue, out.bases, _questions(out)).select("source_id", "wanted", "rank", "seq", "title")
 
 
+def matches_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions, answered from an index of runs that is stored in buckets."""
+    out = _extracted(spark, sf_dir)
+    path = shared_folder(spark, "runs")
+    table = "runs_" + path.rsplit("-", 1)[-1]
+    names.store_index(out.catalogue, table, path, 16)
+    answers = names.indexed_lookups(spark.table(table), out.bases, _questions(out))
+    return answers.join(out.catalogue.select("source_id", "seq", "title"), ["source_id", "seq"]).select("source_id", "wanted", "rank", "seq", "title")
+
+
 def find_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _extracted(spark, sf_dir)
     return query.find(out.catalogue, out.bases, _questions(out)).select("source_id", "wanted", "seq", "title")
@@ -231,13 +241,14 @@ def queries() -> dict[str, Query]:
     found = (
         fold_concepts, line_scan, entry_segments, chapter_spans, mothers, sauce_filter, terms, names_first_wins, parent_candidates, statements, unshadowed, resolved_parent, cycle_clear, catalogue, census, diagnostics,
         matches_ranked, find_best, children_of, derivation_tree, ancestor_chains, detail_view, provenance_check, faulty_sources, wrapped_source, stored_catalogue,
-        file_statuses, quarantine, misquoted_lines, prose_findings, open_fences, term_report,
+        matches_indexed, file_statuses, quarantine, misquoted_lines, prose_findings, open_fences, term_report,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     spot = 'source_id, seq, entry, seg, start, stop AS "end", name, key, records, base'
+    ranked = "SELECT r.source_id, r.wanted, r.rank, r.seq, c.title FROM ranked r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"
     return {
         "fold_concepts": f"SELECT doc_id, nullif({oracle.fold('text')}, '') AS concept FROM documents",
         "line_scan": sql("lines", "SELECT source_id, idx, text FROM lines"),
@@ -267,7 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "open_fences": oracle.FENCES,
         "term_report": oracle.TERMS,
         "stored_catalogue": sql("catalogue", "SELECT source_id, seq, title, concept, entry, line, parent FROM catalogue"),
-        "matches_ranked": sql("found", "SELECT r.source_id, r.wanted, r.rank, r.seq, c.title FROM ranked r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
+        "matches_ranked": sql("found", ranked),
+        "matches_indexed": sql("found", ranked),
         "find_best": sql("found", "SELECT r.source_id, r.wanted, r.seq, c.title FROM best r JOIN asked a ON r.source_id = a.source_id AND r.wanted = a.wanted JOIN catalogue c ON r.source_id = c.source_id AND r.seq = c.seq"),
         "children_of": sql("children", "SELECT h.source_id, h.wanted, h.seq FROM children h JOIN asked a ON h.source_id = a.source_id AND h.wanted = a.wanted"),
         "derivation_tree": sql("tree", "SELECT source_id, root, array_to_string(path, '/') AS path, len(path)::INTEGER AS depth, title, languages, concept, lead(path) OVER (PARTITION BY source_id, root, path[1:len(path) - 1] ORDER BY path) IS NULL AS last FROM nodes"),

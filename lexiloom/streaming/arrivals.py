@@ -18,9 +18,10 @@ def arriving_files(spark: SparkSession, folder: str, range_bytes: int = RANGE_BY
 
 
 def keep_catalogues(pieces: DataFrame, store: str, checkpoint: str, rules: RuleSet = RULES) -> StreamingQuery:
-    """Write the catalogue of every sound file; a batch that is repeated writes the same rows again."""
+    """Write the catalogue of every sound file, and drop that of one which has none any more; a batch that is repeated writes the same rows again."""
 
     def batch(found: DataFrame, _: int) -> None:
-        save_table(extract(scanned(found, rules)[0], rules).catalogue, store)
+        lines, files = scanned(found, rules)
+        save_table(extract(lines, rules).catalogue, store, files.filter("status = 'ok'"))
 
     return pieces.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -47,3 +47,15 @@ def test_references(spark):
     assert [r["agree"] for r in lint.versions(docs, {"v.toml": 'version = "([^"]+)"', "no": "x"}).collect()] == [False, False]
     assert rows(lint.missing_quotes(docs, spark.createDataFrame([("v.py", "1.2"), ("v.py", "9"), ("no", "1")], "path string, quote string")), "path") == [("no", "1", True), ("v.py", "9", False)]
     assert rows(lint.code_lines(docs), "path")[-1] == ("x.py", 2)
+
+
+def test_blocks_of_lines_make_no_difference(spark, docs):
+    whole = rows(lint.paragraphs(docs), "path", "unit")
+    assert all(rows(lint.paragraphs(docs, block), "path", "unit") == whole for block in (1, 2, 5))
+
+
+def test_census_is_quoted_anew(spark):
+    counts = spark.createDataFrame([("a", 3, 1, 2), ("b", 7, 4, 3)], "source_id string, sauces long, derived long, unresolved long")
+    pages = spark.createDataFrame([("x.md", "10 sauces, 5 derived"), ("y.md", "unresolved: 4")], "path string, text string")
+    found = lint.misquoted_census(pages, counts, {"x.md": ("{sauces} sauces", "{derived} derived", "{unresolved} left"), "y.md": ("unresolved: {unresolved}",), "z.md": ("{sauces}",)})
+    assert rows(found, "path", "quote") == [("x.md", "5 left", False), ("y.md", "unresolved: 5", False), ("z.md", "10", True)]
