@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,8 @@ WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 MAX_LONG = 2**63 - 1
 #: Rows that a task writes at least, where their number is known.
 ROWS_EACH = 20_000
+#: Bytes of a row group of the tables written here.
+GROUP_BYTES = 1 << 24
 #: So many files' names are sent to every task; more are joined.
 SENT_FILES = 10_000
 #: Bytes that a task reads at least, where cores are fewer.
@@ -104,7 +108,8 @@ def materialise(df: DataFrame, name: str, by: str | None = None, rows: int | Non
     path = shared_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_EACH)))
-    writer = df.write.mode("append").option("compression", "zstd")
+    # A writer holds a row group in its executor's memory.
+    writer = df.write.mode("append").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES)
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -125,6 +130,17 @@ def numbered_rows(df: DataFrame, name: str) -> DataFrame:
     return placed.join(files, "file").select("doc", (F.shiftleft("no", 36) + F.col("at")).alias("row"))
 
 
+@cache
+def keep_pages() -> None:
+    """Let this process use the memory of freed arrays again instead of handing it back and faulting it in anew, which costs numpy more than
+    its arithmetic where arrays of about 1 MB come and go. For tasks; where the C library knows no such settings nothing changes."""
+    try:
+        for setting, size in ((-3, 1 << 24), (-1, 1 << 25)):  # glibc: sizes from which memory is mapped, and trimmed
+            ctypes.CDLL(None).mallopt(setting, size)
+    except (OSError, AttributeError):
+        return
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null and for no words."""
     trimmed = F.btrim(text, F.lit(WORD_GAP_CHARS))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc32_of_id, table
+from lexiloom.llm.common import crc32_of_id, keep_pages, table
 
 UNKNOWN = "und"
 SEGMENT = 256
@@ -44,6 +44,8 @@ _CLASSES = 64
 _GAP, _OTHER, _FILL = 0, _CLASSES - 2, _CLASSES - 1
 #: Segments that step together.
 _TOGETHER = 4096
+#: Parts of a language whose hashes are ranked on their own first.
+_PARTS = 32
 #: Rows whose texts are held at once as letters.
 _ROWS = 256
 Sample = tuple[tuple[str, str], ...]
@@ -183,8 +185,10 @@ def learn(df: DataFrame, text_col: str, lang_col: str, docs_each: int = DOCS_EAC
     text = F.col(f"`{text_col}`").cast("string")
     rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text")).filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("h")
-    # Copies of a text are one hash before anything is ranked, and the ranking keeps its smallest map-side.
-    least = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_each).select("lang", "h")
+    # Copies of a text are one hash before anything is ranked, and the ranking keeps its smallest map-side, in parts of a language first.
+    part = F.pmod("h", F.lit(_PARTS))
+    first = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))).filter(F.col("k") <= docs_each)
+    least = first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_each).select("lang", "h")
     # At most docs_each rows for each language.
     drawn = rows.join(F.broadcast(least), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min(F.left("text", F.lit(chars_of_doc))).alias("text")).orderBy("lang", "h").collect()
     languages = {r["lang"] for r in drawn}
@@ -205,6 +209,7 @@ def identify(df: DataFrame, sample: Sample, text_col: str = "text", keep: list[s
     sent = df.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         own = parser(sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc32_of_id, gathered, materialise, table
+from lexiloom.llm.common import crc32_of_id, gathered, keep_pages, materialise, table
 from lexiloom.llm.tokens import default_path, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -627,6 +627,7 @@ def train_round(coded: DataFrame, model: Model, path: str, p: LmParams, turn: in
     shared = coded.sparkSession.sparkContext.broadcast(model.without_lookup())
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         start, at, trainer, waiting = shared.value, None, None, 0
         entries = Entries(start, path)
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -730,6 +731,7 @@ def code_documents(documents: DataFrame, learned: Trained, p: LmParams = DEFAULT
     names = ["doc_id", "held_out", "mark", "row", "n_tokens", "known", "base", "codes", "rare", "times"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         coder, row = Coder(shared.value), TaskContext.get().partitionId() << 33
         for b in batches:
             size = min(256, max(1, b.num_rows))
@@ -776,6 +778,7 @@ def score_coded(coded: DataFrame, trained: Trained, path: str, p: LmParams = DEF
     shared = coded.sparkSession.sparkContext.broadcast(trained.model.without_lookup())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         model, none = shared.value, np.zeros(0, np.int32)
         entries = Entries(model, path)
         fixed, vectors = entries.n, entries.vectors()
