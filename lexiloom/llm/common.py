@@ -23,8 +23,6 @@ ROWS_EACH = 20_000
 GROUP_BYTES = 1 << 24
 #: So many files' names are sent to every task; more are joined.
 SENT_FILES = 10_000
-#: Bytes that a task reads at least, where cores are fewer.
-SCAN_BYTES = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,17 +84,6 @@ def result(df: DataFrame, name: str) -> DataFrame:
         _scopes.append(inner)
 
 
-def gathered(df: DataFrame, bytes_each: int = SCAN_BYTES) -> DataFrame:
-    """A scan in fewer partitions where its files are small or many, without a shuffle: at least ``bytes_each`` to a task, or two tasks for each core.
-
-    What is written from it comes in as few files. Every file that a task makes in a local store starts a process of its own, which
-    counts with the memory of the whole executor until it has begun.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # A size that is not known reads as a very large one.
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // bytes_each), 1 << 30)))
-
-
 def materialise(df: DataFrame, name: str, by: str | None = None, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, partitioned ``by`` a column, removed when the session ends.
 

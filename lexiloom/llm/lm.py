@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc32_of_id, gathered, keep_pages, materialise, table
+from lexiloom.llm.common import crc32_of_id, keep_pages, materialise, table
 from lexiloom.llm.tokens import default_path, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -816,7 +816,7 @@ def score(documents: DataFrame, trained: Trained, path: str | None = None, p: Lm
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by models of the documents that are not held out."""
-    documents, path = _documents(gathered(table(spark, sf_dir, "documents")), "doc_id", "text"), default_path(VOCABULARY)
+    documents, path = _documents(table(spark, sf_dir, "documents"), "doc_id", "text"), default_path(VOCABULARY)
     learned = learn_words(documents.filter(~F.col("held_out")), path)
     coded = code_documents(documents, learned)
     return score_coded(coded, fit(coded.filter(~F.col("held_out")), learned, path), path)
