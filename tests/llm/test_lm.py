@@ -266,3 +266,26 @@ def test_rare_words_are_looked_up(spark):
     assert lm.score(none, lm.train(none, p=p), p=p).collect() == []
     only_held = frame.filter("held_out")
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in lm.score(only_held, lm.train(none)).collect())
+
+
+def test_attention_adds_to_the_same_spelling_without_it(spark):
+    """All held-out documents, scored twice with the same words, spelling and shares: classes by attention, and by their frequency alone."""
+    path = lm.default_path(lm.VOCABULARY)
+    documents = lm._documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    learned = lm.learn_words(documents.filter("not held_out"), path)
+    coded = lm.code_documents(documents, learned)
+    trained = lm.fit(coded.filter("not held_out"), learned, path)
+    head = trained.model.head
+    mass = np.bincount(head.klass, head.counts, lm.DEFAULTS.classes) + 0.5
+    mass[trained.model.own[lm.END_WORD.encode()]] += learned.ends
+    params = {**trained.model.params, "U": np.zeros_like(trained.model.params["U"]), "b": np.log(mass / mass.sum()).astype(np.float32)}
+    without = lm.replace(trained, model=lm.replace(trained.model, params=params))
+
+    def each(model):
+        row = lm.score_coded(coded.filter("held_out"), model, path).selectExpr("sum(score) / sum(n_tokens) as s", "count(*) as n").first()
+        return row["s"], row["n"]
+
+    (attention, n), (frequency, same) = each(trained), each(without)
+    assert n == same == documents.filter("held_out").count() > 150
+    print(f"log10 a token: attention {attention:.3f}, frequency {frequency:.3f}")
+    assert attention > frequency + 0.05
