@@ -40,6 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_top_k": topk.oracle(),
         "op8_url_filters": urls.oracle(),
         "op11_periodic_runs": periodic.oracle(),
-        "op12_language_id": language.op12_language_id,
         "op13_vector_codes": codes.oracle(),
     }
