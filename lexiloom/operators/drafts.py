@@ -26,23 +26,29 @@ def kept_entries(entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -
     return entries.join(known, "source_id", "left").filter(says_kind(F.col("title"), rules) | by_base).drop("bases")
 
 
-def drafts(entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:
-    """The catalogue's rows before parents are known; ``seq`` is the order in the source."""
-    kept = kept_entries(entries, bases, rules).withColumn("terms", terms_of(F.col("title"), rules))
-    # Places are found among (source_id, idx) alone; titles and bodies meet them by key.
-    placed = structure.running(kept_entries(entries, bases, rules).select("source_id", "idx"), F.lit(1).cast("long"), "place")
+def drafts(headings: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+    """(source_id, seq, idx, title, terms, concept, ref) of the catalogue's rows, from their headings alone; ``seq`` is the order in the source."""
+    kept = kept_entries(headings, bases, rules).withColumn("terms", terms_of(F.col("title"), rules))
+    # Places are found among (source_id, idx) alone; titles meet them by key.
+    placed = structure.running(kept_entries(headings, bases, rules).select("source_id", "idx"), F.lit(1).cast("long"), "place")
     concept = F.when(F.size("terms") > 0, F.get("terms", F.lit(0))["concept"]).otherwise(fold(F.col("title")))
     ref = F.struct(F.col("source_id").alias("source_id"), F.col("entry").alias("entry"), F.col("file_line").alias("line"))
-    return kept.join(placed, ["source_id", "idx"]).select("source_id", (F.col("place") - 1).cast("int").alias("seq"), "title", "terms", concept.alias("concept"), "body", ref.alias("ref"), F.lit(None).cast("string").alias("parent"))
+    return kept.join(placed, ["source_id", "idx"]).select("source_id", (F.col("place") - 1).cast("int").alias("seq"), "idx", "title", "terms", concept.alias("concept"), ref.alias("ref"))
 
 
-def unfoldable(lines: DataFrame, entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+def with_bodies(drafts: DataFrame, headings: DataFrame, lines: DataFrame) -> DataFrame:
+    """The catalogue's rows before parents are known. Only lines of kept entries are gathered."""
+    found = drafts.join(structure.bodies(lines, headings, drafts), ["source_id", "idx"], "left")
+    return found.select("source_id", "seq", "title", "terms", "concept", F.coalesce("body", F.lit("")).alias("body"), "ref", F.lit(None).cast("string").alias("parent"))
+
+
+def unfoldable(declared: DataFrame, entries: DataFrame, bases: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     """(source_id, surface) of names that fold to nothing: declared bases, terms of kept entries, titles in kept chapters. A source with any gets no catalogue."""
-    declared = structure.declared_names(lines, rules).filter(fold(F.col("name")).isNull()).select("source_id", F.col("name").alias("surface"))
+    nameless = declared.filter(fold(F.col("name")).isNull()).select("source_id", F.col("name").alias("surface"))
     each = kept_entries(entries, bases, rules).select("source_id", F.explode(terms_of(F.col("title"), rules)).alias("t"))
     terms = each.filter("t.concept is null").select("source_id", F.col("t.surface").alias("surface"))
     titles = entries.filter(F.col("in_kept_chapter") & fold(F.col("title")).isNull()).select("source_id", F.col("title").alias("surface"))
-    return declared.unionByName(terms).unionByName(titles).distinct()
+    return nameless.unionByName(terms).unionByName(titles).distinct()
 
 
 def faulty_refs(catalogue: DataFrame) -> DataFrame:

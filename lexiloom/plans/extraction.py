@@ -22,20 +22,32 @@ class Extracted:
     unfoldable: DataFrame
 
 
-def read_drafts(lines: DataFrame, rules: RuleSet = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, bases, drafts); entries are written, as drafts, their places, statuses and nameless ones read them."""
-    bases = structure.declared_bases(lines, rules)
-    found = shared_table(structure.entries(lines, rules), "entries")
-    return found, bases, drafts.drafts(found, bases, rules)
+@dataclass(frozen=True)
+class Drafted:
+    """What headings and declarations say, all of it written but the drafts: (source_id, name) declared, headings, bases, and drafts without bodies."""
+
+    declared: DataFrame
+    headings: DataFrame
+    bases: DataFrame
+    drafts: DataFrame
+    unfoldable: DataFrame
+
+
+def read_drafts(lines: DataFrame, rules: RuleSet = RULES) -> Drafted:
+    """Headings are written, as drafts, their places, statuses and nameless ones read them; so are declared names."""
+    declared = shared_table(structure.declared_names(lines, rules), "declared")
+    found = shared_table(structure.headings(lines, rules), "headings")
+    bases = shared_table(structure.bases_of(declared), "bases")
+    return Drafted(declared, found, bases, drafts.drafts(found, bases, rules), drafts.unfoldable(declared, found, bases, rules))
 
 
 def extract(lines: DataFrame, rules: RuleSet = RULES) -> Extracted:
     """All catalogues. Drafts are read several times, so they and the names are written once."""
-    found, bases, draft = read_drafts(lines, rules)
-    bases, draft = shared_table(bases, "bases"), shared_table(draft, "drafts")
-    reached = shared_table(names.candidates(draft, bases), "candidates")
-    nameless = drafts.unfoldable(lines, found, bases, rules)
-    return Extracted(derive.with_parents(draft, reached, rules), bases, query.diagnostics(lines, found, draft, nameless), nameless)
+    read = read_drafts(lines, rules)
+    bare = shared_table(read.drafts, "kept")
+    draft = shared_table(drafts.with_bodies(bare, read.headings, lines), "drafts")
+    reached = shared_table(names.candidates(bare, read.bases), "candidates")
+    return Extracted(derive.with_parents(draft, reached, rules), read.bases, query.diagnostics(lines, read.headings, bare, read.unfoldable), read.unfoldable)
 
 
 def extract_one(lines: DataFrame, rules: RuleSet = RULES) -> Extracted:

@@ -22,15 +22,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _drafted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return extraction.read_drafts(synthetic.read(spark, sf_dir))
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts without bodies."""
+    return extraction.read_drafts(synthetic.read(spark, sf_dir)).drafts
 
 
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(drafts, candidates), written once as the extraction does."""
-    _, bases, draft = _drafted(spark, sf_dir)
-    bases, draft = shared_table(bases, "bases"), shared_table(draft, "drafts")
-    return draft, shared_table(names.candidates(draft, bases), "candidates")
+    lines = synthetic.read(spark, sf_dir)
+    read = extraction.read_drafts(lines)
+    bare = shared_table(read.drafts, "kept")
+    return shared_table(drafts.with_bodies(bare, read.headings, lines), "drafts"), shared_table(names.candidates(bare, read.bases), "candidates")
 
 
 def fold_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,20 +56,21 @@ def mothers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sauce_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafted(spark, sf_dir)[2].select("source_id", "seq", F.col("ref.entry").alias("entry"), F.col("ref.line").alias("line"), "title", "concept")
+    return _drafts(spark, sf_dir).select("source_id", "seq", F.col("ref.entry").alias("entry"), F.col("ref.line").alias("line"), "title", "concept")
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _drafted(spark, sf_dir)[2].select("source_id", "seq", F.posexplode("terms").alias("pos", "t"))
+    each = _drafts(spark, sf_dir).select("source_id", "seq", F.posexplode("terms").alias("pos", "t"))
     return each.select("source_id", "seq", "pos", "t.surface", "t.language", "t.concept")
 
 
 def names_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.first_names(_drafted(spark, sf_dir)[2]).select("source_id", "name", "seq", "entry", "concept")
+    return names.first_names(_drafts(spark, sf_dir)).select("source_id", "name", "seq", "entry", "concept")
 
 
 def parent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir)[1].select("source_id", "name", "key_entry", "key_concept", "records", "base")
+    read = extraction.read_drafts(synthetic.read(spark, sf_dir))
+    return names.candidates(shared_table(read.drafts, "kept"), read.bases).select("source_id", "name", "key_entry", "key_concept", "records", "base")
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +112,16 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir).diagnostics
+    lines = synthetic.read(spark, sf_dir)
+    read = extraction.read_drafts(lines)
+    return query.diagnostics(lines, read.headings, read.drafts, read.unfoldable)
 
 
 def faulty_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses of books spoilt by a fixed recipe: no headings, no kept entry, a name that folds to nothing."""
     lines = synthetic.spoilt(synthetic.read(spark, sf_dir))
-    entries, bases, draft = extraction.read_drafts(lines)
-    return query.diagnostics(lines, entries, draft, drafts.unfoldable(lines, entries, bases))
+    read = extraction.read_drafts(lines)
+    return query.diagnostics(lines, read.headings, read.drafts, read.unfoldable)
 
 
 def wrapped_source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import os
+import random
 from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.checkpoints import shared_folder
 from lexiloom.errors import NothingExtracted, UnfoldableTerm
 from lexiloom.operators import derive, lineage, query, structure
 from lexiloom.plans import extraction, registry
@@ -125,3 +128,36 @@ def test_sources_without_a_catalogue(spark):
     with pytest.raises(ValueError, match="1 or greater"):
         catalogue(spark, ["0—FISH SAUCE"])
     assert extraction.extract(lines_from_memory(spark, [])).catalogue.collect() == []
+
+
+def test_headings_and_wanted_bodies_are_those_of_the_entries(spark):
+    lines = [*random_book(5, 40), "", "  ", "last"]
+    frame = lines_from_memory(spark, lines).unionByName(lines_from_memory(spark, ["1—A", "2—B", "x", "3—C"], "other"))
+    whole = {(r["source_id"], r["idx"]): r for r in structure.entries(frame).collect()}
+    heads = structure.headings(frame)
+    got = {(r["source_id"], r["idx"]): r for r in heads.collect()}
+    assert {k: (r["entry"], r["file_line"], r["title"], r["in_kept_chapter"]) for k, r in whole.items()} == {k: (r["entry"], r["file_line"], r["title"], r["in_kept_chapter"]) for k, r in got.items()}
+    wanted = heads.filter("entry % 3 <> 0")
+    for stretch in (1, 2, 64):
+        bodies = {(r["source_id"], r["idx"]): r["body"] for r in structure.bodies(frame, heads, wanted, stretch).collect()}
+        assert all(bodies.get((r["source_id"], r["idx"]), "") == whole[r["source_id"], r["idx"]]["body"] for r in wanted.collect())
+        assert len(bodies) <= wanted.count() and set(bodies.values()) != {""}
+
+
+def test_lines_of_entries_left_out_are_not_gathered(spark):
+    rng = random.Random(1)
+    folder = os.path.dirname(shared_folder(spark, "probe")).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    lines = lines_from_memory(spark, ["The basic sauces: Ab.", "1—AB SAUCE", "Stir.", "2—FISH", *[rng.randbytes(50).hex() for _ in range(30_000)]])
+    before = size()
+    assert [(r["title"], r["body"]) for r in extraction.extract(lines).catalogue.collect()] == [("AB SAUCE", "Stir.")]
+    assert size() - before < 500_000  # the other entry has 3 MB
+    assert "text" not in str(structure.headings(lines)._jdf.queryExecution().optimizedPlan()).split("Window")[1]
+
+
+def test_lines_meet_declarations_where_they_stand(spark, monkeypatch):
+    lines = reduce(lambda a, b: a.unionByName(b), [lines_from_memory(spark, random_book(k, 5), f"b{k}") for k in range(3)])
+    sent = structure.declared_names(lines)
+    assert str(sent._jdf.queryExecution().executedPlan()).count("BroadcastHashJoin") >= 3
+    monkeypatch.setattr(structure, "SENT_SOURCES", 2)
+    assert sorted(map(str, structure.declared_names(lines).collect())) == sorted(map(str, sent.collect()))
