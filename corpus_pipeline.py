@@ -7,7 +7,7 @@ Near-duplicate removal keeps one row of each group, whether or not its rows shar
 Defined results: a document whose text is null, empty or blank is rejected by the quality rules; of equal or similar texts the row with the
 smallest id stays, ids that are null last, and of those the first row of the first file; a text that loses all its passages stays as an empty one
 and packs as its end token; texts of any length are processed whole; extra columns travel along, whatever their names; an empty table gives an empty result.
-Near-duplicates are found by MinHash bands and compared by fingerprints and shingles: see ``lexiloom.llm.similar``.
+Near-duplicates are found by operator 10's SimHash components, and by MinHash bands where fingerprints differ in more bits, and compared by shingles: see ``lexiloom.llm.similar``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest doc_id, of each group of near-duplicates: five-word shingles at similarity 0.8 or more."""
+    """One row, that of the smallest doc_id, of each group of near-duplicates: five-word shingles at similarity 0.8 or more, met in operator 10's components or in bands."""
     numbered = numbered_rows(docs, "numbered")
     found = similar.components(numbered.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").cast("string").alias("text")))
     return numbered.join(found.filter("row = first"), "row", "left_semi").select("doc.*")

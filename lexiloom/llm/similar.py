@@ -1,11 +1,12 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, for the stages of the pipeline.
 
-Texts at similarity 0.8 differ in some 10 of a fingerprint's 64 bits, and up to 17 were seen, too many for the block
-combinations of ``simhash``. Candidates come from MinHash bands instead: two texts at similarity s share none of
+Candidates come from operator 10 first: texts in one of its components, linked by SimHash fingerprints within 4 bits, meet.
+But texts at similarity 0.8 differ in some 10 of a fingerprint's 64 bits, and up to 17 were seen, too many for the block
+combinations of ``simhash``. Those are found by MinHash bands besides: two texts at similarity s share none of
 the bands with probability (1 - s ** BAND) ** BANDS, 3 in a million at 0.8. Each candidate pair is then compared by
 its shingles themselves, so a link always means the stated similarity.
 
-Texts of the same words become one class first, so copies cost nothing further. Classes that share a band meet in
+Texts of the same words become one class first, so copies cost nothing further. Classes of one component, or that share a band, meet in
 a cell. In a first pass every member is compared with the smallest of its cell. Cells whose members this does not join are then
 settled each in one place, with the texts at hand: the SimHash fingerprints of operator 10, over the same shingles, are compared
 bit-sliced, and pairs within ``NEAR`` bits are compared by their shingles, the nearest first and only while they are not joined
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import simhash
 from lexiloom.llm.common import materialise, result, scratch
 from lexiloom.llm.graph import star_forest
 from lexiloom.llm.simhash import CELL_ROWS, split_cells, within
@@ -217,8 +219,11 @@ def _components(rows: DataFrame) -> DataFrame:
     grouped = marked.groupBy("words").agg(F.min(rank).alias("rep"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp"))
     classes = materialise(grouped.withColumn("class", F.monotonically_increasing_id()), "classes", rows=marked.count())
     n = classes.count()
+    # A component of operator 10 is a cell as a band is.
+    linked = simhash.near_duplicates(rows, "row", "text").select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("key"))
+    near = materialise(classes.select("class", "size", F.col("rep.row").alias("row")).join(linked, "row").select("class", "size", "key"), "near", rows=n)
     # A band that very many classes share is counted map-side, and the join with what it counts can split it.
-    dealt = classes.select("class", "size", F.explode("keys").alias("key"))
+    dealt = classes.select("class", "size", F.explode("keys").alias("key")).unionByName(near)
     least = dealt.groupBy("key").agg(F.min("class").alias("least"), F.min_by("size", "class").alias("least_size"), F.count("*").alias("members")).filter("members > 1")
     cells = materialise(dealt.join(least, "key"), "cells")
     near_size = lambda a, b: F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]  # noqa: E731 (no set is alike one of another size)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lexiloom.llm import similar
 
 
@@ -109,3 +110,17 @@ def test_stage_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(x for x in got if x[1]) == [(1, a), (1, b), (2, c)] and len(got) == 4
+
+
+def test_stage_finds_near_copies_by_fingerprints(spark, monkeypatch):
+    """Without any band, operator 10's components still bring near copies together, and shingles decide."""
+    marks = similar._marks
+    monkeypatch.setattr(similar, "_marks", lambda rows: marks(rows).withColumn("keys", F.array().cast("array<long>")))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    near = [*base[:1500], "changed", *base[1501:]]
+    assert (similar.simhash.fingerprint(" ".join(base).encode()) ^ similar.simhash.fingerprint(" ".join(near).encode())).bit_count() <= 4
+    other = [f"v{k}" for k in range(300)]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, near, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
