@@ -155,6 +155,30 @@ def test_lines_of_entries_left_out_are_not_gathered(spark):
     assert "text" not in str(structure.headings(lines)._jdf.queryExecution().optimizedPlan()).split("Window")[1]
 
 
+def _moved(node):
+    """Rows that the shuffles of a plan that has run have written."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _moved(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _moved(node.plan())
+    children = node.children()
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_moved(children.apply(k)) for k in range(children.size()))
+
+
+def test_lines_beyond_the_wanted_entries_are_not_moved(spark):
+    lines = lines_from_memory(spark, [*["before"] * 5_000, "1—AB SAUCE", "Stir.", "2—FISH", *["behind"] * 5_000])
+    heads = structure.headings(lines)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = structure.bodies(lines, heads, heads.filter("entry = 1"))
+        assert [(r["idx"], r["body"]) for r in found.collect()] == [(5_000, "Stir.")]
+        assert _moved(found._jdf.queryExecution().executedPlan()) < 1_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lines_meet_declarations_where_they_stand(spark, monkeypatch):
     lines = reduce(lambda a, b: a.unionByName(b), [lines_from_memory(spark, random_book(k, 5), f"b{k}") for k in range(3)])
     sent = structure.declared_names(lines)
