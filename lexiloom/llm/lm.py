@@ -198,20 +198,40 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     """Batched masked attention over (batch, window, width) vectors; padding lies behind and so is never seen."""
     x = x + w["P"]
     b, t, d = x.shape
-    three = x.reshape(-1, d) @ np.concatenate((w["Wq"] * x.dtype.type(1 / math.sqrt(d)), w["Wk"], w["Wv"]), axis=1)
-    q, k, v = (np.ascontiguousarray(three[:, i * d : (i + 1) * d]).reshape(b, t, d) for i in range(3))
+    # Three products are cheaper than one that has to be parted.
+    rows = x.reshape(-1, d)
+    q, k, v = ((rows @ m).reshape(b, t, d) for m in (w["Wq"] * x.dtype.type(1 / math.sqrt(d)), w["Wk"], w["Wv"]))
     a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
     mask = np.tri(t, dtype=x.dtype)
     _near_zero(a, mask)
     np.exp(a, out=a)
     a *= mask
-    # One more column of values adds up the weights.
-    summed = a @ np.concatenate((v, np.ones((b, t, 1), x.dtype)), axis=2)
-    total = summed[:, :, d:]
-    o = summed[:, :, :d] / total
+    total = (a @ np.ones(t, x.dtype))[:, :, None]
+    o = a @ v
+    o /= total
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "o": o, "h": x + np.dot(o.reshape(-1, d), w["Wo"]).reshape(b, t, d)}
 
 
+def class_sums(h: np.ndarray, weights: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of ``h @ weights``, its sums by row, the wanted columns' values before exp).
+
+    The sums show whether exp went well, so the values need no search of their own; if it did not, each row's maximum is taken out first.
+    """
+    at, ones = np.arange(len(h)), np.ones(weights.shape[1], weights.dtype)
+    values = h @ weights
+    right = values[at, want]
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(values, out=values)
+        total = values @ ones
+    if len(h) and not (total.min() > 1e-30 and total.max() < 1e30):
+        values = h @ weights
+        values -= values.max(axis=-1, keepdims=True)
+        right = values[at, want]
+        np.exp(values, out=values)
+        total = values @ ones
+    return values, total, right
+
+
 def _sums(vectors: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of ``vectors`` at each run of ``flat``: the first places of all runs at once, and so on; long runs one by one."""
     out = vectors.take(flat[starts], axis=0)
@@ -236,11 +256,7 @@ def gradients(w: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, tar
     at, n = np.arange(len(h)), max(1, int(ok.sum()))
     # A column of ones, so that the classes' own weights are a row of the same matrix.
     h = np.concatenate((h, np.ones((len(h), 1), kind)), axis=1)
-    prob = h @ np.concatenate((w["U"], w["b"][None]))
-    _near_zero(prob)
-    right = prob[at, want]
-    np.exp(prob, out=prob)
-    total = prob @ np.ones(prob.shape[1], kind)
+    prob, total, right = class_sums(h, np.concatenate((w["U"], w["b"][None])), want)
     loss = -float((right - np.log(total))[ok].sum()) / n
     # The rows' factor is applied to what is narrow.
     prob[at, want] -= total
@@ -446,7 +462,7 @@ def score_tokens(w: dict[str, np.ndarray], vectors: np.ndarray, klass: np.ndarra
     start = number * (p.window - p.context)
     # At the head of a window come ``context`` tokens that the window before it scored.
     low, high = np.where(number == 0, 0, p.context), np.minimum(p.window, sizes[owner] - start)
-    place, ones = np.arange(p.window), np.ones(p.classes, np.float32)
+    place = np.arange(p.window)
     both = np.concatenate((w["U"], w["b"][None]))
     # Window by window, the scored places are the tokens in their order: what belongs to them are plain slices.
     ends = np.cumsum(np.maximum(high - low, 0))
@@ -458,11 +474,8 @@ def score_tokens(w: dict[str, np.ndarray], vectors: np.ndarray, klass: np.ndarra
         to = int(ends[min(a + at_once, len(owner)) - 1])
         h = np.ones((to - done, len(both)), np.float32)
         h[:, :-1] = forward(w, vectors.take(inputs[np.minimum(at, len(inputs) - 1)], axis=0))["h"][scored]
-        logits = h @ both
-        _near_zero(logits)
-        right = logits[np.arange(to - done), klass[done:to]]
-        np.exp(logits, out=logits)
-        values[done:to] += right - np.log(logits @ ones)
+        _, total, right = class_sums(h, both, klass[done:to])
+        values[done:to] += right - np.log(total)
         done = to
     return np.add.reduceat(values, first) / math.log(10)
 
@@ -733,6 +746,7 @@ def code_documents(documents: DataFrame, learned: Trained, p: LmParams = DEFAULT
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_pages()
         coder, row = Coder(shared.value), TaskContext.get().partitionId() << 33
+        none, last = np.zeros(0, np.int64), np.array([END], "<i4").tobytes()
         for b in batches:
             size = min(256, max(1, b.num_rows))
             for a in range(0, b.num_rows, size):
@@ -743,11 +757,12 @@ def code_documents(documents: DataFrame, learned: Trained, p: LmParams = DEFAULT
                 coder.settle()
                 for numbers in texts:
                     codes, logs = coder.codes[numbers], coder.logs[numbers]
-                    beyond = np.flatnonzero(codes < 0)
-                    words, place, times = np.unique(numbers[beyond], return_inverse=True, return_counts=True)
-                    codes[beyond] = -1 - place
-                    base = float(np.delete(logs, beyond).sum() if len(beyond) else logs.sum()) + end_log
-                    out.append((row, len(codes) + 1, len(codes) - len(beyond) + ends_known, base, np.append(codes, np.int32(END)).astype("<i4").tobytes(), [coder.words[k] for k in words.tolist()], times))
+                    beyond, rare, times = np.flatnonzero(codes < 0), [], none
+                    if len(beyond):
+                        words, place, times = np.unique(numbers[beyond], return_inverse=True, return_counts=True)
+                        codes[beyond], rare = -1 - place, [coder.words[k] for k in words.tolist()]
+                        logs = np.delete(logs, beyond)
+                    out.append((row, len(codes) + 1, len(codes) - len(beyond) + ends_known, float(logs.sum()) + end_log, codes.astype("<i4", copy=False).tobytes() + last, rare, times))
                     row += 1
                 columns = [*part.columns[:3], *zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)

@@ -79,6 +79,24 @@ def test_classes_add_up_to_one():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_sums_of_classes_need_no_search_of_their_values(monkeypatch):
+    rng = np.random.default_rng(5)
+    h, weights, want = rng.normal(0, 1, (50, 4)), rng.normal(0, 1, (4, 7)), rng.integers(0, 7, 50)
+    for spread in (0.1, 30, 3000):  # exp of float32 fails beyond 88
+        values, total, right = lm.class_sums((h * spread).astype(np.float32), weights.astype(np.float32), want)
+        direct = (h * spread).astype(np.float32).astype(float) @ weights.astype(np.float32).astype(float)
+        top = direct.max(axis=1, keepdims=True)
+        expected = direct[np.arange(50), want] - top[:, 0] - np.log(np.exp(direct - top).sum(axis=1))
+        assert np.allclose(right - np.log(total), expected, rtol=1e-3, atol=1e-3 * spread)
+        assert np.allclose(values.sum(axis=1) / total, 1, atol=1e-4)
+    searched = []
+    monkeypatch.setattr(lm, "_near_zero", lambda a, mask=None: searched.append(a.shape))
+    w = small_params()
+    entries = Entries(rng).show(w)
+    entries.score(w, [rng.integers(2, 32, 40)])
+    assert searched and all(shape[-1] == SMALL.window for shape in searched)
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(4)
     w = {k: v.astype(np.float64) for k, v in small_params(3).items()}
