@@ -1,12 +1,14 @@
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom import cli
+from lexiloom.checkpoints import shared_table
 from lexiloom.errors import CatalogueUnwritable, RootNotFound, SourceUnreadable
 from lexiloom.rules import RULES
-from lexiloom.sources import catalogue_store, numbered_text
+from lexiloom.sources import catalogue_store, numbered_text, synthetic
 from lexiloom.streaming import arrivals
 
 BOOK = [
@@ -121,3 +123,19 @@ def test_tables_and_streams(spark, root, tmp_path):
     arrivals.keep_catalogues(arrivals.arriving_files(spark, str(root / "corpus")), store, str(tmp_path / "ckpt")).awaitTermination(120)
     both = catalogue_store.load_table(spark, store)
     assert {r["source_id"]: r["n"] for r in both.groupBy("source_id").agg(F.count("*").alias("n")).collect()} == {"book": 4, "other": 2}
+
+
+def test_tables_are_written_in_small_row_groups_and_lines_in_few_files(spark):
+    wide = shared_table(spark.range(0, 400_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 512).alias("x")), "wide")
+    (file,) = wide.inputFiles()
+    assert pq.ParquetFile(file.removeprefix("file://")).metadata.num_row_groups > 1
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        lines = synthetic.read(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(lines.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
