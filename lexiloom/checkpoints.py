@@ -25,8 +25,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back; removed when the session ends. Survives lost executors."""
+def shared_table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write once, read back; removed when the session ends. Survives lost executors.
+
+    ``few``: two tasks a core at most write, each several shuffled parts one after the other, since making a file may start processes.
+    """
     path = shared_folder(df.sparkSession, name)
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,7 +36,8 @@ class Drafted:
 def read_drafts(lines: DataFrame, rules: RuleSet = RULES) -> Drafted:
     """Headings are written, as drafts, their places, statuses and nameless ones read them; so are declared names."""
     declared = shared_table(structure.declared_names(lines, rules), "declared")
-    found = shared_table(structure.headings(lines, rules), "headings")
+    # Headings are few among the lines whose windows find them, and are dealt anew into few files.
+    found = shared_table(structure.headings(lines, rules).hint("rebalance"), "headings")
     bases = shared_table(structure.bases_of(declared), "bases")
     return Drafted(declared, found, bases, drafts.drafts(found, bases, rules), drafts.unfoldable(declared, found, bases, rules))
 
@@ -45,7 +46,7 @@ def extract(lines: DataFrame, rules: RuleSet = RULES) -> Extracted:
     """All catalogues. Drafts are read several times, so they and the names are written once."""
     read = read_drafts(lines, rules)
     bare = shared_table(read.drafts, "kept")
-    draft = shared_table(drafts.with_bodies(bare, read.headings, lines), "drafts")
+    draft = shared_table(drafts.with_bodies(bare, read.headings, lines), "drafts", few=True)
     reached = shared_table(names.candidates(bare, read.bases), "candidates")
     return Extracted(derive.with_parents(draft, reached, rules), read.bases, query.diagnostics(lines, read.headings, bare, read.unfoldable), read.unfoldable)
 

@@ -32,7 +32,7 @@ def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = synthetic.read(spark, sf_dir)
     read = extraction.read_drafts(lines)
     bare = shared_table(read.drafts, "kept")
-    return shared_table(drafts.with_bodies(bare, read.headings, lines), "drafts"), shared_table(names.candidates(bare, read.bases), "candidates")
+    return shared_table(drafts.with_bodies(bare, read.headings, lines), "drafts", few=True), shared_table(names.candidates(bare, read.bases), "candidates")
 
 
 def fold_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,21 @@ def test_lines_meet_declarations_where_they_stand(spark, monkeypatch):
     assert str(sent._jdf.queryExecution().executedPlan()).count("BroadcastHashJoin") >= 3
     monkeypatch.setattr(structure, "SENT_SOURCES", 2)
     assert sorted(map(str, structure.declared_names(lines).collect())) == sorted(map(str, sent.collect()))
+
+
+def test_drafts_are_written_in_few_files(spark):
+    books = [(f"book{k}", i, i + 1, x) for k in range(6) for i, x in enumerate(random_book(k))]
+    lines = spark.createDataFrame(books, LINES)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    folder = os.path.dirname(shared_folder(spark, "any")).removeprefix("file:")
+    earlier = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    try:
+        extraction.extract(lines)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (made,) = (d for d in set(os.listdir(folder)) - earlier if d.startswith("drafts-"))
+    assert 1 <= sum(f.endswith(".parquet") for f in os.listdir(f"{folder}/{made}")) <= 2 * spark.sparkContext.defaultParallelism
