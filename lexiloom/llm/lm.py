@@ -5,7 +5,7 @@ space. A token enters the model as the mean of the trained vectors of its subwor
 rest share one), attention looks back over the tokens of a window, and its output predicts the class of the next token. The
 end and the most frequent words are classes of their own; other words belong to the class of their first subword id. What is learnt:
 
-1. word counts of all training documents, counted map-side in each task and summed by a shuffle;
+1. word counts of all training documents, counted in groups of texts and summed within each task and by a shuffle;
 2. from the word counts, and so from the whole training text: the probability of a word within its class, a mixture of the
    word's own share (of the ``head_words`` most frequent words, a fixed number that is broadcast) and of its spelling in
    subword ids, neighbour by neighbour. The weight of spelling is the share of words seen once or beyond the head (Good-Turing);
@@ -19,9 +19,10 @@ scored, so each token is scored once, with at least ``context`` tokens before it
 under a causal mask. The probabilities of all words, spelt-out ones included, add up to 1 at most, so scores of texts compare.
 
 Texts are read twice: to count words, and to write each document as one number for each token (its place among the head
-words, by frequency), with the words beyond the head beside it. Training and scoring read these numbers.
+words, by frequency), with the words beyond the head beside it. Training and scoring read these numbers. Neighbouring texts are parted into
+words together, and each different word of theirs is counted or looked up once.
 
-Memory is bounded: the head is a fixed number of words, a worker keeps ``kept_words`` more, long texts are parted in slices, words
+Memory is bounded: the head is a fixed number of words, a worker in training keeps ``kept_words`` more, long texts are parted in slices, words
 beyond the head are looked up by a shuffled join, and the tables of the model have the vocabulary's size.
 
 Defined results: a null text counts as empty and has the end token alone; a null doc_id is hashed as the empty text and so
@@ -32,10 +33,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ START, PAD, END, FIRST = range(4)
 #: The seed of Spark's xxhash64.
 _HASH_SEED = 42
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-#: Bytes of a text's slice, and words whose vectors are reckoned at once.
-_SLICE, _AT_ONCE = 1 << 20, 1 << 14
+#: Bytes of a text's slice and of texts that are parted together, and words whose vectors are reckoned at once.
+_SLICE, _TOGETHER, _AT_ONCE = 1 << 20, 1 << 22, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -77,9 +77,7 @@ class LmParams:
     rate: float = 0.01
     seed: int = 11
     head_words: int = 1 << 20
-    #: A task sends its word counts on when it holds so many words.
-    held_words: int = 300_000
-    #: Words that a worker keeps to find them again.
+    #: Words beyond the head that a worker keeps in training to find them again.
     kept_words: int = 200_000
     #: Training tokens of a shard in a round, and the most shards of a round.
     shard_tokens: int = 1 << 20
@@ -116,6 +114,7 @@ class Model:
     spelt: float = 0.5  # weight of spelling
     head: Head = field(default_factory=Head)
     params: dict[str, np.ndarray] = field(default_factory=dict)
+    vectors: np.ndarray | None = None  # of the head words, with room behind; made by a worker that scores, for all its tasks
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.params[k].ravel() for k in sorted(self.params)])
@@ -334,32 +333,39 @@ def ids_of(words: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray,
     return ids, sizes
 
 
-class Coder(dict):
-    """word -> a number of its own; ``codes`` and ``logs`` hold, by that number, the word's number among the head words (-1 beyond) and log10(count + 0.5)."""
+class Coder:
+    """Finds words among the head words, a group of texts at a time."""
 
     def __init__(self, head: Head):
-        super().__init__()
-        self._head, self.words, self.codes, self.logs = head, [], np.zeros(0, np.int32), np.zeros(0)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.words)
-        self.words.append(word)
-        return number
-
-    def numbers(self, text: bytes | None) -> np.ndarray:
-        return np.concatenate([np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in words_in(text)])
-
-    def settle(self) -> None:
-        """Look up the words met since."""
-        new, head = self.words[len(self.codes) :], self._head
-        hashes = np.array([xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new], np.uint64)
-        codes, logs = np.full(len(new), -1, np.int32), np.full(len(new), np.nan)
-        if len(head.hashes):
-            at = np.minimum(np.searchsorted(head.hashes, hashes), len(head.hashes) - 1)
-            found = head.hashes[at] == hashes
-            place = head.places[at[found]]
-            codes[found], logs[found] = place + FIRST, np.log10(head.counts[place] + 0.5)
-        self.codes, self.logs = np.concatenate((self.codes, codes)), np.concatenate((self.logs, logs))
+        self._head, self._logs = head, np.log10(head.counts + 0.5)
+
+    def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number among the head words, or -1 beyond; log10(count + 0.5), or 0 beyond) of each of some words."""
+        codes, logs, known = np.full(len(words), -1, np.int32), np.zeros(len(words)), self._head.hashes
+        if len(known):
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(_HASH_SEED)), np.uint64, len(words))
+            order = np.argsort(hashes)  # rising, so that neighbours are looked for in turn
+            hashes = hashes[order]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            place = self._head.places[at[hit]]
+            codes[order[hit]], logs[order[hit]] = place + FIRST, self._logs[place]
+        return codes, logs
+
+    def coded(self, slices: Iterable[pa.Array]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(codes, logs, rare words) of words, one slice after the other; the codes of rare words count down from -1."""
+        rare: dict[bytes, int] = {}
+        codes, logs = [np.zeros(0, np.int32)], [np.zeros(0)]
+        for s in slices:
+            each = s.dictionary_encode()
+            words = each.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            code, log = self.found(words)
+            for k in np.flatnonzero(code < 0).tolist():
+                code[k] = -1 - rare.setdefault(words[k], len(rare))
+            place = each.indices.to_numpy()
+            codes.append(code[place])
+            logs.append(log[place])
+        return np.concatenate(codes), np.concatenate(logs), list(rare)
 
 
 def _put(array: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
@@ -491,6 +497,29 @@ def words_in(text: bytes | None, at_once: int = _SLICE) -> Iterator[list[bytes]]
     yield text[start:].lower().split()
 
 
+def grouped_words(texts: pa.Array, at_once: int = _TOGETHER) -> Iterator[tuple[int, np.ndarray | None, Iterable[pa.Array]]]:
+    """(number of texts, words of each, their words in lower case) of neighbouring texts that are ``at_once`` bytes together at most.
+
+    A longer text stands alone; its words come in slices and are not counted.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        before = int(ends[a - 1]) if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, before + at_once, side="right")))
+        part = texts.slice(a, z - a)
+        if ends[z - 1] - before > at_once:
+            yield 1, None, (pa.array(words, pa.binary()).cast(pa.string()) for words in words_in(_bytes(part)[0]))
+        else:
+            clean = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(part.cast(pa.string()), "")))
+            words = pc.ascii_split_whitespace(clean)
+            sizes, filled = pc.list_value_length(words).to_numpy(), pc.binary_length(clean).to_numpy() > 0
+            flat = words.flatten()
+            # Of a text without words an empty one is left.
+            yield z - a, sizes * filled, [flat if filled.all() else flat.filter(pc.not_equal(flat, ""))]
+        a = z
+
+
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, held_out, text)."""
     doc_id = F.col(f"`{id_col}`").cast("long")
@@ -505,18 +534,13 @@ def word_counts(training: DataFrame, p: LmParams = DEFAULTS) -> DataFrame:
     """(word, c) over all texts; END_WORD counts the texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
         for b in batches:
-            for text in _bytes(b.column(0)):
-                for words in words_in(text):
-                    held.update(words)
-                    if len(held) >= p.held_words:
-                        yield out()
-                        held.clear()
-            held[END_WORD.encode()] += b.num_rows
-        if held:
-            yield out()
+            for _, _, slices in grouped_words(b.column(0)):
+                for words in slices:
+                    counts = words.value_counts()  # added up by Spark, first within this task
+                    yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "c"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([END_WORD]), pa.array([b.num_rows])], ["word", "c"])
 
     return training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -748,23 +772,20 @@ def code_documents(documents: DataFrame, learned: Trained, p: LmParams = DEFAULT
         coder, row = Coder(shared.value), TaskContext.get().partitionId() << 33
         none, last = np.zeros(0, np.int64), np.array([END], "<i4").tobytes()
         for b in batches:
-            size = min(256, max(1, b.num_rows))
-            for a in range(0, b.num_rows, size):
-                part, out = b.slice(a, size), []
-                if len(coder) > p.kept_words:
-                    coder = Coder(shared.value)
-                texts = [coder.numbers(text) for text in _bytes(part.column(3))]
-                coder.settle()
-                for numbers in texts:
-                    codes, logs = coder.codes[numbers], coder.logs[numbers]
-                    beyond, rare, times = np.flatnonzero(codes < 0), [], none
+            start = 0
+            for n, sizes, slices in grouped_words(b.column(3)):
+                every, each_log, words = coder.coded(slices)
+                ends, out = np.cumsum([len(every)] if sizes is None else sizes).tolist(), []
+                for a, z in zip([0, *ends], ends, strict=False):
+                    codes, rare, times = every[a:z], [], none
+                    beyond = np.flatnonzero(codes < 0) if words else none
                     if len(beyond):
-                        words, place, times = np.unique(numbers[beyond], return_inverse=True, return_counts=True)
-                        codes[beyond], rare = -1 - place, [coder.words[k] for k in words.tolist()]
-                        logs = np.delete(logs, beyond)
-                    out.append((row, len(codes) + 1, len(codes) - len(beyond) + ends_known, float(logs.sum()) + end_log, codes.astype("<i4", copy=False).tobytes() + last, rare, times))
+                        own, place, times = np.unique(-1 - codes[beyond], return_inverse=True, return_counts=True)
+                        codes[beyond], rare = -1 - place, [words[k] for k in own.tolist()]
+                    out.append((row, z - a + 1, z - a - len(beyond) + ends_known, float(each_log[a:z].sum()) + end_log, codes.astype("<i4", copy=False).tobytes() + last, rare, times))
                     row += 1
-                columns = [*part.columns[:3], *zip(*out, strict=True)]
+                columns = [*b.slice(start, n).columns[:3], *zip(*out, strict=True)]
+                start += n
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     marked = documents.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("mark"), "text")
@@ -796,17 +817,19 @@ def score_coded(coded: DataFrame, trained: Trained, path: str, p: LmParams = DEF
         keep_pages()
         model, none = shared.value, np.zeros(0, np.int32)
         entries = Entries(model, path)
-        fixed, vectors = entries.n, entries.vectors()
+        fixed = entries.n
+        if model.vectors is None:
+            model.vectors = entries.vectors()
         for b in batches:
             size = min(64, max(1, b.num_rows))
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
                 texts = [entries.numbers(codes, rare) for codes, rare in zip(part.column(7).to_pylist(), part.column(8).to_pylist(), strict=True)]
                 entries.settle()
-                if entries.n > len(vectors):  # room for rare words, used again by every slice
-                    vectors = np.concatenate((vectors[:fixed], np.empty((2 * (entries.n - fixed), p.width), np.float32)))
-                vectors[fixed : entries.n] = entries.vectors(fixed)
-                scores = score_tokens(model.params, vectors, entries.klass, entries.inside, texts, p)
+                if entries.n > len(model.vectors):  # room for rare words, used again by every slice
+                    model.vectors = np.concatenate((model.vectors[:fixed], np.empty((2 * (entries.n - fixed), p.width), np.float32)))
+                model.vectors[fixed : entries.n] = entries.vectors(fixed)
+                scores = score_tokens(model.params, model.vectors, entries.klass, entries.inside, texts, p)
                 entries.forget(none)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 3, 4, 5, 6)), pa.array(scores, pa.float64()), part.column(8), part.column(9)], names)
 

@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiloom.llm import lm
@@ -273,6 +275,29 @@ def test_long_texts_are_parted_in_slices():
     assert [w for part in lm.words_in(None) for w in part] == []
 
 
+def test_texts_are_parted_together_and_each_word_is_looked_up_once(monkeypatch):
+    texts = [None, "", " \t\n", "Ab  cd\x1cE\u00a0F\n", " x ", "ÀB y " * 30, "x Ab", "z"]
+    want = [(t or "").encode().lower().split() for t in texts]
+    asked = []
+    monkeypatch.setattr(lm, "xxhash", SimpleNamespace(xxh64_intdigest=lambda w, seed, f=lm.xxhash.xxh64_intdigest: asked.append(w) or f(w, seed)))
+    hashes = np.array([lm.xxhash.xxh64_intdigest(w, 42) for w in (b"x", b"y")], np.uint64)
+    order = np.argsort(hashes)
+    head = lm.Head(hashes[order], order.astype(np.int32), np.array([7, 3]))
+    for at_once, alone in ((1 << 20, 0), (20, 1), (0, 6)):
+        got, n_alone = [], 0
+        for n, sizes, slices in lm.grouped_words(pa.array(texts), at_once):
+            asked.clear()
+            codes, logs, rare = lm.Coder(head).coded(slices)
+            assert len(asked) == len(set(asked))
+            n_alone += sizes is None
+            ends = [len(codes)] if sizes is None else np.cumsum(sizes).tolist()
+            assert len(ends) == n and ends[-1] == len(codes)
+            assert np.allclose(logs, [{lm.FIRST: np.log10(7.5), lm.FIRST + 1: np.log10(3.5)}.get(c, 0) for c in codes.tolist()])
+            words = [{lm.FIRST: b"x", lm.FIRST + 1: b"y"}[c] if c >= 0 else rare[-1 - c] for c in codes.tolist()]
+            got += [words[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+        assert got == want and n_alone == alone
+
+
 def test_rare_words_are_looked_up(spark):
     rows = [(i, " ".join(f"W{(i * 7 + k) % 40}" for k in range(30))) for i in range(30)] + [(None, None), (None, ""), (5, "W1 unseen unseen"), (5, "W1 unseen unseen")]
     frame = lm._documents(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'w' as word", "1 as row"), "doc_id", "text")
