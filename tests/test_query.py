@@ -125,3 +125,55 @@ def test_trees_of_random_books(spark):
             got.setdefault(r["root"], []).append(("/".join(map(str, r["path"])), r["depth"], r["concept"], r["last"]))
         for w in wanted:
             assert sorted(got.get(w, [])) == naive_trees(edges, w, dict(enumerate(names)))
+
+
+def test_walks_start_only_where_a_root_leads(spark, monkeypatch):
+    """Six names that are all derived from each other have many walks, and the asked root leads to none of them."""
+    names = [f"k{k}" for k in range(6)]
+    rows = [("Root", None, ["root"], 1), ("A", "root", ["a"], 2), ("B", "a", ["b"], 3), *[(f"{x} of {y}", y, [x], 0) for x in names for y in names if x != y]]
+    rows = [(title, parent, surfaces, k + 1) for k, (title, parent, surfaces, _) in enumerate(rows)]
+    inner, written = lineage.shared_table, []
+
+    def counted(df, name, *more):
+        table = inner(df, name, *more)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(lineage, "shared_table", counted)
+    asked = lambda root: spark.createDataFrame([("b", root)], "source_id string, root string")
+    small = [(r["path"], r["title"], r["last"]) for r in lineage.derivation_trees(*book(spark, *rows), asked("root")).orderBy("path").collect()]
+    assert small == [([1], "A", True), ([1, 2], "B", True)]
+    assert max(n for name, n in written if name == "walks") <= 1
+    # Asked for one of the six, every branch comes: 5 * 4 * ... open ones, each with the five children of its end.
+    edges = [(y, seq) for seq, (_, y, _, _) in enumerate(rows) if y]
+    whole = sorted(("/".join(map(str, r["path"])), r["depth"], r["concept"], r["last"]) for r in lineage.derivation_trees(*book(spark, *rows), asked("k0")).collect())
+    assert whole == naive_trees(edges, "k0", {seq: surfaces[0] for seq, (_, _, surfaces, _) in enumerate(rows)})
+    assert len(whole) == 5 * (1 + 5 + 5 * 4 + 5 * 4 * 3 + 5 * 4 * 3 * 2 + 5 * 4 * 3 * 2)
+
+
+def test_reached_nodes_of_random_maps(spark):
+    rng = random.Random(13)
+    maps = {f"m{k}": {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} for k, (n, m) in enumerate([(2, 1), (9, 7), (30, 35), (30, 60), (30, 400)])}
+    maps |= {"line": {(k, k + 1) for k in range(20)}, "late": {(k, k + 1) for k in range(9)} | {(x, y) for x in range(9, 25) for y in range(9, 25)} | {(k, k + 1) for k in range(24, 33)}}
+    starts = {(m, s) for m, own in maps.items() for s in ([0, 500] if m in ("line", "late") else [rng.randrange(5)])}
+    expected = set(starts)
+    while more := {(m, y) for m, x in expected for a, y in maps[m] if a == x} - expected:
+        expected |= more
+    hops = spark.createDataFrame([(m, *h) for m, own in maps.items() for h in own], "source_id string, at int, to int")
+    got = [tuple(r) for r in lineage.reached(spark.createDataFrame(sorted(starts), "source_id string, node int"), hops).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_rounds_of_reached_nodes_grow_with_the_logarithm_of_a_chain(spark):
+    jobs = {}
+    for n in (30, 1000):
+        hops = spark.range(n).selectExpr("'b' as source_id", "cast(id as int) as at", "cast(id + 1 as int) as to")
+        start = spark.createDataFrame([("b", 0)], "source_id string, node int")
+        found, jobs[n] = jobs_of(spark, lambda hops=hops, start=start: lineage.reached(start, hops).count())
+        assert found == n + 1
+    assert jobs[1000] <= 3 * jobs[30]  # twice the rounds
+
+
+def test_nothing_is_reached_from_no_start(spark):
+    hops = spark.createDataFrame([("b", 1, 2)], "source_id string, at int, to int")
+    assert lineage.reached(spark.createDataFrame([], "source_id string, node int"), hops).collect() == []
